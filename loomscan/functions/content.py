@@ -7,7 +7,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomscan.functions import let
 
 _JSONP = r"\A(?:window\.)?([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*)\s*\(\s*[\[{]"
 # Media types that name a kind.
@@ -54,15 +53,14 @@ def kind(content_type: Column, text: Column) -> Column:
 
 
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
-_SLOW = r"\\u[0-9a-fA-F]{4}|#([0-9]+|[xX][0-9a-fA-F]+);"
+_SLOW = r"%[0-9A-Fa-f]{2}|\\u[0-9a-fA-F]{4}|#([0-9]+|[xX][0-9a-fA-F]+);"
+_ESCAPES = ((r"\\", "\0"), (r"\/", "/"), (r"\"", '"'), (r"\'", "'"), (r"\n", "\n"), (r"\r", "\r"), (r"\t", "\t"), ("\0", "\\"))
 
 
-@F.pandas_udf(T.StringType())
-def _slow(texts: pd.Series) -> pd.Series:
-    """Unicode escapes, then entities."""
+def decoded(text: str) -> str:
+    """One text without its escapes; see decode."""
     import re
-
-    escape, entity = re.compile(r"(?:\\u[0-9a-fA-F]{4})+"), re.compile(r"#([0-9]+|[xX][0-9a-fA-F]+);")
+    from urllib.parse import unquote
 
     def run(m: re.Match) -> str:
         return bytes.fromhex(m[0].replace("\\u", "")).decode("utf-16-be", "replace")
@@ -71,44 +69,42 @@ def _slow(texts: pd.Series) -> pd.Series:
         n = int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1])
         return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else m[0]
 
-    def text(t: str | None) -> str | None:
-        if t is None:
-            return None
-        t = escape.sub(run, t)
-        if "&" not in t:
-            return t
+    if "%" in text and not re.search("%(?![0-9A-Fa-f]{2})", text):
+        try:
+            text = unquote(text, errors="strict")
+        except UnicodeDecodeError:
+            pass
+    if "\\" in text:
+        for a, b in _ESCAPES:
+            text = text.replace(a, b)
+        text = re.sub(r"(?:\\u[0-9a-fA-F]{4})+", run, text)
+    if "&" in text:
         for a, b in _ENTITIES:
-            t = t.replace(a, b)
-        return entity.sub(one, t)
+            text = text.replace(a, b)
+        text = re.sub(r"#([0-9]+|[xX][0-9a-fA-F]+);", one, text)
+    return text
 
-    return pd.Series([text(t) for t in texts], dtype=object)
+
+@F.pandas_udf(T.StringType())
+def _slow(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else decoded(t) for t in texts], dtype=object)
 
 
 def decode(text: Column) -> Column:
     """Text without percent, string, unicode and entity escapes, undone in this order.
 
     Percent escapes are undone in the whole text or not at all.  A numeric entity leaves
-    its ampersand.  Only texts with unicode escapes or numeric entities leave the JVM.
+    its ampersand.  Only texts with percent or unicode escapes or numeric entities leave
+    the JVM.
     """
 
-    def percent(t: Column) -> Column:
-        plain = let(F.try_url_decode(F.replace(t, F.lit("+"), F.lit("%2B"))), lambda p: F.when(~F.contains(p, F.lit("\uFFFD")) | F.contains(t, F.lit("\uFFFD")), p))
-        return F.when(t.rlike("%[0-9A-Fa-f]{2}"), F.coalesce(plain, t)).otherwise(t)
-
-    def strings(t: Column) -> Column:
-        out = t
-        for a, b in ((r"\\", "\0"), (r"\/", "/"), (r"\"", '"'), (r"\'", "'"), (r"\n", "\n"), (r"\r", "\r"), (r"\t", "\t"), ("\0", "\\")):
-            out = F.replace(out, F.lit(a), F.lit(b))
-        return F.when(t.contains("\\"), out).otherwise(t)
-
-    def entities(t: Column) -> Column:
-        out = t
-        for a, b in _ENTITIES:
-            out = F.replace(out, F.lit(a), F.lit(b))
-        return out
+    def replaced(t: Column, pairs: tuple) -> Column:
+        for a, b in pairs:
+            t = F.replace(t, F.lit(a), F.lit(b))
+        return t
 
-    quick = let(let(text, percent), strings)
-    return F.coalesce(_slow(let(quick, lambda t: F.when(t.rlike(_SLOW), t))), let(quick, entities))
+    strings = F.when(text.contains("\\"), replaced(text, _ESCAPES)).otherwise(text)
+    return F.coalesce(_slow(F.when(text.rlike(_SLOW), text)), replaced(strings, _ENTITIES))
 
 
 def data_uri(uri: Column) -> Column:

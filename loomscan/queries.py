@@ -1,4 +1,453 @@
-"""Queries over captured sites."""
+"""Queries over captured sites, each with the same question in SQL where SQL can ask it."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomscan import corpora
+from loomscan.functions import content, paths, scanners, url
+from loomscan.operators import discover, sourcemaps
+from loomscan.operators.extract import Doc, Registry, extract, tagged
+from loomscan.operators.webpack import matches
+from loomscan.plans import report
+from loomscan.sources import store
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def scalar(name: str, corpus: str, column: Callable[..., Column], sql: str, *inputs: str, out: str = "result") -> None:
+    """A query that applies one column expression to a corpus or table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rows(spark, sf_dir, corpus).select(_ID.get(corpus, "id"), column(*(F.col(c) for c in inputs)).alias(out))
+
+    run.__name__ = name
+    query(f"SELECT {_ID.get(corpus, 'id')}, {sql} AS {out} FROM {_sql(corpus)} t")(run)
+
+
+_ID = {"pages": "page_id"}
+
+
+def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return corpora.load(spark, sf_dir, name) if name in corpora.CORPORA else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sql(name: str) -> str:
+    return corpora.sql(name) if name in corpora.CORPORA else name
+
+
+# SQL for what the corpora need of URL resolution: no dot segments beyond a leading ./
+_ORIGIN = r"regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+_DIR = r"regexp_extract(url, '^(https?://[^?#]*/)', 1)"
+_ENCODE = "array_to_string(list_transform(string_split({}, ''), lambda c: CASE WHEN regexp_matches(c, '[^\\x21-\\x7E]') THEN replace(url_encode(c), '+', '%20') ELSE c END), '')"
+
+
+def _resolved(v: str) -> str:
+    return f"CASE WHEN {v} LIKE 'http%' THEN {v} WHEN {v} LIKE '//%' THEN 'https:' || {v} WHEN {v} LIKE '/%' THEN {_ORIGIN} || {v} ELSE {_DIR} || regexp_replace({v}, '^\\./', '') END"
+
+
+def found(name: str, corpus: str, plugin: str, *patterns: str, type_: str = "url", value: str | None = None, sql: str | None = None) -> None:
+    """A query of one extractor over a corpus; the SQL extracts with the same patterns and resolves, or is given."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = extract(_rows(spark, sf_dir, corpus), Registry().only(plugin), keep=("id",))
+        return rows.where(F.col("type").isin(*type_.split(","))).select("id", "value").distinct()
+
+    run.__name__ = name
+    if sql is None:
+        each = " UNION ALL ".join("SELECT id, url, unnest(regexp_extract_all(text, '{}', 1)) AS v FROM {} t".format(p.replace("'", "''"), _sql(corpus)) for p in patterns)
+        sql = f"SELECT DISTINCT id, {value or _resolved('v')} AS value FROM ({each})"
+    query(sql)(run)
+
+
+# Pages of the driver's table.
+_LINKS = r"""SELECT page_id, url, unnest(regexp_extract_all(html, '<a\b[^>]*\bhref\s*=\s*"([^"]+)"', 1)) AS v FROM pages"""
+_THREE = f"SELECT page_id, url, unnest(CASE WHEN contains(rtrim(v, '/'), '.') OR v LIKE '%/' THEN [v] ELSE [v, v || '/index.html', v || '.html'] END) AS v FROM ({_LINKS})"
+_NOT = r"regexp_matches(lower(v), '\.(js|css|png|jpe?g|gif|svg|ico|woff2?|ttf|json|xml|map|pdf)$')"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir, "pages").select("page_id", "url", F.lit("html").alias("kind"), F.col("html").alias("text"))
+
+
+@query(f"""WITH c AS (SELECT page_id, url, split_part(v, '?', 1) AS v FROM ({_THREE}) WHERE NOT starts_with(v, '#')) SELECT DISTINCT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || {_ENCODE.format('v')} AS link FROM c WHERE v LIKE '/%' AND v NOT LIKE '//%' AND NOT {_NOT}""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_pages(spark, sf_dir), Registry().only("HTMLPivotPlugin"), keep=("page_id",)).where("type = 'html'").select("page_id", F.col("value").alias("link"))
+
+
+@query(r"""SELECT page_id, i - 1 AS idx, bodies[i] AS body FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script>(.*?)</script>', 1) AS bodies FROM pages), unnest(range(1, len(bodies) + 1)) AS u(i) WHERE bodies[i] <> ''""")
+def inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pages(spark, sf_dir).select("page_id", F.posexplode(scanners.inline_scripts(F.col("text"))).alias("idx", "body"))
+    return rows.where("body <> ''").withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(f"""SELECT DISTINCT page_id, v AS ref, {_ORIGIN} || {_ENCODE.format('v')} AS address FROM ({_LINKS}) WHERE v LIKE '/%' AND v NOT LIKE '//%'""")
+def resolve_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pages(spark, sf_dir).select("page_id", "url", F.explode(matches(F.col("text"), r'<a\b[^>]*\bhref\s*=\s*"([^"]+)"')).alias("ref"))
+    return rows.where("ref like '/%' and ref not like '//%'").select("page_id", "ref", url.resolve(F.col("url"), F.col("ref")).alias("address")).distinct()
+
+
+scalar("normalize_url", "pages", url.normalize, r"regexp_extract(url, '^(https?://[^/?#]+)', 1) || CASE WHEN regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) IN ('', '/') THEN regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) ELSE rtrim(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/') END || regexp_extract(url, '(\?[^#]*)', 1)", "url")
+scalar("url_origin", "pages", url.origin, _ORIGIN, "url")
+scalar("url_dir", "pages", url.directory, _DIR, "url")
+scalar("scope_name", "pages", content.scope_name, "translate(replace(replace(url, 'https://', 'https_'), 'http://', 'http_'), ':/', '__')", "url")
+scalar("js_cache_filename", "pages", content.cache_name, r"regexp_replace(replace(split_part(regexp_replace(url, '^https?://', ''), '/', 1), ':', '_') || '-' || replace(regexp_extract(regexp_replace(url, '^https?://', ''), '^[^/]*/(.*)$', 1), '/', '-'), '$', '') || CASE WHEN regexp_matches(url, '\.(js|mjs|css|ts|tsx|vue)$') THEN '' ELSE '.js' END", "url")
+scalar("absolute_url", "c_urls", url.is_http, "url LIKE 'http://%' OR url LIKE 'https://%'", "url")
+scalar("static_resource", "c_urls", url.is_static, "contains(lower(url), '.js')", "url")
+scalar("is_map_url", "c_urls", url.is_map, "regexp_matches(lower(url), '^[^?#]*\\.map($|[?#])')", "url")
+scalar("map_url", "c_urls", url.map_of, r"split_part(url, '?', 1) || '.map' || CASE WHEN contains(url, '?') THEN '?' || regexp_extract(url, '^[^?]*\?(.*)$', 1) ELSE '' END", "url")
+scalar("rebase_loopback", "c_urls", lambda u: url.rebase_loopback(u, F.lit("https://start.test:8443/app")), r"CASE WHEN regexp_matches(url, '^http://(127\.0\.0\.1|localhost)[:/]') THEN 'https://start.test:8443' || regexp_extract(url, '^http://[^/]*(/.*)$', 1) ELSE url END", "url")
+scalar("join_url", "c_urls", lambda u: url.join(F.lit("https://b.test/"), u), "'https://b.test' || CASE WHEN url LIKE '/%' THEN url ELSE '/' || url END", "url")
+scalar("flat_filename", "c_paths", content.flat_name, r"CASE WHEN contains(translate(replace(replace(regexp_replace(regexp_replace(path, '^/', ''), '/$', ''), '..', '_'), './', '_'), '/<>:|?*', '_______'), '..') THEN '' ELSE translate(replace(replace(regexp_replace(regexp_replace(path, '^/', ''), '/$', ''), '..', '_'), './', '_'), '/<>:|?*', '_______') END", "path")
+scalar("map_prefix", "c_sourcemap_json", content.map_prefix, "regexp_extract(url, '([^/]*)\\.map$', 1)", "url")
+scalar("safe_source_path", "c_paths", paths.safe_path, "CASE WHEN list_contains(string_split(path, '/'), '..') THEN NULL ELSE array_to_string(list_filter(string_split(path, '/'), lambda s: s NOT IN ('', '.')), '/') END", "path")
+scalar("safe_file_path", "c_paths", paths.safe_file, "CASE WHEN list_contains(string_split(path, '/'), '..') THEN '' ELSE ltrim(path, '/') END", "path")
+_CASES = "CASE id % 8 WHEN 0 THEN {0} WHEN 1 THEN 'node_modules/f' || id || '.js' WHEN 2 THEN {1} WHEN 3 THEN {2} WHEN 4 THEN 'a/b/d' || id || '.ts' WHEN 5 THEN 'a_b_c_' || id || '.js' WHEN 6 THEN 'abs/p' || id || '.js' ELSE {3} END"
+scalar("sanitize_path", "c_paths", paths.sanitize, _CASES.format("'webpack_/src/A' || id || '.jsx'", "'file_/home/u/a' || id || '.js'", "'~/config' || id", "'https_/h.test/dir/x' || id || '.js'"), "path")
+scalar("source_path", "c_paths", lambda p: paths.source_path(p, F.lit("")), _CASES.format("'src/A' || id || '.jsx'", "'home/u/a' || id || '.js'", "'config' || id", "'dir/x' || id || '.js'"), "path")
+scalar("content_kind", "c_payloads", content.kind, "CASE id % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'json' WHEN 2 THEN 'js' ELSE CASE id % 5 WHEN 0 THEN 'html' WHEN 1 THEN 'json' WHEN 2 THEN 'jsonp' WHEN 3 THEN 'json' ELSE 'js' END END", "content_type", "text")
+scalar("jsonp_detect", "c_payloads", content.is_jsonp, r"regexp_matches(text, '^(window\.)?[A-Za-z_$][\w$]*(\.[A-Za-z_$][\w$]*)*\s*\(\s*[\[{]')", "text")
+scalar("jsonp_name", "c_payloads", content.jsonp_name, r"nullif(regexp_extract(text, '^(?:window\.)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(\s*[\[{]', 1), '')", "text")
+scalar("jsonp_unwrap", "c_payloads", content.unwrap_jsonp, "CASE WHEN id % 5 = 2 THEN regexp_extract(text, '\\((.*)\\)', 1) END", "text")
+scalar("valid_map", "c_sourcemap_json", content.is_source_map, "json_valid(text) AND json_array_length(text, '$.sources') > 0", "text")
+scalar("data_uri", "c_paths", lambda p: content.data_uri(F.concat(F.lit("data:text/plain;base64,"), F.base64(p.cast("binary")))).cast("string"), "path", "path")
+scalar("decode_text", "c_escaped_js", content.decode, "replace(replace(replace(replace(text, '%2F', '/'), chr(92) || 'u002F', '/'), chr(92) || '/', '/'), '&quot;', '\"')", "text")
+
+
+@query(rf"""WITH m AS (SELECT id, url, split_part(url, '??', 1) AS p, string_split(regexp_extract(split_part(url, '??', 2), '^([^?#]*)', 1), ',') AS fs, regexp_extract(split_part(url, '??', 2), '^[^?#]*(.*)$', 1) AS s FROM {_sql('c_urls')} t)
+SELECT id, unnest(CASE WHEN contains(url, '??') THEN list_transform(list_filter(list_transform(fs, lambda f: trim(f)), lambda f: f <> ''), lambda f: p || f || s) ELSE [url] END) AS member FROM m""")
+def combo_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir, "c_urls").select("id", F.explode(url.combo_members(F.col("url"))).alias("member"))
+
+
+# Extractors.
+found("html_scripts", "c_script_html", "HTMLScriptPlugin", r'<script[^>]*\bsrc="([^"]+)"', r'<link rel="modulepreload" href="([^"]+)"', r'<link rel="prefetch" href="([^"]+)"', r'<link href="([^"]+)" rel="prefetch"')
+found("dynamic_imports", "c_import_js", "DynamicImportPlugin", r"""import\s*\(\s*["'`]([^"'`$]+)["'`]\s*\)""")
+found("static_imports", "c_import_js", "ESMImportPlugin", r"""import\s*(?:\{[^}]*\}|\*\s*as\s+\w+|\w+)?\s*from\s*["']([^"')]+\.js)["']""", r"""import\s*["']([^"')]+\.js)["']""")
+found("script_create", "c_create_js", "ScriptCreatePlugin", r'script\.setAttribute\("src","([^"]+)"\)', r'script\.src="([^"]+)"', r'new URL\("([^"]+)"\)', r'\bo\("([^"]+\.js[^"]*)"\)')
+found("source_map_refs", "c_create_js", "SourceMapPlugin", r"sourceMappingURL=(.+)$")
+found("quoted_js", "c_create_js", "URLPatternPlugin", r"""["'`]([^"'`]+\.js)["'`]""", type_="probe", value="v", sql=r"""SELECT DISTINCT id, v AS value FROM (SELECT id, unnest(regexp_extract_all(text, '["''`]([^"''`]+\.js)["''`]', 1)) AS v FROM """ + _sql("c_create_js") + " t) WHERE NOT contains(v, 'node_modules/')")
+found("webpack_chunks", "c_webpack_js", "WebpackPlugin", type_="probe", sql=rf"""SELECT id, '/r' || id || '/js/' || unnest(regexp_extract_all(text, '(\d+):"([^"]+)"', 1)) || '-' || unnest(regexp_extract_all(text, '(\d+):"([^"]+)"', 2)) || '.js' AS value FROM {_sql('c_webpack_js')} t""")
+found("next_chunks", "c_next_js", "NextJSPlugin", type_="url,probe", sql=rf"""SELECT id, unnest([{_DIR} || 'static/chunks/a' || id || '.js', {_DIR} || 'static/chunks/a' || id || '.js', 'https://x.example.test/_next/static/chunks/a' || id || '.js']) AS value FROM {_sql('c_next_js')} t""")
+ORACLE_SQL["next_chunks"] = rf"""SELECT DISTINCT id, unnest(['https://x.example.test/_next/static/' || v, 'https://x.example.test/_next/' || v]) AS value FROM (SELECT id, unnest(regexp_extract_all(text, '"(static/[^"]+\.js)"', 1)) AS v FROM {_sql('c_next_js')} t)"""
+found("build_manifest", "c_manifest_json", "VitePlugin", r'"file":"/?([^"]+\.js)"', value="'https://v.example.test/' || v")
+found("nuxt_assets", "c_frame_html", "NuxtJSPlugin", r'"(/_nuxt/[^"]+\.js)"')
+found("svelte_assets", "c_frame_html", "SvelteKitPlugin", r"'\.\./((?:nodes|chunks)/[^']+\.js)'", value=_ORIGIN + " || '/_app/immutable/' || v")
+found("amd_deps", "c_amd_js", "RequireJSPlugin", r'["\[,]"?((?:\./|/|https://)[^"]+)"', value="CASE WHEN v LIKE 'http%' OR v LIKE '%.js' THEN " + _resolved("v") + " ELSE " + _resolved("v") + " || '.js' END")
+found("sitemap_manifest", "c_sitemap_json", "TrunkPlugin", sql=rf"""SELECT id, {_DIR} || unnest(['js/lazy' || id || '.js', 'js/w.' || json_extract_string(text, '$.chunks.w') || '.js', json_extract_string(text, '$.workers[0]')]) AS value FROM {_sql('c_sitemap_json')} t""")
+found("federation_refs", "c_federation_js", "ModuleFederationPlugin", type_="url,html", sql=rf"""SELECT id, unnest([e, d || 'mf-manifest.json', d || 'federation-manifest.json', d || 'index.html', replace(d, 'assets/', '') || 'index.html']) AS value FROM (SELECT id, e, replace(e, 'remoteEntry.js', '') AS d FROM (SELECT id, regexp_extract(text, '"([^"]*remoteEntry\.js)"', 1) AS e FROM {_sql('c_federation_js')} t))""")
+found("federation_manifest", "c_federation_json", "ModuleFederationManifestPlugin", sql=rf"""SELECT id, json_extract_string(text, '$.metaData.publicPath') || '/' || unnest([json_extract_string(text, '$.exposes[0].assets.js.sync[0]'), json_extract_string(text, '$.exposes[0].assets.js.async[0]')]) AS value FROM {_sql('c_federation_json')} t""")
+found("emp_manifest", "c_emp_json", "EmpPlugin", r'"((?:entry\d+|js/\w+)\.js)"')
+found("component_metadata", "c_hel_json", "HelMicroPlugin", r'"((?:comp|c)\d+\.js)"', type_="probe", value="v")
+found("micro_entries", "c_micro_js", "QiankunPlugin", r'entry:"((?:/[^/]|https)[^"]+)"', type_="html")
+found("const_propagation", "c_const_js", "UniversalURLPlugin", sql=rf"""SELECT id, {_ORIGIN} || '/lib/v' || id || '/x/z' || id || '.js' AS value FROM {_sql('c_const_js')} t""")
+found("universal_urls", "c_escaped_js", "UniversalURLPlugin", sql=rf"""SELECT id, {_ORIGIN} || unnest(['/esc' || id || '/x.js', '/pct' || id || '/y.js', '/ent' || id || '/z.js', '/uni' || id || '/w.js']) AS value FROM {_sql('c_escaped_js')} t""")
+
+
+@query(rf"""SELECT id, unnest(['HTMLScriptPlugin', 'UniversalURLPlugin', 'VitePlugin']) AS plugin FROM {_sql('c_script_html')} t UNION ALL SELECT id + 1000000, unnest(['DynamicImportPlugin', 'ESMImportPlugin', 'URLPatternPlugin', 'UniversalURLPlugin']) FROM {_sql('c_import_js')} t""")
+def plugin_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which extractors find anything, with all of them running."""
+    docs = _rows(spark, sf_dir, "c_script_html").unionByName(_rows(spark, sf_dir, "c_import_js").withColumn("id", F.col("id") + 1000000))
+    rows = extract(docs, keep=("id",))
+    return rows.where("plugin <> 'HTMLPivotPlugin' or type = 'html'").select("id", "plugin").distinct()
+
+
+@query(rf"""SELECT id, unnest(regexp_extract_all(text, 'src="(/s/[^"]+)"', 1)) AS value FROM {_sql('c_script_html')} t""")
+def custom_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extractor of a caller's own, beside none of the others."""
+
+    def own(d: Doc) -> Column:
+        return tagged("probe", matches(d.text, 'src="(/s/[^"]+)"'))
+
+    return extract(_rows(spark, sf_dir, "c_script_html"), Registry({"Own": own}), keep=("id",)).select("id", "value")
+
+
+@query(rf"""SELECT id, unnest(regexp_extract_all(text, 'src="([^"]+)"', 1)) AS value FROM {_sql('c_script_html')} t""")
+def udtf_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's Python table function, called laterally for each document."""
+
+    class Sources:
+        def eval(self, text: str):
+            import re
+
+            for m in re.finditer('src="([^"]+)"', text):
+                yield (m[1],)
+
+    spark.udtf.register("own_sources", F.udtf(Sources, returnType="value string"))
+    _rows(spark, sf_dir, "c_script_html").createOrReplaceTempView("udtf_docs")
+    return spark.sql("SELECT id, s.value FROM udtf_docs, LATERAL own_sources(text) s")
+
+
+@query(rf"""SELECT id, {_DIR} || 'inner/' || id || '.js' AS value FROM {_sql('c_script_html')} t""")
+def inline_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What inline scripts import, relative to their page."""
+    docs = _rows(spark, sf_dir, "c_script_html")
+    inner = docs.select("id", "url", F.lit("js").alias("kind"), F.posexplode(scanners.inline_scripts(F.col("text"))).alias("inline", "text")).where("text <> ''")
+    return extract(inner, Registry().only("DynamicImportPlugin"), keep=("id", "inline")).select("id", "value")
+
+
+@query(rf"""SELECT id, count(*) AS n FROM (SELECT id, least(generate_series, 50) FROM {_sql('c_script_html')} t, generate_series(1, 50)) GROUP BY id""")
+def plugin_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 50 entries of a document count."""
+    many = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit('{name:"a",entry:"/e'), i.cast("string"), F.lit('/"}'))), ",")
+    docs = _rows(spark, sf_dir, "c_script_html").select("id", "url", F.lit("js").alias("kind"), many.alias("text"))
+    return extract(docs, Registry().only("QiankunPlugin"), keep=("id",)).groupBy("id").agg(F.count("*").alias("n"))
+
+
+# Responses: lookups, routing, budgets and the loop.
+_R = _sql("c_responses")
+_ASKED = "(SELECT 'https://site.test/s/' || CAST(s_suppkey AS STRING) || '.js' AS url FROM supplier)"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir, "supplier").select(F.concat(F.lit("https://site.test/s/"), F.col("s_suppkey").cast("string"), F.lit(".js")).alias("url"))
+
+
+@query(f"SELECT f.url, r.status FROM {_ASKED} f LEFT JOIN {_R} r USING (url)")
+def fetch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover.fetch(_asked(spark, sf_dir), _rows(spark, sf_dir, "c_responses")).select("url", "status")
+
+
+@query(f"SELECT f.url, length(r.text) AS size FROM {_ASKED} f JOIN {_R} r USING (url) WHERE r.status BETWEEN 200 AND 299")
+def fetch_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover.fetch(_asked(spark, sf_dir), _rows(spark, sf_dir, "c_responses")).where("status between 200 and 299").select("url", F.length("text").cast("long").alias("size"))
+
+
+@query(f"SELECT url, status FROM {_R} r WHERE status BETWEEN 200 AND 299")
+def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover.route(_everything(spark, sf_dir)).select("url", "status")
+
+
+def _everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _rows(spark, sf_dir, "c_responses")
+    return discover.fetch(r.select(url.normalize(F.col("url")).alias("url")), r)
+
+
+@query(f"SELECT url, CASE WHEN content_type = 'text/html' AND url LIKE '%.js' THEN 'dropped' WHEN content_type = 'text/html' THEN 'document' ELSE 'script' END AS role FROM {_R} r WHERE status = 200")
+def route_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover.route(_everything(spark, sf_dir)).select("url", "role")
+
+
+@query(f"SELECT url FROM {_R} r WHERE status = 200 AND content_type = 'text/html' AND url LIKE '%.js'")
+def soft_404(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover.route(_everything(spark, sf_dir)).where("role = 'dropped'").select("url")
+
+
+@query(f"SELECT f.url, r.status IS NOT NULL AS known FROM {_ASKED} f LEFT JOIN {_R} r USING (url)")
+def frontier_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover.fetch(_asked(spark, sf_dir), _rows(spark, sf_dir, "c_responses")).select("url", F.col("status").isNotNull().alias("known"))
+
+
+@query(f"SELECT f.url FROM {_ASKED} f ANTI JOIN {_R} r USING (url)")
+def claim_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked(spark, sf_dir).withColumn("seq", F.lit(1))
+    return discover.claim(asked.unionByName(asked), _rows(spark, sf_dir, "c_responses"), ["url"], ["seq"]).select("url")
+
+
+_SCRIPTS = Registry().only("HTMLScriptPlugin", "DynamicImportPlugin", "HTMLPivotPlugin")
+
+
+def _discovered(spark: SparkSession, sf_dir: str) -> discover.Result:
+    starts = spark.range(1).select(F.lit("site").alias("scan"), F.lit("https://site.test").alias("start"))
+    return discover.discover(starts, _rows(spark, sf_dir, "c_responses"), _SCRIPTS)
+
+
+_REACH = f"""WITH RECURSIVE r AS (SELECT * FROM {_R} x WHERE status = 200 AND NOT (content_type = 'text/html' AND url LIKE '%.js')),
+e AS (SELECT url AS a, CASE WHEN v LIKE '../%' THEN 'https://site.test' || substr(v, 3) WHEN v LIKE './%' THEN 'https://site.test/r' || substr(v, 2) ELSE 'https://site.test' || v END AS b FROM (SELECT url, unnest(regexp_extract_all(text, '(?:import\\(|src=|href=)"([^"]+)"', 1)) AS v FROM r)),
+w(url) AS (SELECT 'https://site.test' UNION SELECT e.b FROM w JOIN r ON r.url = w.url JOIN e ON e.a = w.url)"""
+
+
+@query(_REACH + " SELECT w.url FROM w JOIN r ON r.url = w.url WHERE r.content_type <> 'text/html'")
+def crawl_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discovered(spark, sf_dir).js_entries.select("url")
+
+
+@query(_REACH + " SELECT w.url, CASE WHEN w.url LIKE '%/r/_.js' THEN 'HTMLScriptPlugin' ELSE 'DynamicImportPlugin' END AS plugin FROM w JOIN r ON r.url = w.url WHERE r.content_type <> 'text/html'")
+def js_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discovered(spark, sf_dir).js_entries.select("url", "plugin")
+
+
+@query(_REACH + " SELECT count(*) AS js_count FROM w JOIN r ON r.url = w.url WHERE r.content_type <> 'text/html'")
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discovered(spark, sf_dir).summary().select("js_count")
+
+
+@query("SELECT s_suppkey % 3 AS scan, s_suppkey AS seq FROM supplier QUALIFY row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey) <= 20 - s_suppkey % 3")
+def page_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _rows(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 3).alias("scan"), F.col("s_suppkey").alias("seq"))
+    return discover.budgeted(pages, pages.select("scan", F.col("scan").alias("used")).distinct(), 20, ["seq"])
+
+
+_FRAG = "(SELECT 'a' AS scan, n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'js/v' || CAST(n_nationkey % 3 AS STRING) || '/c' || CAST(n_nationkey AS STRING) || '.js' ELSE '/x/d' || CAST(n_nationkey AS STRING) || '.js' END AS fragment, 'https://d.test/p/' AS from_url FROM nation)"
+_KNOWN = f"(SELECT 'a' AS scan, url FROM {_sql('c_import_js')} t)"
+
+
+def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("n_nationkey"), F.col("n_nationkey").cast("string")
+    odd = F.concat(F.lit("/x/d"), s, F.lit(".js"))
+    return _rows(spark, sf_dir, "nation").select(F.lit("a").alias("scan"), k.alias("id"), F.when(k % 2 == 0, F.concat(F.lit("js/v"), (k % 3).cast("string"), F.lit("/c"), s, F.lit(".js"))).otherwise(odd).alias("fragment"), F.lit("https://d.test/p/").alias("from_url"))
+
+
+@query(f"WITH k AS (SELECT DISTINCT scan, {_DIR} AS dir FROM {_KNOWN}), f AS (SELECT *, regexp_extract(fragment, '^(.*)/', 1) AS p, regexp_extract(fragment, '([^/]*)$', 1) AS n FROM {_FRAG}) SELECT id, dir || n AS candidate FROM f JOIN k ON ends_with(rtrim(dir, '/'), p) AND p <> ''")
+def fragment_suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _rows(spark, sf_dir, "c_import_js").select(F.lit("a").alias("scan"), "url")
+    return discover.suffix_join(_fragments(spark, sf_dir), known).select("id", "candidate")
+
+
+def _none(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
+@query(f"SELECT id, 'https://cdn' || CAST(r_regionkey AS STRING) || '.test/' || ltrim(fragment, '/') AS candidate FROM {_FRAG} f, region UNION SELECT id, 'https://s.test/' || ltrim(fragment, '/') FROM {_FRAG} f UNION SELECT id, 'https://d.test' || fragment FROM {_FRAG} f WHERE fragment LIKE '/%'")
+def fragment_prepend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = _rows(spark, sf_dir, "region").select(F.lit("a").alias("scan"), F.concat(F.lit("https://cdn"), F.col("r_regionkey").cast("string"), F.lit(".test")).alias("prefix"))
+    starts = spark.range(1).select(F.lit("a").alias("scan"), F.lit("https://s.test/app/").alias("start"))
+    return discover.resolve_fragments(_fragments(spark, sf_dir), _none(spark, "scan string, url string"), before, _none(spark, "scan string, path string, seq long"), starts).select("id", "candidate").distinct()
+
+
+@query(f"SELECT id, p || '/' || ltrim(fragment, '/') AS candidate FROM {_FRAG} f, (VALUES ('https://d.test/one'), ('https://q.test/two'), ('https://q.test/three')) v(p) UNION SELECT id, 'https://d.test' || fragment FROM {_FRAG} f WHERE fragment LIKE '/%'")
+def fragment_public_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    publics = spark.createDataFrame([("a", "/one/", 1), ("a", "https://q.test/two/", 2), ("a", "/three", 3)], "scan string, path string, seq long")
+    out = discover.resolve_fragments(_fragments(spark, sf_dir), _none(spark, "scan string, url string"), _none(spark, "scan string, prefix string"), publics, _none(spark, "scan string, start string"))
+    return out.select("id", "candidate").distinct()
+
+
+@query("SELECT s_suppkey AS id, 'https://d.test/p/c' || CAST(s_suppkey AS STRING) || '.js' AS candidate FROM supplier UNION ALL SELECT s_suppkey, 'https://cdn.test/x/c' || CAST(s_suppkey AS STRING) || '.js' FROM supplier")
+def bare_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _rows(spark, sf_dir, "supplier").select(F.lit("a").alias("scan"), F.col("s_suppkey").alias("id"), F.concat(F.lit("c"), F.col("s_suppkey").cast("string"), F.lit(".js")).alias("fragment"), F.lit("https://d.test/p/q.js").alias("from_url"))
+    return discover.bare_names(names, spark.createDataFrame([("a", "https://cdn.test/x")], "scan string, prefix string")).select("id", "candidate")
+
+
+@query(rf"""SELECT DISTINCT id, v AS value, CASE WHEN contains(v, '://') THEN 'queue' WHEN contains(v, '/') THEN 'fragment' ELSE 'bare' END AS route FROM (SELECT id, unnest(regexp_extract_all(text, '["''`]([^"''`]+\.js)["''`]', 1)) AS v FROM {_sql('c_import_js')} t)""")
+def probe_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract(_rows(spark, sf_dir, "c_import_js"), Registry().only("URLPatternPlugin"), keep=("id",)).where("type = 'probe'")
+    return rows.select("id", "value", F.when(F.col("value").contains("://"), "queue").when(F.col("value").contains("/"), "fragment").otherwise("bare").alias("route"))
+
+
+@query(f"SELECT DISTINCT {_DIR} AS prefix FROM {_sql('c_import_js')} t")
+def known_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir, "c_import_js").select(url.directory(F.col("url")).alias("prefix")).distinct()
+
+
+@query(_REACH + " SELECT string_agg(w.url, chr(10) ORDER BY w.url) AS report FROM w JOIN r ON r.url = w.url WHERE r.content_type <> 'text/html'")
+def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    js = _discovered(spark, sf_dir).js_entries
+    return report.text_report(js.withColumn("seq", F.col("url"))).select("report")
+
+
+_META = _REACH + " SELECT 'https___site.test' AS scope, 'url' AS kind, w.url AS value FROM w JOIN r ON r.url = w.url WHERE r.content_type <> 'text/html' UNION SELECT 'https___site.test', 'prepend', regexp_extract(w.url, '^(.*/)', 1) FROM w JOIN r ON r.url = w.url WHERE r.content_type <> 'text/html'"
+_META = _META.replace("https___site.test", "https_site.test")
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    js = _discovered(spark, sf_dir).js_entries.withColumn("start", F.lit("https://site.test")).withColumn("scan", F.lit("https://site.test"))
+    return store.metadata(js, _none(spark, "scan string, prefix string"), _none(spark, "scan string, path string"))
+
+
+@query(_META)
+def meta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _meta(spark, sf_dir)
+
+
+@query("SELECT 'scope' || CAST(n_nationkey AS STRING) AS scope, n_nationkey % 3 <> 0 AS complete FROM nation")
+def meta_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes whose addresses are recorded, and whether all their sources are still there."""
+    n = _rows(spark, sf_dir, "nation").select(F.concat(F.lit("scope"), F.col("n_nationkey").cast("string")).alias("scope"), F.col("n_nationkey").alias("k"))
+    wanted = n.select("scope", F.explode(F.array(F.lit("a.js"), F.lit("b.js"))).alias("path"), "k")
+    return store.replayable(n.select("scope", F.lit("url").alias("kind")), wanted.select("scope", "path"), wanted.where("k % 3 <> 0 or path = 'a.js'").select("scope", "path"))
+
+
+# Source maps.
+_M = _sql("c_sourcemap_json")
+scalar("map_parsable", "c_sourcemap_json", content.is_source_map, "true", "text")
+
+
+@query(f"SELECT id, json_array_length(text, '$.sources') AS n_sources, CAST(json_extract(text, '$.version') AS DOUBLE) AS version, json_extract_string(text, '$.sourceRoot') AS root, json_extract_string(text, '$.sources[1]') AS second FROM {_M} t")
+def parse_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourcemaps.parse_maps(_rows(spark, sf_dir, "c_sourcemap_json")).select("id", F.size("sources").cast("long").alias("n_sources"), "version", "root", F.get("sources", F.lit(1)).alias("second"))
+
+
+@query(f"SELECT id, true AS has_contents FROM {_M} t")
+def has_sources_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourcemaps.has_contents(sourcemaps.parse_maps(_rows(spark, sf_dir, "c_sourcemap_json"))).select("id", "has_contents")
+
+
+_FILES = f"""SELECT id, i AS idx, CASE WHEN id % 4 = 0 THEN '' ELSE CASE i WHEN 1 THEN '' ELSE 'root/' END END || CASE i WHEN 0 THEN 'src/App' || id || '.jsx' WHEN 1 THEN 'lib/u' || id % 13 || '.js' ELSE 'conf' || id END AS path, CASE i WHEN 0 THEN 'app' || id WHEN 1 THEN 'lib' ELSE 'conf' END AS content FROM {_M} t, (VALUES (0), (1), (2)) v(i) WHERE i <> 1 OR id % 3 <> 0"""
+
+
+@query(_FILES)
+def restore_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourcemaps.restore(_rows(spark, sf_dir, "c_sourcemap_json"), ("id",)).select("id", "idx", "path", "content")
+
+
+@query(f"SELECT id, count(*) AS n, string_agg(path, ',' ORDER BY path) AS paths FROM ({_FILES}) GROUP BY id")
+def sources_per_js(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = sourcemaps.restore(_rows(spark, sf_dir, "c_sourcemap_json"), ("id",))
+    return files.groupBy("id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths"))
+
+
+@query(f"SELECT id, count(*) AS total, count(*) FILTER (WHERE r <= 2000) AS kept, count(*) FILTER (WHERE r > 2000) AS omitted FROM (SELECT id, row_number() OVER (ORDER BY id, idx) AS r FROM ({_FILES})) GROUP BY id")
+def restore_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourcemaps.counted(sourcemaps.restore(_rows(spark, sf_dir, "c_sourcemap_json"), ("id",)), "id")
+
+
+@query(f"SELECT greatest(0, count(*) - 2000) AS omitted FROM ({_FILES})")
+def sources_omitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourcemaps.restore(_rows(spark, sf_dir, "c_sourcemap_json"), ("id",)).agg(F.greatest(F.lit(0), F.count("*") - 2000).alias("omitted"))
+
+
+@query(f"SELECT DISTINCT path FROM ({_FILES})")
+def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourcemaps.restore(_rows(spark, sf_dir, "c_sourcemap_json"), ("id",)).select("path").distinct().orderBy("path")
+
+
+@query(f"SELECT replace(url, '.map', '') AS url, url AS map_url FROM {_M} t")
+def map_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = _rows(spark, sf_dir, "c_sourcemap_json").select("url", F.lit(200).alias("status"), F.lit("application/json").alias("content_type"), "text")
+    return sourcemaps.probe_maps(maps.select(F.replace("url", F.lit(".map"), F.lit("")).alias("url")), maps).select("url", "map_url")
+
+
+@query(_FILES)
+def inline_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps that stand in a script as data addresses."""
+    maps = _rows(spark, sf_dir, "c_sourcemap_json")
+    scripts = maps.select("id", F.concat(F.lit("data:application/json;base64,"), F.base64(F.col("text").cast("binary"))).alias("uri"))
+    return sourcemaps.restore(scripts.select("id", content.utf8(content.data_uri(F.col("uri"))).alias("text")), ("id",)).select("id", "idx", "path", "content")
+
+
+@query()
+def vlq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(1, "A"), (2, "C"), (3, "D"), (4, "gB"), (5, "!")], "id int, segment string").select("id", scanners.decode_vlq(F.col("segment")).alias("value"))
+
+
+@query()
+def parse_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = sourcemaps.parse_maps(_rows(spark, sf_dir, "c_sourcemap_json"))
+    return maps.select("id", F.inline(scanners.parse_mappings(F.col("mappings"))))
+
+
+@query()
+def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = _rows(spark, sf_dir, "c_sourcemap_json").withColumn("minified", F.lit("abcdef\nghij"))
+    return sourcemaps.restore(maps.withColumn("text", F.regexp_replace("text", '"sourcesContent":\\[[^\\]]*\\],', "")), ("id",), minified="minified")
+
+
+@query()
+def brace_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _rows(spark, sf_dir, "c_manifest_json").select("id", F.concat(F.lit("window.X = "), "text", F.lit(";")).alias("text"))
+    return docs.select("id", scanners.brace_json(F.col("text"), "window.X").alias("body"))
