@@ -10,9 +10,11 @@ all but a few entries from being formed:
    are counted over all documents; a document with fewer prefix columns that anyone
    else has than this bound is linked with nothing.  This drops most documents.
 2. What is left is one row for each distinct set (its class, the least id of its
-   copies).  By the same bound it keeps only its rarest remaining columns.
-3. Rows of a column are multiplied with the column's first row; pairs whose sizes or
-   overlap counts are below the bound are discarded, the others linked.  Where a column
+   copies).  Now all its columns are counted among these rows: fewer than o(n) that
+   anyone else has, and it is linked with nothing.  Of f such columns it keeps the
+   f - o(n) + 1 rarest; a linked row keeps one of them too.
+3. Rows of a column are multiplied with the column's first row; pairs whose sizes,
+   columns left or overlap counts are below the bound are discarded, the others linked.  Where a column
    then still spans several components, all its pairs between different components are
    multiplied.  Pairs within a component can't change the result and are never formed.
 """
@@ -32,7 +34,9 @@ from loomscan.llm import exchange
 from loomscan.llm.graph import components, keep
 from loomscan.llm.kernel import SOLID, U64, Words, column, mix, pack_sorted, shingle_sets, slices, spread, squeeze, unpack_sorted
 
+#: Bytes of text, or n-grams, in a unit.
 UNIT_BYTES = 8 << 20
+UNIT_GRAMS = 1 << 20
 
 
 def overlap(n, percent: int):
@@ -67,8 +71,8 @@ def _prefixes(grams: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.nd
 def _unit(held: list[tuple], unit: int, buckets: int) -> pa.RecordBatch:
     ids = pa.concat_arrays([h[0] for h in held])
     sizes, digests, prefix, take = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
-    keys, weights = np.unique(prefix, return_counts=True)
-    own = pickle.dumps((ids, sizes, digests, take, squeeze(prefix), len(prefix)))
+    keys, where, weights = np.unique(prefix, return_inverse=True, return_counts=True)
+    own = pickle.dumps((ids, sizes, digests, take, squeeze(where.astype(np.int32)), len(prefix)))
     return exchange.rows(unit, keys, weights, buckets, own)
 
 
@@ -92,17 +96,54 @@ def _send(text: str, key: str, n: int, percent: int, buckets: int):
 
 def _filter(key: str, percent: int):
     def finish(own: bytes, totals: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, sizes, digests, take, prefix, length = pickle.loads(own)
-        prefix = spread(prefix, U64, length)
-        shared = (totals[np.searchsorted(np.unique(prefix), prefix)] > 1) if length else np.zeros(0, bool)
+        ids, sizes, digests, take, where, length = pickle.loads(own)
+        shared = totals[spread(where, np.int32, length)] > 1
         ends = np.cumsum(take)
         upto = np.cumsum(np.append(0, shared))
         have = upto[ends] - upto[ends - take]
         alive = (have > 0) & (have >= slack(overlap(sizes, percent)))
-        which = shared & np.repeat(alive, take)
-        lists = np.append(0, np.cumsum(np.where(alive, have, 0)))
         cls = [d.tobytes() if a else None for d, a in zip(digests, alive.tolist())]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(cls, pa.binary()), pa.LargeListArray.from_arrays(lists, pa.array(prefix[which].view(np.int64))).cast(pa.list_(pa.int64()))], names=[key, "n", "cls", "cols"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(cls, pa.binary())], names=[key, "n", "cls"])
+
+    return finish
+
+
+def _send_sets(buckets: int):
+    """Units of whole sets, from rows (rep, n, grams)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sizes = column(batch, "n").to_numpy()
+            packed = column(batch, "grams").to_pylist()
+            at = 0
+            while at < len(sizes):
+                to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), UNIT_GRAMS)) + at)
+                grams = np.concatenate([unpack_sorted(g, n) for g, n in zip(packed[at:to], sizes[at:to].tolist())])
+                keys, weights = np.unique(grams, return_counts=True)
+                yield exchange.rows(unit, keys, weights, buckets, pickle.dumps((column(batch, "rep")[at:to], sizes[at:to], packed[at:to])))
+                unit, at = unit + 1, to
+
+    return each
+
+
+def _rarest(percent: int):
+    def finish(own: bytes, totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, sizes, packed = pickle.loads(own)
+        sets = [unpack_sorted(g, n) for g, n in zip(packed, sizes.tolist())]
+        every = np.concatenate(sets)
+        count = totals[np.searchsorted(np.unique(every), every)]
+        rows, columns, have, at = [], [], [], 0
+        for i, grams in enumerate(sets):
+            df = count[at : at + len(grams)]
+            at += len(grams)
+            shared, least = np.flatnonzero(df > 1), int(overlap(len(grams), percent))
+            if len(shared) >= least > 0:
+                best = shared[np.lexsort((grams[shared], df[shared]))[: len(shared) - least + 1]]
+                rows.append(i)
+                columns.append(grams[best].view(np.int64))
+                have.append(len(shared))
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(sizes[rows]), pa.array(have, pa.int64()), pa.array([c.tolist() for c in columns], pa.list_(pa.int64()))], names=["rep", "n", "f", "cols"])
 
     return finish
 
@@ -148,21 +189,16 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     kind = docs.schema[key].dataType.simpleString()
     buckets = exchange.buckets_for(docs)
     units = docs.select(key, text).mapInArrow(_send(text, key, n, percent, buckets), exchange.SCHEMA)
-    every = keep(exchange.answered(units, _filter(key, percent), f"`{key}` {kind}, n long, cls binary, cols array<long>").withColumnRenamed(key, "id"))
+    every = keep(exchange.answered(units, _filter(key, percent), f"`{key}` {kind}, n long, cls binary").withColumnRenamed(key, "id"))
 
     # One row for each distinct set that has enough company.
     alive = every.where("cls is not null and id is not null")
-    classes = keep(alive.groupBy("cls").agg(F.min(F.struct("id", "n", "cols")).alias("x")).select("cls", F.col("x.id").alias("rep"), "x.n", "x.cols"))
-    incidence = classes.select("rep", "n", F.explode("cols").alias("h"))
-    popular = incidence.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    least = F.greatest(F.lit(1), F.floor(F.ceil(percent * F.col("n") / 100) / 10)).cast("int")  # slack(overlap(n))
-    rows = incidence.join(popular, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("cols"))  # at most a document's own columns
-    rows = rows.where(F.size("cols") >= least)
-    columns = keep(rows.select("rep", "n", F.explode(F.slice("cols", 1, F.size("cols") - least + 1)).alias("c")).select("rep", "n", F.col("c.h").alias("h")))
-
+    classes = keep(alive.groupBy("cls").agg(F.min("id").alias("rep")))
     texts = docs.select(F.col(key).alias("rep"), text)
-    wanted = columns.select("rep").distinct()
-    sets = keep(texts.join(wanted, "rep", "left_semi").mapInArrow(_sets(text, n), f"rep {kind}, n long, grams binary").dropDuplicates(["rep"]))
+    sets = keep(texts.join(classes.select("rep"), "rep", "left_semi").mapInArrow(_sets(text, n), f"rep {kind}, n long, grams binary").dropDuplicates(["rep"]))
+    rarest = exchange.answered(sets.mapInArrow(_send_sets(buckets), exchange.SCHEMA), _rarest(percent), f"rep {kind}, n long, f long, cols array<long>")
+    # rem: how many of the row's columns are no rarer than this one.
+    columns = keep(rarest.select("rep", "n", "f", F.posexplode("cols").alias("at", "h")).select("rep", "n", "h", (F.col("f") - F.col("at")).alias("rem")))
 
     def linked(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
@@ -170,15 +206,16 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
         counted = pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_count, f"a {kind}, b {kind}, na long, nb long, both long")
         return keep(counted.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
 
-    close = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    first = columns.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("x")).select("h", F.col("x.rep").alias("a"), F.col("x.n").alias("m"))
+    # If this is a pair's rarest common column, it has no more in common than what is left of either row.
+    close = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * F.least("rem", "left") >= percent * (F.col("n") + F.col("m")))
+    first = columns.groupBy("h").agg(F.min(F.struct("rep", "n", "rem")).alias("x")).select("h", F.col("x.rep").alias("a"), F.col("x.n").alias("m"), F.col("x.rem").alias("left"))
     star = columns.join(first, "h").where((F.col("rep") > F.col("a")) & close).select("a", F.col("rep").alias("b")).distinct()
     links = linked(star)
     member = components(links)
-    placed = columns.join(member.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    placed = columns.join(member.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "n", "rem", F.coalesce("component", "rep").alias("comp"))
     open_ = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
     placed = keep(placed.join(open_, "h", "left_semi"))
-    other = placed.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
+    other = placed.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("rem").alias("left"), F.col("comp").alias("comp_b"))
     cross = placed.join(other, "h").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & close).select(F.col("rep").alias("a"), "b").distinct()
     links = links.unionByName(linked(cross.join(star, ["a", "b"], "left_anti")))
     member = components(links)
