@@ -158,7 +158,8 @@ def scan(docs: DataFrame, forest: str, text: str = "text", path: str | None = "s
 
 def findings(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, start, value, probability, secret for each candidate; start counts characters from 0."""
-    rows = scanned.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.posexplode(F.transform("_hits", lambda z: F.struct(F.length(z["b"]).alias("gap"), z["v"].alias("v"), z["p"].alias("p"), z["secret"].alias("secret")))).alias("_pos", "c"))
+    numbered = scanned.select(F.col(key), F.monotonically_increasing_id().alias("_row"), "_hits")
+    rows = numbered.select(key, "_row", F.posexplode(F.transform("_hits", lambda z: F.struct(F.length(z["b"]).alias("gap"), z["v"].alias("v"), z["p"].alias("p"), z["secret"].alias("secret")))).alias("_pos", "c"))
     upto = F.sum(F.col("c.gap") + F.length("c.v")).over(W.partitionBy("_row").orderBy("_pos").rowsBetween(W.unboundedPreceding, 0))
     return rows.select(key, (upto - F.length("c.v")).alias("start"), F.col("c.v").alias("value"), F.col("c.p").alias("probability"), "c.secret")
 
