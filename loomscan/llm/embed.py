@@ -78,48 +78,68 @@ def _hash(tables: int, hashes: int, width: float, seed: int):
     return each
 
 
+def _links(unit: np.ndarray, sig: np.ndarray, tab: int, left: int, cross: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) at a cosine of at least `least` that share this table's bucket and no earlier one's.
+
+    cross: only pairs between the first `left` rows and the others.
+    """
+    heads, tails = [], []
+    begin = left if cross else 0
+    for a in range(0, left if cross else len(unit), 256):
+        z = min(a + 256, left) if cross else a + 256
+        i, j = np.nonzero(unit[a:z] @ unit[begin:].T >= least)
+        i, j = i + a, j + begin
+        ok = i < j
+        i, j = i[ok], j[ok]
+        new = sig[i, tab] == sig[j, tab]
+        for t in range(tab):
+            new &= sig[i, t] != sig[j, t]
+        heads.append(i[new])
+        tails.append(j[new])
+    return np.concatenate(heads), np.concatenate(tails)
+
+
+def _reach(rank: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each row the row of least rank that pairs (i, j) lead to."""
+    at, label = np.argsort(rank), rank.copy()
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[at][low]
+        if (low == label).all():
+            return at[label]
+        label = low
+
+
 def _compare(least: float, tables: int, hashes: int, width: float, seed: int):
-    """Links within a block of a bucket, or between two, that no earlier table has found."""
+    """Links within blocks of buckets, or between two, that no earlier table has found; several to a call."""
 
     def each(table: pa.Table) -> pa.Table:
-        vecs, ids = table.column("vec").to_pylist(), column(table, "id")
-        copies, tab = column(table, "copies").to_numpy(), table.column("tab")[0].as_py()
-        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        side = column(table, "blk").to_numpy()
-        order = np.argsort(side, kind="stable")
-        ids, copies, side, vecs = ids.take(pa.array(order)), copies[order], side[order], [vecs[i] for i in order]
-        n = len(vecs)
-        links, label = np.zeros(n, np.int64), np.arange(n)
-        if len({len(v) for v in vecs}) == 1:
-            unit = _unit(vecs)
-            sig = signatures(unit, tables, hashes, width, seed)[:, : tab + 1]
-            left = n if bi == bj else int((side == bi).sum())
-            heads, tails = [], []
-            for a in range(0, left, 256):
-                z, begin = min(a + 256, left), 0 if bi == bj else left
-                i, j = np.nonzero(unit[a:z] @ unit[begin:].T >= least)
-                i, j = i + a, j + begin
-                ok = i < j
-                i, j = i[ok], j[ok]
-                new = sig[i, tab] == sig[j, tab]
-                for t in range(tab):
-                    new &= sig[i, t] != sig[j, t]
-                heads.append(i[new])
-                tails.append(j[new])
-            i, j = np.concatenate(heads), np.concatenate(tails)
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            rank = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable"))
-            label = rank.copy()
-            while True:  # the least rank that links reach
-                low = label.copy()
-                np.minimum.at(low, i, label[j])
-                np.minimum.at(low, j, label[i])
-                low = low[np.argsort(rank)][low]
-                if (low == label).all():
-                    break
-                label = low
-            label = np.argsort(rank)[label]
+        vecs = table.column("vec").to_pylist()
+        size = np.array([len(v) for v in vecs])
+        tab, bucket, bi, bj, blk, copies = (column(table, c).to_numpy() for c in ("tab", "bucket", "bi", "bj", "blk", "copies"))
+        order = np.lexsort((blk, bj, bi, bucket, tab, size))
+        vecs, ids = [vecs[k] for k in order], column(table, "id").take(pa.array(order))
+        tab, bucket, bi, bj, blk, copies, size = (x[order] for x in (tab, bucket, bi, bj, blk, copies, size))
+        edge = np.flatnonzero((np.diff(tab) != 0) | (np.diff(bucket) != 0) | (np.diff(bi) != 0) | (np.diff(bj) != 0) | (np.diff(size) != 0)) + 1
+        begins, ends = np.append(0, edge), np.append(edge, len(vecs))
+        rank = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable"))
+        links, label = np.zeros(len(vecs), np.int64), np.arange(len(vecs))
+        for d in np.unique(size).tolist():
+            a, z = np.searchsorted(size, [d, d + 1])
+            unit = _unit(vecs[a:z])
+            sig = signatures(unit, tables, hashes, width, seed)
+            for f, e in zip(begins.tolist(), ends.tolist()):
+                if not a <= f < z or e - f < 2:
+                    continue
+                u, g = unit[f - a : e - a], sig[f - a : e - a]
+                left = int((blk[f:e] == bi[f]).sum())
+                i, j = _links(u, g, int(tab[f]), left, bi[f] != bj[f], least)
+                if len(i):
+                    np.add.at(links[f:e], i, copies[f:e][j])
+                    np.add.at(links[f:e], j, copies[f:e][i])
+                    label[f:e] = f + _reach(np.argsort(np.argsort(rank[f:e])), i, j)
         return pa.table({"id": ids, "links": pa.array(links), "root": ids.take(pa.array(label))})
 
     return each
@@ -140,12 +160,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     usable = "cls is not null and id is not null"
     classes = keep(every.where(usable).groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("vec").alias("vec")))
     hashed = classes.select("id", "vec").mapInArrow(_hash(tables, hashes, width, seed), f"id {kind}, tab int, bucket long")
-    sizes = hashed.groupBy("tab", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = keep(hashed.groupBy("tab", "bucket").agg(F.count("*").alias("n")).where("n > 1"))
     blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = sizes.agg(F.sum(F.col("n") * blocks)).first()[0] or 0
+    # Small buckets share calls, about 4,096 rows each; a large bucket's block pairs are calls of their own size.
+    call = F.pmod(F.xxhash64("tab", "bucket", "bi", "bj"), F.lit(max(1, rows // 4096)))
     placed = hashed.join(sizes, ["tab", "bucket"]).withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("blk", j).alias("bi"), F.greatest("blk", j).alias("bj")))
     spread = placed.select("id", "tab", "bucket", "blk", F.explode(pairs).alias("p")).select("id", "tab", "bucket", "blk", "p.*")
-    found = spread.join(classes.select("id", "vec", "copies"), "id").groupBy("tab", "bucket", "bi", "bj").applyInArrow(_compare(least, tables, hashes, width, seed), f"id {kind}, links long, root {kind}")
+    found = spread.join(classes.select("id", "vec", "copies"), "id").groupBy(call.alias("call")).applyInArrow(_compare(least, tables, hashes, width, seed), f"id {kind}, links long, root {kind}")
     found = keep(found.groupBy("id", "root").agg(F.sum("links").alias("links")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     member = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
