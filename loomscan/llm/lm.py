@@ -68,7 +68,8 @@ def _score(key: str, order: int, backoff: float, min_count: int):
         ids, counts, size, vocabulary, inverse = pickle.loads(own)
         hashes = unpack_sorted(vocabulary, size)[spread(inverse, np.int32, int(counts.sum()))]
         grams = _grams(hashes, counts, order)
-        keys = np.unique(np.concatenate([*grams, np.full(len(hashes), TOTAL)]))
+        # The places of all occurrences among the unit's keys, TOTAL first.
+        where = np.unique(np.concatenate([np.full(min(1, len(hashes)), TOTAL), *grams]), return_inverse=True)[1][1:]
         n = len(hashes)
         first = np.cumsum(counts) - counts
         place = np.arange(n) - np.repeat(first, counts)
@@ -77,7 +78,8 @@ def _score(key: str, order: int, backoff: float, min_count: int):
         before: np.ndarray | None = None
         for k, gram in enumerate(grams, 1):
             count = np.zeros(n, np.int64)  # of the k-gram that ends at each word
-            count[np.flatnonzero(place >= k - 1)] = totals[np.searchsorted(keys, gram)]
+            count[np.flatnonzero(place >= k - 1)] = totals[where[: len(gram)]]
+            where = where[len(gram) :]
             if k == 1:
                 value = np.log(count / max(corpus, 1)) if n else micro
                 least = np.minimum(place, order - 1)
