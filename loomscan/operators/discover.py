@@ -120,6 +120,14 @@ class Result:
         return self.js_entries.groupBy("scan").agg(F.count("*").alias("js_count"))
 
 
+def _admit(new: DataFrame, pages: DataFrame | None, starts: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """What of new goes on: all but the pages beyond the budget; and all pages so far."""
+    used = pages.groupBy("scan").agg(F.count("*").alias("used")) if pages is not None else starts.select("scan", F.lit(0).cast("long").alias("used")).distinct()
+    admitted = keep(budgeted(new.where("page = 'html'"), used, budget).select(*new.columns))
+    entered = admitted.select("scan", "url", "from_url", "plugin")
+    return new.where("page <> 'html'").unionByName(admitted), entered if pages is None else keep(pages.unionByName(entered))
+
+
 def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None = None, budget: int = PAGE_BUDGET, max_rounds: int = 200) -> Result:
     """Walks from starts (scan, start) over captured responses until nothing new turns up.
 
@@ -148,20 +156,27 @@ def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None
             rank = F.when(F.col("type") == "url", 0).when(F.col("type") == "probe", 1).otherwise(2)
             found = found.withColumn("rank", rank).withColumn("alt", F.lit(0).cast("long"))
             more = lambda t, c: found.where(F.col("type") == t).groupBy("scan", F.col("value").alias(c)).agg(F.min("seq").alias("seq"))
-            prepends = keep(prepends.unionByName(more("prepend", "prefix")).groupBy("scan", "prefix").agg(F.min("seq").alias("seq")))
-            publics = keep(publics.unionByName(more("public", "path")).groupBy("scan", "path").agg(F.min("seq").alias("seq")))
+            kinds = {r.type for r in found.select("type").distinct().collect()}  # of a closed set
+            if "prepend" in kinds:
+                prepends = keep(prepends.unionByName(more("prepend", "prefix")).groupBy("scan", "prefix").agg(F.min("seq").alias("seq")))
+            if "public" in kinds:
+                publics = keep(publics.unionByName(more("public", "path")).groupBy("scan", "path").agg(F.min("seq").alias("seq")))
             probes = claim(found.where("type = 'probe'").withColumnRenamed("value", "fragment").select("scan", "fragment", "from_url", "plugin", *_ORDER), names, ["scan", "fragment"], _ORDER)
-            probes = keep(probes)
-            names = keep(names.unionByName(probes.select("scan", "fragment")))
+            if "probe" in kinds:
+                probes = keep(probes)
+                names = keep(names.unionByName(probes.select("scan", "fragment")))
             base = ["scan", "from_url", "plugin", *_ORDER]
             direct = found.where("type = 'url'").select(*base, F.explode(url.combo_members(F.col("value"))).alias("url"), F.lit("").alias("page"))
             whole_urls = probes.where("fragment like '%://%'").select(*base, F.col("fragment").alias("url"), F.lit("").alias("page"))
             beside = bare_names(probes.where("fragment not like '%/%'"), prepends.select("scan", "prefix")).select(*base, F.col("candidate").alias("url"), F.lit("").alias("page"))
             further = found.where("type in ('html', 'json')").select(*base, F.col("value").alias("url"), F.when(F.col("type") == "html", "html").otherwise("").alias("page"))
             parts = probes.where("fragment like '%/%' and fragment not like '%://%'")
-            pending = keep(pending.unionByName(parts.select("scan", "fragment", "from_url", "plugin", "seq")))
-            candidates = direct.unionByName(whole_urls).unionByName(beside).unionByName(further)
+            candidates = direct.unionByName(further)
+            if "probe" in kinds:
+                pending = keep(pending.unionByName(parts.select("scan", "fragment", "from_url", "plugin", "seq")))
+                candidates = candidates.unionByName(whole_urls).unionByName(beside)
         else:
+            kinds = set()
             if pending.isEmpty():
                 if fallback:
                     break
@@ -175,12 +190,9 @@ def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None
                 pending = pending.limit(0)
         keyed = candidates.join(starts, "scan").withColumn("url", url.normalize(url.rebase_loopback(F.col("url"), F.col("start")))).drop("start").where("url not like 'data:%'")
         new = keep(claim(keyed, seen, ["scan", "url"], _ORDER))
-        html = new.where("page = 'html'")
-        used = pages.groupBy("scan").agg(F.count("*").alias("used")) if pages is not None else starts.select("scan", F.lit(0).cast("long").alias("used")).distinct()
-        admitted = budgeted(html, used, budget)
-        admitted = keep(admitted.select(*new.columns))
-        pages = keep(admitted.select("scan", "url", "from_url", "plugin")) if pages is None else keep(pages.unionByName(admitted.select("scan", "url", "from_url", "plugin")))
-        step = new.where("page <> 'html'").unionByName(admitted)
+        step = new
+        if pages is None or "html" in kinds:
+            step, pages = _admit(new, pages, starts, budget)
         frontier = keep(step.select("scan", "url", "from_url", "plugin", (F.col("inline") >= 0).alias("is_inline"), (F.lit(offset) + F.row_number().over(W.partitionBy("scan").orderBy(*_ORDER, "url"))).cast("long").alias("seq")))
         n = frontier.count()
         offset += n
