@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,13 +24,20 @@ _ORDER = ["seq", "inline", "plugin_idx", "rank", "pos", "alt"]
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Computes df once, in the folder of spark.checkpoint.dir; a folder is set only where there is none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomscan-"))
+    """Computes df once and cuts its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where there is none, one below the warehouse, or on a single machine a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        own = tempfile.mkdtemp(prefix="loomscan-") if context.master.startswith("local[") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    return context.getCheckpointDir()
+
+
 def fetch(frontier: DataFrame, responses: DataFrame) -> DataFrame:
     """frontier's rows with their response; status and text are null where there is none.
 

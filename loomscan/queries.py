@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -372,6 +373,14 @@ def meta_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.replayable(n.select("scope", F.lit("url").alias("kind")), wanted.select("scope", "path"), wanted.where("k % 3 <> 0 or path = 'a.js'").select("scope", "path"))
 
 
+@query("SELECT s_suppkey AS id, 'n' || CAST(s_suppkey % 5 AS STRING) AS scope FROM supplier")
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table as it is read back from a store in the shared folder."""
+    kept = store.Store(spark, f"{discover.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    kept.write("js", _rows(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("n"), (F.col("s_suppkey") % 5).cast("string")).alias("scope")))
+    return kept.read("js").select("id", "scope")
+
+
 # Source maps.
 _M = _sql("c_sourcemap_json")
 scalar("map_parsable", "c_sourcemap_json", content.is_source_map, "true", "text")
