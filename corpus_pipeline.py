@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomscan.llm import decontam, jaccard, packing, secrets, toxicity
-from loomscan.llm.graph import keep
+from loomscan.llm.graph import shared_folder
 
 #: The rows can't be had by SQL: stages 1, 4 and 5 fit models or pack. See tests/llm.
 ORACLE_SQL = None
@@ -70,8 +70,7 @@ STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("deconta
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    keep(spark.range(1))  # sets the folder where the session has none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

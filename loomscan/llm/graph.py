@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage, in the folder of spark.checkpoint.dir.
+    """Computes df once and cuts its lineage, in the folder of spark.checkpoint.dir."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
 
-    Only where that setting is absent (tests, a single machine) is a folder set here.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.
+
+    Where that setting is absent, one is set: below the warehouse, which a cluster's
+    machines share, or on a single machine a temporary one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomscan-"))
-    return df.checkpoint()
+        own = tempfile.mkdtemp(prefix="loomscan-") if context.master.startswith("local[") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    return context.getCheckpointDir()
 
 
 def components(edges: DataFrame) -> DataFrame:
