@@ -187,16 +187,16 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     if not 0 < percent <= 100 or n < 1:
         raise ValueError("percent is from 1 to 100, n at least 1")
     kind = docs.schema[key].dataType.simpleString()
-    buckets = exchange.buckets_for(docs)
-    units = docs.select(key, text).mapInArrow(_send(text, key, n, percent, buckets), exchange.SCHEMA)
-    every = keep(exchange.answered(units, _filter(key, percent), f"`{key}` {kind}, n long, cls binary").withColumnRenamed(key, "id"))
+    plan = exchange.plan_for(docs)
+    units = docs.select(key, text).mapInArrow(_send(text, key, n, percent, plan.buckets), exchange.SCHEMA)
+    every = keep(exchange.answered(units, plan, _filter(key, percent), f"`{key}` {kind}, n long, cls binary").withColumnRenamed(key, "id"))
 
     # One row for each distinct set that has enough company.
     alive = every.where("cls is not null and id is not null")
     classes = keep(alive.groupBy("cls").agg(F.min("id").alias("rep")))
     texts = docs.select(F.col(key).alias("rep"), text)
     sets = keep(texts.join(classes.select("rep"), "rep", "left_semi").mapInArrow(_sets(text, n), f"rep {kind}, n long, grams binary").dropDuplicates(["rep"]))
-    rarest = exchange.answered(sets.mapInArrow(_send_sets(buckets), exchange.SCHEMA), _rarest(percent), f"rep {kind}, n long, f long, cols array<long>")
+    rarest = exchange.answered(sets.mapInArrow(_send_sets(plan.buckets), exchange.SCHEMA), plan, _rarest(percent), f"rep {kind}, n long, f long, cols array<long>")
     # rem: how many of the row's columns are no rarer than this one.
     columns = keep(rarest.select("rep", "n", "f", F.posexplode("cols").alias("at", "h")).select("rep", "n", "h", (F.col("f") - F.col("at")).alias("rem")))
 

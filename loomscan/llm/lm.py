@@ -108,8 +108,8 @@ def stupid_backoff(docs: DataFrame, text: str = "text", key: str = "doc_id", ord
     """
     if order < 1 or not 0 < backoff <= 1 or min_count < 1:
         raise ValueError("order and min_count are at least 1, backoff is above 0 and at most 1")
-    buckets = exchange.buckets_for(docs)
-    units = docs.select(key, text).mapInArrow(_send(text, key, order, buckets), exchange.SCHEMA)
+    plan = exchange.plan_for(docs)
+    units = docs.select(key, text).mapInArrow(_send(text, key, order, plan.buckets), exchange.SCHEMA)
     kind = docs.schema[key].dataType.simpleString()
-    out = exchange.answered(units, _score(key, order, backoff, min_count), f"`{key}` {kind}, n_words long, n_backoff long, micro long")
+    out = exchange.answered(units, plan, _score(key, order, backoff, min_count), f"`{key}` {kind}, n_words long, n_backoff long, micro long")
     return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("micro") / F.lit(1e6) / F.col("n_words")))

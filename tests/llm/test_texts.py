@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from loomscan.llm import decontam, jaccard, licenses, lm
+from loomscan.llm import decontam, exchange, jaccard, licenses, lm
 
 from .helpers import ALNUM, MESSY, SOLID, documents, prose, words
 
@@ -96,6 +96,39 @@ def test_backoff_scores(spark, order):
         assert (r.score is None) == (not w)
 
 
+@pytest.mark.parametrize("plan", [exchange.Plan(64, 1, 64), exchange.Plan(5, 4, 64)])
+def test_dealing_by_groups_of_units_changes_nothing(spark, monkeypatch, plan):
+    texts = near_copies()
+    docs = documents(spark, texts).repartition(7)
+    by_default = {tuple(r) for r in lm.stupid_backoff(docs).collect()}
+    monkeypatch.setattr(exchange, "plan_for", lambda df: plan)
+    assert {tuple(r) for r in lm.stupid_backoff(docs).collect()} == by_default
+    got = {r.doc_id: (r.n_shingles, r.component) for r in jaccard.jaccard_groups(docs).collect()}
+    assert got == components(texts)
+    assert lm.stupid_backoff(docs.limit(0)).count() == 0 and jaccard.jaccard_groups(docs.limit(0)).count() == 0
+
+
+def test_plan_follows_the_size_of_the_input(spark):
+    class Sized:
+        sparkSession = spark
+
+        def __init__(self, size):
+            self.size = size
+
+        @property
+        def _jdf(self):
+            return self
+
+        queryExecution = optimizedPlan = stats = lambda self: self
+
+        def sizeInBytes(self):
+            return self.size
+
+    assert exchange.plan_for(Sized(0)) == exchange.Plan(64, 1, 64)
+    assert exchange.plan_for(Sized(32 << 30)) == exchange.Plan(8192, 1, 8192)
+    assert exchange.plan_for(Sized(100 << 40)) == exchange.Plan(8192, 3200, 100 << 18)
+
+
 def hits(text, items, window=13):
     w, found, ids = words(text), set(), set()
     for key, item in items:
