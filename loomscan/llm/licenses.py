@@ -6,6 +6,10 @@ frequency over the blocks of the whole corpus, rarest first; of a template with
 of which o are needed, a matching block has one of the first t - o + 1.  Blocks with
 such a word and at least o words are followed through the template's order and given up
 as soon as the words left can't make up o.
+
+Wrapped texts don't keep to lines: on request passages are looked for as well, stretches
+of any lines in which a window of the template's length over the threshold holds o of
+its words.  The same three filters hold for windows.
 """
 
 from __future__ import annotations
@@ -58,6 +62,8 @@ class Templates:
         self.labels = [label for label, _ in templates]
         self.orders = [sorted(rank[w] for w in s) for s in sets]
         self.needed = [max(1, math.ceil(threshold * len(o) - 1e-9)) for o in self.orders]
+        #: words of a window: the whole template, and as much else as the threshold leaves
+        self.window = [math.ceil(len(_hashes(t)) / max(threshold, 0.1) - 1e-9) for _, t in templates]
         keys = np.array(words, U64)
         self.sorted = np.sort(keys)
         self.rank = np.argsort(keys)
@@ -95,6 +101,40 @@ def blocks(words: Words) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
+def passages(number: np.ndarray, doc: np.ndarray, templates: Templates) -> Iterator[tuple[int, int, int, float]]:
+    """First word, end, template and share of every stretch where windows hold enough of a template.
+
+    A window that ends at a template word holds all template words of any window that
+    has this one last, so windows that end there are all that need a look.
+    """
+    known = np.flatnonzero(number >= 0)
+    for t, (order, o) in enumerate(zip(templates.orders, templates.needed)):
+        if not order:
+            continue
+        member, prefix = np.zeros(len(templates.rare), bool), np.zeros(len(templates.rare), bool)
+        member[order], prefix[order[: len(order) - o + 1]] = True, True
+        at = known[member[number[known]]]
+        low = np.searchsorted(at, np.maximum(at - templates.window[t] + 1, np.searchsorted(doc, doc[at])))
+        rare = np.concatenate([[0], np.cumsum(prefix[number[at]])])
+        here = np.arange(len(at))
+        span: tuple[int, int, float] | None = None
+        for j in np.flatnonzero((here - low + 1 >= o) & (rare[here + 1] > rare[low])).tolist():
+            held = number[at[low[j] : j + 1]].tolist()
+            if not (share := templates.containment(set(held), t)):
+                continue
+            # Words that come again later in the window don't begin it.
+            k = next(i for i, w in enumerate(held) if w not in held[i + 1 :])
+            begin, end = int(at[low[j] + k]), int(at[j]) + 1
+            if span and begin < span[1]:
+                span = (min(begin, span[0]), end, max(share, span[2]))
+                continue
+            if span:
+                yield span[0], span[1], t, span[2]
+            span = (begin, end, share)
+        if span:
+            yield span[0], span[1], t, span[2]
+
+
 def _frequencies(text: str, templates: list[tuple[str, str]]):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, 1.0)
@@ -112,7 +152,7 @@ def _frequencies(text: str, templates: list[tuple[str, str]]):
     return each
 
 
-def _scan(text: str, key: str, phrases: dict[str, str], templates: Templates):
+def _scan(text: str, key: str, phrases: dict[str, str], templates: Templates, wrapped: bool):
     lists = [(_hashes(p), p.encode(), label) for p, label in phrases.items()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +173,7 @@ def _scan(text: str, key: str, phrases: dict[str, str], templates: Templates):
                             places[d].append({"word": i - int(words.first[d]), "label": label})
                 number, block = templates.numbers(words.hashes), blocks(words)
                 rare = np.flatnonzero((number >= 0) & templates.rare[number]) if len(templates.rare) else number[:0]
+                whole: set[tuple[int, int]] = set()
                 candidates = {(b, t) for b, w in zip(block[rare].tolist(), number[rare].tolist()) for t in templates.prefix[w]}
                 if candidates:
                     last = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(block))
@@ -145,7 +186,13 @@ def _scan(text: str, key: str, phrases: dict[str, str], templates: Templates):
                             known = {b: set(number[begin:end].tolist())}
                         if share := templates.containment(known[b], t):
                             d = int(doc[begin])
+                            whole.add((b, t))
                             found[d].append({"word": begin - int(words.first[d]), "words": end - begin, "label": templates.labels[t], "containment": share})
+                for begin, end, t, share in passages(number, doc, templates) if wrapped else ():
+                    # Within one line, or around a line that was found for itself, it is no find of its own.
+                    if not any((b, t) in whole for b in range(int(block[begin]), int(block[end - 1]) + 1)):
+                        d = int(doc[begin])
+                        found[d].append({"word": begin - int(words.first[d]), "words": end - begin, "label": templates.labels[t], "containment": share})
                 yield pa.RecordBatch.from_arrays(
                     [
                         column(part, key),
@@ -159,12 +206,14 @@ def _scan(text: str, key: str, phrases: dict[str, str], templates: Templates):
     return each
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, wrapped: bool = False) -> DataFrame:
     """key, n_words, phrases and blocks for every document.
 
     phrases: every place (word, from 0) of a phrase, and its label; blocks: every line
     that holds at least threshold of a template's distinct words, with its first word,
-    its words, the label and the share.  Frequencies are counted over all documents
+    its words, the label and the share.  wrapped: also every passage over line breaks that
+    holds that much of a template within the template's number of words over threshold
+    (at least 0.1), unless one of its lines is such a block itself.  Frequencies are counted over all documents
     first; they order the template words and don't change what is found.  Null and empty
     texts have no words; repeated rows are scanned one by one, null keys passed on.
     """
@@ -175,4 +224,4 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", phra
     counts = {int(np.int64(r.w).view(U64)): r.n for r in counted}
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_words long, phrases array<struct<word:long,label:string>>, blocks array<struct<word:long,words:long,label:string,containment:double>>"
-    return docs.select(key, text).mapInArrow(_scan(text, key, phrases, Templates(templates, threshold, counts)), schema)
+    return docs.select(key, text).mapInArrow(_scan(text, key, phrases, Templates(templates, threshold, counts), wrapped), schema)

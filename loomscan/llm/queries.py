@@ -32,8 +32,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
-def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+def _licenses(found: DataFrame) -> DataFrame:
     words = F.transform("phrases", lambda p: p["word"])
     base = F.array_sort(F.array_distinct(F.transform("phrases", lambda p: p["label"])))
     every = F.array_sort(F.array_distinct(F.concat(base, F.transform("blocks", lambda b: b["label"]))))
@@ -44,6 +43,16 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses by single lines, as its SQL has them."""
+    return _licenses(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
+def op4_license_scan_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses by lines and by passages over line breaks."""
+    return _licenses(licenses.scan_licenses(_table(spark, sf_dir, "documents"), wrapped=True))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
@@ -76,7 +85,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_stupid_backoff, op2_secret_scan, op3_jaccard_join, op4_license_scan, op5_best_fit_packing, op6_vector_neardup, op7_toxicity, op8_kd_sharding, op9_url_filter, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_stupid_backoff, op2_secret_scan, op3_jaccard_join, op4_license_scan, op5_best_fit_packing, op6_vector_neardup, op7_toxicity, op8_kd_sharding, op9_url_filter, op10_decontamination, op4_license_scan_wrapped)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"

@@ -169,6 +169,45 @@ def test_licenses(spark):
         assert {b.label for b in rows[i].blocks} == expected
 
 
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+APACHE = """# Licensed under the Apache License,
+# Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ */"""
+
+
+def test_wrapped_licenses(spark):
+    sentence = "released under the BSD License"
+    broken = [sentence.replace(" ", "\n", k) for k in range(1, 5)]
+    texts = [MIT, APACHE, GPL, *broken, prose(1, 900) + "\n" + MIT + "\n" + prose(2, 900), "released under\n" + prose(3, 40) + "\nthe BSD License", sentence + "\n" + prose(4, 30) + "\n" + broken[0], "released under the", "BSD License", None, "", prose(5, 50)]
+    rows = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, texts).coalesce(1), wrapped=True).collect()}
+    lines = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w, expected = words(t), {b.label for b in lines[i].blocks}
+        for label, x in licenses.TEMPLATES:
+            v, size = set(words(x)), math.ceil(len(words(x)) / 0.8 - 1e-9)
+            if any(5 * len(v & set(w[k : k + size])) >= 4 * len(v) for k in range(len(w))):
+                expected.add(label)
+        assert {b.label for b in rows[i].blocks} == expected
+        assert set(lines[i].blocks) <= set(rows[i].blocks)
+        for b in rows[i].blocks:
+            assert b.containment >= 0.8 and set(w[b.word : b.word + b.words]) & {y for label, x in licenses.TEMPLATES if label == b.label for y in words(x)}
+    assert [{b.label for b in rows[i].blocks} for i in (0, 1, 2, 3, 7)] == [{"mit"}, {"apache-2"}, {"gpl"}, {"bsd", "mit"}, {"mit"}]  # the BSD sentence has four of the five words of MIT's, on one line as well
+    assert len(rows[1].blocks) == 2 and lines[0].blocks == lines[1].blocks == []
+    assert rows[8].blocks == [] and len(rows[9].blocks) == 4 and all(not rows[i].blocks for i in (10, 11, 12, 13, 14))
+
+
 @pytest.mark.parametrize("rows", [MESSY, []])
 def test_messy_and_empty(spark, rows):
     docs = documents(spark, rows)
