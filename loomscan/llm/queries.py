@@ -19,6 +19,11 @@ def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.stupid_backoff(_table(spark, sf_dir, "documents"))
 
 
+def op1_stupid_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram scores, by two steps of backing off."""
+    return lm.stupid_backoff(_table(spark, sf_dir, "documents"), order=3)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document its candidates, its secrets, and a digest of the latter in order."""
     forest = secrets.train(secrets.labelled_findings(spark))
@@ -85,7 +90,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_stupid_backoff, op2_secret_scan, op3_jaccard_join, op4_license_scan, op5_best_fit_packing, op6_vector_neardup, op7_toxicity, op8_kd_sharding, op9_url_filter, op10_decontamination, op4_license_scan_wrapped)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_stupid_backoff, op2_secret_scan, op3_jaccard_join, op4_license_scan, op5_best_fit_packing, op6_vector_neardup, op7_toxicity, op8_kd_sharding, op9_url_filter, op10_decontamination, op4_license_scan_wrapped, op1_stupid_backoff_trigrams)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -101,6 +106,20 @@ c2 AS (SELECT c, w, count(*) AS n FROM p WHERE c IS NOT NULL GROUP BY c, w HAVIN
 s AS (SELECT p.r, p.c IS NOT NULL AND c2.n IS NULL AS backed, CAST(round(1e6 * CASE WHEN c2.n IS NOT NULL THEN ln(c2.n / k.n) ELSE ln(c1.n / (SELECT count(*) FROM w)) + CASE WHEN p.c IS NULL THEN 0 ELSE ln(0.4) END END) AS BIGINT) AS micro
   FROM p JOIN c1 USING (w) LEFT JOIN c2 ON c2.c = p.c AND c2.w = p.w LEFT JOIN c1 k ON k.w = p.c),
 t AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE backed) AS b, CAST(sum(micro) AS BIGINT) AS m FROM s GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(b, 0) AS n_backoff, coalesce(m, 0) AS micro, m / 1e6 / n AS score FROM d LEFT JOIN t USING (r)""",
+    "op1_stupid_backoff_trigrams": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, {_ALNUM}) AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+p AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS c, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS b FROM w),
+c1 AS (SELECT w, count(*) AS n FROM w GROUP BY w),
+c2 AS (SELECT c, w, count(*) AS n FROM p WHERE c IS NOT NULL GROUP BY c, w HAVING count(*) >= 2),
+c3 AS (SELECT b, c, w, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY b, c, w HAVING count(*) >= 2),
+s AS (SELECT p.r, CASE WHEN p.c IS NULL THEN false WHEN p.b IS NULL THEN c2.n IS NULL ELSE c3.n IS NULL END AS backed,
+    CAST(round(1e6 * CASE WHEN c3.n IS NOT NULL THEN ln(c3.n / k2.n)
+      WHEN c2.n IS NOT NULL THEN ln(c2.n / k.n) + CASE WHEN p.b IS NULL THEN 0 ELSE ln(0.4) END
+      ELSE ln(c1.n / (SELECT count(*) FROM w)) + CASE WHEN p.c IS NULL THEN 0 WHEN p.b IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END) AS BIGINT) AS micro
+  FROM p JOIN c1 USING (w) LEFT JOIN c2 ON c2.c = p.c AND c2.w = p.w LEFT JOIN c1 k ON k.w = p.c LEFT JOIN c3 ON c3.b = p.b AND c3.c = p.c AND c3.w = p.w LEFT JOIN c2 k2 ON k2.c = p.b AND k2.w = p.c),
+t AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE backed) AS b, CAST(sum(micro) AS BIGINT) AS m FROM s GROUP BY r)
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(b, 0) AS n_backoff, coalesce(m, 0) AS micro, m / 1e6 / n AS score FROM d LEFT JOIN t USING (r)""",
     "op3_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, {_SOLID}) AS ws FROM documents),

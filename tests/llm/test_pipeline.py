@@ -60,3 +60,12 @@ def test_run_and_queries_return_a_row_for_each_document(spark):
     for name in ("op1_stupid_backoff", "op2_secret_scan", "op3_jaccard_join", "op4_license_scan", "op7_toxicity", "op8_kd_sharding", "op10_decontamination"):
         assert queries.QUERIES[name](spark, SF).count() == n
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_trigram_scores_are_those_of_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    expected = {r[0]: r[1:4] for r in con.execute(queries.ORACLE_SQL["op1_stupid_backoff_trigrams"]).fetchall()}
+    got = {r.doc_id: (r.n_words, r.n_backoff, r.micro) for r in queries.QUERIES["op1_stupid_backoff_trigrams"](spark, SF).collect()}
+    assert got == expected and any(b for _, b, _ in got.values())
