@@ -14,15 +14,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _T = "A-Za-z0-9+/_~\\-"
-#: A key block, a web token, a long run with a digit, or a shorter one that is assigned.
+#: An unquoted value's characters; a dot or question mark at its end belongs to the sentence.
+_V = rf"{_T}!@#$%^&*|.?"
+_ASSIGNED = r"(?<=[=: \t\"'])(?<=[=:][ \t]{0,3}"
+# A link is no value, nor is quoted text that holds assignments of its own; what they assign is.
+_LINK = r"(?!(?:[A-Za-z][A-Za-z0-9+.\-]{0,31}:)?//)"
+
+
+def _quoted(mark: str) -> str:
+    names = rf"(?![A-Za-z_][A-Za-z0-9_.\-]{{2,63}}[=:][^={mark}])(?![^\s{mark}]*[?&;,{{][A-Za-z_][A-Za-z0-9_.\-]{{0,63}}[=:])"
+    return rf"{_ASSIGNED}{mark}){_LINK}{names}[^\s{mark}]{{8,}}+(?={mark})"
+
+
+#: A key block, a web token, the whole of an assigned value from 8 characters on, or a long run with a digit.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+(?:-----END [A-Z ]*PRIVATE KEY-----)?"
     rf"|(?<![{_T}.])eyJ[A-Za-z0-9_\-]{{8,}}+\.[A-Za-z0-9_\-]++\.[A-Za-z0-9_\-]++"
+    rf"|{_quoted(chr(34))}|{_quoted(chr(39))}"
+    rf"|{_ASSIGNED}[\"']?){_LINK}[{_V}]{{8,}}?(?<![.?])(?=&[A-Za-z0-9_.\-]{{1,64}}=|[.?]*+(?![{_V}]))(?:={{1,2}}(?=[\s\"',;)\]}}<]|\z))?"
     rf"|(?<![{_T}])(?=[{_T}]*[0-9])[{_T}]{{16,}}+={{0,2}}"
-    rf"|(?<=[=:]|[=:] |[=:]\"|[=:] \"|[=:]'|[=:] ')(?=[^\s\"']*[0-9])[{_T}!@#$%^&*]{{8,15}}+(?![{_T}])"
 )
 # Common parts of identifiers, prose and placeholders.
 DICTIONARY = "about account address after alpha and api app article auth background bank base beta build button cache card change changeme chapter client code com config content count data date default demo dev download draft edit email en example file final first for format from group guide hash header help here home host html http https id image index info invoice item key label language last left legal level library license line link list local login long main media member menu message model module my name network new news next node note number object of order org page part password path pdf photo placeholder plan png point post press price private product profile project public queue read record ref release report request result review root sample script search secret section server service session set settings shop short site source staging start state static status store style support system table tag target task temp template test text the time title to token topic total type update upload url user utm value version video view web wiki word work www xml year your".split()
+# Words of passphrases, and words that stand where a value would.
+NOUNS = "correct horse battery staple river window orange candle forest silver monkey dragon purple winter garden tiger bridge coffee planet rocket shadow mirror guitar pepper falcon meadow copper violet hammer island".split()
+REMARKS = "required optional mandatory unavailable disabled undefined forbidden incorrect something everything authentication authorization description information administrator following available conditions sometimes Reference Introduction Summary! Attention! Important! protected encrypted confidential redacted".split()
 # Frequent pairs of letters in words.
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 # How some issuers' keys begin.
@@ -66,7 +82,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
 
     A bounded number of rows, each drawn from its own hash: issued keys, random keys
     after secret words, and assigned passwords, against checksums, commit and record
-    numbers, cards, identifiers, links, file names, placeholders and trial keys.
+    numbers, cards, identifiers, links, file names, placeholders, remarks and trial keys.
     """
     hexes = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 512)
     dense = lambda salt: F.regexp_replace(F.base64(F.unhex(hexes(salt))), r"[\r\n]", "")
@@ -82,6 +98,10 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     lead = F.substring(F.concat(noise("s"), noise("t"), noise("u")), 1, 3)
     issued = F.concat(pick("i", "ghp_", "sk_live_", "AKIA", "glpat-", "xoxb-", "npm_", "AIza"), F.translate(F.substring(dense("i"), 1, 32), "+/=", "aZ9"))
     token = F.concat(F.lit("eyJ"), F.translate(F.substring(dense("a"), 1, 30), "+/=", "xY_"), F.lit("."), F.translate(F.substring(dense("b"), 1, 60), "+/=", "xY_"), F.lit("."), F.translate(F.substring(dense("c"), 1, 43), "+/=", "xY_"))
+    mark = lambda salt: pick(salt, "!", "@", "#", "$", "%", "^", "&", "*", "$!", "#@", ":", ",", "(?", ");")
+    mixed = F.concat(F.translate(F.substring(dense("z"), 1, 5), "+/=", "!#x"), mark("m1"), F.translate(F.substring(dense("y"), 1, 3), "+/=", "@%x"), mark("m2"), F.substring(dense("b"), 1, 2), F.when(F.col("id") % 2 == 0, mark("m3")).otherwise(""), F.substr(F.translate(dense("x"), "+/=", "$*x"), F.lit(1), (F.lit(1) + F.col("id") % 14).cast("int")))
+    dotted = F.substr(F.translate(dense("z"), "abcdefghijklABCDEFGH+/=", "!@#$%^&*(),;:?!@#$%&:;x"), F.lit(1), (F.lit(12) + F.col("id") % 14).cast("int"))
+    strong = F.when(F.col("id") % 3 == 0, dotted).otherwise(mixed)
     uuid = F.concat_ws("-", *(F.substring(hexes("w"), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     kinds = [
         (1, keyed, F.substr(hexes("x"), F.lit(1), (F.lit(16) + F.col("id") % 33).cast("int"))),
@@ -91,6 +111,14 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (1, plain, issued),
         (1, keyed, F.when(F.col("id") % 3 == 0, token).otherwise(issued)),
         (1, keyed, F.concat(F.translate(F.substring(dense("z"), 1, 9), "+/=", "!#x"), F.substring(digits("z"), 1, 3))),
+        (1, keyed, strong),
+        (1, keyed, F.substr(F.translate(dense("l"), "0123456789+/=", "qWeRtYuIoPaSd"), F.lit(1), (F.lit(12) + F.col("id") % 21).cast("int"))),
+        (1, keyed, F.concat(pick("n1", *NOUNS), pick("n2", *NOUNS), pick("n3", *NOUNS), F.when(F.col("id") % 2 == 0, pick("n4", *NOUNS)).otherwise(""))),
+        (0, keyed, pick("rm", *REMARKS)),
+        (0, F.concat(noise("c"), gap), F.when(F.col("id") % 2 == 0, pick("rm", *REMARKS)).otherwise(F.concat(noise("v"), F.substring(noise("m"), 1, 5)))),
+        (0, keyed, F.concat(pick("get", "get", "load", "the", "current", "user"), F.initcap(words("w1")), F.initcap(words("w2")), F.initcap(words("w3")))),
+        (0, keyed, F.concat(words("w1"), pick("sep", "_", ".", "-"), words("w2"), pick("sep", "_", ".", "-"), words("w3"))),
+        (0, other, F.concat_ws(".", words("w1"), words("w2"), pick("ext", "pdf", "txt", "com", "org", "html"))),
         (0, other, F.when(F.col("id") % 3 == 0, F.substring(hexes("x"), 1, 40)).when(F.col("id") % 3 == 1, F.substring(hexes("x"), 1, 64)).otherwise(F.substring(hexes("x"), 1, 32))),
         (0, other, uuid),
         (0, plain, F.substring(digits("d"), 1, 16)),
@@ -135,8 +163,10 @@ def _hits(text: Column, path: Column, forest: str) -> tuple[Column, Column]:
     some = text.rlike(CANDIDATE)
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     gaps = F.split(text, CANDIDATE, -1)
-    zipped = F.arrays_zip(found.alias("v"), F.slice(gaps, F.lit(1), F.size(found)).alias("b"), F.slice(gaps, F.lit(2), F.size(found)).alias("a"))
-    near = F.transform(zipped, lambda z: F.struct(z["v"].alias("v"), z["b"].alias("b"), F.substring(z["b"], -48, 48).alias("near"), F.substring(z["a"], 1, 8).alias("a")))
+    # One place more than there are candidates, which is dropped; c: the candidate before.
+    zipped = F.arrays_zip(found.alias("v"), gaps.alias("b"), F.slice(gaps, 2, 2**31 - 1).alias("a"), F.concat(F.array(F.lit("")), found).alias("c"))
+    zipped = F.filter(zipped, lambda z: z["v"].isNotNull())
+    near = F.transform(zipped, lambda z: F.struct(z["v"].alias("v"), z["b"].alias("b"), F.substring(F.concat(F.substring(z["c"], -48, 48), F.substring(z["b"], -48, 48)), -48, 48).alias("near"), F.substring(z["a"], 1, 8).alias("a")))
     near = F.transform(near, lambda z: F.struct(z["v"].alias("v"), z["b"].alias("b"), F.array(*_features(z["v"], z["near"], z["a"], path)).alias("f")))
     return F.when(some, near), F.when(some, F.element_at(gaps, -1)).otherwise(text)
 

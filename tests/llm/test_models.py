@@ -174,6 +174,22 @@ def test_secrets_are_found_and_replaced(spark):
     assert secrets.scan(documents(spark, []), forest).count() == 0
 
 
+def test_whole_assigned_values(spark):
+    values = ["kX9!mPq2@vLr7#tWz4$", "kX9!mPq2@vLr7#t!Wz4", "QwErTyUiOpAsDfGhJkLz", "correcthorsebattery", "aB3$dE6^gH9&jK2*mN5!pQ8@rS1#tU4%", "my.Pass9!word?Zx7Kq"]
+    texts = [x.format(v) for v in values for x in ('a password = "{}" b', "a password={} b", "a secret: '{}', b", "a password={}. B")]
+    more = [("a?q=something&token=9f86d081884c7d65&next=1", ["9f86d081884c7d65"]), ('config: password="x:Y9,z(Q)7;kLm2"', ["x:Y9,z(Q)7;kLm2"]), ('u="https://a.org/?lang=english&token=9f86d081884c7d659a2f" c', ["9f86d081884c7d659a2f"]), ("password: required", []), ("The following: description of everything", []), ("see https://www.example.com/en/about", []), ("password=" + "a." * 5000, None), ("x: " + "." * 5000 + "a", None)]
+    forest = secrets.train(secrets.labelled_findings(spark))
+    scanned = secrets.scan(documents(spark, texts + [t for t, _ in more]), forest).withColumn("new", secrets.redacted())
+    rows = {r.doc_id: r for r in scanned.collect()}
+    for i, t in enumerate(texts):
+        value = values[i // 4]
+        assert [z.v for z in rows[i]["_hits"]] == [value], t
+        assert rows[i].new == t.replace(value, "[SECRET]"), t
+    for i, (t, kept) in enumerate(more, len(texts)):
+        assert kept is None or [z.v for z in rows[i]["_hits"] if z.secret] == kept, t
+        assert "".join(z.b + z.v for z in rows[i]["_hits"]) + rows[i]["_rest"] == t
+
+
 def test_forest_on_findings_held_out(spark):
     every = secrets.labelled_findings(spark, 4000).withColumn("k", F.pmod(F.xxhash64("value"), F.lit(4)))
     forest = secrets.train(every.where("k > 0").drop("k"))
