@@ -121,6 +121,13 @@ def is_source_map(text: Column) -> Column:
     return head.startswith("{") & F.coalesce(F.size(sources) > 0, F.lit(False))
 
 
+def lower_keys(headers: Column) -> Column:
+    """Headers by their names in lower case; of names that differ in case only, one that is in lower case already counts."""
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct((F.lower(e["key"]) != e["key"]).alias("other"), F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    kept = F.aggregate(F.array_sort(entries), F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
+    return F.when(F.exists(F.map_keys(headers), lambda k: k != F.lower(k)), kept).otherwise(headers)
+
+
 def scope_name(url: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(url, r"\Ahttps://", "https_"), r"\Ahttp://", "http_")
     return F.translate(out, ":/", "__")

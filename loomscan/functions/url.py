@@ -30,13 +30,14 @@ def parses(url: Column) -> Column:
 
 
 def parsed(url: Column) -> Column:
-    """ok, scheme, host, path, query and mark of an address; host without the scheme's own port, path encoded."""
+    """all, ok, scheme, host, path, query and mark of an address; host without the scheme's own port, path encoded."""
 
-    def named(g: Column) -> Column:
-        h = F.when(g["scheme"] == "http", F.regexp_replace(g["host"], ":(80)?$", "")).otherwise(F.regexp_replace(g["host"], ":(443)?$", ""))
-        return F.struct(g["ok"].alias("ok"), g["scheme"].alias("scheme"), h.alias("host"), encode_path(g["path"]).alias("path"), g["query"].alias("query"), g["mark"].alias("mark"))
+    def parts(u: Column) -> Column:
+        given = F.lower(_part(u, 2))
+        host = F.when(u.rlike("(?i)\\Ahttp:"), F.regexp_replace(given, ":(80)?$", "")).otherwise(F.regexp_replace(given, ":(443)?$", ""))
+        return F.struct(u.alias("all"), parses(u).alias("ok"), F.lower(_part(u, 1)).alias("scheme"), host.alias("host"), encode_path(_part(u, 3)).alias("path"), _part(u, 4).alias("query"), _part(u, 5).alias("mark"))
 
-    return let(let(url, lambda u: F.struct(parses(u).alias("ok"), F.lower(_part(u, 1)).alias("scheme"), F.lower(_part(u, 2)).alias("host"), _part(u, 3).alias("path"), _part(u, 4).alias("query"), _part(u, 5).alias("mark"))), named)
+    return let(url, parts)
 
 
 def _origin(p: Column) -> Column:
@@ -54,7 +55,12 @@ def host(url: Column) -> Column:
 
 def origin(url: Column) -> Column:
     """scheme://host[:port], empty for what isn't an http(s) address."""
-    return let(parsed(url), lambda p: F.when(p["ok"], _origin(p)).otherwise(F.lit("")))
+    return let(parsed(url), origin_of)
+
+
+def origin_of(p: Column) -> Column:
+    """origin, of an address that is parsed already."""
+    return F.when(p["ok"], _origin(p)).otherwise(F.lit(""))
 
 
 def encode_path(path: Column) -> Column:
@@ -66,12 +72,9 @@ def encode_path(path: Column) -> Column:
 def _resolved_dots(path: Column) -> Column:
     """Removes . and .. segments of an absolute path; a final one leaves a slash."""
     step = lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(s)))
-
-    def walk(parts: Column) -> Column:
-        out = F.aggregate(parts, F.array().cast("array<string>"), step)
-        return F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(out, F.array(F.lit("")))).otherwise(out), "/")
-
-    return F.when(path.rlike(r"/\.\.?(/|\z)"), let(let(F.split(path, "/"), walk), lambda j: F.when(j.startswith("/"), j).otherwise(F.concat(F.lit("/"), j)))).otherwise(path)
+    kept = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    out = F.concat(F.lit("/"), F.regexp_replace(kept, r"\A/", ""), F.when(path.rlike(r"/\.\.?\z") & (kept != ""), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), out).otherwise(path)
 
 
 def clean_path(path: Column) -> Column:
@@ -87,14 +90,19 @@ def resolve(base: Column, ref: Column) -> Column:
     return resolve_at(parsed(base), ref)
 
 
+def _cut(ref: Column) -> Column:
+    """A reference without blanks around it, cut into path, query and mark."""
+    clean = F.regexp_replace(F.regexp_replace(ref, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+    part = lambda r, i: F.regexp_extract(r, r"(?s)\A([^?#]*)(\?[^#]*)?(#.*)?\z", i)
+    return let(clean, lambda r: F.struct(r.alias("all"), F.replace(part(r, 1), F.lit("\\"), F.lit("/")).alias("path"), part(r, 2).alias("query"), part(r, 3).alias("mark")))
+
+
 def resolve_at(base: Column, ref: Column) -> Column:
     """resolve, for a base that is parsed already."""
-    clean = F.regexp_replace(F.regexp_replace(ref, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
-    split = lambda r, i: F.regexp_extract(r, r"(?s)\A([^?#]*)(\?[^#]*)?(#.*)?\z", i)
-    cut = let(clean, lambda r: F.struct(r.alias("all"), F.replace(split(r, 1), F.lit("\\"), F.lit("/")).alias("path"), split(r, 2).alias("query"), split(r, 3).alias("mark")))
 
     def whole(p: Column) -> Column:
-        return F.concat(_origin(p), _resolved_dots(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])), F.regexp_replace(F.concat(p["query"], p["mark"]), " ", "%20"))
+        out = F.concat(_origin(p), _resolved_dots(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])), F.regexp_replace(F.concat(p["query"], p["mark"]), " ", "%20"))
+        return F.when(p["ok"], out).otherwise(p["all"])
 
     def choose(b: Column, r: Column) -> Column:
         path, tail = r["path"], F.regexp_replace(F.concat(r["query"], r["mark"]), " ", "%20")
@@ -102,23 +110,43 @@ def resolve_at(base: Column, ref: Column) -> Column:
         given = F.when(path.startswith("//"), F.concat(b["scheme"], F.lit(":"), path, r["query"], r["mark"])).otherwise(r["all"])
         rooted = F.when(path.startswith("/"), encode_path(path)).otherwise(F.concat(F.regexp_replace(here, r"[^/]*\z", ""), encode_path(path)))
         return (
-            F.when(r["all"].rlike(r"(?i)\Ahttps?://") | (b["ok"] & path.startswith("//")), let(parsed(given), lambda p: F.when(p["ok"], whole(p)).otherwise(r["all"])))
+            F.when(r["all"].rlike(r"(?i)\Ahttps?://") | (b["ok"] & path.startswith("//")), let(parsed(given), whole))
             .when(r["all"].rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:") | ~b["ok"], r["all"])
             .when((path == "") & (r["query"] == ""), F.concat(_origin(b), here, b["query"], r["mark"]))
             .when(path == "", F.concat(_origin(b), here, tail))
             .otherwise(F.concat(_origin(b), _resolved_dots(rooted), tail))
         )
 
-    return let(base, lambda b: let(cut, lambda r: choose(b, r)))
+    return let(F.struct(base.alias("b"), _cut(ref).alias("r")), lambda x: choose(x["b"], x["r"]))
+
+
+def _key(p: Column) -> Column:
+    key = F.concat(_origin(p), F.when((p["path"] == "") & (p["query"] == ""), F.lit("")).when(p["path"] == "", F.lit("/")).otherwise(clean_path(p["path"])), p["query"])
+    return F.when(p["ok"], key).otherwise(p["all"])
 
 
 def normalize(url: Column) -> Column:
     """The key of a resource: no fragment, a clean path, lower-case host; a bare origin stays bare."""
+    return let(parsed(url), _key)
+
 
-    def key(p: Column) -> Column:
-        return F.concat(_origin(p), F.when((p["path"] == "") & (p["query"] == ""), F.lit("")).when(p["path"] == "", F.lit("/")).otherwise(clean_path(p["path"])), p["query"])
+def normalize_at(base: Column, ref: Column) -> Column:
+    """normalize of resolve_at, in one step: the key has no dot segments and no mark whatever the address had."""
 
-    return let(url, lambda u: let(parsed(u), lambda p: F.when(p["ok"], key(p)).otherwise(u)))
+    def choose(b: Column, r: Column) -> Column:
+        path, all_ = r["path"], r["all"]
+        here = F.when(b["path"] == "", F.lit("/")).otherwise(b["path"])
+        folder = F.regexp_replace(here, r"[^/]*\z", "")
+        return (
+            F.when(all_.rlike(r"(?i)\Ahttps?://"), all_)
+            .when(b["ok"] & path.startswith("//"), F.concat(b["scheme"], F.lit(":"), path, r["query"]))
+            .when(all_.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:") | ~b["ok"], all_)
+            .when((path == "") & (r["query"] == ""), F.concat(_origin(b), here, b["query"]))
+            .when(path == "", F.concat(_origin(b), here, F.replace(r["query"], F.lit(" "), F.lit("%20"))))
+            .otherwise(F.concat(_origin(b), F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)), F.replace(r["query"], F.lit(" "), F.lit("%20"))))
+        )
+
+    return let(parsed(let(F.struct(base.alias("b"), _cut(ref).alias("r")), lambda x: choose(x["b"], x["r"]))), _key)
 
 
 def rebase_loopback(url: Column, start: Column) -> Column:
@@ -134,7 +162,12 @@ def rebase_loopback(url: Column, start: Column) -> Column:
 
 def directory(url: Column) -> Column:
     """The directory with its slash, empty for what isn't an address."""
-    return let(parsed(url), lambda p: F.when(p["ok"], F.concat(_origin(p), F.when(p["path"] == "", F.lit("/")).otherwise(F.regexp_replace(p["path"], r"[^/]*\z", "")))).otherwise(F.lit("")))
+    return let(parsed(url), directory_of)
+
+
+def directory_of(p: Column) -> Column:
+    """directory, of an address that is parsed already."""
+    return F.when(p["ok"], F.concat(_origin(p), F.when(p["path"] == "", F.lit("/")).otherwise(F.regexp_replace(p["path"], r"[^/]*\z", "")))).otherwise(F.lit(""))
 
 
 def join(base: Column, path: Column) -> Column:
@@ -142,14 +175,18 @@ def join(base: Column, path: Column) -> Column:
     return F.when(path == "", base).otherwise(F.concat(F.regexp_replace(base, r"/\z", ""), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))))
 
 
-def combo_members(url: Column) -> Column:
-    """The files of a combo address (prefix??a,b), or the address itself, as an array."""
+def combo_parts(url: Column) -> Column:
+    """The files of a combo address (prefix??a,b) as spelled, or the address itself, as an array."""
     after = F.regexp_extract(url, r"(?s)\?\?(.*)\z", 1)
     prefix, files = F.substring_index(url, "??", 1), F.regexp_extract(after, r"(?s)\A([^?#]*)", 1)
     suffix = F.regexp_extract(after, r"(?s)\A[^?#]*(.*)\z", 1)
     names = F.filter(F.transform(F.split(files, ","), lambda x: F.trim(x)), lambda x: x != "")
-    listed = let(F.struct(prefix.alias("a"), suffix.alias("z"), names.alias("n")), lambda c: F.transform(c["n"], lambda x: normalize(F.concat(c["a"], x, c["z"]))))
-    return F.when(url.contains("??"), let(listed, lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(url)))).otherwise(F.array(url))
+    return F.when(url.contains("??") & (F.size(names) > 0), F.transform(names, lambda x: F.concat(prefix, x, suffix))).otherwise(F.array(url))
+
+
+def combo_members(url: Column) -> Column:
+    """combo_parts, those of a combo address normalised."""
+    return F.when(url.contains("??") & url.rlike(r"\?\?\s*[^?#,\s]|\?\?[^?#]*,\s*[^?#,\s]"), F.transform(combo_parts(url), normalize)).otherwise(F.array(url))
 
 
 def is_static(url: Column) -> Column:

@@ -164,7 +164,7 @@ def _hits(text: Column, path: Column, forest: str) -> tuple[Column, Column]:
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     gaps = F.split(text, CANDIDATE, -1)
     # One place more than there are candidates, which is dropped; c: the candidate before.
-    zipped = F.arrays_zip(found.alias("v"), gaps.alias("b"), F.slice(gaps, 2, 2**31 - 1).alias("a"), F.concat(F.array(F.lit("")), found).alias("c"))
+    zipped = F.arrays_zip(found.alias("v"), gaps.alias("b"), F.slice(gaps, 2, 1 << 30).alias("a"), F.concat(F.array(F.lit("")), found).alias("c"))
     zipped = F.filter(zipped, lambda z: z["v"].isNotNull())
     near = F.transform(zipped, lambda z: F.struct(z["v"].alias("v"), z["b"].alias("b"), F.substring(F.concat(F.substring(z["c"], -48, 48), F.substring(z["b"], -48, 48)), -48, 48).alias("near"), F.substring(z["a"], 1, 8).alias("a")))
     near = F.transform(near, lambda z: F.struct(z["v"].alias("v"), z["b"].alias("b"), F.array(*_features(z["v"], z["near"], z["a"], path)).alias("f")))

@@ -1,9 +1,10 @@
 """Extractors: what documents refer to, as rows with provenance.
 
-Each extractor is a function of a document's columns that gives an array of (type,
-value) for the kinds of document it applies to.  All selected ones are evaluated in one
-projection and exploded once, so documents are read and unescaped once, without shuffle,
-however many extractors run.
+Readers give a document's tags, strings and runtime once; each extractor is a predicate
+on them, for the kinds of document it applies to, that gives an array of (type, value).
+All selected extractors are evaluated in one projection, their values resolved, made
+distinct and exploded once, so documents are read once, without shuffle, however many
+extractors run.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.functions import content, let, scanners, url
-from loomscan.operators import webpack
-from loomscan.operators.webpack import first, matches
+from loomscan.functions import content, let, scanners, scripts, url
+from loomscan.functions.readers import attribute, follows, named, quoted, sections, strings, tags, values
 
 FINDING = "array<struct<type:string,value:string>>"
 CAP = 50
@@ -24,11 +24,20 @@ CAP = 50
 NO_PAGE = [".js", ".css", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".woff", ".woff2", ".ttf", ".json", ".xml", ".map", ".pdf"]
 # Endings that, standing before .js, tell that an address is no script.
 NO_SCRIPT = [".css", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".json", ".xml", ".txt", ".pdf", ".zip", ".rar", ".7z", ".html", ".htm", ".map", ".woff", ".ttf", ".otf", ".eot"]
+# Endings of addresses that no application route has.
+NO_ROUTE = [".js", ".css", ".png", ".jpg", ".svg", ".ico", ".woff", ".woff2", ".ttf", ".eot"]
+# Texts that a bundler's runtime has.
+RUNTIME_MARKERS = ["__webpack_require__", "webpackJsonp", "chunk-", "webpackChunk", "__webpack_public_path__", "resourceBaseUrl", "rspackChunk", "__rspack_"]
 
 
 @dataclass(frozen=True)
 class Doc:
-    """A document's columns; text is as captured, decoded without escapes; base is the parsed url."""
+    """A document's columns; text is as captured, decoded without escapes; base is the parsed url.
+
+    tags and strings are what the readers find in text, decoded_tags and
+    decoded_strings in decoded; runtime is what a bundler's runtime says, constants what
+    imported variables hold; routes is the text of a route manifest.
+    """
 
     url: Column
     kind: Column
@@ -38,6 +47,12 @@ class Doc:
     base: Column
     origin: Column
     directory: Column
+    tags: Column
+    strings: Column
+    decoded_tags: Column
+    decoded_strings: Column
+    runtime: Column
+    constants: Column
     routes: Column
 
 
@@ -81,6 +96,18 @@ def looks_like_script(address: Column) -> Column:
     return (at > 0) & ~early & ~low.endswith(".map") & ~low.rlike(r"\A(data|blob|about):")
 
 
+def looks_like_entry(address: Column) -> Column:
+    """Whether an address looks like an HTML page: by its ending, queries and marks aside."""
+    path = F.lower(F.regexp_extract(address, r"(?s)\A([^?#]*)", 1))
+    return path.endswith(".html") | path.endswith(".htm") | path.endswith("/")
+
+
+def entry_candidates(address: Column) -> Column:
+    """The pages that an entry may mean: itself, or without an ending what may stand below it or beside it."""
+    bare = F.regexp_replace(address, r"/+\z", "")
+    return F.when(looks_like_entry(address) & ~address.endswith("/"), F.array(address)).otherwise(F.array(F.concat(bare, F.lit("/")), F.concat(bare, F.lit("/index.html")), F.concat(bare, F.lit(".html"))))
+
+
 def trimmed_end(x: Column) -> Column:
     return F.regexp_replace(x, r"[),;\"'> ]+\z", "")
 
@@ -89,32 +116,36 @@ def with_js(x: Column) -> Column:
     return F.when(x.endswith(".js"), x).otherwise(F.concat(x, F.lit(".js")))
 
 
+def no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
 def html_scripts(d: Doc) -> Column:
-    link = r"(?i)<link[^>]+(?:href\s*=\s*[\"']?([^\"'\s>]+\.js)[\"']?[^>]*rel\s*=\s*[\"']?prefetch[\"']?|rel\s*=\s*[\"']?prefetch[\"']?[^>]+href\s*=\s*[\"']?([^\"'\s>]+\.js)[\"']?)"
-    prefetch = F.zip_with(matches(d.text, link, 1), matches(d.text, link, 2), lambda a, b: F.when(a != "", a).otherwise(b))
-    found = F.concat(
-        matches(d.text, r"(?i)<script[^>]*\bsrc=[\"']?([^\"'>\s]+)[\"']?"),
-        matches(d.text, r"(?i)<link[^>]+rel\s*=\s*[\"']?modulepreload[\"']?[^>]+href\s*=\s*[\"']?([^\"'\s>]+\.js)[\"']?"),
-        prefetch,
-        matches(d.text, r"(?i)<script[^>]+type=[\"']module[\"'][^>]*src=[\"']([^\"']+)[\"']"),
-    )
+    js = lambda v: F.lower(v).endswith(".js")
+    of = lambda name, attr, test: F.filter(F.transform(F.filter(d.tags, lambda t: named(t, name) & test(t)), lambda t: attribute(t, attr)), lambda v: v != "")
+    linked = lambda rel: F.filter(of("link", "href", lambda t: F.lower(attribute(t, "rel")) == rel), js)
+    found = F.concat(of("script", "src", lambda t: F.lit(True)), linked("modulepreload"), linked("prefetch"))
     return gated((d.kind == "html", tagged("url", found)))
 
 
 def dynamic_imports(d: Doc) -> Column:
-    found = F.filter(matches(d.text, r"import\s*\(\s*[\"'`]([^\"'`]+)[\"'`]\s*\)"), lambda v: ~v.contains("${"))
+    found = values(d.strings, lambda s: s["after"].rlike(r"\A.\s*\)") & ~s["value"].contains("${") & follows(s, r"import\s*\("))
     return gated(((d.kind == "js") & d.text.contains("import"), tagged("url", found)))
 
 
 def bundler_runtime(d: Doc) -> Column:
-    public = one(first(d.text, webpack.PUBLIC_PATH))
-    return gated(((d.kind == "js") & webpack.wanted(d.text), F.concat(tagged("public", public), tagged("probe", webpack.probes(d.text, d.directory)))))
+    return gated((d.kind == "js", F.concat(tagged("public", one(d.runtime["public"])), tagged("probe", F.coalesce(d.runtime["probes"], no_texts())))))
+
+
+def runtime_like(text: Column) -> Column:
+    """Whether a script may be a bundler's runtime: by its markers, or since it adds .js to a look-up."""
+    return has(text, *RUNTIME_MARKERS) | text.rlike(r"\}\)?\[\w+\]\s*\+\s*[\"']\.js")
 
 
 def _routes(text: Column) -> Column:
     """Paths of a flight payload's route lists."""
     part = lambda s: F.filter(F.transform(F.split(s, ","), lambda p: F.regexp_replace(p, r"\A[\s\"]+|[\s\"]+\z", "")), lambda p: ~p.isin("", "$undefined", "__PAGE__") & ~p.startswith("$"))
-    return F.filter(F.transform(matches(text, r"\"c\":\[([^\]]+)\]"), lambda s: F.array_join(part(s), "/")), lambda p: p != "")
+    return F.filter(F.transform(sections(text, r'"c":\[', "]"), lambda s: F.array_join(part(s), "/")), lambda p: p != "")
 
 
 def _base_path(d: Doc, routes: Column) -> Column:
@@ -125,38 +156,55 @@ def _base_path(d: Doc, routes: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substr(path, F.lit(1), at - 1)).when((last > 1) & every, F.substr(path, F.lit(1), last - 1)), F.lit(""))
 
 
+def json_text(text: Column, key: str) -> Column:
+    """The first string that a JSON text gives a key."""
+    return F.regexp_extract(text, rf'"{key}"\s*:\s*"([^"]+)"', 1)
+
+
+def lists_by_key(text: Column) -> Column:
+    """(key, list) for every quoted key of a text with a list: the list's text."""
+    pair = lambda s: F.transform(s, lambda x, i: F.struct(F.substring_index(F.get(s, i - 1), '"', -1).alias("key"), F.substring_index(x, "]", 1).alias("list")))
+    return F.filter(let(F.split(text, r'"\s*:\s*\[', -1), pair), lambda x: x["key"].isNotNull())
+
+
 def next_js(d: Doc) -> Column:
     origin, t = d.origin, d.text
-    chunk = r"(/?(?:_next/)?static/(?:immutable/)?(?:chunks|css)/[^\"'\s,\]\\]+\.(?:js|css))"
-    chunks = F.flatten(F.transform(matches(t, r"I\[\d+,\[([^\]]+)\]"), lambda c: F.regexp_extract_all(c, F.lit(chunk), F.lit(1))))
-    routes = _routes(t)
-    requests = tagged("request", let(routes, lambda rs: let(_base_path(d, rs), lambda b: F.transform(rs, lambda r: F.concat(origin, b, F.lit("/"), r)))))
+    asset = lambda v: v.rlike(r"static/(immutable/)?(chunks|css)/") & (v.endswith(".js") | v.endswith(".css"))
+    pieces = F.flatten(F.transform(sections(t, r"I\[\d+,\[", "]"), lambda c: F.split(c, r"[\"',\s\\]", -1)))
+    chunks = F.filter(F.transform(pieces, lambda v: F.regexp_extract(v, r"(?:/?_next/|/)?static/.+\z", 0)), asset)
+    requests = tagged("request", let(_routes(t), lambda rs: let(_base_path(d, rs), lambda b: F.transform(rs, lambda r: F.concat(origin, b, F.lit("/"), r)))))
 
-    given, flight = first(d.decoded, r"\"buildId\"\s*:\s*\"([^\"]+)\""), first(d.decoded, r"\"b\":\"([^\"]+)\"")
+    given, flight = json_text(d.decoded, "buildId"), json_text(d.decoded, "b")
     build = F.when(given != "", given).otherwise(flight)
-    names = F.array(*(F.lit(n) for n in ("_buildManifest.js", "_ssgManifest.js", "_appManifest.js")))
-    manifests = F.when(build != "", let(build, lambda b: F.transform(names, lambda n: F.concat(F.lit("/_next/static/"), b, F.lit("/"), n)))).otherwise(F.array().cast("array<string>"))
-    prefixes = F.filter(F.transform(matches(t, r"https?://[^\"' ]+/_next", 0), lambda p: F.regexp_replace(p, r"/_next\z", "")), lambda p: ~p.contains("{{"))
-    links = F.filter(matches(t, r"<a\s[^>]*href=[\"']([^\"']+)[\"']"), lambda h: ~h.rlike(r"\A(#|javascript:|mailto:|tel:)"))
+    files = F.array(*(F.lit(n) for n in ("_buildManifest.js", "_ssgManifest.js", "_appManifest.js")))
+    manifests = let(build, lambda b: F.when(b != "", F.transform(files, lambda n: F.concat(F.lit("/_next/static/"), b, F.lit("/"), n))).otherwise(no_texts()))
+    prefixes = F.filter(F.transform(F.split(t, r"[\"' ]", -1), lambda p: F.regexp_extract(p, r"(https?://.+)/_next", 1)), lambda p: (p != "") & ~p.contains("{{"))
+    links = F.filter(F.transform(F.filter(d.tags, lambda g: named(g, "a", exact=True)), lambda g: attribute(g, "href", quoted=True)), lambda h: (h != "") & ~h.rlike(r"\A(#|javascript:|mailto:|tel:)"))
     clean = F.transform(links, lambda h: F.regexp_replace(url.resolve_at(d.base, h), r"(?s)[?#].*\z", ""))
-    clean = F.filter(clean, lambda u: (url.origin(u) == origin) & ~F.lower(u).rlike(r"\.(js|css|png|jpg|svg|ico|woff|woff2|ttf|eot)\z") & ~u.contains("/_next/static"))
-    html = F.concat(tagged("public", one(build)), tagged("prepend", prefixes), tagged("probe", manifests), tagged("absolute", F.transform(manifests, lambda m: F.concat(origin, m))), tagged("url", chunks), tagged("request", F.array(d.url)), requests, tagged("request", clean))
-
-    flown = F.concat(tagged("url", chunks), tagged("url", matches(t, r":HL\[\"([^\"]+\.js)\",\"script\"\]")), tagged("public", one(first(t, r"\"b\":\"([^\"]+)\""))), requests)
-
-    builder = r"s\.u\s*=\s*e\s*=>\s*[\"']([^\"']*)[\"']\s*\+\s*e\s*\+\s*[\"']-[\"']\s*\+\s*(\{[^}]+\})\s*\[\s*e\s*\]\s*\+\s*[\"']([^\"']*)[\"']"
-    built = F.flatten(F.transform(F.arrays_zip(matches(t, builder, 1).alias("p"), matches(t, builder, 2).alias("b"), matches(t, builder, 3).alias("s")), lambda m: F.transform(webpack.pairs(m["b"], r'"(\d+)"\s*:\s*"([a-f0-9]+)"'), lambda e: F.concat(m["p"], e["k"], F.lit("-"), e["v"], m["s"]))))
-    single = F.array_distinct(webpack.pairs(t, r'\{(\d+)\s*:\s*"([a-f0-9]+)"\}'))
-    guesses = F.flatten(F.transform(single, lambda e: F.transform(F.array(F.lit("static/chunks/"), F.lit("static/"), F.lit("chunks/"), F.lit("")), lambda p: F.concat(p, e["k"], F.lit("."), e["v"], F.when(p == "", F.lit(".function.chunk.js")).otherwise(F.lit(".js"))))))
-    relative = matches(t, r"(?:^|[^A-Za-z0-9_])(static/(?:immutable/)?chunks/[^\"'\\\s<>()\],]+\.js)")
-    ids = F.transform(F.array_distinct(matches(t, r"__webpack_require__\.e\s*\(\s*[\"']([^\"']+)[\"']\s*\)")), lambda c: F.concat(F.lit("__webpack_require_e__"), c))
-    pages = F.when(t.contains("__BUILD_MANIFEST"), webpack.pairs(t, r'"(/[^"]+)":\s*\[([^\]]+)\]')).otherwise(webpack.pairs(F.lit(""), r"(x)(y)"))
-    listed = F.flatten(F.transform(pages, lambda p: F.regexp_extract_all(p["v"], F.lit(r'"([^"]+\.js)"'), F.lit(1))))
-    others = F.filter(F.flatten(F.transform(matches(t, r"otherChunks\s*:\s*\[([^\]]+)\]"), lambda b: F.transform(F.regexp_extract_all(b, F.lit(r"[\"']([^\"']+\.js)[\"']"), F.lit(1)), lambda c: F.regexp_replace(c, r"\A/+", "")))), lambda c: c.startswith("static/"))
-    sorted_pages = F.when(t.contains("otherChunks"), F.transform(F.regexp_extract_all(first(t, r"sortedPages\s*:\s*\[([^\]]+)\]"), F.lit(r'"([^"]+)"'), F.lit(1)), lambda p: F.concat(origin, p))).otherwise(F.array().cast("array<string>"))
+    clean = F.filter(clean, lambda u: (url.origin(u) == origin) & ~ends_in(F.lower(u), NO_ROUTE) & ~u.contains("/_next/static"))
+    html = let(manifests, lambda m: F.concat(tagged("public", one(build)), tagged("prepend", prefixes), tagged("probe", m), tagged("absolute", F.transform(m, lambda x: F.concat(origin, x))), tagged("url", chunks), tagged("request", F.array(d.url)), requests, tagged("request", clean)))
+
+    hinted = F.filter(F.transform(sections(t, r":HL\[", "]"), quoted), lambda q: (F.get(q, F.lit(1)) == "script") & F.get(q, F.lit(0)).endswith(".js"))
+    flown = F.concat(tagged("url", chunks), tagged("url", F.transform(hinted, lambda q: F.get(q, F.lit(0)))), tagged("public", one(json_text(t, "b"))), requests)
+
+    named_sum = t.contains("s.u=") & t.rlike(r'\{\s*"[0-9]+"\s*:')
+    built = F.when(named_sum, d.runtime["probes"])
+    single = F.array_distinct(F.filter(sections(t, r"\{", "}"), lambda m: m.rlike(r'\A\s*\d+\s*:\s*"[a-f0-9]+"\s*\z')))
+    pair = lambda m: F.struct(F.trim(F.substring_index(m, ":", 1)).alias("k"), F.split_part(m, F.lit('"'), F.lit(2)).alias("v"))
+    layouts = F.array(*(F.lit(p) for p in ("static/chunks/", "static/", "chunks/", "")))
+    guesses = F.flatten(F.transform(F.transform(single, pair), lambda e: F.transform(layouts, lambda p: F.concat(p, e["k"], F.lit("."), e["v"], F.when(p == "", F.lit(".function.chunk.js")).otherwise(F.lit(".js"))))))
+    within = F.transform(F.flatten(F.transform(values(d.strings, lambda s: s["value"].rlike(r"static/(immutable/)?chunks/.")), lambda v: F.split(v, r"[\\\s<>()\],]", -1))), lambda p: F.regexp_extract(p, r"(?:\A|[^A-Za-z0-9_])(static/(?:immutable/)?chunks/.+\.js)", 1))
+    ids = F.transform(values(d.strings, lambda s: follows(s, r"__webpack_require__\.e\s*\(")), lambda c: F.concat(F.lit("__webpack_require_e__"), c))
+    pages = F.when(t.contains("__BUILD_MANIFEST"), F.filter(lists_by_key(t), lambda p: p["key"].rlike("\\A/.")))
+    page_keys = F.coalesce(F.transform(pages, lambda p: p["key"]), no_texts())
+    listed = F.coalesce(F.filter(F.flatten(F.transform(pages, lambda p: quoted(p["list"]))), lambda c: c.endswith(".js")), no_texts())
+    rooted = lambda c: F.regexp_replace(c, r"\A/+", "")
+    others = F.filter(F.transform(F.flatten(F.transform(sections(t, r"otherChunks\s*:\s*\[", "]"), quoted)), rooted), lambda c: c.startswith("static/") & c.endswith(".js"))
+    sorted_pages = F.when(t.contains("otherChunks"), F.transform(quoted(F.get(sections(t, r"sortedPages\s*:\s*\[", "]"), F.lit(0))), lambda p: F.concat(origin, p)))
+    sorted_pages = F.coalesce(sorted_pages, no_texts())
     js = F.concat(
-        tagged("url", F.concat(built, guesses, relative)), tagged("probe", ids), tagged("request", F.transform(pages, lambda p: F.concat(origin, p["k"]))),
-        tagged("probe", F.transform(listed, lambda c: F.concat(origin, F.lit("/_next/"), F.regexp_replace(c, r"\A/+", "")))), tagged("url", listed),
+        tagged("url", F.concat(F.coalesce(built, no_texts()), guesses, within)), tagged("probe", ids), tagged("request", F.transform(page_keys, lambda k: F.concat(origin, k))),
+        tagged("probe", F.transform(listed, lambda c: F.concat(origin, F.lit("/_next/"), rooted(c)))), tagged("url", listed),
         tagged("probe", F.transform(others, lambda c: F.concat(origin, F.lit("/_next/"), c))), tagged("request", sorted_pages), tagged("html", sorted_pages),
     )
     return gated(
@@ -166,8 +214,16 @@ def next_js(d: Doc) -> Column:
     )
 
 
+def ends_in(x: Column, endings: list[str]) -> Column:
+    out = F.lit(False)
+    for e in endings:
+        out = out | x.endswith(e)
+    return out
+
+
 def nuxt(d: Doc) -> Column:
-    found = tagged("url", matches(d.text, r"(?:https?://[^\"' ]+)?/_nuxt/[^\"'\\\s<>()\],]+\.js", 0))
+    pieces = F.filter(F.split(d.text, r"[\"'\\\s<>()\],]", -1), lambda p: p.contains("/_nuxt/"))
+    found = tagged("url", F.transform(pieces, lambda p: F.regexp_extract(p, r"(?:https?://.*)?/_nuxt/.+\.js", 0)))
     return gated(((d.kind == "html") & has(d.text, "__NUXT__", "__NUXT_DATA__", "/_nuxt/"), found), ((d.kind == "js") & has(d.text, "buildAssetsDir", '"buildId"', "process.env.NUXT"), found))
 
 
@@ -175,41 +231,45 @@ def vite(d: Doc) -> Column:
     t, root = d.text, d.origin
     files = F.transform(F.map_values(F.from_json(t, "map<string,struct<file:string>>")), lambda e: e["file"])
     manifest = F.transform(F.filter(files, lambda f: f.endswith(".js")), lambda f: F.concat(root, F.lit("/"), F.regexp_replace(f, r"\A/+", "")))
-    preloads = matches(t, r"<link[^>]+rel=[\"']modulepreload[\"'][^>]+href=[\"']([^\"']+)[\"']")
-    modules = matches(t, r"<script[^>]*type=[\"']module[\"'][^>]*src=[\"']([^\"']+)[\"']")
-    place = F.when((F.size(preloads) + F.size(modules) > 0) & (root != ""), F.array(F.concat(root, F.lit("/.vite/manifest.json")))).otherwise(F.array().cast("array<string>"))
-    html = F.concat(tagged("url", F.filter(preloads, lambda h: h.rlike(r"\.(js|css)\z"))), tagged("url", modules), tagged("json", place))
+    of = lambda name, attr, test: F.filter(F.transform(F.filter(d.tags, lambda g: named(g, name, exact=True) & test(g)), lambda g: attribute(g, attr, quoted=True)), lambda v: v != "")
+    preloads = of("link", "href", lambda g: attribute(g, "rel", quoted=True) == "modulepreload")
+    modules = of("script", "src", lambda g: attribute(g, "type", quoted=True) == "module")
+    place = F.when((F.size(preloads) + F.size(modules) > 0) & (root != ""), F.array(F.concat(root, F.lit("/.vite/manifest.json")))).otherwise(no_texts())
+    html = F.concat(tagged("url", F.filter(preloads, lambda h: h.endswith(".js") | h.endswith(".css"))), tagged("url", modules), tagged("json", place))
     return gated(
         ((d.kind == "json") & t.contains('"isEntry"') & t.contains('"file"'), tagged("absolute", manifest)),
         ((d.kind == "html") & has(t, "@vite/client", 'type="module"', "modulepreload"), html),
-        ((d.kind == "js") & has(t, "__vite", "import.meta.env"), tagged("url", matches(t, r"__vitePreload\s*\(\s*\(\s*\)\s*=>\s*import\s*\(\s*[\"']([^\"']+)[\"']"))),
+        ((d.kind == "js") & has(t, "__vite", "import.meta.env"), tagged("url", values(d.strings, lambda s: follows(s, r"__vitePreload\s*\(\s*\(\)\s*=>\s*import\s*\(")))),
     )
 
 
 def svelte(d: Doc) -> Column:
-    under = lambda part: F.transform(matches(d.text, rf"[\"']\.\.?/{part}/([0-9a-zA-Z_-]+\.js)[\"']"), lambda n: F.concat(F.lit(f"/_app/immutable/{part}/"), n))
-    found = tagged("url", F.concat(under("nodes"), under("chunks")))
+    below = lambda part: F.transform(values(d.strings, lambda s: s["value"].rlike(rf"\A\.{{1,2}}/{part}/[\w-]+\.js\z")), lambda v: F.concat(F.lit("/_app/immutable/"), F.substring_index(v, "/", -2)))
+    found = tagged("url", F.concat(below("nodes"), below("chunks")))
     return gated(((d.kind == "html") & has(d.text, "_app/immutable", "__svelte", "sveltekit"), found), ((d.kind == "js") & has(d.text, "_app/immutable", "__sveltekit", ".svelte"), found))
 
 
 def require_js(d: Doc) -> Column:
     t = d.text
-    html = F.concat(matches(t, r"<script[^>]*src=[\"']([^\"']*require(?:\.min)?\.js[^\"']*)[\"']"), F.transform(matches(t, r"data-main=[\"']([^\"']+)[\"']"), with_js))
-    named = lambda call: F.flatten(F.transform(matches(t, rf"{call}\s*\(\s*\[([^\]]+)\]"), lambda b: F.regexp_extract_all(b, F.lit(r"[\"']([^\"']+)[\"']"), F.lit(1))))
-    js = F.transform(F.concat(named("require"), named("define")), lambda v: F.when(url.is_http(v), v).otherwise(with_js(v)))
+    sources = F.filter(F.transform(F.filter(d.tags, lambda g: named(g, "script", exact=True)), lambda g: attribute(g, "src", quoted=True)), lambda v: has(v, "require.js", "require.min.js"))
+    mains = F.filter(F.transform(F.filter(d.tags, lambda g: g.contains("data-main=")), lambda g: attribute(g, "data-main", quoted=True)), lambda v: v != "")
+    html = F.concat(sources, F.transform(mains, with_js))
+    listed = lambda call: F.flatten(F.transform(sections(t, rf"{call}\s*\(\s*\[", "]"), quoted))
+    js = F.transform(F.concat(listed("require"), listed("define")), lambda v: F.when(url.is_http(v), v).otherwise(with_js(v)))
     return gated(((d.kind == "html") & has(t, "require.min.js", "require.js", "data-main=", "require.config"), tagged("url", html)), ((d.kind == "js") & has(t, "require([", "define([", "require.config"), tagged("url", js)))
 
 
 def federation(d: Doc) -> Column:
     t = d.text
-    real = lambda values: F.filter(values, lambda v: ~v.contains("{{") & ~v.contains("}}"))
-    entries = matches(t, r"[\"']([^\"']*remoteEntry\.js)[\"']")
+    entries = values(d.strings, lambda s: s["value"].endswith("remoteEntry.js"))
+    manifests = values(d.strings, lambda s: s["value"].endswith(".json") & s["value"].contains("manifest"))
     folder = lambda e: F.regexp_replace(url.resolve_at(d.base, e), r"[^/]*\z", "")
-    beside = F.flatten(F.transform(entries, lambda e: F.array(e, F.concat(folder(e), F.lit("mf-manifest.json")), F.concat(folder(e), F.lit("federation-manifest.json")))))
-    own = F.transform(F.filter(entries, lambda e: e.rlike(r"(\A|/)remoteEntry\.js\z")), folder)
+    beside = F.flatten(F.transform(entries, lambda e: let(folder(e), lambda f: F.array(e, F.concat(f, F.lit("mf-manifest.json")), F.concat(f, F.lit("federation-manifest.json"))))))
+    own = F.transform(F.filter(entries, lambda e: F.substring_index(e, "/", -1) == "remoteEntry.js"), folder)
     dirs = F.flatten(F.transform(own, lambda f: F.array(f, F.when(f.endswith("/assets/"), F.regexp_replace(f, r"assets/\z", "")))))
-    pages = F.transform(F.filter(dirs, lambda f: f.isNotNull() & (url.origin(f) != "") & f.rlike(r"\A[^:]+://[^/]+/.+/\z")), lambda f: F.concat(f, F.lit("index.html")))
-    found = F.concat(tagged("url", real(F.concat(matches(t, r"[\"']([^\"']*manifest[^\"']*\.json)[\"']"), beside))), tagged("html", pages))
+    # A page is looked for beside an entry in a folder, not at a site's root.
+    pages = F.transform(F.filter(dirs, lambda f: f.isNotNull() & (url.origin(f) != "") & (F.size(F.split(f, "/")) > 4)), lambda f: F.concat(f, F.lit("index.html")))
+    found = F.concat(tagged("url", F.filter(F.concat(manifests, beside), lambda v: ~has(v, "{{", "}}"))), tagged("html", pages))
     return gated(((d.kind == "js") & has(t, "remoteEntry.js", "__webpack_share_scopes__", "__webpack_init_sharing__"), found))
 
 
@@ -217,8 +277,7 @@ _ASSETS = "array<struct<assets:struct<js:struct<sync:array<string>,async:array<s
 
 
 def _chunks(list_: Column) -> Column:
-    none = F.array().cast("array<string>")
-    return F.coalesce(F.flatten(F.transform(list_, lambda e: F.concat(F.coalesce(e["assets"]["js"]["sync"], none), F.coalesce(e["assets"]["js"]["async"], none)))), none)
+    return F.coalesce(F.flatten(F.transform(list_, lambda e: F.concat(F.coalesce(e["assets"]["js"]["sync"], no_texts()), F.coalesce(e["assets"]["js"]["async"], no_texts())))), no_texts())
 
 
 def federation_manifest(d: Doc) -> Column:
@@ -230,58 +289,77 @@ def federation_manifest(d: Doc) -> Column:
     base = F.when(cn != "", F.concat(F.lit("https://"), F.regexp_replace(cn, r"/+\z", ""))).otherwise(F.lit(""))
     mid = F.regexp_replace(F.replace(F.coalesce(m["metaData"]["publicPath"], F.lit("")), F.lit("//__CDN_PREFIX__/"), F.lit("")), r"\A/+|/+\z", "")
     older = tagged("absolute", let(F.concat(base, F.lit("/"), mid, F.lit("/")), lambda p: F.transform(F.array_distinct(F.concat(_chunks(m["shared"]), _chunks(m["exposes"]))), lambda c: F.concat(p, c))))
-    named = first(t, r"baseHost\s*\+\s*[\"']([^\"']+manifest\.json)[\"']")
-    either, plain = first(t, r"baseHost\s*=[^;?]+\?\"[^\"]+\":\"([^\"]+)\""), first(t, r"baseHost\s*=\s*[\"'](https?://[^\"']+)[\"']")
-    host = F.when(either != "", either).when(plain != "", plain).otherwise(F.regexp_extract(d.url, r"\A([^:]+://[^/]*)/", 1))
+    place = F.get(values(d.strings, lambda s: s["value"].endswith("manifest.json") & follows(s, r"baseHost\s*\+")), F.lit(0))
+    # baseHost is set to one address, or to the second of two that a condition chooses from.
+    said = F.substring_index(F.get(F.split(t, r"baseHost\s*=(?!=)", -1), F.lit(1)), ";", 1)
+    held = F.regexp_extract_all(said, F.lit("[\"']([^\"']+)[\"']"), F.lit(1))
+    host = F.coalesce(F.when(said.contains("?"), F.get(held, F.lit(1))), F.get(F.filter(F.slice(held, 1, 1), url.is_http), F.lit(0)), F.regexp_extract(d.url, r"\A([^:]+://[^/]*)/", 1))
     return gated(
         ((d.kind == "json") & t.contains('"metaData"') & has(t, '"publicPath"', '"region"'), F.when(F.coalesce(F.size(m["exposes"]) > 0, F.lit(False)), modern).otherwise(older)),
-        ((d.kind == "js") & (named != ""), tagged("json", F.array(F.concat(host, F.lit("/"), F.regexp_replace(named, r"\A/+", ""))))),
+        ((d.kind == "js") & t.contains("baseHost"), tagged("json", F.transform(one(place), lambda p: F.concat(host, F.lit("/"), F.regexp_replace(p, r"\A/+", ""))))),
     )
 
 
+def is_component_metadata(text: Column) -> Column:
+    """Whether a JSON text is an object some of whose objects carry url or offlineChunks."""
+    members = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
+    carries = lambda v: (F.schema_of_variant(v).startswith("OBJECT")) & (F.try_variant_get(v, "$.url", "variant").isNotNull() | F.try_variant_get(v, "$.offlineChunks", "variant").isNotNull())
+    return F.coalesce(F.exists(F.map_values(members), carries), F.lit(False))
+
+
 def component_metadata(d: Doc) -> Column:
     t = d.text
-    clean = lambda v: F.replace(F.replace(F.replace(v, F.lit("{{specifiedVersionKey}}"), F.lit(".v1")), F.lit("{{"), F.lit("")), F.lit("}}"), F.lit(""))
-    paths = F.transform(F.filter(matches(t, r"[\"']([^\"']*metadata[^\"']*\.json)[\"']"), lambda v: ~v.contains("window") & ~v.contains("location")), clean)
-    joined = F.transform(matches(t, r"[\"']([^\"']*/components/docs/metadata[^\"']+\.json[^\"']*)[\"']"), clean)
-    prefixes = F.concat(matches(t, r"(?:window\.)?COMPONENT_CDN_PREFIX\s*=\s*[\"']([^\"']+)[\"']"), F.transform(matches(t, r"\|\|\s*[\"'](//[^\"'\s]+)[\"']"), lambda p: F.concat(F.lit("https:"), p)))
-    usual = F.when(has(t, "hel-micro", "helMicro", "components/docs/metadata"), F.array(F.lit("/components/docs/metadata.v1.json"))).otherwise(F.array().cast("array<string>"))
-    js = F.concat(tagged("url", paths), tagged("probe", joined), tagged("url", matches(t, r"[\"']([^\"']*/components/[^\"']+\.js)[\"']")), tagged("prepend", prefixes), tagged("probe", usual))
-    parts = F.map_filter(F.from_json(t, "map<string,struct<url:string,offlineChunks:array<string>>>"), lambda k, v: ~k.rlike(r"\A(test|mock)"))
-    values = F.flatten(F.transform(F.map_values(parts), lambda c: F.concat(one(c["url"]), F.coalesce(c["offlineChunks"], F.array().cast("array<string>")))))
-    return gated(((d.kind == "js") & has(t, "hel-micro", "helMicro", "hel_meta", "components/docs/metadata", "COMPONENT_CDN_PREFIX", "componentCdnPrefix"), js), ((d.kind == "json") & has(t, '"url"', '"offlineChunks"'), tagged("probe", F.filter(values, lambda v: v.isNotNull()))))
+
+    def clean(v: Column) -> Column:
+        for a, b in (("{{specifiedVersionKey}}", ".v1"), ("{{", ""), ("}}", "")):
+            v = F.replace(v, F.lit(a), F.lit(b))
+        return v
+
+    paths = F.transform(values(d.strings, lambda s: s["value"].endswith(".json") & s["value"].contains("metadata") & ~has(s["value"], "window", "location")), clean)
+    joined = F.transform(values(d.strings, lambda s: s["value"].contains("/components/docs/metadata") & s["value"].contains(".json")), clean)
+    components = values(d.strings, lambda s: s["value"].endswith(".js") & s["value"].contains("/components/"))
+    set_to, or_else = values(d.strings, lambda s: follows(s, r"COMPONENT_CDN_PREFIX\s*=")), values(d.strings, lambda s: s["value"].rlike(r"\A//\S+\z") & follows(s, r"\|\|"))
+    prefixes = F.concat(set_to, F.transform(or_else, lambda p: F.concat(F.lit("https:"), p)))
+    usual = F.when(has(t, "hel-micro", "helMicro", "components/docs/metadata"), F.array(F.lit("/components/docs/metadata.v1.json"))).otherwise(no_texts())
+    js = F.concat(tagged("url", paths), tagged("probe", joined), tagged("url", components), tagged("prepend", prefixes), tagged("probe", usual))
+    parts = F.map_filter(F.from_json(t, "map<string,struct<url:string,offlineChunks:array<string>>>"), lambda k, v: ~(k.startswith("test") | k.startswith("mock")))
+    held = F.flatten(F.transform(F.map_values(parts), lambda c: F.concat(one(c["url"]), F.coalesce(c["offlineChunks"], no_texts()))))
+    return gated(
+        ((d.kind == "js") & has(t, "hel-micro", "helMicro", "hel_meta", "components/docs/metadata", "COMPONENT_CDN_PREFIX", "componentCdnPrefix"), js),
+        ((d.kind == "json") & has(t, '"url"', '"offlineChunks"') & is_component_metadata(t), tagged("probe", F.filter(held, lambda v: v.isNotNull()))),
+    )
 
 
 def static_imports(d: Doc) -> Column:
-    found = F.concat(matches(d.text, r"import\s*(?:\{[^}]*\}|\*\s*as\s+\w+|\w+)?\s*from\s*[\"']([^\"')]+\.js)[\"']"), matches(d.text, r"import\s*[\"']([^\"')]+\.js)[\"']"))
-    return gated(((d.kind == "js") & d.text.contains("import"), tagged("url", F.filter(found, lambda v: ~v.rlike(r"\A(data|blob):")))))
+    js = F.filter(d.strings, lambda s: s["value"].endswith(".js") & s["mark"].isin('"', "'") & ~s["value"].rlike(r"\A(data|blob):|\)"))
+    clause = values(js, lambda s: s["before"].rlike(r"\bimport\b[^;()]*\bfrom\s*\z|\bimport\s*\{[^}]*\}\s*from\s*\z"))
+    alone = values(js, lambda s: follows(s, "import"))
+    return gated(((d.kind == "js") & d.text.contains("import"), tagged("url", F.concat(clause, alone))))
 
 
 def script_create(d: Doc) -> Column:
-    t = d.text
-    found = F.concat(
-        matches(t, r"script\.setAttribute\s*\(\s*[\"']src[\"']\s*,\s*[\"']([^\"']+\.js)[\"']\s*\)"),
-        matches(t, r"script\.src\s*=\s*[\"']([^\"']+\.js)[\"']"),
-        matches(t, r"new\s+URL\s*\(\s*[\"']([^\"')]+\.js)[\"']"),
-        F.filter(matches(t, r"\bo\s*\(\s*[\"']([^\"')]+)"), lambda v: v.endswith(".js") | v.contains(".js?")),
-    )
-    return gated(((d.kind == "js") & has(t, "createElement", ".src", "setAttribute"), tagged("url", found)))
+    after = lambda pattern: values(d.strings, lambda s: s["value"].endswith(".js") & follows(s, pattern))
+    short = values(d.strings, lambda s: (s["value"].endswith(".js") | s["value"].contains(".js?")) & follows(s, r"\bo\s*\("))
+    found = F.concat(after(r"script\.setAttribute\s*\(\s*[\"']src[\"']\s*,"), after(r"script\.src\s*="), after(r"\bnew\s+URL\s*\("), short)
+    return gated(((d.kind == "js") & has(d.text, "createElement", ".src", "setAttribute"), tagged("url", found)))
 
 
 def modern_js(d: Doc) -> Column:
     body = d.routes
-    given = first(d.text, r"(?:b\.p|__webpack_public_path__)\s*=\s*[\"']([^\"']+)[\"']")
+    given = F.coalesce(F.get(values(d.strings, lambda s: follows(s, r"(b\.p|__webpack_public_path__)\s*=")), F.lit(0)), F.lit(""))
     base = F.when(given != "", F.concat(F.regexp_replace(F.when(given.startswith("//"), F.concat(F.lit("https:"), given)).otherwise(given), r"/+\z", ""), F.lit("/"))).otherwise(F.lit(""))
-    paths = matches(body, r'"((?:static|/static)/[^"]+\.js)"')
+    paths = values(strings(body), lambda s: s["value"].endswith(".js") & s["value"].rlike(r"\A/?static/."))
     found = F.concat(tagged("prepend", one(base)), F.when(base != "", tagged("absolute", let(base, lambda b: F.transform(paths, lambda p: F.concat(b, F.regexp_replace(p, r"\A/+", "")))))).otherwise(tagged("url", paths)))
-    return gated((F.coalesce(body, F.lit("")) != "", found))
+    return gated(((d.kind == "html") & (F.coalesce(body, F.lit("")) != ""), found))
 
 
 def quoted_js(d: Doc) -> Column:
-    t = d.text
-    prefixes = F.transform(F.array_distinct(matches(t, r"[\"'`](//[a-zA-Z0-9][-a-zA-Z0-9]*\.[a-zA-Z0-9]+(?:/[a-zA-Z0-9_-]+)*/?)[\"'`]")), lambda p: F.concat(F.lit("https:"), F.regexp_replace(p, r"/+\z", "")))
-    found = F.filter(F.array_distinct(matches(t, r"[\"'`]([^\"'`]+\.js)[\"'`]")), lambda p: ~internal(p))
-    return gated((d.kind == "js", F.concat(tagged("prepend", prefixes), tagged("probe", found))))
+    """Every quoted script, and as prefixes the hosts of two labels that are quoted with a path of plain segments."""
+    segments = lambda v: F.slice(F.split(F.regexp_replace(v, r"/\z", ""), "/", -1), 3, 1 << 30)
+    host = lambda v: v.startswith("//") & F.coalesce(F.get(segments(v), F.lit(0)).rlike(r"\A[A-Za-z0-9][A-Za-z0-9-]*\.[A-Za-z0-9]+\z"), F.lit(False))
+    prefixes = values(d.strings, lambda s: host(s["value"]) & F.forall(F.slice(segments(s["value"]), 2, 1 << 30), lambda p: p.rlike(r"\A[\w-]+\z")))
+    found = values(d.strings, lambda s: s["value"].endswith(".js") & (F.length(s["value"]) > 3) & ~internal(s["value"]))
+    return gated((d.kind == "js", F.concat(tagged("prepend", F.transform(prefixes, lambda p: F.concat(F.lit("https:"), F.regexp_replace(p, r"/\z", "")))), tagged("probe", found))))
 
 
 def map_reference(base: Column, ref: Column) -> Column:
@@ -295,20 +373,22 @@ def map_reference(base: Column, ref: Column) -> Column:
 
 
 def source_map_refs(d: Doc) -> Column:
+    """The maps that headers name, and the one that a comment names: with #, else with @, else the last that is held inline."""
     given = F.filter(F.array(d.headers["x-sourcemap"], d.headers["sourcemap"]), lambda v: F.coalesce(F.trim(v), F.lit("")) != "")
-    new, old = content.trim_all(first(d.text, r"(?m)^//#\s*sourceMappingURL\s*=\s*(.+)$")), content.trim_all(first(d.text, r"(?m)^//@\s*sourceMappingURL\s*=\s*(.+)$"))
-    inline = F.coalesce(F.try_element_at(matches(d.text, r"data:application/json[^\"'\s]+", 0), F.lit(-1)), F.lit(""))
-    ref = F.when(new != "", map_reference(d.url, new)).when(old != "", map_reference(d.url, old)).otherwise(inline)
-    return gated((d.kind == "js", tagged("absolute", F.concat(F.coalesce(F.transform(given, lambda v: map_reference(d.url, F.trim(v))), F.array().cast("array<string>")), one(ref)))))
+    lines = F.filter(F.split(d.text, r"[\r\n]", -1), lambda line: line.startswith("//") & line.contains("sourceMappingURL"))
+    told = F.transform(lines, lambda line: F.struct(F.substr(line, F.lit(3), F.lit(1)).alias("sign"), content.trim_all(F.substr(F.substring_index(line, "=", 1), F.lit(4))).alias("key"), content.trim_all(F.substr(line, F.length(F.substring_index(line, "=", 1)) + 2)).alias("value")))
+    by = lambda sign: F.coalesce(F.get(F.filter(told, lambda x: (x["sign"] == sign) & (x["key"] == "sourceMappingURL") & (x["value"] != "")), F.lit(0))["value"], F.lit(""))
+    data = "data:application/json"
+    inline = F.filter(F.transform(F.slice(F.split(d.text, data, -1), 2, 1 << 30), lambda p: F.regexp_extract(p, r"\A[^\"'\s]+", 0)), lambda p: p != "")
+    ref = let(F.struct(by("#").alias("new"), by("@").alias("old")), lambda r: F.when(r["new"] != "", map_reference(d.url, r["new"])).when(r["old"] != "", map_reference(d.url, r["old"])).otherwise(F.concat(F.lit(data), F.try_element_at(inline, F.lit(-1)))))
+    return gated((d.kind == "js", tagged("map", F.concat(F.coalesce(F.transform(given, lambda v: map_reference(d.url, F.trim(v))), no_texts()), one(ref)))))
 
 
 def sitemap(d: Doc) -> Column:
-    t = d.decoded
-    direct, fetched = first(t, r"[\"']([^\"']*sitemap\.json)[\"']"), first(t, r"fetch\s*\(\s*[\"']([^\"']+\.json)[\"']")
-    place = F.when(direct != "", direct).otherwise(fetched)
+    first = lambda test: F.get(values(d.decoded_strings, test), F.lit(0))
+    place = F.coalesce(first(lambda s: s["value"].endswith("sitemap.json")), first(lambda s: s["value"].endswith(".json") & follows(s, r"\bfetch\s*\(")))
     m = F.from_json(d.text, "routes array<struct<file:string>>, chunks map<string,string>, workers array<string>")
-    none = F.array().cast("array<string>")
-    listed = F.concat(F.coalesce(F.transform(m["routes"], lambda r: r["file"]), none), F.coalesce(F.transform(F.map_entries(m["chunks"]), lambda e: F.concat(F.lit("js/"), e["key"], F.lit("."), e["value"], F.lit(".js"))), none), F.coalesce(m["workers"], none))
+    listed = F.concat(F.coalesce(F.transform(m["routes"], lambda r: r["file"]), no_texts()), F.coalesce(F.transform(F.map_entries(m["chunks"]), lambda e: F.concat(F.lit("js/"), e["key"], F.lit("."), e["value"], F.lit(".js"))), no_texts()), F.coalesce(m["workers"], no_texts()))
     return gated(
         (d.kind.isin("js", "html") & has(d.text, "sitemap.json", "trunk_app"), tagged("json", F.transform(one(place), lambda p: url.resolve_at(d.base, p)))),
         ((d.kind == "json") & has(d.text, '"routes"', '"workers"'), tagged("url", F.filter(listed, lambda v: F.coalesce(v, F.lit("")) != ""))),
@@ -317,16 +397,15 @@ def sitemap(d: Doc) -> Column:
 
 def entry_shaped(v: Column) -> Column:
     low = F.lower(v)
-    return v.rlike(r"\A(/|https?://)") & ~v.startswith("//") & ~v.contains("${") & low.rlike(r"(\.html?|/)\z")
+    return (url.is_http(v) | (v.startswith("/") & ~v.startswith("//"))) & ~v.contains("${") & (low.endswith(".html") | low.endswith(".htm") | low.endswith("/"))
 
 
-def micro_entries(markers: list[str], pattern: str, words: list[str], inner: tuple[str, str] | None = None) -> Extractor:
+def micro_entries(markers: list[str], names: list[str], words: list[str], lists_first: bool = False) -> Extractor:
+    """Entries of micro-applications: strings of the named properties near one of the words."""
+
     def extract(d: Doc) -> Column:
         gate = (d.kind == "js") & has(d.text, *markers)
-        text = F.when(gate, d.decoded)
-        found = scanners.entries_near(text, pattern, words)
-        if inner is not None:
-            found = F.concat(scanners.entries_near(text, inner[0], words, inner[1]), found)
+        found = scripts.near(F.when(gate, d.decoded), names, words, lists_first)
         kept = F.filter(F.transform(found, lambda v: F.trim(v)), entry_shaped)
         return gated((gate, F.slice(F.array_distinct(tagged("html", F.transform(kept, lambda v: url.resolve_at(d.base, v)))), 1, CAP)))
 
@@ -335,53 +414,60 @@ def micro_entries(markers: list[str], pattern: str, words: list[str], inner: tup
 
 def page_links(d: Doc) -> Column:
     """Links to pages of the same host; a link without a dot stands for three candidates."""
-    tag = r"(?:<a\b[^>]*\bhref\s*=\s*|<link\b[^>]*\bhref\s*=\s*|<iframe\b[^>]*\bsrc\s*=\s*)(?:\"([^\"]+)\"|'([^']+)'|([^\"'\s>]+))"
-    raw = F.transform(F.arrays_zip(*(matches(d.text, tag, i).alias(f"g{i}") for i in (1, 2, 3))), lambda m: F.concat(m["g1"], m["g2"], m["g3"]))
-    scripts = matches(d.decoded, r"[\"']([^\"'<>\\\s]{1,200}\.html?)[\"']")
+    linking = F.filter(d.tags, lambda t: named(t, "a", "link", "iframe", exact=True))
+    raw = F.transform(linking, lambda t: F.when(named(t, "iframe", exact=True), attribute(t, "src")).otherwise(attribute(t, "href")))
+    in_scripts = values(d.decoded_strings, lambda s: s["value"].rlike(r"\.html?\z") & (F.length(s["value"]) <= 205) & ~s["value"].rlike(r"[<>\\\s]"))
+
+    def variants(v: Column) -> Column:
+        bare = F.regexp_replace(v, r"/+\z", "")
+        return F.when(bare.contains(".") | v.endswith("/") | (v == ""), F.array(v)).otherwise(F.array(v, F.concat(v, F.lit("/index.html")), F.concat(v, F.lit(".html"))))
 
-    def candidates(values: Column) -> Column:
-        three = F.transform(F.transform(values, lambda v: F.trim(v)), lambda v: F.when(F.regexp_replace(v, r"/+\z", "").contains(".") | v.endswith("/") | (v == ""), F.array(v)).otherwise(F.array(v, F.concat(v, F.lit("/index.html")), F.concat(v, F.lit(".html")))))
-        return F.transform(three, lambda c: F.filter(F.transform(F.filter(c, lambda v: ~v.rlike(r"\A(#|javascript:|mailto:)") & ~v.contains("${")), lambda v: F.substring_index(v, "?", 1)), lambda v: (v != "") & ~F.lower(v).rlike("(" + "|".join(e.replace(".", r"\.") for e in NO_PAGE) + r")\z")))
+    def candidates(found: Column) -> Column:
+        plain = lambda v: (v != "") & ~v.rlike(r"\A(#|javascript:|mailto:)") & ~v.contains("${")
+        paths = lambda c: F.filter(F.transform(F.filter(c, plain), lambda v: F.substring_index(v, "?", 1)), lambda v: (v != "") & ~ends_in(F.lower(v), NO_PAGE))
+        return F.transform(found, lambda v: paths(let(F.trim(v), variants)))
 
     def pages(lists: Column) -> Column:
         return F.transform(lists, lambda c: F.filter(F.transform(c, lambda v: url.resolve_at(d.base, v)), lambda u: url.is_http(u) & (url.host(u) == d.base["host"])))
 
-    found = pages(candidates(raw))
     # A link counts while fewer than CAP distinct pages precede it, so up to two more can come of it.
-    capped = F.aggregate(found, F.array().cast("array<string>"), lambda acc, c: F.when(F.size(acc) >= CAP, acc).otherwise(F.array_union(acc, c)))
-    return gated(((d.kind == "html") & has(d.text, "href=", "iframe"), tagged("html", capped)), ((d.kind == "js") & has(d.text, ".html", "import("), tagged("html", F.array_distinct(F.flatten(pages(candidates(scripts)))))))
+    capped = F.aggregate(pages(candidates(raw)), no_texts(), lambda acc, c: F.when(F.size(acc) >= CAP, acc).otherwise(F.array_union(acc, c)))
+    return gated(((d.kind == "html") & has(d.text, "href=", "iframe"), tagged("html", capped)), ((d.kind == "js") & has(d.text, ".html", "import("), tagged("html", F.array_distinct(F.flatten(pages(candidates(in_scripts)))))))
 
 
 def emp(d: Doc) -> Column:
     m = F.from_json(d.text, "federatedModules array<struct<entry:string,exposes:map<string,array<struct<chunks:array<string>>>>>>")
-    none = F.array().cast("array<string>")
-    listed = F.flatten(F.transform(m["federatedModules"], lambda f: F.concat(one(f["entry"]), F.coalesce(F.flatten(F.transform(F.flatten(F.map_values(f["exposes"])), lambda e: F.coalesce(e["chunks"], none))), none))))
+    listed = F.flatten(F.transform(m["federatedModules"], lambda f: F.concat(one(f["entry"]), F.coalesce(F.flatten(F.transform(F.flatten(F.map_values(f["exposes"])), lambda e: F.coalesce(e["chunks"], no_texts()))), no_texts()))))
     origin = d.origin
-    usual = F.when(origin != "", F.array(F.concat(origin, F.lit("/emp.json")), F.concat(origin, F.lit("/emp-stats.json")))).otherwise(none)
-    return gated((d.kind.isin("js", "html") & has(d.text, "__MFE_REMOTE__", "emp.json", "__EMP__"), tagged("json", usual)), ((d.kind == "json") & d.text.contains('"federatedModules"'), tagged("url", F.coalesce(listed, none))))
+    usual = F.when(origin != "", F.array(F.concat(origin, F.lit("/emp.json")), F.concat(origin, F.lit("/emp-stats.json")))).otherwise(no_texts())
+    return gated((d.kind.isin("js", "html") & has(d.text, "__MFE_REMOTE__", "emp.json", "__EMP__"), tagged("json", usual)), ((d.kind == "json") & d.text.contains('"federatedModules"'), tagged("url", F.coalesce(listed, no_texts()))))
 
 
 def universal(d: Doc) -> Column:
-    t = d.decoded
+    """Scripts that are named in any way, and if there are none, any quoted text that could be one."""
 
-    def accepted(values: Column) -> Column:
-        full = F.transform(values, lambda v: trimmed_end(F.when(F.trim(v).startswith("//"), F.concat(d.base["scheme"], F.lit(":"), F.trim(v))).otherwise(F.trim(v))))
-        kept = F.filter(full, lambda v: looks_like_script(v) & ~internal(v))
-        return F.filter(F.transform(F.flatten(F.transform(kept, url.combo_members)), lambda v: url.normalize(url.resolve_at(d.base, v))), url.is_http)
+    def accepted(found: Column) -> Column:
+        full = F.transform(F.transform(found, lambda v: F.trim(v)), lambda x: trimmed_end(F.when(x.startswith("//"), F.concat(d.base["scheme"], F.lit(":"), x)).otherwise(x)))
+        return F.filter(full, lambda v: looks_like_script(v) & ~internal(v) & (d.base["ok"] | url.is_http(v)))
 
-    quoted = r"[\"']([^\"']+\.js[^\"']*)[\"']"
-    system = F.flatten(F.transform(matches(t, r"System\.register\s*\(\s*\[([^\]]+)\]"), lambda b: F.regexp_extract_all(b, F.lit(quoted), F.lit(1))))
-    loaders = F.transform(matches(t, r"[\"']([^\"']*!/[^\"']+\.js)[\"']"), lambda v: F.substring_index(v, "!", -1))
     gate = d.kind.isin("js", "html") & has(d.text, ".js", "document.write", "import(", "require(", "<script")
-    assembled = scanners.constants(F.when(gate & t.rlike(r"\bimport\s*\(\s*[A-Za-z_$]"), t))
-    strict = F.concat(
-        matches(t, r"<script\b[^>]*\bsrc\s*=\s*[\"']([^\"']+\.js[^\"']*)[\"']"), matches(t, r"\bimport\s*\(\s*[\"'`]([^\"'`]+\.js)[\"'`]"), matches(t, r"\brequire\s*\(\s*[\"']([^\"']+\.js)[\"']"), matches(t, r"\bsrc\s*=\s*[\"']([^\"']+\.js)[\"']"),
-        matches(t, r"[\"'](//[a-zA-Z0-9.\-]+/[^\"']+\.js[^\"']*)[\"']"), loaders, system, matches(t, r"\b\w+\s*\(\s*[\"'](/[^\"']+\.js[^\"']*)[\"']"), matches(t, r"[\"']((?:/|[.]{1,2}/)?(?:[a-zA-Z0-9_-]+/)+(?:[a-zA-Z0-9_-]+)\.js)[\"']"),
-        F.coalesce(assembled, F.array().cast("array<string>")),
-    )
-    found = accepted(strict)
-    loose = accepted(F.filter(matches(t, r"[\"']([^\"'\\\s]*?\.js(?:\?[^\"'\\]*?)?)[\"']"), lambda v: F.length(v) < 500))
-    return gated((gate, tagged("absolute", F.when(F.size(found) > 0, found).otherwise(loose))))
+    js = F.filter(d.decoded_strings, lambda s: s["value"].contains(".js"))
+    def strict(found: Column) -> Column:
+        ending = lambda pattern: values(found, lambda s: s["value"].endswith(".js") & follows(s, pattern))
+        sources = F.transform(F.filter(d.decoded_tags, lambda t: named(t, "script", exact=True)), lambda t: attribute(t, "src", quoted=True))
+        loaders = F.transform(values(found, lambda s: s["value"].rlike(r"!/.+\.js\z")), lambda v: F.substring_index(v, "!", -1))
+        registered = F.flatten(F.transform(sections(d.decoded, r"System\.register\s*\(\s*\[", "]"), quoted))
+        hosts = values(found, lambda s: s["value"].rlike(r"\A//[A-Za-z0-9.-]+/."))
+        handed = values(found, lambda s: s["value"].rlike(r"\A/.") & follows(s, r"\w\s*\("))
+        plain = lambda v: F.forall(F.split(F.regexp_replace(v, r"\A\.{0,2}/", ""), "/", -1), lambda p: p.rlike(r"\A[\w-]+(\.js)?\z")) & v.contains("/")
+        paths = values(found, lambda s: s["value"].endswith(".js") & plain(s["value"]))
+        return F.concat(F.filter(sources, lambda v: v.contains(".js")), ending(r"\bimport\s*\("), ending(r"\brequire\s*\("), ending(r"\bsrc\s*="), hosts, loaders, F.filter(registered, lambda v: v.contains(".js")), handed, paths, d.constants)
+
+    def found(js: Column) -> Column:
+        loose = values(js, lambda s: (F.length(s["value"]) < 500) & ~s["value"].rlike(r"[\\\s]") & s["value"].rlike(r"\.js(\?.*)?\z"))
+        return let(accepted(strict(js)), lambda a: F.when(F.size(a) > 0, a).otherwise(accepted(loose)))
+
+    return gated((gate, tagged("whole", F.flatten(F.transform(let(js, found), url.combo_parts)))))
 
 
 def nothing(d: Doc) -> Column:
@@ -409,11 +495,11 @@ BUILTIN: dict[str, Extractor] = {
     "SourceMapPlugin": source_map_refs,
     "UmiJSPlugin": nothing,
     "TrunkPlugin": sitemap,
-    "QiankunPlugin": micro_entries(["proEntry", "entry"], r"""(?:proEntry|entry)["']?\s*:\s*["']([^"']+)["']""", ["container", "activeRule", "activeWhen", "sandbox", "singular", "name"]),
-    "GarfishPlugin": micro_entries(["Garfish", "garfish"], r"""entry["']?\s*:\s*["']([^"']+)["']""", ["name"]),
-    "MicroAppPlugin": micro_entries(["microApp.start", "micro-app"], r"""url["']?\s*:\s*["']([^"']+)["']""", ["name", "container"]),
-    "WujiePlugin": micro_entries(["startApp", "wujie"], r"""url["']?\s*:\s*["']([^"']+)["']""", ["name", "el"]),
-    "IcestarkPlugin": micro_entries(["AppRoute", "@ice/stark", "icestark"], r"""url["']?\s*:\s*(?:\[\s*)?["']([^"']+)["']""", ["name", "container", "sandbox"], (r"""url["']?\s*:\s*\[([^\]]+)\]""", r"""["']([^"']+)["']""")),
+    "QiankunPlugin": micro_entries(["proEntry", "entry"], ["proEntry", "entry"], ["container", "activeRule", "activeWhen", "sandbox", "singular", "name"]),
+    "GarfishPlugin": micro_entries(["Garfish", "garfish"], ["entry"], ["name"]),
+    "MicroAppPlugin": micro_entries(["microApp.start", "micro-app"], ["url"], ["name", "container"]),
+    "WujiePlugin": micro_entries(["startApp", "wujie"], ["url"], ["name", "el"]),
+    "IcestarkPlugin": micro_entries(["AppRoute", "@ice/stark", "icestark"], ["url"], ["name", "container", "sandbox"], lists_first=True),
     "HTMLPivotPlugin": page_links,
     "EmpPlugin": emp,
     "UniversalURLPlugin": universal,
@@ -448,29 +534,59 @@ class Registry:
 def extract(docs: DataFrame, registry: Registry | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """keep's columns, url, plugin, plugin_idx, type, value and pos for everything that documents refer to.
 
-    docs: url, kind, text and optionally headers (map).  type is url or probe (scripts:
-    an absolute address, or a fragment that has to be resolved), html or json (further
-    documents), prepend or public (prefixes), or request (to be fetched with a header).
-    Values are distinct within a document, extractor and type; pos orders them.
+    docs: url, kind, text and optionally headers (map; names in any case) and mark (that
+    a runtime elsewhere puts after chunks' names).  type is url or probe (scripts: an
+    absolute address, or a fragment that has to be resolved), map (a source map's
+    address), html or json (further documents), prepend or public (prefixes), or request
+    (to be fetched with a header).  Values are distinct within a document, extractor and
+    type; pos orders them.
     """
     registry = registry or Registry()
     order = {n: i for i, n in enumerate(BUILTIN)}
-    fields = [f for f in docs.columns if f in ("url", "kind", "text", "headers")]
+    fields = [f for f in docs.columns if f in ("url", "kind", "text", "headers", "mark")]
     base = docs.select(*keep, *fields)
-    if "headers" not in fields:
-        base = base.withColumn("headers", F.lit(None).cast("map<string,string>"))
-    base = base.withColumns({"_base": url.parsed(F.col("url")), "_origin": url.origin(F.col("url")), "_directory": url.directory(F.col("url"))}).withColumn("decoded", F.when(F.col("kind") != "json", content.decode(F.col("text"))).otherwise(F.col("text")))
+    for name, kind in (("headers", "map<string,string>"), ("mark", "string")):
+        if name not in fields:
+            base = base.withColumn(name, F.lit(None).cast(kind))
+    of = lambda *kinds: F.col("kind").isin(*kinds)
+    names = set(registry.names)
+    base = base.withColumns({"_base": url.parsed(F.col("url")), "headers": content.lower_keys(F.col("headers")), "decoded": F.when(F.col("kind") != "json", content.decode(F.col("text"))).otherwise(F.col("text"))})
     marker = "_MODERNJS_ROUTE_MANIFEST"
-    routes = scanners.brace_json(F.when((F.col("kind") == "html") & F.col("text").contains(marker), F.col("text")), f"window.{marker}") if "ModernJSPlugin" in registry.names else F.lit(None).cast("string")
-    base = base.withColumn("_routes", routes)
-    d = Doc(*(F.col(c) for c in ("url", "kind", "text", "decoded", "headers", "_base", "_origin", "_directory", "_routes")))
-
-    def stamped(found: Column, name: str, idx: int) -> Column:
-        return F.transform(found, lambda f: F.struct(F.lit(name).alias("plugin"), F.lit(idx).alias("plugin_idx"), f["type"].alias("type"), f["value"].alias("value")))
-
-    parts = [stamped(e(d), n, order.get(n, len(order) + k)) for k, (n, e) in enumerate(registry.items())]
-    rows = base.select(*keep, "url", F.posexplode(F.concat(*parts)).alias("pos", "f")).select(*keep, "url", "f.*", "pos")
-    value = F.trim("value")
-    resolved = url.normalize(url.resolve(F.col("url"), value))
-    routed = rows.where(F.coalesce(value, F.lit("")) != "").withColumns({"type": F.when(F.col("type") == "absolute", "url").when((F.col("type") == "url") & ~url.is_http(resolved), "probe").otherwise(F.col("type")), "value": F.when(F.col("type") == "url", F.when(url.is_http(resolved), resolved).otherwise(value)).otherwise(value)})
-    return routed.groupBy(*keep, "url", "plugin", "plugin_idx", "type", "value").agg(F.min("pos").alias("pos"))
+    routes = scanners.brace_json(F.when((F.col("kind") == "html") & F.col("text").contains(marker), F.col("text")), f"window.{marker}") if "ModernJSPlugin" in names else F.lit(None).cast("string")
+    base = base.withColumns({"_origin": url.origin_of(F.col("_base")), "_directory": url.directory_of(F.col("_base")), "_routes": routes})
+    runtime = scripts.runtime(F.when(of("js") & runtime_like(F.col("text")), F.col("text")), F.col("_directory"), F.col("mark")) if names & {"WebpackPlugin", "NextJSPlugin"} else F.lit(None).cast("struct<public:string,probes:array<string>,mark:string>")
+    dynamic = of("js", "html") & F.col("text").rlike(r"\bimport\s*\(\s*[A-Za-z_$]")
+    assembled = scripts.constants(F.when(dynamic, F.col("decoded"))) if "UniversalURLPlugin" in names else no_texts()
+    base = base.withColumns({
+        "_tags": F.when(of("html"), tags(F.col("text"))), "_strings": F.when(of("html", "js"), strings(F.col("text"))), "_decoded_tags": F.when(of("html", "js") & F.contains(F.col("decoded"), F.lit("<script")), tags(F.col("decoded"))).otherwise(no_texts()),
+        "_decoded_strings": F.when(of("html", "js"), strings(F.col("decoded"))), "_runtime": runtime, "_constants": assembled,
+    })
+    d = Doc(*(F.col(c) for c in ("url", "kind", "text", "decoded", "headers", "_base", "_origin", "_directory", "_tags", "_strings", "_decoded_tags", "_decoded_strings", "_runtime", "_constants", "_routes")))
+
+    def stamped(found: Column, idx: int) -> Column:
+        return F.transform(found, lambda f: F.struct(F.lit(idx).alias("idx"), f["type"].alias("type"), F.trim(f["value"]).alias("value")))
+
+    listed = list(registry.items())
+    found = F.concat(*(stamped(e(d), i) for i, (_, e) in enumerate(listed)))
+
+    def routed(f: Column) -> Column:
+        """An address that resolves is one; what doesn't has to be looked for, or with type whole is given up."""
+
+        def final(x: Column) -> Column:
+            address = url.is_http(x["u"])
+            type_ = F.when(x["type"] == "absolute", "url").when(x["type"] == "whole", F.when(address, "url")).when((x["type"] == "url") & ~address, "probe").otherwise(x["type"])
+            return F.concat(x["idx"].cast("string"), F.lit(" "), type_, F.lit(" "), F.when(x["u"].isNotNull() & address, x["u"]).otherwise(x["value"]))
+
+        address = F.when(f["type"].isin("url", "whole"), url.normalize_at(F.col("_base"), f["value"]))
+        return let(F.struct(f["idx"].alias("idx"), f["type"].alias("type"), f["value"].alias("value"), address.alias("u")), final)
+
+    # Distinct by one text each, which is a hash set, while structs would be compared pair by pair.
+    known = F.transform(F.filter(found, lambda f: F.coalesce(f["value"], F.lit("")) != ""), routed)
+    keys = F.array_distinct(F.filter(known, lambda k: k.isNotNull()))
+    rows = base.select(*keep, "url", F.posexplode(keys).alias("pos", "_key"))
+    at = F.substring_index("_key", " ", 1).cast("int")
+    of_registry = lambda texts: F.element_at(F.array(*texts), at + 1)
+    return rows.select(
+        *keep, "url", of_registry([F.lit(n) for n, _ in listed]).alias("plugin"), of_registry([F.lit(order.get(n, len(order) + k)) for k, (n, _) in enumerate(listed)]).alias("plugin_idx"),
+        F.split_part("_key", F.lit(" "), F.lit(2)).alias("type"), F.regexp_replace("_key", r"\A\d+ [a-z]+ ", "").alias("value"), "pos",
+    )

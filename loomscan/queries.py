@@ -12,7 +12,6 @@ from loomscan import corpora
 from loomscan.functions import content, paths, scanners, url
 from loomscan.operators import discover, sourcemaps
 from loomscan.operators.extract import Doc, Registry, extract, tagged
-from loomscan.operators.webpack import matches
 from loomscan.plans import report
 from loomscan.sources import store
 
@@ -44,6 +43,10 @@ def scalar(name: str, corpus: str, column: Callable[..., Column], sql: str, *inp
 _ID = {"pages": "page_id"}
 
 
+def matches(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
 def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return corpora.load(spark, sf_dir, name) if name in corpora.CORPORA else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -141,7 +144,7 @@ found("html_scripts", "c_script_html", "HTMLScriptPlugin", r'<script[^>]*\bsrc="
 found("dynamic_imports", "c_import_js", "DynamicImportPlugin", r"""import\s*\(\s*["'`]([^"'`$]+)["'`]\s*\)""")
 found("static_imports", "c_import_js", "ESMImportPlugin", r"""import\s*(?:\{[^}]*\}|\*\s*as\s+\w+|\w+)?\s*from\s*["']([^"')]+\.js)["']""", r"""import\s*["']([^"')]+\.js)["']""")
 found("script_create", "c_create_js", "ScriptCreatePlugin", r'script\.setAttribute\("src","([^"]+)"\)', r'script\.src="([^"]+)"', r'new URL\("([^"]+)"\)', r'\bo\("([^"]+\.js[^"]*)"\)')
-found("source_map_refs", "c_create_js", "SourceMapPlugin", r"sourceMappingURL=(.+)$")
+found("source_map_refs", "c_create_js", "SourceMapPlugin", r"sourceMappingURL=(.+)$", type_="map")
 found("quoted_js", "c_create_js", "URLPatternPlugin", r"""["'`]([^"'`]+\.js)["'`]""", type_="probe", value="v", sql=r"""SELECT DISTINCT id, v AS value FROM (SELECT id, unnest(regexp_extract_all(text, '["''`]([^"''`]+\.js)["''`]', 1)) AS v FROM """ + _sql("c_create_js") + " t) WHERE NOT contains(v, 'node_modules/')")
 found("webpack_chunks", "c_webpack_js", "WebpackPlugin", type_="probe", sql=rf"""SELECT id, '/r' || id || '/js/' || unnest(regexp_extract_all(text, '(\d+):"([^"]+)"', 1)) || '-' || unnest(regexp_extract_all(text, '(\d+):"([^"]+)"', 2)) || '.js' AS value FROM {_sql('c_webpack_js')} t""")
 found("next_chunks", "c_next_js", "NextJSPlugin", type_="url,probe", sql=rf"""SELECT id, unnest([{_DIR} || 'static/chunks/a' || id || '.js', {_DIR} || 'static/chunks/a' || id || '.js', 'https://x.example.test/_next/static/chunks/a' || id || '.js']) AS value FROM {_sql('c_next_js')} t""")

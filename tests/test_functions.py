@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomscan.functions import content, paths, scanners, url
+from loomscan.functions import content, paths, scanners, scripts, url
 
 
 def column(spark, f, values, kind="string"):
@@ -81,5 +81,5 @@ def test_scanners():
     assert scanners.balanced("window.X = 1", "window.X") == ""
     assert [scanners.vlq(s) for s in ("A", "C", "D", "gB", "gC", "!", "g", "2H")] == [(0, 1), (1, 1), (-1, 1), (16, 2), (32, 2), None, None, (123, 2)]
     assert scanners.mappings("AAAA,CAAC;AACA;!,A;C") == [(0, 0, 0, 0, 0, -1), (0, 1, 0, 0, 1, -1), (1, 0, 0, 1, 1, -1), (3, 1, -1, -1, -1, -1)]
-    assert scanners.rebuilt(scanners.mappings("AAAA,IAAI"), "abcdefgh", 0) == "abcdefgh"
-    assert scanners.imported_constants('const a="/x/"; b = a + "y/"; c = b + "z.js"; import(c)') == ["/x/y/z.js"]
+    assert scanners.rebuilt(scanners.by_source(scanners.mappings("AAAA,IAAI"))[0], ["abcdefgh"]) == "abcdefgh"
+    assert scripts.imported_constants('const a="/x/"; b = a + "y/"; c = b + "z.js"; import(c)') == ["/x/y/z.js"]
