@@ -58,12 +58,12 @@ def _features(value: Column, before: Column, after: Column, path: Column) -> lis
     runs = F.length(F.regexp_replace(classes, r"(.)\1+", "$1"))
     gone = F.length(F.regexp_replace(value, "(?i)(" + "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w))) + ")", ""))
     return [
-        F.least(n, F.lit(400.0)),
+        n,
         share(runs - 1),
         share(F.length(value) - F.length(F.translate(value, "0123456789", ""))),
         share(F.regexp_count(value, F.lit("[A-Z]"))),
         share(F.regexp_count(value, F.lit("[^A-Za-z0-9]"))),
-        F.size(F.array_distinct(F.split(F.substring(value, 1, 400), ""))) / F.least(n, F.lit(64.0)),
+        F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)),
         share(n - gone),
         share(F.regexp_count(F.lower(value), F.lit("(?=" + "|".join(PAIRS) + ")"))),
         yes(value.rlike(r"\A([0-9a-f]+|[0-9A-F]+)\z")),
