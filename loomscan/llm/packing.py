@@ -4,8 +4,8 @@ Pieces are dealt at random into groups of bounded size; each group is packed by
 best-fit decreasing and its number of bins compared with the best lower bound of several
 families of dual-feasible functions.  A group that meets its bound can't be improved.
 Groups with a gap give up all bins that aren't full, others only their emptiest one; what
-they gave up is exchanged, dealt into fewer groups and packed again, until one group is
-left or nothing is gained.
+they gave up is exchanged, dealt anew into as many groups of bounded size as it takes and
+packed again, until it was one group or a round gains less than a thousandth of its bins.
 """
 
 from __future__ import annotations
@@ -176,6 +176,7 @@ def best_fit_pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capa
     was packed, and its certified least.  Null and empty texts are the id end alone;
     repeated rows are packed each for itself; an empty table gives no rows.
     tokenizer: the path of a tokenizers file, that of the public vocabulary if None.
+    group_rows: pieces that a group holds, give or take the chance of the deal.
     """
     kind = docs.schema[key].dataType.simpleString()
     base = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
@@ -183,19 +184,19 @@ def best_fit_pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capa
     schema = base + ", sequence_id long, offset long, given boolean, bins long, bound long"
     pool = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "given": F.lit(True), "bins": F.lit(0).cast("long"), "bound": F.lit(0).cast("long")})
     parts: list[DataFrame] = []
-    groups, before, round_ = None, None, 0
+    before, round_ = None, 0
     while True:
-        n = pool.count()
-        groups = max(1, -(-n // group_rows)) if groups is None else max(1, min(groups // 2, -(-n // group_rows)))
-        dealt = pool.withColumn("deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+        groups = max(1, -(-pool.count() // group_rows))
+        dealt = pool.withColumn("deal", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_)), F.lit(groups)))
         packed = keep(dealt.groupBy("deal").applyInArrow(_pack(capacity, round_), schema))
         after = packed.where("offset = 0").count()
-        if before is not None and after >= before:
+        if before is not None and after >= before:  # the bins as they were are no worse
             parts.append(pool)
             break
-        parts.append(packed if groups == 1 else packed.where("not given"))
-        if groups == 1:
+        if groups == 1 or (before is not None and 1000 * (before - after) < before):
+            parts.append(packed)
             break
+        parts.append(packed.where("not given"))
         pool = packed.where("given")
         before = pool.where("offset = 0").count()
         round_ += 1
