@@ -2,7 +2,7 @@
 
 Every window of a benchmark item's words is a pattern.  A table says, for the block of
 words under the cursor, how far the search may jump; where it may not, the block's hash
-selects the windows that end in it, and their words are compared one by one.  Texts are
+selects the bucket of windows that end in it, and their words are compared one by one.  Texts are
 cut into lanes that advance side by side, so that a step is one vector operation.
 """
 
@@ -40,9 +40,12 @@ class Patterns:
         keys, shift = keys[order], shift[order]
         new = np.append(True, keys[1:] != keys[:-1])
         self.keys, self.shift = keys[new], shift[new]
-        whole = self._blocks(rows)
-        self.order = np.argsort(whole, kind="stable")
-        self.whole = whole[self.order]
+        # Suffix buckets: the windows in the order of their last block's hash, and where each bucket begins.
+        suffix = self._blocks(rows[:, length - self.block :])
+        self.order = np.argsort(suffix, kind="stable")
+        self.suffix, self.begin = np.unique(suffix[self.order], return_index=True)
+        self.end = np.append(self.begin[1:], len(rows))
+        self.rows = rows
 
     @staticmethod
     def _blocks(rows: np.ndarray) -> np.ndarray:
@@ -54,7 +57,7 @@ class Patterns:
         """First word and number of every window that occurs within a text."""
         m, b, h = self.length, self.block, words.hashes
         lanes = [np.arange(a, z - m + 1, LANE) for a, z in zip(words.first[:-1].tolist(), words.first[1:].tolist()) if z - a >= m]
-        if not lanes or not len(self.whole):
+        if not lanes or not len(self.rows):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         begin = np.concatenate(lanes)
         last = np.repeat(words.first[1:], words.counts)[begin]
@@ -72,13 +75,16 @@ class Patterns:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         start = np.concatenate(found) - m + 1
-        # Of the suffix bucket only windows with equal hashes are left to compare.
-        whole = self._blocks(h[start[:, None] + np.arange(m)])
-        i = np.minimum(np.searchsorted(self.whole, whole), len(self.whole) - 1)
-        start, i = start[keep := self.whole[i] == whole], i[keep]
-        number = self.order[i]
-        same = np.fromiter((words.phrase(s, m) == self.windows[k] for s, k in zip(start.tolist(), number.tolist())), bool, len(start))
-        return start[same], number[same]
+        # Every window of the bucket that the last block selects is compared, word by word.
+        i = np.searchsorted(self.suffix, self._blocks(h[start[:, None] + np.arange(m - b, m)]))
+        size = self.end[i] - self.begin[i]
+        place = np.repeat(start, size)
+        number = self.order[np.repeat(self.begin[i] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        for k in range(m):  # hashes first, one word after another
+            same = h[place + k] == self.rows[number, k]
+            place, number = place[same], number[same]
+        same = np.fromiter((words.phrase(s, m) == self.windows[k] for s, k in zip(place.tolist(), number.tolist())), bool, len(place))
+        return place[same], number[same]
 
 
 def compile_windows(items: list[tuple[object, str | None]], length: int) -> list[Patterns]:
@@ -151,8 +157,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     block of its own); each is a broadcast of bounded size and one more pass over the
     documents in the same stage.  Null and empty texts have no words, items without
     words or without id have no windows, and an empty benchmark hits nothing.  Repeated
-    rows are judged one by one.
+    rows are judged one by one.  Kept columns of these names give way to the results.
     """
+    keep = tuple(c for c in keep if c not in ("n_words", "spans", "items"))
     out, pending, size, again = docs, [], 0, False
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     columns = [*keep, *([text] if text not in keep else [])]
@@ -163,10 +170,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
         return df.select(*columns, *(["spans", "items"] if again else [])).mapInArrow(_mark(text, columns, sets, again), schema)
 
     for row in benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").toLocalIterator():
-        if pending and size + len(row.t) > block_bytes:
+        if pending and size + len(row.t.encode()) > block_bytes:
             out, pending, size, again = scan(out, pending, again), [], 0, True
         pending.append((row.i, row.t))
-        size += len(row.t)
+        size += len(row.t.encode())
     out = scan(out, pending, again)
     return out.select(*keep, "n_words", "spans", "items")
 
