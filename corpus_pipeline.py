@@ -36,9 +36,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies only the document with the least id stays."""
-    groups = jaccard.jaccard_groups(docs)
-    return docs.join(groups.where("doc_id <> component").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row stays: of the least doc_id, and of its rows the first one read."""
+    row = F.struct(F.col("doc.doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))
+    rows = _apart(docs).withColumn("key", F.when(F.col("doc.doc_id").isNotNull(), row))
+    groups = jaccard.jaccard_groups(rows.select("key", "text"), key="key")
+    return _whole(rows.join(groups.where("key <> component").select("key"), "key", "left_anti"), docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +69,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("packing", pack)]
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written in the shared folder and read again."""
+    """All stages over documents; each stage's rows are written in the shared folder and read again.
+
+    A stage's table goes once the next one's is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
@@ -76,4 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}-{name}")
             docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            if i:
+                _remove(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
