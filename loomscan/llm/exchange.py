@@ -43,12 +43,14 @@ class Plan:
     fine: int
 
 
+def estimated(df: DataFrame) -> int:
+    """Spark's estimate of a table's bytes."""
+    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50)
+
+
 def plan_for(df: DataFrame, bytes_each: int = 4 << 20) -> Plan:
     """How to deal the keys, from Spark's estimate of the input; the result doesn't depend on it."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no JVM at hand: go by the session's partitions
-        size = 0
+    size = estimated(df)
     fine = min(size, 1 << 50) // bytes_each
     if fine > COARSE:
         return Plan(COARSE, -(-fine // COARSE), fine)

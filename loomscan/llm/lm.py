@@ -1,8 +1,11 @@
 """Stupid-backoff language-model scores.
 
-The counts of all n-grams up to the order are taken over the whole corpus, in a table
-that is partitioned by hash; the n-grams of every document meet their counts there and
-the scores are summed per document.  See exchange.py for how they travel.
+Documents are read in units.  The n-grams of every unit are exploded to rows (h, unit,
+n): a hash, and how often the unit has it, so an n-gram that is everywhere is one row a
+unit.  Partitioned by hash, their counts over the whole corpus are a sum of n for each h
+(the count table), which every row of that h is joined with.  Rows whose n-gram occurs
+only once in the corpus say nothing more; the others go back to their unit, whose words
+find their counts there, and scores are summed per document.
 
 S(w | context) is c(context w) / c(context) where the n-gram occurs at least min_count
 times, else backoff times S with the context shortened by its first word; a single word
@@ -20,15 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomscan.llm import exchange
-from loomscan.llm.kernel import ALNUM, U64, Words, column, combine, mix, ngrams, pack_sorted, slices, spread, squeeze, unpack_sorted
+from loomscan.llm.kernel import ALNUM, U64, Words, column, ngrams, pack_sorted, slices, spread, squeeze, unpack_sorted
 
 #: The key under which the number of words in the corpus is counted.
 TOTAL = U64(0)
 #: Bytes of text in a unit.
 UNIT_BYTES = 8 << 20
+#: Rows of n-grams in a batch.
+BATCH_ROWS = 1 << 16
 
 
 def _grams(hashes: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
@@ -37,64 +43,97 @@ def _grams(hashes: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarra
     return [ngrams(seq, n)[0] for n in range(1, order + 1)]
 
 
-def _unit(ids: list, counts: list, hashes: list, unit: int, order: int, buckets: int) -> pa.RecordBatch:
-    ids, counts, hashes = pa.concat_arrays(ids), np.concatenate(counts), np.concatenate(hashes)
-    keys, weights = np.unique(np.concatenate([*_grams(hashes, counts, order), np.full(len(hashes), TOTAL)]), return_counts=True)
-    vocabulary, inverse = np.unique(hashes, return_inverse=True)
-    own = pickle.dumps((ids, counts, len(vocabulary), pack_sorted(vocabulary), squeeze(inverse.astype(np.int32))))
-    return exchange.rows(unit, keys, weights, buckets, own)
+def _units(batches: Iterator[pa.RecordBatch], text: str, key: str) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """The number, ids, words per document and word hashes of each unit of a task; a unit's number follows from its place."""
+    unit, size, held = TaskContext.get().partitionId() << 32, 0, ([], [], [])
 
+    def done() -> tuple[int, pa.Array, np.ndarray, np.ndarray]:
+        return unit, pa.concat_arrays(held[0]), np.concatenate(held[1]), np.concatenate(held[2])
+
+    for batch in batches:
+        for part in slices(batch, text):
+            words = Words(column(part, text), ALNUM)
+            for to, x in zip(held, (column(part, key), words.counts, words.hashes)):
+                to.append(x)
+            size += len(words.raw)
+            if size >= UNIT_BYTES:
+                yield done()
+                unit, size, held = unit + 1, 0, ([], [], [])
+    if held[0]:
+        yield done()
+
+
+def _explode(text: str, key: str, order: int):
+    """Rows (h, unit, n) of every unit's n-grams, and of its number of words."""
 
-def _send(text: str, key: str, order: int, buckets: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, size, held = TaskContext.get().partitionId() << 32, 0, ([], [], [])
-        for batch in batches:
-            for part in slices(batch, text):
-                words = Words(column(part, text), ALNUM)
-                for to, x in zip(held, (column(part, key), words.counts, words.hashes)):
-                    to.append(x)
-                size += len(words.raw)
-                if size >= UNIT_BYTES:
-                    yield _unit(*held, unit, order, buckets)
-                    unit, size, held = unit + 1, 0, ([], [], [])
-        if held[0]:
-            yield _unit(*held, unit, order, buckets)
+        for unit, _, counts, hashes in _units(batches, text, key):
+            keys, n = np.unique(np.concatenate([*_grams(hashes, counts, order), np.full(len(hashes), TOTAL)]), return_counts=True)
+            for at in range(0, len(keys), BATCH_ROWS):
+                part = keys[at : at + BATCH_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(np.full(len(part), unit)), pa.array(n[at : at + BATCH_ROWS].astype(np.int32))], names=["h", "unit", "n"])
+
+    return each
+
+
+def _documents(text: str, key: str):
+    """One row (unit, own) for each unit: its ids, words per document, and the sequence of its words."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, ids, counts, hashes in _units(batches, text, key):
+            vocabulary, inverse = np.unique(hashes, return_inverse=True)
+            own = pickle.dumps((ids, counts, len(vocabulary), pack_sorted(vocabulary), squeeze(inverse.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([own], pa.binary())], names=["unit", "own"])
 
     return each
 
 
 def _score(key: str, order: int, backoff: float, min_count: int):
-    def finish(own: bytes, totals: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, counts, size, vocabulary, inverse = pickle.loads(own)
+    """The documents of one unit, scored by the counts of its n-grams; what has no count here occurs once."""
+
+    def each(own: pa.Table, met: pa.Table) -> pa.Table:
+        ids, counts, size, vocabulary, inverse = pickle.loads(own.column("own")[0].as_py())
         hashes = unpack_sorted(vocabulary, size)[spread(inverse, np.int32, int(counts.sum()))]
-        grams = _grams(hashes, counts, order)
-        # The places of all occurrences among the unit's keys, TOTAL first.
-        where = np.unique(np.concatenate([np.full(min(1, len(hashes)), TOTAL), *grams]), return_inverse=True)[1][1:]
+        told, total = column(met, "h").to_numpy().view(U64), column(met, "total").to_numpy()
+        by = np.argsort(told)
+        told, total = told[by], total[by]
+
+        def count(keys: np.ndarray) -> np.ndarray:
+            if not len(told):
+                return np.ones(len(keys), np.int64)
+            i = np.minimum(np.searchsorted(told, keys), len(told) - 1)
+            return np.where(told[i] == keys, total[i], 1)
+
         n = len(hashes)
         first = np.cumsum(counts) - counts
         place = np.arange(n) - np.repeat(first, counts)
-        corpus = int(totals[0]) if n else 0  # TOTAL is the least key
+        corpus = int(count(np.array([TOTAL]))[0])
         micro, seen = np.zeros(n), np.zeros(n, np.int64)
         before: np.ndarray | None = None
-        for k, gram in enumerate(grams, 1):
-            count = np.zeros(n, np.int64)  # of the k-gram that ends at each word
-            count[np.flatnonzero(place >= k - 1)] = totals[where[: len(gram)]]
-            where = where[len(gram) :]
+        for k, gram in enumerate(_grams(hashes, counts, order), 1):
+            c = np.zeros(n, np.int64)  # of the k-gram that ends at each word
+            c[np.flatnonzero(place >= k - 1)] = count(gram)
             if k == 1:
-                value = np.log(count / max(corpus, 1)) if n else micro
+                value = np.log(c / max(corpus, 1)) if n else micro
                 least = np.minimum(place, order - 1)
                 micro = value + least * np.log(backoff)
             else:
-                known = np.flatnonzero((place >= k - 1) & (count >= min_count))
-                micro[known] = np.log(count[known] / before[known - 1]) + (least[known] - k + 1) * np.log(backoff)
+                known = np.flatnonzero((place >= k - 1) & (c >= min_count))
+                micro[known] = np.log(c[known] / before[known - 1]) + (least[known] - k + 1) * np.log(backoff)
                 seen[known] = k - 1
-            before = count
+            before = c
         backed = np.cumsum(np.concatenate([[0], seen < np.minimum(place, order - 1)]))
-        total = np.cumsum(np.concatenate([[0], np.rint(micro * 1e6).astype(np.int64)]))
+        summed = np.cumsum(np.concatenate([[0], np.rint(micro * 1e6).astype(np.int64)]))
         ends = first + counts
-        yield pa.RecordBatch.from_arrays([ids, pa.array(counts.astype(np.int64)), pa.array(backed[ends] - backed[first]), pa.array(total[ends] - total[first])], names=[key, "n_words", "n_backoff", "micro"])
+        return pa.Table.from_arrays([ids, pa.array(counts.astype(np.int64)), pa.array(backed[ends] - backed[first]), pa.array(summed[ends] - summed[first])], names=[key, "n_words", "n_backoff", "micro"])
+
+    return each
+
 
-    return finish
+def _parts(docs: DataFrame, bytes_each: int = 32 << 20) -> int:
+    """Partitions of the n-grams: the session's, or more where Spark's estimate of the input asks for them."""
+    size = exchange.estimated(docs)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 100_000))
 
 
 def stupid_backoff(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = 2, backoff: float = 0.4, min_count: int = 2) -> DataFrame:
@@ -108,8 +147,10 @@ def stupid_backoff(docs: DataFrame, text: str = "text", key: str = "doc_id", ord
     """
     if order < 1 or not 0 < backoff <= 1 or min_count < 1:
         raise ValueError("order and min_count are at least 1, backoff is above 0 and at most 1")
-    plan = exchange.plan_for(docs)
-    units = docs.select(key, text).mapInArrow(_send(text, key, order, plan.buckets), exchange.SCHEMA)
     kind = docs.schema[key].dataType.simpleString()
-    out = exchange.answered(units, plan, _score(key, order, backoff, min_count), f"`{key}` {kind}, n_words long, n_backoff long, micro long")
+    rows = docs.select(key, text)
+    grams = rows.mapInArrow(_explode(text, key, order), "h long, unit long, n int").repartition(_parts(docs), "h")
+    counted = grams.withColumn("total", F.sum("n").over(W.partitionBy("h"))).where("total > 1").select("unit", "h", "total")
+    own = rows.mapInArrow(_documents(text, key), "unit long, own binary")
+    out = own.groupBy("unit").cogroup(counted.groupBy("unit")).applyInArrow(_score(key, order, backoff, min_count), f"`{key}` {kind}, n_words long, n_backoff long, micro long")
     return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("micro") / F.lit(1e6) / F.col("n_words")))

@@ -53,6 +53,26 @@ def test_packing_exchanges_between_groups(spark):
     assert len(rows) == 300 and _sound(rows) <= 1.06 * -(-total // 1024) + 1
 
 
+def test_no_group_grows_beyond_its_rows(spark, monkeypatch):
+    # Lengths of half a sequence and a little more leave gaps in every group, round after round.
+    original, size = packing._pack, 150
+
+    def bounded(capacity, round_):
+        pack = original(capacity, round_)
+
+        def each(table):
+            assert table.num_rows <= 1.6 * size, table.num_rows
+            return pack(table)
+
+        return each
+
+    monkeypatch.setattr(packing, "_pack", bounded)
+    texts = [" ".join(["one"] * (50 * (1 + i * 7 % 12) - 1)) for i in range(1500)]
+    rows = packing.best_fit_pack(documents(spark, texts), group_rows=size).collect()
+    total = sum(r.length for r in rows)
+    assert len(rows) == 1500 and {r.length % 50 for r in rows} == {0} and _sound(rows) <= 1.06 * -(-total // 1000) + 1
+
+
 def test_bounds_and_best_fit():
     rng = np.random.default_rng(0)
     for _ in range(30):
@@ -140,6 +160,62 @@ def test_toxicity_on_rows_held_out(spark):
     assert right >= 0.97 * len(held)
 
 
+def test_label_model_needs_no_training_labels():
+    # Three lexicons of which one is wrong half of the time; the labels only set rules and scale.
+    rng = np.random.default_rng(2)
+    y = rng.random(3000) < 0.2
+    hits = np.zeros((3000, toxicity.LEXICONS))
+    hits[:, 0] = np.where(y, rng.random(3000) < 0.7, rng.random(3000) < 0.001)
+    hits[:, 3] = np.where(y, 2 * (rng.random(3000) < 0.8), 0)
+    hits[:, 4] = rng.random(3000) < 0.3
+    shape = np.zeros((3000, len(toxicity.PATTERNS)))
+    weights, bias, model = toxicity.fit(hits, shape, y.astype(int))
+    z = np.hstack([np.log1p(hits), shape]) @ weights + bias
+    found = hits[:, [0, 3]].sum(axis=1) > 0
+    assert ((z > 0) == y)[found].mean() > 0.98 and (z[~found] < 0).all()
+    assert weights[0] > 5 * abs(weights[4]) and weights[3] > 5 * abs(weights[4])
+    noisy = np.where(rng.random(3000) < 0.1, ~y, y).astype(int)  # a tenth of the labels is wrong
+    again, bias, _ = toxicity.fit(hits, shape, noisy)
+    assert (((np.hstack([np.log1p(hits), shape]) @ again + bias) > 0) == (z > 0)).mean() > 0.99 or (toxicity.rule(hits[:, 3], noisy) == np.inf)
+
+
+def test_correlated_voters_count_once():
+    y = np.repeat([True, False], [300, 700])
+    rng = np.random.default_rng(3)
+    one, other = np.where(rng.random(1000) < 0.85, y, ~y), np.where(rng.random(1000) < 0.85, y, ~y)
+    vote = lambda x: np.where(x, 1, -1)
+    votes = np.stack([vote(one)] * 6 + [vote(other), vote(np.where(rng.random(1000) < 0.85, y, ~y))], axis=1)
+    model = toxicity.LabelModel(votes, votes[:, -2:].sum(axis=1) > 0, prior=0.3)
+    assert model.share[:6].max() < 0.25 < model.share[6]
+    against = (votes[:, 0] == 1) & (votes[:, 6] == -1) & (votes[:, 7] == -1)  # six copies of one voice against two voices
+    assert against.any() and (model.posterior(votes)[against] < 0.5).all()
+
+
+def test_rules_are_right_as_often_as_asked():
+    x, toxic = np.array([5, 5, 4, 4, 3, 3, 2, 0]), np.array([1, 1, 1, 1, 1, 0, 1, 0])
+    assert toxicity.rule(x, toxic, 0.98) == 4 and toxicity.rule(x, toxic, 0.8) == 2 and toxicity.rule(x, 1 - toxic) == np.inf
+
+
+def test_toxicity_of_the_drivers_rows_held_out(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the driver's tables")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("toxic in (0, 1) and crc32(cast(doc_id as string)) % 5 = 0")
+    rows = [(r.toxic, r.toxicity >= 0.5) for r in scored.collect()]
+    assert sum(f for t, f in rows if not t) <= 2 and sum(f for t, f in rows if t) >= 4
+
+
+def test_kept_columns_of_an_operators_names(spark):
+    docs = documents(spark, MESSY)
+    out = toxicity.score_toxicity(docs, toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int")), keep=("doc_id", "toxicity", "n_words"))
+    assert out.columns == ["doc_id", "n_words", "toxicity"] and out.count() == len(MESSY)
+    pages = spark.createDataFrame([(1, "https://a.com/x")], "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "verdict")})
+    assert urls.judge_urls(pages, urls.train(pages), keep=("page_id", "host", "verdict", "url")).columns == ["page_id", "url", "host", "path", "rule", "ratio", "verdict"]
+
+
 def test_toxicity_of_messy_and_unlabelled_tables(spark):
     none = spark.createDataFrame([(1, None), (2, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
     docs = documents(spark, MESSY)
@@ -190,6 +266,96 @@ def test_whole_assigned_values(spark):
         assert "".join(z.b + z.v for z in rows[i]["_hits"]) + rows[i]["_rest"] == t
 
 
+def _java(pattern):
+    """A pattern for the regex module."""
+    import regex
+
+    return regex.compile(pattern.replace(r"\z", r"\Z"))
+
+
+def _python_features(value, before, after, path):
+    """The forest's features of one candidate, worked out one by one."""
+    import re
+
+    n = max(1, len(value))
+    classes = "".join("a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in value)
+    words = sorted((w for w in secrets.DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w))
+    low, at, covered = value.lower(), 0, 0
+    while at < len(low):
+        w = next((w for w in words if low.startswith(w, at)), None)
+        covered, at = covered + len(w or ""), at + len(w or "x")
+    yes = lambda p, x: float(re.search(p.replace(r"\z", r"\Z"), x) is not None)
+    return [
+        float(n), sum(a != b for a, b in zip(classes, classes[1:])) / n, sum(c in "0123456789" for c in value) / n, sum("A" <= c <= "Z" for c in value) / n, sum(classes[i] == "-" for i in range(len(value))) / n,
+        len(set(value)) / min(n, 64), covered / n, sum(low[i : i + 2] in secrets.PAIRS for i in range(len(low) - 1)) / n, yes(r"\A([0-9a-f]+|[0-9A-F]+)\Z", value), yes(r"\A[0-9][0-9 -]*\Z", value), yes(secrets.ISSUED, value),
+        yes(r"[=:]\s{0,3}[\"']?\Z", before), float(before[-1:] in ("'", '"') != "" and before[-1:] in ("'", '"') and after[:1] in ("'", '"')), yes(secrets.SECRET_WORDS, before), yes(secrets.OTHER_WORDS, before), yes(secrets.TRIAL_PATHS, path),
+    ]
+
+
+def test_candidates_and_forest_against_brute_force(spark):
+    import re
+
+    key, plain = "9f86d081884c7d659a2feaa0c55ad015", prose(1, 30)
+    texts = [f'{plain} token = "{key}" and sha1: {key[:40]} then {plain}', f"password: hunter2hunter2 ghp_{key}. api_key='{key[:20]}!x' {plain}", "order 4465758382889437 id=12345678901234567890", f"x {key}{key} y", "a-b-c-d-e-f-g-h-1-2-3", "", None, plain, "secret=Große1234567890abcdefgh"]
+    docs = documents(spark, texts).withColumn("source", F.when(F.col("doc_id") % 2 == 0, "tests/a.py").otherwise("web"))
+    forest = secrets.train(secrets.labelled_findings(spark))
+    judge = eval("lambda f: " + re.sub(r"(?<=\d)D", "", forest.replace("c.f[", "f[")), {"IF": lambda c, a, b: a if c else b})
+    pattern = _java(secrets.CANDIDATE)
+    for r in secrets.scan(docs, forest).collect():
+        text, expected = texts[r.doc_id] or "", []
+        for m in pattern.finditer(text):
+            f = _python_features(m[0], text[max(0, m.start() - 48) : m.start()], text[m.end() : m.end() + 8], r.source)
+            expected.append((m[0], judge(f)))
+        assert [z.v for z in r["_hits"]] == [v for v, _ in expected]
+        assert [round(z.p, 9) for z in r["_hits"]] == [round(p, 9) for _, p in expected]
+        assert all(z.secret == (z.p >= 0.5) for z in r["_hits"])
+    assert sum(len(pattern.findall(t or "")) for t in texts) >= 9
+
+
+def test_secrets_planted_in_prose(spark):
+    import random
+
+    r = random.Random(7)
+    draw = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    letters, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+    texts, planted = [], {}
+    for i in range(300):
+        kind, value = i % 6, None
+        if kind == 0:
+            value = draw(hexes, 40)
+            line = f'token = "{value}"'
+        elif kind == 1:
+            value = "ghp_" + draw(letters + "0123456789", 36)
+            line = f"use {value} here"
+        elif kind == 2:
+            value = draw(letters + "0123456789!@#$%", 14) + "7x"
+            line = f"password={value}"
+        elif kind == 3:
+            line = f"commit {draw(hexes, 40)} fixed it"
+        elif kind == 4:
+            line = f"order {draw('0123456789', 16)} shipped, see https://www.shop.example/item/{draw('0123456789', 8)}"
+        else:
+            line = f"api_key: your_{r.choice(['access', 'secret', 'api'])}_token_here_{i}"
+        texts.append(f"{prose(i, 20)} {line} {prose(i + 1, 20)}")
+        planted[i] = value
+    forest = secrets.train(secrets.labelled_findings(spark))
+    found = {x.doc_id: [z.v for z in x["_hits"] if z.secret] for x in secrets.scan(documents(spark, texts), forest).collect()}
+    caught = sum(v in found[i] for i, v in planted.items() if v)
+    wrong = sum(len(found[i]) - (v in found[i]) for i, v in planted.items())
+    assert caught >= 0.95 * 150 and wrong <= 0.03 * 300, (caught, wrong)
+
+
+@pytest.mark.parametrize("run", ["=", '="', "a=", "x=&a=", "b.", "a0+/", '"a,', "-----BEGIN ", "eyJaaaaaaaa.", "=: \t"])
+def test_a_megabyte_of_separators_takes_seconds(spark, run):
+    import time
+
+    forest = "0.0D"
+    df = spark.createDataFrame([(1, run * (10**6 // len(run)))], "doc_id long, text string")
+    began = time.perf_counter()
+    assert secrets.scan(df, forest, path=None).count() == 1 and secrets.scan(df, forest, path=None).select(F.size("_hits")).first() is not None
+    assert time.perf_counter() - began < 40
+
+
 def test_forest_on_findings_held_out(spark):
     every = secrets.labelled_findings(spark, 4000).withColumn("k", F.pmod(F.xxhash64("value"), F.lit(4)))
     forest = secrets.train(every.where("k > 0").drop("k"))
@@ -224,6 +390,31 @@ def test_url_rules(spark):
     assert urls.judge_urls(df.limit(0), urls.train(df.limit(0))).count() == 0
 
 
+def test_character_models_against_brute_force():
+    urls_ = ["https://a.test/x", "https://a.test/yy", "http://b.test/"]
+    model = urls.Markov(order=3)
+    for u in urls_:
+        model.add(u)
+    every = ["\x02" * 3 + u + "\x03" for u in urls_]
+
+    def probability(context, c):
+        lower = probability(context[1:], c) if context else 1 / 256
+        after = [s[i] for s in every for i in range(3, len(s)) if s[i - len(context) : i] == context]
+        return (after.count(c) + len(set(after)) * lower) / (len(after) + len(set(after))) if after else lower
+
+    for u in ["https://a.test/x", "ftp://q", "", "http://b.test/yy"]:
+        s = "\x02" * 3 + u + "\x03"
+        logs = [np.log(probability(s[i - 3 : i], s[i])) for i in range(3, len(s))]
+        assert abs(model.mean_log(u) - sum(logs) / len(logs)) < 1e-9
+
+
+def test_threshold_divides_both_kinds():
+    assert urls.calibrated([1.0, 2.0, 3.0], [-3.0, -2.0, -1.0]) == 0.0
+    t = urls.calibrated([0.5, 0.6, 0.7, 0.1], [0.2, 0.3, -1.0, 0.0])
+    assert 0.3 < t <= 0.5
+    assert urls.calibrated([], [1.0]) == 0.0
+
+
 def test_character_models_tell_kinds_apart(spark):
     good, bad = [f"https://site{i}.com/article/{i}" for i in range(200)], [f"https://cheap-pills{i}.net/es/buy{i}" for i in range(200)]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(good + bad)], "page_id long, url string")
