@@ -37,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays: of the least doc_id, and of its rows the first one read."""
-    row = F.struct(F.col("doc.doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))
+    row = F.struct(F.col("doc.doc_id").alias("id"), F.nullif(F.monotonically_increasing_id(), F.lit(-1)).alias("row"))
     rows = _apart(docs).withColumn("key", F.when(F.col("doc.doc_id").isNotNull(), row))
     groups = jaccard.jaccard_groups(rows.select("key", "text"), key="key")
     return _whole(rows.join(groups.where("key <> component").select("key"), "key", "left_anti"), docs.columns)

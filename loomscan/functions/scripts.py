@@ -178,7 +178,8 @@ class Runtime:
             lead = "" if terms[-1].text == ".async.js" or not terms[first].or_id else "static/js/async/"
         else:
             lead = absolute
-        return [(lead or "") + "".join(hashes[k] if t is keyed else t.worth(k) for t in terms) for k in hashes]
+        made = ["".join(hashes[k] if t is keyed else t.worth(k) for t in terms) for k in hashes]
+        return [lead + ("/" if lead.startswith("/") and not m.startswith("/") else "") + m if lead else m for m in made]
 
     def _arrow(self, begin: int, terms: list[Term]) -> list[str]:
         """id => "prefix" + id + "-": the hashes stand anywhere."""

@@ -160,6 +160,12 @@ def rebase_loopback(url: Column, start: Column) -> Column:
     return let(url, lambda u: let(parsed(u), lambda p: let(parsed(start), lambda q: moved(u, p, q))))
 
 
+def moved_from_loopback(url: Column, origin: Column) -> Column:
+    """An address on a loopback host, moved to an origin if that isn't empty."""
+    parts = r"(?is)\Ahttps?://(?:127\.0\.0\.1|localhost|\[::1\])(?::[0-9]*)?(?=[/?#]|\z)"
+    return F.when(url.rlike(parts) & (origin != ""), F.concat(origin, F.regexp_replace(url, parts, ""))).otherwise(url)
+
+
 def directory(url: Column) -> Column:
     """The directory with its slash, empty for what isn't an address."""
     return let(parsed(url), directory_of)

@@ -1,65 +1,66 @@
 """Discovery: the link graph of scripts and pages, walked to a fixpoint in breadth-first rounds.
 
-Any number of scans run at once: every table carries the column scan, and every window
-is partitioned by it.  A round is one join of the frontier with the responses, one pass
-of the extractors, and one anti-join with what was seen; its state is cut off in the
-shared folder.  Order is explicit, so provenance and budgets don't depend on timing.
+Any number of scans run at once: every table carries the column scan.  A round is one
+pass over the frontier's responses, which gives the round's findings, and one step from
+findings to the next frontier: resolved, without what was seen, within the budget and
+numbered.  Both are kept in the shared folder; all other state is a union of the
+rounds' tables.  Order is explicit, so provenance and budgets don't depend on timing.
 """
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomscan.functions import content, scanners, url
-from loomscan.operators.extract import Registry, extract
+from loomscan.operators.extract import Extractor, Registry, extract, gated, tagged
+from loomscan.sources.shared import Grown, keep, shared_folder
+
+__all__ = ["Result", "bare_names", "budgeted", "claim", "discover", "fetch", "keep", "resolve_fragments", "route", "shared_folder", "suffix_join"]
 
 PAGE_BUDGET = 64
+# Files that are looked for at the root of a site whose scripts name no others.
 FALLBACK = ("emp.json", "emp-stats.json")
+#: The request that asks a page for its flight payload.
+FLIGHT = "RSC"
 _ORDER = ["seq", "inline", "plugin_idx", "rank", "pos", "alt"]
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage, in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where there is none, one below the warehouse, or on a single machine a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="loomscan-") if context.master.startswith("local[") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
-    return context.getCheckpointDir()
-
-
 def fetch(frontier: DataFrame, responses: DataFrame) -> DataFrame:
     """frontier's rows with their response; status and text are null where there is none.
 
-    responses: url, status, content_type, text, and optionally final_url and headers.
+    responses: url, status, content_type, text, and optionally final_url, headers, and
+    request, which tells answers to requests with a header or another method apart: null
+    or empty for plain ones.  A frontier with a column request meets those of its own.
     """
     have = set(responses.columns)
     r = responses.select(
         url.normalize(F.col("url")).alias("url"), "status", "content_type", "text",
-        (F.col("final_url") if "final_url" in have else F.lit(None).cast("string")).alias("final_url"), (F.col("headers") if "headers" in have else F.lit(None).cast("map<string,string>")).alias("headers"),
+        (F.col("final_url") if "final_url" in have else F.lit(None).cast("string")).alias("final_url"), (content.lower_keys(F.col("headers")) if "headers" in have else F.lit(None).cast("map<string,string>")).alias("headers"),
+        (F.coalesce("request", F.lit("")) if "request" in have else F.lit("")).alias("request"),
     )
-    return frontier.join(r, "url", "left")
+    if "request" in frontier.columns:
+        return frontier.join(r, ["url", "request"], "left")
+    return frontier.join(r.where("request = ''").drop("request"), "url", "left")
 
 
 def route(fetched: DataFrame) -> DataFrame:
-    """Successful responses with kind, and role: script, document, map or dropped.
+    """Successful responses with kind, and role: script, document, map, flight or dropped.
 
-    An HTML body at a script's address is an error page, unless it is empty.
+    An HTML body at a script's address is an error page, unless it is empty.  An answer
+    to a request for a flight payload is one, unless it is HTML without any.
     """
     ok = fetched.where("status between 200 and 299")
     ok = ok.withColumn("url", F.coalesce(url.normalize(F.nullif("final_url", F.lit(""))), "url")).withColumn("kind", content.kind(F.col("content_type"), F.col("text")))
     page = (F.col("kind") == "html") & url.is_static(F.col("url"))
     role = F.when(page & (F.coalesce(F.length("text"), F.lit(0)) == 0), "script").when(page, "dropped").when(url.is_map(F.col("url")), "map").when(F.col("kind") == "js", "script").otherwise("document")
+    if "request" in fetched.columns:
+        asked = F.col("request") == FLIGHT
+        role = F.when(asked & (F.col("kind") == "html") & ~F.coalesce(F.left("text", F.lit(2000)).contains("I["), F.lit(False)), "dropped").when(asked, "flight").otherwise(role)
+        return ok.withColumn("role", role).withColumn("kind", F.when(F.col("role") == "flight", "flight").otherwise(F.col("kind")))
     return ok.withColumn("role", role)
 
 
@@ -70,9 +71,49 @@ def claim(candidates: DataFrame, seen: DataFrame, keys: list[str], order: list[s
 
 
 def budgeted(pages: DataFrame, used: DataFrame, budget: int = PAGE_BUDGET, order: list[str] | None = None) -> DataFrame:
-    """The first pages, by order, that a scan's budget still allows; used: (scan, used)."""
+    """The first pages, by order, that a scan's budget still allows; used: (scan, used).
+
+    No scan's sort takes more than `budget` rows of each task.
+    """
     rank = F.row_number().over(W.partitionBy("scan").orderBy(*(order or _ORDER)))
-    return pages.join(used, "scan", "left").withColumn("_rank", rank).where(F.col("_rank") <= budget - F.coalesce("used", F.lit(0))).drop("_rank", "used")
+    first = pages.withColumn("_rank", rank).where(F.col("_rank") <= budget)
+    return first.join(used, "scan", "left").where(F.col("_rank") <= budget - F.coalesce("used", F.lit(0))).drop("_rank", "used")
+
+
+def _within_budget(new: DataFrame, pages: DataFrame | None, budget: int) -> DataFrame:
+    """new without the pages that the budget of their scan doesn't allow any more; other rows aren't ranked among them."""
+    html = F.col("page") == "html"
+    lane = F.when(html, F.lit(-1)).otherwise(F.pmod(F.xxhash64("url"), F.lit(SPREAD)))
+    ranked = new.withColumn("_rank", F.row_number().over(W.partitionBy("scan", lane).orderBy(*_ORDER)))
+    if pages is not None:
+        ranked = ranked.join(pages.groupBy("scan").agg(F.count("*").alias("_used")), "scan", "left")
+    allowed = F.lit(budget) - (F.coalesce("_used", F.lit(0)) if pages is not None else F.lit(0))
+    return ranked.where(~html | (F.col("_rank") <= allowed)).select(*new.columns)
+
+
+def numbered(rows: DataFrame, order: list[str], start: int) -> tuple[DataFrame, int]:
+    """rows with seq from start on in their order, and how many there are.
+
+    Sorted over all tasks; of each one only the number of its rows comes to the driver.
+    """
+    place = F.monotonically_increasing_id()
+    held = keep(rows.orderBy(*order).withColumns({"_task": F.shiftright(place, 33).cast("int"), "_row": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes, before, offsets = {r["_task"]: r["n"] for r in held.groupBy("_task").agg(F.count("*").alias("n")).collect()}, start, []
+    for task in sorted(sizes):
+        offsets += [F.lit(task), F.lit(before)]
+        before += sizes[task]
+    base = F.create_map(*offsets)[F.col("_task")] if offsets else F.lit(start)
+    return held.withColumn("seq", (base + F.col("_row")).cast("long")).drop("_task", "_row"), before - start
+
+
+#: Into how many tasks the rows of one scan are dealt where they meet few others of it.
+SPREAD = 16
+
+
+def _each_with_each(many: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows of one scan, each with each; the many are dealt into SPREAD parts, and the few go to every one."""
+    dealt = many.withColumn("_deal", F.pmod(F.xxhash64(*many.columns), F.lit(SPREAD)).cast("int"))
+    return dealt.join(few.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["scan", "_deal"]).drop("_deal")
 
 
 def suffix_join(fragments: DataFrame, known: DataFrame) -> DataFrame:
@@ -97,11 +138,11 @@ def resolve_fragments(fragments: DataFrame, known: DataFrame, prepends: DataFram
     real = fragments.where(~F.col("fragment").rlike(r"-\*\.(js|css)$"))
     cols = real.columns
     suffix = suffix_join(real, known)
-    before = real.join(prepends, "scan").select(*cols, url.join(F.col("prefix"), F.col("fragment")).alias("candidate"))
+    before = _each_with_each(real, prepends.select("scan", "prefix")).select(*cols, url.join(F.col("prefix"), F.col("fragment")).alias("candidate"))
     absolute = url.is_http(F.col("path"))
     sticky = publics.withColumn("_own", F.when(absolute, url.origin(F.col("path")))).withColumn("_origin", F.last("_own", ignorenulls=True).over(W.partitionBy("scan").orderBy("seq")))
     rest = F.when(absolute, F.regexp_replace("path", r"^[^:]+://[^/]*", "")).otherwise(F.col("path"))
-    under = real.join(sticky.select("scan", "_origin", rest.alias("_path")), "scan").select(*cols, url.join(F.concat(F.coalesce("_origin", url.origin(F.col("from_url"))), F.when(F.col("_path") == "", F.lit("/")).otherwise(F.col("_path"))), F.col("fragment")).alias("candidate"))
+    under = _each_with_each(real, sticky.select("scan", "_origin", rest.alias("_path"))).select(*cols, url.join(F.concat(F.coalesce("_origin", url.origin(F.col("from_url"))), F.when(F.col("_path") == "", F.lit("/")).otherwise(F.col("_path"))), F.col("fragment")).alias("candidate"))
     own = real.join(starts, "scan").select(*cols, url.join(url.origin(F.col("start")), F.col("fragment")).alias("candidate"))
     rooted = real.where("fragment like '/%'").select(*cols, F.concat(url.origin(F.col("from_url")), F.col("fragment")).alias("candidate"))
     return suffix.unionByName(before).unionByName(under).unionByName(own).unionByName(rooted).where("candidate <> ''").distinct()
@@ -110,102 +151,152 @@ def resolve_fragments(fragments: DataFrame, known: DataFrame, prepends: DataFram
 def bare_names(names: DataFrame, prepends: DataFrame) -> DataFrame:
     """A bare file name beside its document and under every prefix."""
     beside = names.select(*names.columns, F.concat(url.directory(F.col("from_url")), F.col("fragment")).alias("candidate")).where(url.directory(F.col("from_url")) != "")
-    under = names.join(prepends, "scan").select(*names.columns, F.concat(F.regexp_replace("prefix", "/?$", "/"), F.col("fragment")).alias("candidate"))
+    under = _each_with_each(names, prepends.select("scan", "prefix")).select(*names.columns, F.concat(F.regexp_replace("prefix", "/?$", "/"), F.col("fragment")).alias("candidate"))
     return beside.unionByName(under)
 
 
 @dataclass
 class Result:
-    """Tables of a finished discovery."""
+    """Tables of a finished discovery.
+
+    js_entries: scan, url, from_url, plugin, is_inline, seq.  html_entries: pages entered
+    by links.  edges: every address that was asked for, by request.  findings: scan, seq,
+    inline, from_url, plugin, type and value of everything that was found.  maps: scan,
+    url (of a script), map_url.  failed: scan, start and status of starts without a
+    successful response.  starts: scan, start, where it led to.
+    """
 
     js_entries: DataFrame
     html_entries: DataFrame
     edges: DataFrame
+    findings: DataFrame
+    maps: DataFrame
+    failed: DataFrame
+    starts: DataFrame
     responses: DataFrame
 
     def summary(self) -> DataFrame:
         return self.js_entries.groupBy("scan").agg(F.count("*").alias("js_count"))
 
 
-def _admit(new: DataFrame, pages: DataFrame | None, starts: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
-    """What of new goes on: all but the pages beyond the budget; and all pages so far."""
-    used = pages.groupBy("scan").agg(F.count("*").alias("used")) if pages is not None else starts.select("scan", F.lit(0).cast("long").alias("used")).distinct()
-    admitted = keep(budgeted(new.where("page = 'html'"), used, budget).select(*new.columns))
-    entered = admitted.select("scan", "url", "from_url", "plugin")
-    return new.where("page <> 'html'").unionByName(admitted), entered if pages is None else keep(pages.unionByName(entered))
+def _itself(role: Column) -> Extractor:
+    """An extractor that tells what a document is, as a finding of type self; inline scripts are none."""
+    return lambda d: gated((role != "inline", tagged("self", F.array(role))))
+
 
+def _documents(frontier: DataFrame, responses: DataFrame, marks: DataFrame | None) -> DataFrame:
+    """The frontier's documents and the scripts within them: scan, seq, asked, url, kind, text, headers, role, inline."""
+    docs = route(fetch(frontier.select("scan", "seq", "url", F.col("url").alias("asked"), "request"), responses)).where("role <> 'dropped'")
+    whole = F.array(F.struct(F.lit(-1).alias("inline"), "kind", F.when(F.col("role") != "map", F.col("text")).otherwise(F.lit("")).alias("text"), F.col("role").alias("role")))
+    within = scanners.inline_scripts(F.when((F.col("kind") == "html") & (F.col("role") == "document"), F.col("text")))
+    inner = F.transform(within, lambda t, i: F.struct(i.alias("inline"), F.lit("js").alias("kind"), t.alias("text"), F.lit("inline").alias("role")))
+    parts = F.concat(whole, F.filter(F.coalesce(inner, F.array().cast("array<struct<inline:int,kind:string,text:string,role:string>>")), lambda x: x["text"] != ""))
+    out = docs.select("scan", "seq", "asked", "url", "headers", F.explode(parts).alias("x")).select("scan", "seq", "asked", "url", "headers", "x.*")
+    return out if marks is None else out.join(marks, "scan", "left")
 
-def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None = None, budget: int = PAGE_BUDGET, max_rounds: int = 200) -> Result:
+
+def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None = None, budget: int = PAGE_BUDGET, max_rounds: int | None = None) -> Result:
     """Walks from starts (scan, start) over captured responses until nothing new turns up.
 
-    js_entries: scan, url, from_url, plugin, inline, seq, in order of discovery with the
-    first provenance; html_entries: pages entered by links, at most budget for each scan.
-    A start without a successful response yields nothing for its scan.
+    js_entries come in order of discovery with the first provenance; html_entries are at
+    most budget for each scan.  A scan whose start leads elsewhere goes on from there.  A
+    start without a successful response yields nothing and is among failed.  Of several
+    starts of one scan the first one is what loopback addresses stand for.  max_rounds is
+    for tests: where it is reached with work left, RuntimeError is raised.
     """
-    spark = starts.sparkSession
     registry = registry or Registry()
-    start = F.rank().over(W.partitionBy("scan").orderBy("start"))
-    frontier = keep(starts.select("scan", url.normalize(F.col("start")).alias("url"), F.lit(None).cast("string").alias("from_url"), F.lit("CLI").alias("plugin"), F.lit(False).alias("is_inline"), start.cast("long").alias("seq")))
-    seen, edges = frontier.select("scan", "url"), frontier
-    names = spark.createDataFrame([], "scan string, fragment string").withColumn("scan", F.col("scan").cast(starts.schema["scan"].dataType))
-    prepends, publics = names.select("scan", F.col("fragment").alias("prefix"), F.lit(0).cast("long").alias("seq")), names.select("scan", F.col("fragment").alias("path"), F.lit(0).cast("long").alias("seq"))
-    pending = names.select("scan", "fragment", F.lit("").alias("from_url"), F.lit("").alias("plugin"), F.lit(0).cast("long").alias("seq"))
-    entries, pages, offset, fallback = None, None, frontier.count(), False
-    empty_frontier = False
-    for _ in range(max_rounds):
-        if not empty_frontier:
-            docs = keep(route(fetch(frontier, responses)))
-            scripts = docs.where("role = 'script'").select("scan", "url", "from_url", "plugin", "is_inline", "seq")
-            entries = scripts if entries is None else entries.unionByName(scripts)
-            whole = docs.where("role <> 'dropped' and role <> 'map'").select("scan", "seq", "url", "kind", "text", "headers", F.lit(-1).alias("inline"))
-            inner = docs.where("kind = 'html' and role = 'document'").select("scan", "seq", "url", F.lit("js").alias("kind"), F.posexplode(scanners.inline_scripts(F.col("text"))).alias("inline", "text"), F.lit(None).cast("map<string,string>").alias("headers")).where("text <> ''")
-            found = keep(extract(whole.unionByName(inner), registry, keep=("scan", "seq", "inline")).withColumnRenamed("url", "from_url"))
-            rank = F.when(F.col("type") == "url", 0).when(F.col("type") == "probe", 1).otherwise(2)
-            found = found.withColumn("rank", rank).withColumn("alt", F.lit(0).cast("long"))
-            more = lambda t, c: found.where(F.col("type") == t).groupBy("scan", F.col("value").alias(c)).agg(F.min("seq").alias("seq"))
+    spark, scan_type = starts.sparkSession, starts.schema["scan"].dataType.simpleString()
+    none = lambda schema: spark.createDataFrame([], f"scan {scan_type}, {schema}")
+    first = starts.select("scan", F.col("start").alias("_start"), url.normalize(F.col("start")).alias("url"), F.lit(None).cast("string").alias("from_url"), F.lit("CLI").alias("plugin"), F.lit(False).alias("is_inline"), F.lit("").alias("page"), F.lit("").alias("request"))
+    frontier, n = numbered(first, ["scan", "_start"], 1)
+    asked, entered = frontier.select("scan", F.col("_start").alias("start"), "url", "seq"), frontier
+    frontier = frontier.drop("_start")
+    edges, findings, pages, seen, names, fresh = Grown(), Grown(), Grown(), Grown(), Grown(), Grown()
+    base, places, marks = None, None, None
+    rounds, fallback, offset = 0, False, 1 + n
+    while True:
+        if max_rounds is not None and rounds >= max_rounds and n:
+            raise RuntimeError(f"{n} addresses are left after {max_rounds} rounds")
+        rounds += 1
+        kinds: set[str] = set()
+        if n:
+            edges.add(frontier)
+            seen.add(frontier.select("scan", "request", "url"))
+            docs = _documents(frontier, responses, marks)
+            extractors = Registry({"": _itself(F.col("role")), **dict(registry.items())})
+            found = keep(extract(docs, extractors, keep=("scan", "seq", "asked", "inline", "role")).withColumnRenamed("url", "from_url").drop("role"))
+            findings.add(found)
             kinds = {r.type for r in found.select("type").distinct().collect()}  # of a closed set
-            if "prepend" in kinds:
-                prepends = keep(prepends.unionByName(more("prepend", "prefix")).groupBy("scan", "prefix").agg(F.min("seq").alias("seq")))
-            if "public" in kinds:
-                publics = keep(publics.unionByName(more("public", "path")).groupBy("scan", "path").agg(F.min("seq").alias("seq")))
-            probes = claim(found.where("type = 'probe'").withColumnRenamed("value", "fragment").select("scan", "fragment", "from_url", "plugin", *_ORDER), names, ["scan", "fragment"], _ORDER)
-            if "probe" in kinds:
-                probes = keep(probes)
-                names = keep(names.unionByName(probes.select("scan", "fragment")))
-            base = ["scan", "from_url", "plugin", *_ORDER]
-            direct = found.where("type = 'url'").select(*base, F.explode(url.combo_members(F.col("value"))).alias("url"), F.lit("").alias("page"))
-            whole_urls = probes.where("fragment like '%://%'").select(*base, F.col("fragment").alias("url"), F.lit("").alias("page"))
-            beside = bare_names(probes.where("fragment not like '%/%'"), prepends.select("scan", "prefix")).select(*base, F.col("candidate").alias("url"), F.lit("").alias("page"))
-            further = found.where("type in ('html', 'json')").select(*base, F.col("value").alias("url"), F.when(F.col("type") == "html", "html").otherwise("").alias("page"))
-            parts = probes.where("fragment like '%/%' and fragment not like '%://%'")
+            seen.add(found.where("type = 'self' and asked <> from_url").select("scan", F.lit("").alias("request"), F.col("from_url").alias("url")))
+            if base is None:  # where the starts led to
+                led = found.where("type = 'self'").select("scan", "seq", F.col("from_url").alias("led"))
+                places = keep(asked.join(led, ["scan", "seq"]).select("scan", F.col("led").alias("start"), "seq"))
+                base = keep(places.groupBy("scan").agg(F.min_by("start", "seq").alias("start")).select("scan", url.origin(F.col("start")).alias("_origin")))
+            if "mark" in kinds:
+                known = findings.table().where("type = 'mark'").groupBy("scan").agg(F.min_by("value", "seq").alias("mark"))
+                marks = keep(known)
+            rank = F.when(F.col("type") == "url", 0).when(F.col("type") == "probe", 1).otherwise(2)
+            found = found.withColumns({"rank": rank, "alt": F.lit(0).cast("long")})
+            row = ["scan", "from_url", "plugin", *_ORDER]
+            as_page = lambda p, r="": (F.lit(p).alias("page"), F.lit(r).alias("request"))
+            direct = found.where("type = 'url'").select(*row, F.explode(url.combo_members(F.col("value"))).alias("url"), *as_page(""))
+            further = found.where("type in ('html', 'json')").select(*row, F.col("value").alias("url"), F.when(F.col("type") == "html", "html").otherwise("").alias("page"), F.lit("").alias("request"))
             candidates = direct.unionByName(further)
+            if "request" in kinds:
+                candidates = candidates.unionByName(found.where("type = 'request'").select(*row, F.col("value").alias("url"), *as_page("", FLIGHT)))
             if "probe" in kinds:
-                pending = keep(pending.unionByName(parts.select("scan", "fragment", "from_url", "plugin", "seq")))
-                candidates = candidates.unionByName(whole_urls).unionByName(beside)
+                probes = found.where("type = 'probe'").withColumnRenamed("value", "fragment").select("fragment", *row)
+                probes = keep(claim(probes, none("fragment string") if names.empty else names.table(), ["scan", "fragment"], _ORDER))
+                names.add(probes.select("scan", "fragment"))
+                fresh.add(probes.where("fragment like '%/%' and fragment not like '%://%'"))
+                candidates = candidates.unionByName(probes.where("fragment like '%://%'").select(*row, F.col("fragment").alias("url"), *as_page("")))
+                candidates = candidates.unionByName(bare_names(probes.where("fragment not like '%/%'"), _prefixes(findings)).select(*row, F.col("candidate").alias("url"), *as_page("")))
+        elif not fresh.empty:
+            pending, fresh = fresh.table(), Grown()
+            known = findings.table().where("type = 'self' and value = 'script'").select("scan", F.col("from_url").alias("url")).distinct()
+            publics = findings.table().where("type = 'public'").groupBy("scan", F.col("value").alias("path")).agg(F.min("seq").alias("seq"))
+            made = resolve_fragments(pending.select("scan", "fragment", "from_url", "plugin", "seq"), known, _prefixes(findings), publics, places)
+            candidates = made.select("scan", "from_url", "plugin", "seq", F.lit(-1).alias("inline"), F.lit(0).alias("plugin_idx"), F.lit(1).alias("rank"), F.lit(0).alias("pos"), F.xxhash64("candidate").alias("alt"), F.col("candidate").alias("url"), F.lit("").alias("page"), F.lit("").alias("request"))
+        elif not fallback and not findings.empty:
+            fallback = True
+            dynamic = findings.table().where("type in ('url', 'probe') and plugin <> 'HTMLScriptPlugin'").select("scan").distinct()
+            usual = places.join(dynamic, "scan", "left_anti").select("scan", "start", F.posexplode(F.array(*(F.lit(f"/{x}") for x in FALLBACK))).alias("pos", "n"))
+            candidates = usual.select("scan", F.lit(None).cast("string").alias("from_url"), F.lit("FallbackEmp").alias("plugin"), F.lit(0).cast("long").alias("seq"), F.lit(-1).alias("inline"), F.lit(0).alias("plugin_idx"), F.lit(0).alias("rank"), "pos", F.lit(0).cast("long").alias("alt"), F.concat(url.origin(F.col("start")), F.col("n")).alias("url"), F.lit("").alias("page"), F.lit("").alias("request"))
         else:
-            kinds = set()
-            if pending.isEmpty():
-                if fallback:
-                    break
-                fallback = True
-                dynamic = entries.where("plugin <> 'HTMLScriptPlugin'").select("scan").distinct()
-                usual = starts.join(dynamic, "scan", "left_anti").select("scan", "start", F.posexplode(F.array(*(F.lit(f"/{n}") for n in FALLBACK))).alias("pos", "n"))
-                candidates = usual.select("scan", F.lit(None).cast("string").alias("from_url"), F.lit("FallbackEmp").alias("plugin"), F.lit(0).cast("long").alias("seq"), F.lit(-1).alias("inline"), F.lit(0).alias("plugin_idx"), F.lit(0).alias("rank"), "pos", F.lit(0).cast("long").alias("alt"), F.concat(url.origin(F.col("start")), F.col("n")).alias("url"), F.lit("").alias("page"))
-            else:
-                made = resolve_fragments(pending, entries.select("scan", "url").distinct(), prepends.select("scan", "prefix"), publics, starts)
-                candidates = made.select("scan", "from_url", "plugin", "seq", F.lit(-1).alias("inline"), F.lit(0).alias("plugin_idx"), F.lit(1).alias("rank"), F.lit(0).alias("pos"), F.xxhash64("candidate").alias("alt"), F.col("candidate").alias("url"), F.lit("").alias("page"))
-                pending = pending.limit(0)
-        keyed = candidates.join(starts, "scan").withColumn("url", url.normalize(url.rebase_loopback(F.col("url"), F.col("start")))).drop("start").where("url not like 'data:%'")
-        new = keep(claim(keyed, seen, ["scan", "url"], _ORDER))
-        step = new
-        if pages is None or "html" in kinds:
-            step, pages = _admit(new, pages, starts, budget)
-        frontier = keep(step.select("scan", "url", "from_url", "plugin", (F.col("inline") >= 0).alias("is_inline"), (F.lit(offset) + F.row_number().over(W.partitionBy("scan").orderBy(*_ORDER, "url"))).cast("long").alias("seq")))
-        n = frontier.count()
+            break
+        # base: one row a scan, with what a loopback address stands for.
+        keyed = candidates.where("url not like 'data:%'").join(base, "scan").withColumn("url", url.normalize(url.moved_from_loopback(F.col("url"), F.col("_origin")))).drop("_origin")
+        new = claim(keyed, seen.table(), ["scan", "request", "url"], _ORDER)
+        if "html" in kinds:
+            new = _within_budget(new, None if pages.empty else pages.table(), budget)
+        frontier, n = numbered(new.select("scan", "url", "from_url", "plugin", (F.col("inline") >= 0).alias("is_inline"), "page", "request", *(F.col(c).alias(f"_{c}") for c in _ORDER)), ["scan", *(f"_{c}" for c in _ORDER), "url"], offset)
+        frontier = frontier.drop(*(f"_{c}" for c in _ORDER))
+        if "html" in kinds:
+            pages.add(frontier.where("page = 'html'").select("scan", "url", "from_url", "plugin"))
         offset += n
-        empty_frontier = n == 0
-        if n:
-            seen, edges = keep(seen.unionByName(frontier.select("scan", "url"))), edges.unionByName(frontier)
-    first = F.min_by(F.struct("from_url", "plugin", "is_inline", "seq"), "seq").alias("x")
-    js = entries.groupBy("scan", "url").agg(first).select("scan", "url", "x.*")
-    return Result(js, pages, edges, responses)
+    return _result(starts, asked, entered, edges, findings, pages, places, responses, none)
+
+
+def _prefixes(findings: Grown) -> DataFrame:
+    return findings.table().where("type = 'prepend'").select("scan", F.col("value").alias("prefix")).distinct()
+
+
+def _result(starts: DataFrame, asked: DataFrame, entered: DataFrame, edges: Grown, findings: Grown, pages: Grown, places: DataFrame | None, responses: DataFrame, none) -> Result:
+    """The tables of a finished walk."""
+    ways = entered.drop("_start") if edges.empty else edges.table()
+    if findings.empty:
+        every = none("seq long, asked string, inline int, from_url string, plugin string, plugin_idx int, type string, value string, pos int")
+    else:
+        every = findings.table()
+    own = every.where("type = 'self'").select("scan", "seq", F.col("from_url").alias("url"), F.col("value").alias("role"))
+    came = ways.select("scan", "seq", "from_url", "plugin", "is_inline", F.col("url").alias("asked"), "request")
+    met = own.join(came, ["scan", "seq"])
+    js = met.where("role = 'script' and request = ''").groupBy("scan", "url").agg(F.min_by(F.struct("from_url", "plugin", "is_inline", "seq"), "seq").alias("x")).select("scan", "url", "x.*")
+    told = every.where("type = 'map' and inline < 0").select("scan", F.col("from_url").alias("url"), F.col("value").alias("map_url"), "seq", "pos")
+    fetched = met.where("role = 'map'").select("scan", F.col("from_url").alias("url"), F.col("url").alias("map_url"), "seq", F.lit(0).alias("pos")).where("url is not null")
+    maps = told.unionByName(fetched).groupBy("scan", "url", "map_url").agg(F.min(F.struct("seq", "pos")).alias("_at")).select("scan", "url", "map_url", F.col("_at.seq").alias("seq"), F.col("_at.pos").alias("pos"))
+    arrived = own.select("scan", "seq")
+    lost = asked.join(arrived, ["scan", "seq"], "left_anti").select("scan", "start", "url")
+    failed = fetch(lost, responses).select("scan", "start", "status")
+    html = none("url string, from_url string, plugin string") if pages.empty else pages.table()
+    return Result(js, html, ways.drop("page"), every, maps, failed, none("start string, seq long") if places is None else places, responses)

@@ -59,6 +59,10 @@ class Doc:
 Extractor = Callable[[Doc], Column]
 
 
+def no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
 def tagged(type_: str, values: Column) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(type_).alias("type"), v.alias("value")))
 
@@ -96,16 +100,21 @@ def looks_like_script(address: Column) -> Column:
     return (at > 0) & ~early & ~low.endswith(".map") & ~low.rlike(r"\A(data|blob|about):")
 
 
-def looks_like_entry(address: Column) -> Column:
-    """Whether an address looks like an HTML page: by its ending, queries and marks aside."""
-    path = F.lower(F.regexp_extract(address, r"(?s)\A([^?#]*)", 1))
-    return path.endswith(".html") | path.endswith(".htm") | path.endswith("/")
+def looks_like_entry(value: Column) -> Column:
+    """Whether a value looks like a page rather than a resource: it ends like one, or has no dot."""
+    low = F.lower(value)
+    return (value != "") & (low.endswith(".html") | low.endswith(".htm") | ~F.regexp_replace(low, r"/+\z", "").contains("."))
+
 
+def entry_candidates(value: Column) -> Column:
+    """The pages that a micro-application's entry may mean; none where it is empty or has a placeholder."""
 
-def entry_candidates(address: Column) -> Column:
-    """The pages that an entry may mean: itself, or without an ending what may stand below it or beside it."""
-    bare = F.regexp_replace(address, r"/+\z", "")
-    return F.when(looks_like_entry(address) & ~address.endswith("/"), F.array(address)).otherwise(F.array(F.concat(bare, F.lit("/")), F.concat(bare, F.lit("/index.html")), F.concat(bare, F.lit(".html"))))
+    def pages(v: Column) -> Column:
+        bare = F.regexp_replace(v, r"/+\z", "")
+        whole = v.endswith(".html") | v.endswith(".htm")
+        return F.when((v == "") | v.contains("${"), no_texts()).when(whole, F.array(v)).otherwise(F.array(bare, F.concat(bare, F.lit("/index.html")), F.concat(bare, F.lit(".html"))))
+
+    return let(F.trim(value), pages)
 
 
 def trimmed_end(x: Column) -> Column:
@@ -116,10 +125,6 @@ def with_js(x: Column) -> Column:
     return F.when(x.endswith(".js"), x).otherwise(F.concat(x, F.lit(".js")))
 
 
-def no_texts() -> Column:
-    return F.array().cast("array<string>")
-
-
 def html_scripts(d: Doc) -> Column:
     js = lambda v: F.lower(v).endswith(".js")
     of = lambda name, attr, test: F.filter(F.transform(F.filter(d.tags, lambda t: named(t, name) & test(t)), lambda t: attribute(t, attr)), lambda v: v != "")
@@ -134,7 +139,7 @@ def dynamic_imports(d: Doc) -> Column:
 
 
 def bundler_runtime(d: Doc) -> Column:
-    return gated((d.kind == "js", F.concat(tagged("public", one(d.runtime["public"])), tagged("probe", F.coalesce(d.runtime["probes"], no_texts())))))
+    return gated((d.kind == "js", F.concat(tagged("public", one(d.runtime["public"])), tagged("probe", F.coalesce(d.runtime["probes"], no_texts())), tagged("mark", one(d.runtime["mark"])))))
 
 
 def runtime_like(text: Column) -> Column:
@@ -181,7 +186,7 @@ def next_js(d: Doc) -> Column:
     prefixes = F.filter(F.transform(F.split(t, r"[\"' ]", -1), lambda p: F.regexp_extract(p, r"(https?://.+)/_next", 1)), lambda p: (p != "") & ~p.contains("{{"))
     links = F.filter(F.transform(F.filter(d.tags, lambda g: named(g, "a", exact=True)), lambda g: attribute(g, "href", quoted=True)), lambda h: (h != "") & ~h.rlike(r"\A(#|javascript:|mailto:|tel:)"))
     clean = F.transform(links, lambda h: F.regexp_replace(url.resolve_at(d.base, h), r"(?s)[?#].*\z", ""))
-    clean = F.filter(clean, lambda u: (url.origin(u) == origin) & ~ends_in(F.lower(u), NO_ROUTE) & ~u.contains("/_next/static"))
+    clean = F.filter(clean, lambda u: (F.regexp_extract(u, r"\A([^:]+://[^/?#]*)", 1) == origin) & ~ends_in(F.lower(u), NO_ROUTE) & ~u.contains("/_next/static"))
     html = let(manifests, lambda m: F.concat(tagged("public", one(build)), tagged("prepend", prefixes), tagged("probe", m), tagged("absolute", F.transform(m, lambda x: F.concat(origin, x))), tagged("url", chunks), tagged("request", F.array(d.url)), requests, tagged("request", clean)))
 
     hinted = F.filter(F.transform(sections(t, r":HL\[", "]"), quoted), lambda q: (F.get(q, F.lit(1)) == "script") & F.get(q, F.lit(0)).endswith(".js"))
@@ -268,7 +273,7 @@ def federation(d: Doc) -> Column:
     own = F.transform(F.filter(entries, lambda e: F.substring_index(e, "/", -1) == "remoteEntry.js"), folder)
     dirs = F.flatten(F.transform(own, lambda f: F.array(f, F.when(f.endswith("/assets/"), F.regexp_replace(f, r"assets/\z", "")))))
     # A page is looked for beside an entry in a folder, not at a site's root.
-    pages = F.transform(F.filter(dirs, lambda f: f.isNotNull() & (url.origin(f) != "") & (F.size(F.split(f, "/")) > 4)), lambda f: F.concat(f, F.lit("index.html")))
+    pages = F.transform(F.filter(dirs, lambda f: f.isNotNull() & url.is_http(f) & (F.size(F.split(f, "/")) > 4)), lambda f: F.concat(f, F.lit("index.html")))
     found = F.concat(tagged("url", F.filter(F.concat(manifests, beside), lambda v: ~has(v, "{{", "}}"))), tagged("html", pages))
     return gated(((d.kind == "js") & has(t, "remoteEntry.js", "__webpack_share_scopes__", "__webpack_init_sharing__"), found))
 
@@ -322,8 +327,9 @@ def component_metadata(d: Doc) -> Column:
     prefixes = F.concat(set_to, F.transform(or_else, lambda p: F.concat(F.lit("https:"), p)))
     usual = F.when(has(t, "hel-micro", "helMicro", "components/docs/metadata"), F.array(F.lit("/components/docs/metadata.v1.json"))).otherwise(no_texts())
     js = F.concat(tagged("url", paths), tagged("probe", joined), tagged("url", components), tagged("prepend", prefixes), tagged("probe", usual))
-    parts = F.map_filter(F.from_json(t, "map<string,struct<url:string,offlineChunks:array<string>>>"), lambda k, v: ~(k.startswith("test") | k.startswith("mock")))
-    held = F.flatten(F.transform(F.map_values(parts), lambda c: F.concat(one(c["url"]), F.coalesce(c["offlineChunks"], no_texts()))))
+    members = F.try_variant_get(F.try_parse_json(t), "$", "map<string,variant>")
+    parts = F.map_values(F.map_filter(members, lambda k, v: ~(k.startswith("test") | k.startswith("mock"))))
+    held = F.flatten(F.transform(parts, lambda c: F.concat(one(F.try_variant_get(c, "$.url", "string")), F.coalesce(F.try_variant_get(c, "$.offlineChunks", "array<string>"), no_texts()))))
     return gated(
         ((d.kind == "js") & has(t, "hel-micro", "helMicro", "hel_meta", "components/docs/metadata", "COMPONENT_CDN_PREFIX", "componentCdnPrefix"), js),
         ((d.kind == "json") & has(t, '"url"', '"offlineChunks"') & is_component_metadata(t), tagged("probe", F.filter(held, lambda v: v.isNotNull()))),
@@ -428,7 +434,7 @@ def page_links(d: Doc) -> Column:
         return F.transform(found, lambda v: paths(let(F.trim(v), variants)))
 
     def pages(lists: Column) -> Column:
-        return F.transform(lists, lambda c: F.filter(F.transform(c, lambda v: url.resolve_at(d.base, v)), lambda u: url.is_http(u) & (url.host(u) == d.base["host"])))
+        return F.transform(lists, lambda c: F.filter(F.transform(c, lambda v: url.resolve_at(d.base, v)), lambda u: url.is_http(u) & (F.regexp_extract(u, r"\A[^:]+://([^/?#]*)", 1) == d.base["host"])))
 
     # A link counts while fewer than CAP distinct pages precede it, so up to two more can come of it.
     capped = F.aggregate(pages(candidates(raw)), no_texts(), lambda acc, c: F.when(F.size(acc) >= CAP, acc).otherwise(F.array_union(acc, c)))
@@ -537,8 +543,8 @@ def extract(docs: DataFrame, registry: Registry | None = None, keep: tuple[str,
     docs: url, kind, text and optionally headers (map; names in any case) and mark (that
     a runtime elsewhere puts after chunks' names).  type is url or probe (scripts: an
     absolute address, or a fragment that has to be resolved), map (a source map's
-    address), html or json (further documents), prepend or public (prefixes), or request
-    (to be fetched with a header).  Values are distinct within a document, extractor and
+    address), html or json (further documents), prepend or public (prefixes), request (to
+    be fetched with a header), or mark (what a runtime puts after chunks' names).  Values are distinct within a document, extractor and
     type; pos orders them.
     """
     registry = registry or Registry()

@@ -13,7 +13,8 @@ from loomscan.functions import content, paths, scanners, url
 from loomscan.operators import discover, sourcemaps
 from loomscan.operators.extract import Doc, Registry, extract, tagged
 from loomscan.plans import report
-from loomscan.sources import store
+from loomscan.scan import ScanResult, scan
+from loomscan.sources import shared, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -379,7 +380,7 @@ def meta_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey AS id, 'n' || CAST(s_suppkey % 5 AS STRING) AS scope FROM supplier")
 def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table as it is read back from a store in the shared folder."""
-    kept = store.Store(spark, f"{discover.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    kept = store.Store(spark, f"{shared.shared_folder(spark)}/store-{uuid.uuid4().hex}")
     kept.write("js", _rows(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("n"), (F.col("s_suppkey") % 5).cast("string")).alias("scope")))
     return kept.read("js").select("id", "scope")
 
@@ -463,3 +464,95 @@ def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brace_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _rows(spark, sf_dir, "c_manifest_json").select("id", F.concat(F.lit("window.X = "), "text", F.lit(";")).alias("text"))
     return docs.select("id", scanners.brace_json(F.col("text"), "window.X").alias("body"))
+
+
+# Whole scans.
+_N = "CAST(n_nationkey AS VARCHAR)"
+_MAPPED = f"""WITH js AS (SELECT n_nationkey AS k, 'https://maps.test/j/' || {_N} || '.js' AS url, {_N} AS n FROM nation),
+m AS (SELECT k, n, url, CASE k % 3 WHEN 0 THEN 'https://maps.test/j/m' || n || '.map' WHEN 1 THEN url || '.map' ELSE 'data:application/json,{{"version":3,"sources":["src/in' || n || '.ts"],"sourcesContent":["in' || n || '"]}}' END AS map_url FROM js WHERE k % 6 <> 4),
+f AS (SELECT url AS js_url, unnest(CASE k % 3 WHEN 2 THEN ['src/in' || n || '.ts'] ELSE ['src/a' || n || '.ts', 'src/b' || n || '.ts'] END) AS path, unnest(CASE k % 3 WHEN 2 THEN ['in' || n] ELSE ['A' || n, 'B' || n] END) AS content FROM m)"""
+
+
+def _mapped_scan(spark: SparkSession, sf_dir: str, kept: store.Store | None = None, answers: bool = True) -> ScanResult:
+    starts = spark.range(1).select(F.lit("maps").alias("scan"), F.lit("https://maps.test").alias("start"))
+    responses = _rows(spark, sf_dir, "c_mapped")
+    return scan(starts, responses if answers else responses.limit(0), Registry().only("HTMLScriptPlugin", "SourceMapPlugin"), store=kept)
+
+
+@query(_MAPPED + " SELECT url, map_url FROM m")
+def scan_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every script's valid map, wherever it stands."""
+    return _mapped_scan(spark, sf_dir).maps.select("url", "map_url")
+
+
+@query(_MAPPED + " SELECT js_url, path, content FROM f")
+def scan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file that a script's map restores."""
+    return _mapped_scan(spark, sf_dir).sources.select("js_url", "path", "content")
+
+
+@query(_MAPPED + " SELECT (SELECT count(*) FROM js) AS js_count, (SELECT count(*) FROM m) AS map_count, (SELECT count(*) FROM f) AS source_count, greatest(0, (SELECT count(*) FROM f) - 20) AS sources_omitted")
+def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped_scan(spark, sf_dir).summary(kept=20).select("js_count", "map_count", "source_count", "sources_omitted")
+
+
+@query(_MAPPED + " SELECT js.url, m.map_url, count(f.path) AS n_sources FROM js LEFT JOIN m USING (k) LEFT JOIN f ON f.js_url = js.url GROUP BY ALL")
+def scan_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second scan that has the store and no responses."""
+    kept = store.Store(spark, f"{shared.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    _mapped_scan(spark, sf_dir, kept)
+    return _mapped_scan(spark, sf_dir, kept, answers=False).js.select("url", "map_url", "n_sources")
+
+
+@query(_MAPPED + " SELECT js_url, path, content FROM f")
+def scan_lost_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that a store has lost, restored again from the maps that it knows."""
+    kept = store.Store(spark, f"{shared.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    first = _mapped_scan(spark, sf_dir, kept)
+    kept.write("sources", first.sources.where("path like '%a%'"), "scan")
+    return _mapped_scan(spark, sf_dir, kept).sources.select("js_url", "path", "content")
+
+
+_MOVED = "SELECT 'https://new' || CAST(r_regionkey AS VARCHAR) || '.test/app/' || f AS url FROM region, (VALUES ('one.js'), ('two.js')) v(f)"
+
+
+@query(_MOVED)
+def redirected_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts that lead to another host: what they name is there, and so is what loopback addresses stand for."""
+    k = F.col("r_regionkey").cast("string")
+    at, page_at = (F.concat(F.lit("https://new"), k, F.lit(x)) for x in (".test/app/", ".test/app/p.html"))
+    r = _rows(spark, sf_dir, "region")
+    html, js = "text/html", "text/javascript"
+    row = lambda u, c, t, f=None: r.select(u.alias("url"), F.lit(200).alias("status"), F.lit(c).alias("content_type"), F.lit(t).alias("text"), (F.lit(None).cast("string") if f is None else f).alias("final_url"))
+    page = row(F.concat(F.lit("https://old"), k, F.lit(".test")), html, '<script src="one.js"></script><script src="http://127.0.0.1:8080/app/two.js"></script>', page_at)
+    responses = page.unionByName(row(F.concat(at, F.lit("one.js")), js, "a")).unionByName(row(F.concat(at, F.lit("two.js")), js, "b"))
+    starts = r.select(k.alias("scan"), F.concat(F.lit("https://old"), k, F.lit(".test")).alias("start"))
+    return discover.discover(starts, responses, Registry().only("HTMLScriptPlugin")).js_entries.select("url")
+
+
+@query("SELECT 'https://f' || CAST(n_nationkey AS VARCHAR) || '.test' AS start, CASE n_nationkey % 3 WHEN 1 THEN 404 END AS status FROM nation WHERE n_nationkey % 3 <> 0")
+def failed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts that nothing came of, and what they answered, if anything."""
+    k = F.col("n_nationkey")
+    n = _rows(spark, sf_dir, "nation").select(k.cast("string").alias("scan"), F.concat(F.lit("https://f"), k.cast("string"), F.lit(".test")).alias("start"), (k % 3).alias("m"))
+    responses = n.where("m < 2").select(F.col("start").alias("url"), F.when(F.col("m") == 1, 404).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit("<p>x</p>").alias("text"))
+    return discover.discover(n.select("scan", "start"), responses, Registry().only("HTMLScriptPlugin")).failed.select("start", "status")
+
+
+@query("SELECT 'https://n' || CAST(r_regionkey AS VARCHAR) || '.test/_next/static/chunks/app/p' || CAST(r_regionkey AS VARCHAR) || '.js' AS url FROM region")
+def flight_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts that only a page's flight payload names, asked for with the header's request."""
+    k = F.col("r_regionkey").cast("string")
+    r = _rows(spark, sf_dir, "region").select(k.alias("scan"), F.concat(F.lit("https://n"), k, F.lit(".test")).alias("start"), k.alias("k"))
+    html = r.select(F.col("start").alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit('<script id="__NEXT_DATA__"></script>').alias("text"), F.lit("").alias("request"))
+    flight = r.select(F.col("start").alias("url"), F.lit(200), F.lit("text/x-component"), F.concat(F.lit('1:I[12,["7","/_next/static/chunks/app/p'), "k", F.lit('.js"],"default"]')), F.lit("RSC"))
+    script = r.select(F.concat("start", F.lit("/_next/static/chunks/app/p"), "k", F.lit(".js")).alias("url"), F.lit(200), F.lit("text/javascript"), F.lit("x"), F.lit(""))
+    return discover.discover(r.select("scan", "start"), html.union(flight).union(script), Registry().only("NextJSPlugin")).js_entries.select("url")
+
+
+@query(f"SELECT id, regexp_extract(url, '^(.*/)', 1) || 'h' || id || '.map' AS value FROM {_sql('c_import_js')} t")
+def header_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps that a header names, however its name is spelled."""
+    spelled = F.element_at(F.array(F.lit("SourceMap"), F.lit("X-SourceMap"), F.lit("sourcemap")), (F.col("id") % 3 + 1).cast("int"))
+    docs = _rows(spark, sf_dir, "c_import_js").withColumn("headers", F.create_map(F.lit("ETag"), F.lit("1"), spelled, F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".map"))))
+    return extract(docs, Registry().only("SourceMapPlugin"), keep=("id",)).where("type = 'map'").select("id", "value")

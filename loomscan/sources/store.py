@@ -28,13 +28,14 @@ class Store:
         if self.writes:
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(scope).parquet(f"{self.path}/{table}")
 
-    def read(self, table: str) -> DataFrame | None:
-        """The table, or None if it isn't there or reads are off."""
+    def read(self, table: str, schema: str | None = None) -> DataFrame | None:
+        """The table, or None if it isn't there or reads are off; a table that may be empty needs its schema."""
         if not self.reads:
             return None
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        return self.spark.read.parquet(str(place)) if place.getFileSystem(conf).exists(place) else None
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(str(place)) if place.getFileSystem(conf).exists(place) else None
 
 
 def metadata(js: DataFrame, prepends: DataFrame, publics: DataFrame) -> DataFrame:
