@@ -44,8 +44,9 @@ class Plan:
 
 
 def estimated(df: DataFrame) -> int:
-    """Spark's estimate of a table's bytes."""
-    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50)
+    """Spark's estimate of a table's bytes; 0 where it has none, for which it says an exabyte or more."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def plan_for(df: DataFrame, bytes_each: int = 4 << 20) -> Plan:

@@ -1,30 +1,13 @@
-"""Connected components of an edge table, and tables kept in the cluster's shared folder."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomscan.sources.shared import keep, shared_folder
 
-def keep(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage, in the folder of spark.checkpoint.dir."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir.
-
-    Where that setting is absent, one is set: below the warehouse, which a cluster's
-    machines share, or on a single machine a temporary one.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="loomscan-") if context.master.startswith("local[") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
-    return context.getCheckpointDir()
+__all__ = ["components", "keep", "shared_folder"]
 
 
 def components(edges: DataFrame) -> DataFrame:

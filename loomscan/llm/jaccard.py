@@ -14,7 +14,7 @@ all but a few entries from being formed:
    nothing.  Of f such columns it keeps the f - o(n) + 1 rarest; a linked row keeps one
    of them too.
 3. The product is formed for entries that those columns propose: rows of a column with
-   the column's first row, and where a column then still spans several components, rows
+   the column's first row, which for most columns of a group of copies is the same, and where a column then still spans several components, rows
    of different components with one another.  Entries within a component can't change
    the result and are never formed.
 4. The incidence is cut into blocks of columns.  An entry's overlap is accumulated block
@@ -118,7 +118,13 @@ def _filter(key: str, percent: int):
     return finish
 
 
-SETS = "cls binary, n long, sizes array<long>, parts array<binary>"
+def node_type(kind: str) -> str:
+    """A class: the least key of its rows, whose type is kind, and the digest of its set."""
+    return f"struct<rep:{kind},digest:binary>"
+
+
+def sets_schema(node: str) -> str:
+    return f"cls {node}, n long, sizes array<long>, parts array<binary>"
 
 
 def _cut(grams: np.ndarray) -> list[np.ndarray]:
@@ -132,7 +138,7 @@ def _whole(parts: list[bytes], sizes: list[int]) -> np.ndarray:
 
 
 def _send_sets(buckets: int):
-    """Units of whole sets, from rows of SETS."""
+    """Units of whole sets, from rows of sets_schema."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = TaskContext.get().partitionId() << 32
@@ -172,14 +178,14 @@ def _rarest(percent: int):
 
 
 def _sets(text: str, n: int):
-    """SETS of the rows whose own digest is cls."""
+    """Rows of sets_schema for the texts whose own digest is that of cls."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 grams, sizes = shingle_sets(Words(column(part, text), SOLID), n)
                 cls = column(part, "cls")
-                own = np.flatnonzero([d.tobytes() == c for d, c in zip(_digests(grams, sizes), cls.to_pylist())])
+                own = np.flatnonzero([d.tobytes() == c for d, c in zip(_digests(grams, sizes), cls.field("digest").to_pylist())])
                 ends = np.cumsum(sizes)
                 blocks = [_cut(grams[e - s : e]) for e, s in zip(ends[own].tolist(), sizes[own].tolist())]
                 lengths, packed = [[len(b) for b in x] for x in blocks], [[pack_sorted(b) for b in x] for x in blocks]
@@ -188,9 +194,6 @@ def _sets(text: str, n: int):
     return each
 
 
-_ENTRY = "a binary, b binary, n long, m long, rest long, left long, both long"
-
-
 def _accumulate(percent: int):
     """Adds to each entry what its rows have in common in one block, and drops entries that can't be links any more."""
 
@@ -214,10 +217,12 @@ def _accumulate(percent: int):
 
 def overlaps(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The entries (a, b, n, m) of the product that are links, with their overlap in both."""
+    node = sets.schema["cls"].dataType.simpleString()
+    schema = f"a {node}, b {node}, n long, m long, rest long, left long, both long"
     out = entries.select("a", "b", "n", "m", F.col("n").alias("rest"), F.col("m").alias("left"), F.lit(0).cast("long").alias("both"))
     for k in range(len(BLOCKS) + 1):
         of = lambda side: sets.select(F.col("cls").alias(side), F.col("sizes")[k].alias(f"size_{side}"), F.col("parts")[k].alias(f"part_{side}"))  # noqa: B023, E731
-        out = out.join(of("b"), "b").join(of("a"), "a").mapInArrow(_accumulate(percent), _ENTRY)
+        out = out.join(of("b"), "b").join(of("a"), "a").mapInArrow(_accumulate(percent), schema)
     return out
 
 
@@ -242,11 +247,12 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     every = keep(exchange.answered(units, plan, _filter(key, percent), f"`{key}` {kind}, n long, cls binary").withColumnRenamed(key, "id"))
 
     # One row for each distinct set that has enough company, from the text of its least key that has it.
-    alive = every.where("cls is not null and id is not null")
-    classes = keep(alive.groupBy("cls").agg(F.min("id").alias("rep")))
+    alive = every.where("cls is not null and id is not null").withColumnRenamed("cls", "digest")
+    node = node_type(kind)
+    classes = keep(alive.groupBy("digest").agg(F.min("id").alias("rep")))
     texts = docs.select(F.col(key).alias("rep"), text)
-    sets = keep(texts.join(classes, "rep").select("cls", text).mapInArrow(_sets(text, n), SETS).dropDuplicates(["cls"]))
-    rarest = exchange.answered(sets.mapInArrow(_send_sets(plan.buckets), exchange.SCHEMA), plan, _rarest(percent), "cls binary, n long, f long, cols array<long>")
+    sets = keep(texts.join(classes, "rep").select(F.struct("rep", "digest").alias("cls"), text).mapInArrow(_sets(text, n), sets_schema(node)).dropDuplicates(["cls"]))
+    rarest = exchange.answered(sets.mapInArrow(_send_sets(plan.buckets), exchange.SCHEMA), plan, _rarest(percent), f"cls {node}, n long, f long, cols array<long>")
     # rem: how many of the row's columns are no rarer than this one.
     columns = keep(rarest.select("cls", "n", "f", F.posexplode("cols").alias("at", "h")).select("cls", "n", "h", (F.col("f") - F.col("at")).alias("rem")))
 
@@ -269,8 +275,8 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     links = links.unionByName(linked(cross.join(star.select("a", "b"), ["a", "b"], "left_anti")))
     member = components(links)
 
-    named = classes.select(F.col("cls").alias("node"), "rep").join(member, "node", "left").select(F.col("node").alias("cls"), "rep", F.coalesce("component", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    grouped = alive.select("id", "n", "cls").join(named.join(least, "root").select("cls", "component"), "cls").select("id", "n", "component")
+    # Classes are in the order of their least keys, so the least class of a component has its least key.
+    named = classes.select(F.struct("rep", "digest").alias("node"), "digest").join(member, "node", "left").select("digest", F.coalesce("component", "node")["rep"].alias("component"))
+    grouped = alive.select("id", "n", "digest").join(named, "digest").select("id", "n", "component")
     single = every.where("cls is null or id is null").select("id", "n", F.col("id").alias("component"))
     return grouped.unionByName(single).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component")

@@ -27,14 +27,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomscan.llm import exchange
-from loomscan.llm.kernel import ALNUM, U64, Words, column, ngrams, pack_sorted, slices, spread, squeeze, unpack_sorted
+from loomscan.llm.kernel import ALNUM, U64, Words, column, ngrams, pack_sorted, slices, spread, squeeze, unpack_sorted, utf8
 
 #: The key under which the number of words in the corpus is counted.
 TOTAL = U64(0)
 #: Bytes of text in a unit.
-UNIT_BYTES = 8 << 20
-#: Rows of n-grams in a batch.
+UNIT_BYTES = 16 << 20
+#: Rows of n-grams in a batch, and counted rows that are brought together on their way back.
 BATCH_ROWS = 1 << 16
+ANSWER_ROWS = 1 << 20
 
 
 def _grams(hashes: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
@@ -43,31 +44,32 @@ def _grams(hashes: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarra
     return [ngrams(seq, n)[0] for n in range(1, order + 1)]
 
 
-def _units(batches: Iterator[pa.RecordBatch], text: str, key: str) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
-    """The number, ids, words per document and word hashes of each unit of a task; a unit's number follows from its place."""
-    unit, size, held = TaskContext.get().partitionId() << 32, 0, ([], [], [])
-
-    def done() -> tuple[int, pa.Array, np.ndarray, np.ndarray]:
-        return unit, pa.concat_arrays(held[0]), np.concatenate(held[1]), np.concatenate(held[2])
-
+def _units(batches: Iterator[pa.RecordBatch], text: str, key: str) -> Iterator[tuple[int, list[tuple[pa.Array, pa.Array]]]]:
+    """The number of each unit of a task, which follows from its place, and its runs of ids and texts."""
+    unit, size, held = TaskContext.get().partitionId() << 32, 0, []
     for batch in batches:
         for part in slices(batch, text):
-            words = Words(column(part, text), ALNUM)
-            for to, x in zip(held, (column(part, key), words.counts, words.hashes)):
-                to.append(x)
-            size += len(words.raw)
+            held.append((column(part, key), column(part, text)))
+            size += utf8(held[-1][1])[0].size
             if size >= UNIT_BYTES:
-                yield done()
-                unit, size, held = unit + 1, 0, ([], [], [])
-    if held[0]:
-        yield done()
+                yield unit, held
+                unit, size, held = unit + 1, 0, []
+    if held:
+        yield unit, held
+
+
+def _words(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Words per document, and the hashes of all words."""
+    found = [Words(t, ALNUM) for t in texts]
+    return np.concatenate([w.counts for w in found]), np.concatenate([w.hashes for w in found])
 
 
 def _explode(text: str, key: str, order: int):
     """Rows (h, unit, n) of every unit's n-grams, and of its number of words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit, _, counts, hashes in _units(batches, text, key):
+        for unit, held in _units(batches, text, key):
+            counts, hashes = _words([t for _, t in held])
             keys, n = np.unique(np.concatenate([*_grams(hashes, counts, order), np.full(len(hashes), TOTAL)]), return_counts=True)
             for at in range(0, len(keys), BATCH_ROWS):
                 part = keys[at : at + BATCH_ROWS]
@@ -77,24 +79,69 @@ def _explode(text: str, key: str, order: int):
 
 
 def _documents(text: str, key: str):
-    """One row (unit, own) for each unit: its ids, words per document, and the sequence of its words."""
+    """One row (unit, own) for each unit: its ids and texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit, ids, counts, hashes in _units(batches, text, key):
-            vocabulary, inverse = np.unique(hashes, return_inverse=True)
-            own = pickle.dumps((ids, counts, len(vocabulary), pack_sorted(vocabulary), squeeze(inverse.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([own], pa.binary())], names=["unit", "own"])
+        for unit, held in _units(batches, text, key):
+            runs = []
+            for ids, texts in held:
+                raw, offsets = utf8(texts)
+                runs.append((ids, squeeze(np.diff(offsets)), len(raw), squeeze(raw)))
+            yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([pickle.dumps(runs)], pa.binary())], names=["unit", "own"])
 
     return each
 
 
+def _texts(sizes: bytes, rows: int, length: int, raw: bytes) -> pa.Array:
+    offsets = np.append(0, np.cumsum(spread(sizes, np.int64, rows)))
+    return pa.LargeStringArray.from_buffers(rows, pa.py_buffer(offsets.tobytes()), pa.py_buffer(spread(raw, np.uint8, length).tobytes()))
+
+
+_TOLD = "unit long, size long, keys binary, totals binary"
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted rows (unit, h, total) on their way back: what a task has for one unit together, a bounded number of rows at a time."""
+    held, rows = [], 0
+
+    def packed() -> pa.RecordBatch:
+        unit, h, total = (np.concatenate([x[k] for x in held]) for k in range(3))
+        order = np.lexsort((h.view(U64), unit))
+        unit, h, total = unit[order], h[order].view(U64), total[order]
+        units, first = np.unique(unit, return_index=True)
+        ends = np.append(first[1:], len(unit)).tolist()
+        out = [(int(u), z - a, _pack(h[a:z]), _pack(total[a:z].astype(U64), ordered=False)) for u, a, z in zip(units, first.tolist(), ends)]
+        return pa.RecordBatch.from_pydict({n: [r[k] for r in out] for k, n in enumerate(("unit", "size", "keys", "totals"))}, schema=pa.schema([("unit", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("totals", pa.binary())]))
+
+    for batch in batches:
+        held.append([column(batch, c).to_numpy() for c in ("unit", "h", "total")])
+        rows += batch.num_rows
+        if rows >= ANSWER_ROWS:
+            yield packed()
+            held, rows = [], 0
+    if rows:
+        yield packed()
+
+
+def _pack(x: np.ndarray, ordered: bool = True) -> bytes:
+    """Compressed where there are enough of them for that to help."""
+    return x.tobytes() if len(x) < 64 else pack_sorted(x) if ordered else squeeze(x)
+
+
+def _unpack(data: bytes, size: int, ordered: bool = True) -> np.ndarray:
+    return np.frombuffer(data, U64) if size < 64 else unpack_sorted(data, size) if ordered else spread(data, U64, size)
+
+
 def _score(key: str, order: int, backoff: float, min_count: int):
     """The documents of one unit, scored by the counts of its n-grams; what has no count here occurs once."""
 
     def each(own: pa.Table, met: pa.Table) -> pa.Table:
-        ids, counts, size, vocabulary, inverse = pickle.loads(own.column("own")[0].as_py())
-        hashes = unpack_sorted(vocabulary, size)[spread(inverse, np.int32, int(counts.sum()))]
-        told, total = column(met, "h").to_numpy().view(U64), column(met, "total").to_numpy()
+        runs = pickle.loads(own.column("own")[0].as_py())
+        ids = pa.concat_arrays([r[0] for r in runs])
+        counts, hashes = _words([_texts(sizes, len(i), length, raw) for i, sizes, length, raw in runs])
+        parts = list(zip(*(met.column(c).to_pylist() for c in ("size", "keys", "totals"))))
+        told = np.concatenate([np.zeros(0, U64), *(_unpack(k, n) for n, k, _ in parts)])
+        total = np.concatenate([np.zeros(0, U64), *(_unpack(t, n, ordered=False) for n, _, t in parts)]).astype(np.int64)
         by = np.argsort(told)
         told, total = told[by], total[by]
 
@@ -150,7 +197,7 @@ def stupid_backoff(docs: DataFrame, text: str = "text", key: str = "doc_id", ord
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(key, text)
     grams = rows.mapInArrow(_explode(text, key, order), "h long, unit long, n int").repartition(_parts(docs), "h")
-    counted = grams.withColumn("total", F.sum("n").over(W.partitionBy("h"))).where("total > 1").select("unit", "h", "total")
+    counted = grams.withColumn("total", F.sum("n").over(W.partitionBy("h"))).where("total > 1").select("unit", "h", "total").mapInArrow(_answers, _TOLD)
     own = rows.mapInArrow(_documents(text, key), "unit long, own binary")
     out = own.groupBy("unit").cogroup(counted.groupBy("unit")).applyInArrow(_score(key, order, backoff, min_count), f"`{key}` {kind}, n_words long, n_backoff long, micro long")
     return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("micro") / F.lit(1e6) / F.col("n_words")))

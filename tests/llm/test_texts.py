@@ -100,11 +100,11 @@ def test_overlaps_are_accumulated_over_blocks(spark):
     rng = np.random.default_rng(5)
     base = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2))
     sets = {bytes([i]): np.sort(np.unique(np.concatenate([base[i * 7 : 360 + i], rng.integers(0, 2**63, 40, dtype=np.uint64)]))) for i in range(6)}
-    rows = [(bytearray(k), len(v), [len(b) for b in jaccard._cut(v)], [bytearray(jaccard.pack_sorted(b)) for b in jaccard._cut(v)]) for k, v in sets.items()]
-    table = spark.createDataFrame(rows, jaccard.SETS)
+    rows = [((int(k[0]), bytearray(k)), len(v), [len(b) for b in jaccard._cut(v)], [bytearray(jaccard.pack_sorted(b)) for b in jaccard._cut(v)]) for k, v in sets.items()]
+    table = spark.createDataFrame(rows, jaccard.sets_schema(jaccard.node_type("bigint")))
     pairs = [(a, b) for a in sets for b in sets if a < b]
-    entries = spark.createDataFrame([(bytearray(a), bytearray(b), len(sets[a]), len(sets[b])) for a, b in pairs], "a binary, b binary, n long, m long")
-    got = {(bytes(r.a), bytes(r.b)): r.both for r in jaccard.overlaps(entries, table, 80).collect()}
+    entries = spark.createDataFrame([((a[0], bytearray(a)), (b[0], bytearray(b)), len(sets[a]), len(sets[b])) for a, b in pairs], "a struct<rep:bigint,digest:binary>, b struct<rep:bigint,digest:binary>, n long, m long")
+    got = {(bytes(r.a.digest), bytes(r.b.digest)): r.both for r in jaccard.overlaps(entries, table, 80).collect()}
     both = {p: len(np.intersect1d(sets[p[0]], sets[p[1]])) for p in pairs}
     assert got == {p: n for p, n in both.items() if 100 * n >= 80 * (len(sets[p[0]]) + len(sets[p[1]]) - n)} and 0 < len(got) < len(pairs)
 
