@@ -255,7 +255,7 @@ def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None
             pending, fresh = fresh.table(), Grown()
             known = findings.table().where("type = 'self' and value = 'script'").select("scan", F.col("from_url").alias("url")).distinct()
             publics = findings.table().where("type = 'public'").groupBy("scan", F.col("value").alias("path")).agg(F.min("seq").alias("seq"))
-            made = resolve_fragments(pending.select("scan", "fragment", "from_url", "plugin", "seq"), known, _prefixes(findings), publics, places)
+            made = resolve_fragments(pending.select("scan", "fragment", "from_url", "plugin", "seq"), known, _prefixes(findings), publics, places.select("scan", "start"))
             candidates = made.select("scan", "from_url", "plugin", "seq", F.lit(-1).alias("inline"), F.lit(0).alias("plugin_idx"), F.lit(1).alias("rank"), F.lit(0).alias("pos"), F.xxhash64("candidate").alias("alt"), F.col("candidate").alias("url"), F.lit("").alias("page"), F.lit("").alias("request"))
         elif not fallback and not findings.empty:
             fallback = True
