@@ -36,6 +36,8 @@ UNIT_BYTES = 16 << 20
 #: Rows of n-grams in a batch, and counted rows that are brought together on their way back.
 BATCH_ROWS = 1 << 16
 ANSWER_ROWS = 1 << 20
+#: How hard texts are compressed that travel to their answers.
+TEXT_LEVEL = 7
 
 
 def _grams(hashes: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
@@ -86,7 +88,7 @@ def _documents(text: str, key: str):
             runs = []
             for ids, texts in held:
                 raw, offsets = utf8(texts)
-                runs.append((ids, squeeze(np.diff(offsets)), len(raw), squeeze(raw)))
+                runs.append((ids, squeeze(np.diff(offsets)), len(raw), pa.Codec("zstd", compression_level=TEXT_LEVEL).compress(raw.tobytes(), asbytes=True)))
             yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([pickle.dumps(runs)], pa.binary())], names=["unit", "own"])
 
     return each
