@@ -57,7 +57,7 @@ def test_scan_and_replay(spark, tmp_path):
 
 
 def test_chain_of_imports_is_walked_to_its_end(spark):
-    n = 6
+    n = 4
     rows = [("https://s.test", 200, "text/html", '<script src="/0.js"></script>')] + [(f"https://s.test/{i}.js", 200, "text/javascript", f'import("/{i + 1}.js")') for i in range(n)]
     few = Registry().only("HTMLScriptPlugin", "DynamicImportPlugin")
     assert discover(starts(spark, "https://s.test"), table(spark, rows), few).js_entries.count() == n
