@@ -1,4 +1,4 @@
-"""The queries of the ten operators over whole tables, and what SQL can say about them."""
+"""The queries of the operators over whole tables, and what SQL can say about them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomscan.llm import decontam, embed, jaccard, licenses, lm, packing, secrets, sharding, toxicity, urls
+from loomscan.llm import decontam, divergence, embed, jaccard, licenses, lm, packing, pii, runs, secrets, sharding, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +90,43 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_stupid_backoff, op2_secret_scan, op3_jaccard_join, op4_license_scan, op5_best_fit_packing, op6_vector_neardup, op7_toxicity, op8_kd_sharding, op9_url_filter, op10_decontamination, op4_license_scan_wrapped, op1_stupid_backoff_trigrams)}
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data by patterns, and by a classifier that is fitted to the labelers' votes on all documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.train(docs))
+    kinds = F.transform("_base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.spelled(F.col("_base")), 256).alias("base_sha256"), pii.spelled(F.col("_spans")).alias("spans"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+def _repeating(docs: DataFrame) -> DataFrame:
+    """doc_id and text; every tenth document by its id's checksum repeats a stretch of words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    given = docs.select("doc_id", "text", (F.floor(h / 10)).alias("g"), words.alias("w")).withColumn("n", F.size("w"))
+    given = given.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    given = given.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    changed = F.array_join(F.transform("w", lambda w, i: F.get("w", place(i))), " ")
+    return given.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_repeating(_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    found = found.withColumn("m", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("m.start")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.period")).alias("period"), F.expr("1000 * m.length div -m.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_stupid_backoff, op2_secret_scan, op3_jaccard_join, op4_license_scan, op5_best_fit_packing, op6_vector_neardup, op7_toxicity, op8_kd_sharding, op9_url_filter, op10_decontamination, op11_pii, op12_source_divergence, op13_periodic_runs, op4_license_scan_wrapped, op1_stupid_backoff_trigrams)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -161,4 +197,36 @@ h AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(k,
 s AS (SELECT r, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM o) GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(s.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)""",
+    "op12_source_divergence": f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+kt AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(ws)) AS t FROM d) GROUP BY lang, t HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kt GROUP BY lang),
+w AS (SELECT lang, source, t, count(*) AS n FROM (SELECT lang, source, unnest(ws) AS t FROM d) JOIN kt USING (lang, t) GROUP BY lang, source, t),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, sum(n)::BIGINT AS n FROM w GROUP BY lang, source),
+gp AS (SELECT g.lang, g.source, kt.t, coalesce(w.n, 0) AS n, 1 + (1000000000 * (coalesce(w.n, 0) + 2)) // (coalesce(gn.n, 0) + 2 * v.v) AS p
+  FROM g JOIN kt USING (lang) JOIN v USING (lang) LEFT JOIN gn USING (lang, source) LEFT JOIN w USING (lang, source, t)),
+ln AS (SELECT lang, sum(n)::BIGINT AS n FROM w GROUP BY lang),
+lp AS (SELECT kt.lang, kt.t, 1 + (1000000000 * (sum(w.n)::BIGINT + 2)) // (any_value(ln.n) + 2 * any_value(v.v)) AS q FROM kt JOIN v USING (lang) JOIN ln USING (lang) JOIN w USING (lang, t) GROUP BY kt.lang, kt.t),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value FROM gp a JOIN gp b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pr AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pv ON pv.lang = g.lang AND pv.source = g.source AND pv.item = h.source),
+te AS (SELECT lang, source, 'term' AS part, t AS item, ((p - q) * (p - q)) // (p + q) AS value FROM gp JOIN lp USING (lang, t) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pr UNION ALL SELECT * FROM te) QUALIFY part = 'pair' OR rank <= 10""",
+    "op13_periodic_runs": """
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, text, xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END, CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM documents),
+w0 AS (SELECT r, doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM h),
+w1 AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN g % len(ws) END AS a FROM w0),
+w2 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM w1),
+w AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS ws FROM w2),
+five AS (SELECT r, n, i, array_to_string(ws[i + 1 : i + 5], ' ') AS k FROM (SELECT r, n, ws, unnest(range(n - 4)) AS i FROM w WHERE n >= 6)),
+same AS (SELECT x.r, y.i - x.i AS q, x.i FROM five x JOIN five y ON x.r = y.r AND x.k = y.k AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+part AS (SELECT r, q, min(i) AS start, max(i) - min(i) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same) GROUP BY r, q, island),
+runs AS (SELECT r, start, length, min(q) AS period FROM part WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+best AS (SELECT r, count(*) AS n_runs, first(start ORDER BY length DESC, start, period) AS start, first(length ORDER BY length DESC, start, period) AS length, first(period ORDER BY length DESC, start, period) AS period,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(t, ' ' ORDER BY i) AS t FROM (SELECT r, unnest(ws) AS t, unnest(range(n)) AS i FROM w) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM w LEFT JOIN best USING (r) LEFT JOIN kept USING (r)""",
 }
