@@ -150,7 +150,7 @@ def _features(kind: Column, s: Column) -> Column:
     n = F.length(digits)
     solid = v.rlike(r"\A[0-9]+\z")
     shape = of(
-        email=vote(v.rlike(r"(?i)[.\x20)\]}][a-z]{2,24}\z"), F.lit(True)), ip=F.lit(1), card=vote(n.between(13, 19) & F.coalesce(F.call_function("luhn_check", digits), never), F.lit(True)),
+        email=vote(v.rlike(r"(?i)[.\x20)\]}][a-z]{2,24}\z") & (~v.contains(" at ") | v.rlike(_ENDINGS)), F.lit(True)), ip=F.lit(1), card=vote(n.between(13, 19) & F.coalesce(F.call_function("luhn_check", digits), never), F.lit(True)),
         phone=vote((v.rlike(r"\A\+") | v.rlike(_NATIONAL)) & ~v.rlike(_DATED), v.rlike(_DATED) | ~n.between(7, 15)),
     )
     listed = of(email=vote(v.rlike(_ENDINGS), F.lit(True)), ip=vote(~v.rlike(_LOCAL), F.lit(True)), card=vote(digits.rlike(_ISSUERS), F.lit(True)), phone=vote(v.rlike(_CODES), v.rlike(r"\A\+")))
