@@ -49,15 +49,15 @@ def _licenses(found: DataFrame) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licenses by single lines, as its SQL has them."""
-    return _licenses(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
-
-
-def op4_license_scan_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses by lines and by passages over line breaks."""
     return _licenses(licenses.scan_licenses(_table(spark, sf_dir, "documents"), wrapped=True))
 
 
+def op4_license_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses by single lines, as its SQL has them."""
+    return _licenses(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
@@ -126,7 +126,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_stupid_backoff, op2_secret_scan, op3_jaccard_join, op4_license_scan, op5_best_fit_packing, op6_vector_neardup, op7_toxicity, op8_kd_sharding, op9_url_filter, op10_decontamination, op11_pii, op12_source_divergence, op13_periodic_runs, op4_license_scan_wrapped, op1_stupid_backoff_trigrams)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_stupid_backoff, op2_secret_scan, op3_jaccard_join, op4_license_scan, op5_best_fit_packing, op6_vector_neardup, op7_toxicity, op8_kd_sharding, op9_url_filter, op10_decontamination, op11_pii, op12_source_divergence, op13_periodic_runs, op4_license_scan_lines, op1_stupid_backoff_trigrams)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -165,7 +165,7 @@ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.d
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 c(a, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, c.c FROM c JOIN e ON e.a = c.a WHERE c.c < e.b)
 SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c.c) AS component_id FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.a = doc_id GROUP BY doc_id""",
-    "op4_license_scan": f"""
+    "op4_license_scan_lines": f"""
 WITH tp(label, t) AS (VALUES {", ".join(f"('{label}', '{t}')" for label, t in licenses.TEMPLATES)}),
 ph(label, t) AS (VALUES {", ".join(f"('{label}', '{p}')" for p, label in licenses.PHRASES.items())}),
 tw AS (SELECT label, list_distinct(regexp_extract_all({_LOW.replace("coalesce(text, '')", "t")}, {_ALNUM})) AS ws FROM tp),

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomscan.llm.graph import keep
+
 _T = "A-Za-z0-9+/_~\\-"
 #: An unquoted value's characters; a dot or question mark at its end belongs to the sentence.
 _V = rf"{_T}!@#$%^&*|.?"
@@ -26,9 +28,14 @@ def _quoted(mark: str) -> str:
     return rf"{_ASSIGNED}{mark}){_LINK}{names}[^\s{mark}]{{8,}}+(?={mark})"
 
 
-#: A key block, a web token, the whole of an assigned value from 8 characters on, or a long run with a digit.
+#: A key block up to its end line or, where there is none, its key's characters; a web
+#: token; a link's password; what follows the word bearer; the whole of an assigned value
+#: from 8 characters on; or a long run with a digit.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+(?:-----END [A-Z ]*PRIVATE KEY-----)?"
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^\-]++|-(?!----(?:END|BEGIN) ))*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:\s|\\[rn]){0,4}+[A-Za-z0-9+/=_\-]{6,}+)*+"
+    r"|(?<=://[^\s/@:]{1,64}:)[^\s/@]{8,}+(?=@)"
+    r"|(?<=\b[Bb]earer[ ])[A-Za-z0-9._~+/\-]{16,}+={0,2}"
     rf"|(?<![{_T}.])eyJ[A-Za-z0-9_\-]{{8,}}+\.[A-Za-z0-9_\-]++\.[A-Za-z0-9_\-]++"
     rf"|{_quoted(chr(34))}|{_quoted(chr(39))}"
     rf"|{_ASSIGNED}[\"']?){_LINK}[{_V}]{{8,}}?(?<![.?])(?=&[A-Za-z0-9_.\-]{{1,64}}=|[.?]*+(?![{_V}]))(?:={{1,2}}(?=[\s\"',;)\]}}<]|\z))?"
@@ -43,7 +50,7 @@ REMARKS = "required optional mandatory unavailable disabled undefined forbidden
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 # How some issuers' keys begin.
 ISSUED = r"\A(AKIA|ASIA|gh[pousr]_|github_pat_|[sr]k_(live|test)_|xox[abprs]-|glpat-|AIza|eyJ|-----BEGIN|npm_|SG\.)"
-SECRET_WORDS = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|credential|bearer)\W{0,6}\Z"
+SECRET_WORDS = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|credential|bearer|passwort|kennwort|geheimnis|mot de passe|mdp|jeton|contrase(ñ|n)a|secreto|://[^\s/@:]{1,64})\W{0,6}\Z"
 OTHER_WORDS = r"(?i)(sha\d*|md5|commit|checksum|hash|digest|uuid|guid|rev(ision)?|build|version|card|phone|tel|order|invoice|ref|number|id|etag|file|path|see|page|isbn|tracking)\W{0,6}\Z"
 TRIAL_PATHS = r"(?i)(test|example|sample|mock|fixture|demo|doc)"
 
@@ -132,9 +139,16 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     ]
     df = spark.range(0, rows, 1, 1)
     which = F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(len(kinds)))
-    choose = lambda at: F.coalesce(*(F.when(which == i, k[at] if isinstance(k[at], Column) else F.lit(k[at])) for i, k in enumerate(kinds)))
-    trial = (F.pmod(F.xxhash64(F.lit("trial"), "id"), F.lit(12)) == 0) & (choose(0) == 0)
-    return df.select(choose(1).alias("before"), choose(2).alias("value"), F.when(quote == "", F.concat(F.lit(" "), lead)).otherwise(F.concat(quote, lead)).alias("after"), F.when(trial, pick("tp", "tests/fixtures/a.py", "docs/example.md", "sample.env")).otherwise(pick("fp", "src1", "web/news", "app/config.py", "crawl")).alias("path"), choose(0).cast("double").alias("label"))
+    trial = F.pmod(F.xxhash64(F.lit("trial"), "id"), F.lit(12)) == 0
+    ends = F.when(quote == "", F.concat(F.lit(" "), lead)).otherwise(F.concat(quote, lead))
+    usual = pick("fp", "src1", "web/news", "app/config.py", "crawl")
+    made = None
+    # A projection for each kind: one for all of them is too much code to be compiled.
+    for i, (label, before, value) in enumerate(kinds):
+        path = usual if label else F.when(trial, pick("tp", "tests/fixtures/a.py", "docs/example.md", "sample.env")).otherwise(usual)
+        part = df.where(which == i).select("id", before.alias("before"), value.alias("value"), ends.alias("after"), path.alias("path"), F.lit(float(label)).alias("label"))
+        made = part if made is None else made.unionByName(part)
+    return made.repartition(1).sortWithinPartitions("id").drop("id")
 
 
 def _tree(node) -> str:
@@ -152,7 +166,7 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11)
     from pyspark.ml.feature import VectorAssembler
 
     f = _features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
-    rows = findings.coalesce(1).select("label", *(c.alias(n) for n, c in zip(FEATURES, f)))
+    rows = keep(findings.coalesce(1).select("label", *(c.alias(n) for n, c in zip(FEATURES, f))))  # read once a level of the trees
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(data)
     return "(" + " + ".join(_tree(t._call_java("rootNode")) for t in model.trees) + f") / {trees}D"
