@@ -14,7 +14,7 @@ from loomscan.operators import discover, sourcemaps
 from loomscan.operators.extract import Doc, Registry, extract, tagged
 from loomscan.plans import report
 from loomscan.scan import ScanResult, scan
-from loomscan.sources import shared, store
+from loomscan.sources import captures, shared, store, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -556,3 +556,33 @@ def header_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     spelled = F.element_at(F.array(F.lit("SourceMap"), F.lit("X-SourceMap"), F.lit("sourcemap")), (F.col("id") % 3 + 1).cast("int"))
     docs = _rows(spark, sf_dir, "c_import_js").withColumn("headers", F.create_map(F.lit("ETag"), F.lit("1"), spelled, F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".map"))))
     return extract(docs, Registry().only("SourceMapPlugin"), keep=("id",)).where("type = 'map'").select("id", "value")
+
+
+# Recordings as a source, trees of files as a sink.
+@query("SELECT url, length(html) AS size, sha256(html) AS digest FROM pages WHERE url LIKE 'https://www.%' UNION ALL SELECT url, NULL, NULL FROM pages WHERE page_id % 3 = 0 AND url LIKE 'https://www.%'")
+def captured_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as recorded exchanges and read again by ranges of addresses; HEAD requests have no text."""
+    path = f"{shared.shared_folder(spark)}/recording-{uuid.uuid4().hex}"
+    pages = _rows(spark, sf_dir, "pages")
+    got = pages.select("url", F.lit("GET").alias("method"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.col("html").alias("text"))
+    heads = pages.where("page_id % 3 = 0").select("url", F.lit("HEAD"), F.lit(200), F.lit("text/html"), F.lit(None).cast("string"))
+    captures.record(got.union(heads), path)
+    back = captures.recorded(spark, path, ["url", "method", "text"]).where("url like 'https://www.%' and method in ('GET', 'HEAD')")
+    return back.select("url", F.length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"))
+
+
+_TREE = """, t AS (SELECT 'js' AS slot, 'maps.test-j-' || n || '.js' AS path, CASE k % 3 WHEN 0 THEN 'var a;' || chr(10) || '//# sourceMappingURL=m' || n || '.map' WHEN 1 THEN 'var b;' ELSE 'var c;' || chr(10) || '//# sourceMappingURL=' || (SELECT map_url FROM m WHERE m.k = js.k) END AS content FROM js
+UNION ALL SELECT 'sources', path, content FROM f
+UNION ALL SELECT 'source_map', substr(sha256(map_url), 1, 12) || '-' || regexp_extract(map_url, '([^/]*)[.]map$', 1) || '.map', '{"version":3,"sources":["webpack:///./src/a' || n || '.ts","webpack:///./src/b' || n || '.ts"],"sourcesContent":["A' || n || '","B' || n || '"]}' FROM m WHERE k % 3 <> 2
+UNION ALL SELECT 'html', 'web.html', '<html>' || (SELECT string_agg('<script src="/j/' || n || '.js"></script>', '' ORDER BY k) FROM js) || '</html>')"""
+
+
+@query(_MAPPED + _TREE + " SELECT 'maps' AS scope, slot, path, CASE WHEN slot = 'html' THEN CAST(length(content) AS VARCHAR) ELSE content END AS content FROM t")
+def tree_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan's scripts, maps, sources and page as a tree of files, replaced once, and read again."""
+    path = f"{shared.shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    found = shared.keep(tree.files_of(_mapped_scan(spark, sf_dir), _rows(spark, sf_dir, "c_mapped")))
+    tree.save(found.withColumn("content", F.lit("an older one")), path)
+    tree.save(found, path)
+    text = F.decode("content", "utf-8")
+    return tree.stored(spark, path).select("scope", "slot", "path", F.when(F.col("slot") == "html", F.length(text).cast("string")).otherwise(text).alias("content"))
