@@ -36,15 +36,20 @@ def fetch(frontier: DataFrame, responses: DataFrame) -> DataFrame:
     request, which tells answers to requests with a header or another method apart: null
     or empty for plain ones.  A frontier with a column request meets those of its own.
     """
+    r = answers(responses)
+    if "request" in frontier.columns:
+        return frontier.join(r, ["url", "request"], "left")
+    return frontier.join(r.where("request = ''").drop("request"), "url", "left")
+
+
+def answers(responses: DataFrame) -> DataFrame:
+    """responses by the key of their address, with all columns that they may have."""
     have = set(responses.columns)
-    r = responses.select(
+    return responses.select(
         url.normalize(F.col("url")).alias("url"), "status", "content_type", "text",
         (F.col("final_url") if "final_url" in have else F.lit(None).cast("string")).alias("final_url"), (content.lower_keys(F.col("headers")) if "headers" in have else F.lit(None).cast("map<string,string>")).alias("headers"),
         (F.coalesce("request", F.lit("")) if "request" in have else F.lit("")).alias("request"),
     )
-    if "request" in frontier.columns:
-        return frontier.join(r, ["url", "request"], "left")
-    return frontier.join(r.where("request = ''").drop("request"), "url", "left")
 
 
 def route(fetched: DataFrame) -> DataFrame:
@@ -184,18 +189,32 @@ def _itself(role: Column) -> Extractor:
     return lambda d: gated((role != "inline", tagged("self", F.array(role))))
 
 
-def _documents(frontier: DataFrame, responses: DataFrame, marks: DataFrame | None) -> DataFrame:
-    """The frontier's documents and the scripts within them: scan, seq, asked, url, kind, text, headers, role, inline."""
-    docs = route(fetch(frontier.select("scan", "seq", "url", F.col("url").alias("asked"), "request"), responses)).where("role <> 'dropped'")
+def _parts(answered: DataFrame, *keys: str) -> DataFrame:
+    """Answered requests as documents and the scripts within them: keys, url, kind, text, headers, role, inline."""
+    docs = route(answered).where("role <> 'dropped'")
     whole = F.array(F.struct(F.lit(-1).alias("inline"), "kind", F.when(F.col("role") != "map", F.col("text")).otherwise(F.lit("")).alias("text"), F.col("role").alias("role")))
     within = scanners.inline_scripts(F.when((F.col("kind") == "html") & (F.col("role") == "document"), F.col("text")))
     inner = F.transform(within, lambda t, i: F.struct(i.alias("inline"), F.lit("js").alias("kind"), t.alias("text"), F.lit("inline").alias("role")))
     parts = F.concat(whole, F.filter(F.coalesce(inner, F.array().cast("array<struct<inline:int,kind:string,text:string,role:string>>")), lambda x: x["text"] != ""))
-    out = docs.select("scan", "seq", "asked", "url", "headers", F.explode(parts).alias("x")).select("scan", "seq", "asked", "url", "headers", "x.*")
-    return out if marks is None else out.join(marks, "scan", "left")
+    return docs.select(*keys, "url", "headers", F.explode(parts).alias("x")).select(*keys, "url", "headers", "x.*")
 
 
-def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None = None, budget: int = PAGE_BUDGET, max_rounds: int | None = None) -> Result:
+def _found(docs: DataFrame, registry: Registry, *keys: str) -> DataFrame:
+    extractors = Registry({"": _itself(F.col("role")), **dict(registry.items())})
+    return extract(docs, extractors, keep=(*keys, "inline", "role")).withColumnRenamed("url", "from_url").drop("role")
+
+
+def edge_table(responses: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """asked, request, inline, from_url, plugin, plugin_idx, type, value, pos: what every response refers to.
+
+    One pass over all responses without a join, whatever scans reach them; a walk over it
+    reads no response again.  Held by the address that was asked for.
+    """
+    docs = _parts(answers(responses).withColumn("asked", F.col("url")), "asked", "request")
+    return keep(_found(docs, registry or Registry(), "asked", "request").repartition("asked"))
+
+
+def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None = None, budget: int = PAGE_BUDGET, max_rounds: int | None = None, edges: DataFrame | None = None, by_round: bool = False) -> Result:
     """Walks from starts (scan, start) over captured responses until nothing new turns up.
 
     js_entries come in order of discovery with the first provenance; html_entries are at
@@ -203,15 +222,26 @@ def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None
     start without a successful response yields nothing and is among failed.  Of several
     starts of one scan the first one is what loopback addresses stand for.  max_rounds is
     for tests: where it is reached with work left, RuntimeError is raised.
+
+    What responses refer to is extracted once, from all of them (edges: an `edge_table` of
+    these responses and this registry that is there already), and rounds are joins with
+    it.  by_round: documents are read and extracted round by round as they are reached,
+    which is less work where most responses are out of reach.  Scans in which a runtime's
+    mark has been found go on by rounds, since their documents say more from then on.
     """
     registry = registry or Registry()
+    if edges is None and not by_round:
+        edges = edge_table(responses, registry)
+    ahead = {r.type for r in edges.select("type").distinct().collect()} if edges is not None else None  # of a closed set
+    to_key = url.normalize(url.moved_from_loopback(F.col("url"), F.col("_origin")))
+    members = url.combo_members(F.col("value"))
     spark, scan_type = starts.sparkSession, starts.schema["scan"].dataType.simpleString()
     none = lambda schema: spark.createDataFrame([], f"scan {scan_type}, {schema}")
     first = starts.select("scan", F.col("start").alias("_start"), url.normalize(F.col("start")).alias("url"), F.lit(None).cast("string").alias("from_url"), F.lit("CLI").alias("plugin"), F.lit(False).alias("is_inline"), F.lit("").alias("page"), F.lit("").alias("request"))
     frontier, n = numbered(first, ["scan", "_start"], 1)
     asked, entered = frontier.select("scan", F.col("_start").alias("start"), "url", "seq"), frontier
     frontier = frontier.drop("_start")
-    edges, findings, pages, seen, names, fresh = Grown(), Grown(), Grown(), Grown(), Grown(), Grown()
+    ways, findings, pages, seen, names, fresh = Grown(), Grown(), Grown(), Grown(), Grown(), Grown()
     base, places, marks = None, None, None
     rounds, fallback, offset = 0, False, 1 + n
     while True:
@@ -220,13 +250,19 @@ def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None
         rounds += 1
         kinds: set[str] = set()
         if n:
-            edges.add(frontier)
+            ways.add(frontier)
             seen.add(frontier.select("scan", "request", "url"))
-            docs = _documents(frontier, responses, marks)
-            extractors = Registry({"": _itself(F.col("role")), **dict(registry.items())})
-            found = keep(extract(docs, extractors, keep=("scan", "seq", "asked", "inline", "role")).withColumnRenamed("url", "from_url").drop("role"))
+            asking = frontier.select("scan", "seq", "url", F.col("url").alias("asked"), "request")
+            parts = []
+            if edges is not None:
+                plain = asking if marks is None else asking.join(marks, "scan", "left_anti")
+                parts.append(plain.drop("url").join(edges, ["asked", "request"]).drop("request"))
+            if edges is None or marks is not None:
+                docs = _parts(fetch(asking if edges is None else asking.join(marks, "scan", "left_semi"), responses), "scan", "seq", "asked")
+                parts.append(_found(docs if marks is None else docs.join(marks, "scan", "left"), registry, "scan", "seq", "asked"))
+            found = keep(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
             findings.add(found)
-            kinds = {r.type for r in found.select("type").distinct().collect()}  # of a closed set
+            kinds = ahead if ahead is not None and marks is None else {r.type for r in found.select("type").distinct().collect()}
             seen.add(found.where("type = 'self' and asked <> from_url").select("scan", F.lit("").alias("request"), F.col("from_url").alias("url")))
             if base is None:  # where the starts led to
                 led = found.where("type = 'self'").select("scan", "seq", F.col("from_url").alias("led"))
@@ -239,7 +275,7 @@ def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None
             found = found.withColumns({"rank": rank, "alt": F.lit(0).cast("long")})
             row = ["scan", "from_url", "plugin", *_ORDER]
             as_page = lambda p, r="": (F.lit(p).alias("page"), F.lit(r).alias("request"))
-            direct = found.where("type = 'url'").select(*row, F.explode(url.combo_members(F.col("value"))).alias("url"), *as_page(""))
+            direct = found.where("type = 'url'").select(*row, F.explode(members).alias("url"), *as_page(""))
             further = found.where("type in ('html', 'json')").select(*row, F.col("value").alias("url"), F.when(F.col("type") == "html", "html").otherwise("").alias("page"), F.lit("").alias("request"))
             candidates = direct.unionByName(further)
             if "request" in kinds:
@@ -265,7 +301,7 @@ def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None
         else:
             break
         # base: one row a scan, with what a loopback address stands for.
-        keyed = candidates.where("url not like 'data:%'").join(base, "scan").withColumn("url", url.normalize(url.moved_from_loopback(F.col("url"), F.col("_origin")))).drop("_origin")
+        keyed = candidates.where("url not like 'data:%'").join(base, "scan").withColumn("url", to_key).drop("_origin")
         new = claim(keyed, seen.table(), ["scan", "request", "url"], _ORDER)
         if "html" in kinds:
             new = _within_budget(new, None if pages.empty else pages.table(), budget)
@@ -274,16 +310,16 @@ def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None
         if "html" in kinds:
             pages.add(frontier.where("page = 'html'").select("scan", "url", "from_url", "plugin"))
         offset += n
-    return _result(starts, asked, entered, edges, findings, pages, places, responses, none)
+    return _result(starts, asked, entered, ways, findings, pages, places, responses, none)
 
 
 def _prefixes(findings: Grown) -> DataFrame:
     return findings.table().where("type = 'prepend'").select("scan", F.col("value").alias("prefix")).distinct()
 
 
-def _result(starts: DataFrame, asked: DataFrame, entered: DataFrame, edges: Grown, findings: Grown, pages: Grown, places: DataFrame | None, responses: DataFrame, none) -> Result:
+def _result(starts: DataFrame, asked: DataFrame, entered: DataFrame, walked: Grown, findings: Grown, pages: Grown, places: DataFrame | None, responses: DataFrame, none) -> Result:
     """The tables of a finished walk."""
-    ways = entered.drop("_start") if edges.empty else edges.table()
+    ways = entered.drop("_start") if walked.empty else walked.table()
     if findings.empty:
         every = none("seq long, asked string, inline int, from_url string, plugin string, plugin_idx int, type string, value string, pos int")
     else:

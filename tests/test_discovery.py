@@ -113,3 +113,10 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     extract_arriving(stream, str(tmp_path / "out"), str(tmp_path / "cp"), Registry().only("DynamicImportPlugin")).awaitTermination()
     assert [r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["https://a.test/y.js"]
+
+
+def test_walking_ahead_and_by_round_find_the_same(spark, result):
+    by_round = discover(starts(spark), responses(spark), FEW, by_round=True)
+    assert sorted(by_round.js_entries.collect()) == sorted(result.js_entries.collect())
+    key = lambda r: (r.scan, r.seq, r.inline, r.from_url, r.plugin, r.type, r.value)
+    assert sorted(map(key, by_round.findings.collect())) == sorted(map(key, result.findings.collect()))
