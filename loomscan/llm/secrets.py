@@ -34,8 +34,8 @@ def _quoted(mark: str) -> str:
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^\-]++|-(?!----(?:END|BEGIN) ))*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
     r"|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:\s|\\[rn]){0,4}+[A-Za-z0-9+/=_\-]{6,}+)*+"
-    r"|(?<=://[^\s/@:]{1,64}:)[^\s/@]{8,}+(?=@)"
-    r"|(?<=\b[Bb]earer[ ])[A-Za-z0-9._~+/\-]{16,}+={0,2}"
+    r"|(?<=:)(?<=://[^\s/@:]{1,64}:)[^\s/@]{8,}+(?=@)"
+    r"|(?<=r[ ])(?<=\b[Bb]earer[ ])[A-Za-z0-9._~+/\-]{16,}+={0,2}"
     rf"|(?<![{_T}.])eyJ[A-Za-z0-9_\-]{{8,}}+\.[A-Za-z0-9_\-]++\.[A-Za-z0-9_\-]++"
     rf"|{_quoted(chr(34))}|{_quoted(chr(39))}"
     rf"|{_ASSIGNED}[\"']?){_LINK}[{_V}]{{8,}}?(?<![.?])(?=&[A-Za-z0-9_.\-]{{1,64}}=|[.?]*+(?![{_V}]))(?:={{1,2}}(?=[\s\"',;)\]}}<]|\z))?"
