@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomscan.functions import let
+from loomscan.functions import hosts, let
 
 _URL = r"(?s)\A([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
 # Characters of a path that have to be percent-encoded.
 _UNSAFE = r"[^\x21-\x7E]|[\"<>`{}^]"
+_UNSAFE_SQL = r"r'[^\x21-\x7E]|[<>`{}^]|\x22'"
 # Endings, and parts, of addresses of static resources.
 STATIC_ENDINGS = [".js", ".mjs", ".jsonp", ".ts", ".tsx", ".vue", ".css", ".woff", ".woff2", ".ttf", ".svg", ".png", ".jpg"]
 STATIC_PARTS = [".js", ".mjs", ".jsonp", ".tsx"]
@@ -25,19 +26,73 @@ def is_http(url: Column) -> Column:
 
 
 def parses(url: Column) -> Column:
-    """Whether an address has a scheme and, for http(s), a host without blanks."""
-    return F.coalesce(url.rlike(r"(?i)\A(https?://[^/?#\s\\@:\[\]]+(:[0-9]{0,5})?|https?://\[[0-9a-fA-F:.]+\](:[0-9]{0,5})?)([/?#]|\z)"), F.lit(False))
+    """Whether an address has a scheme and, for http(s), a host that is one."""
+    return parsed(url)["ok"]
+
+
+def _encoded(part: str, unsafe: str) -> str:
+    """SQL: a part with what matches `unsafe` percent-encoded by its UTF-8 bytes."""
+    each = rf"if(c rlike {unsafe}, replace(url_encode(c), '+', '%20'), c)"
+    return rf"if({part} rlike {unsafe}, array_join(transform(split({part}, ''), c -> {each}), ''), {part})"
+
+
+# Characters of a query that have to be percent-encoded, besides those of no ASCII.
+_UNSAFE_QUERY = "r\"[^\\x21-\\x7E]|[<>']|\\x22\""
+_SPLIT = r"r'(?s)\A([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z'"
+_HOST_OF = r"regexp_extract(u, r'(?i)\Ahttps?://([^/?#]*)', 1)"
+_WHOLE = r"r'(?i)\A(https?://[^/?#\s\\@:\[\]]+(:[0-9]{0,5})?|https?://\[[0-9a-fA-F:.]+\](:[0-9]{0,5})?)([/?#]|\z)'"
+#: In an http address a backslash is a slash, and further slashes before the host don't count.
+_SLASHED = r"if(u rlike r'(?i)\Ahttps?:[^?#]*\\', concat(regexp_replace(translate(regexp_extract(u, r'(?s)\A([^?#]*)', 1), chr(92), '/'), r'\A([A-Za-z]+:)/{3,}', '$1//'), regexp_extract(u, r'(?s)\A[^?#]*(.*)\z', 1)), if(u rlike r'(?i)\Ahttps?:///', regexp_replace(u, r'\A([A-Za-z]+:)/+', '$1//'), u))"
+
+
+def _part_of(i: int) -> str:
+    return f"regexp_extract(w, {_SPLIT}, {i})"
+
+
+def _lambda() -> str:
+    """SQL from an address to its parts; few lambdas within each other, each of which costs the analyser a round."""
+    port = rf"regexp_extract({_part_of(2)}, r':([0-9]{{0,5}})\z', 1)"
+    own = rf"{port} = '' or w rlike r'(?i)\A(https://[^/?#]*:0*443|http://[^/?#]*:0*80)([/?#]|\z)'"
+    host = rf"concat(regexp_replace(lower({_part_of(2)}), r':[0-9]{{0,5}}\z', ''), if({own}, '', concat(':', cast(cast({port} as int) as string))))"
+    fields = {"all": "u", "ok": rf"coalesce(w rlike {_WHOLE} and cast(coalesce(nullif({port}, ''), '0') as int) < 65536, false)", "scheme": f"lower({_part_of(1)})", "host": host, "path": _encoded(_part_of(3), _UNSAFE_SQL), "query": _encoded(_part_of(4), _UNSAFE_QUERY), "mark": _part_of(5)}
+    return "u -> " + hosts.let(_SLASHED, "w", "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")")
+
+
+def _hosted() -> str:
+    """SQL from an address' parts to the same with the host in its shortest form, and not ok where it is none."""
+    name, port = r"regexp_replace(p.host, r':[0-9]{0,5}\z', '')", r"regexp_extract(p.host, r'(:[0-9]{0,5})\z', 1)"
+    same = "named_struct('all', p.all, 'ok', {ok}, 'scheme', p.scheme, 'host', {host}, 'path', p.path, 'query', p.query, 'mark', p.mark)"
+    found = hosts.let(hosts.host(name), "x", same.format(ok="x is not null", host=f"if(x is null, p.host, concat(x, {port}))"))
+    return f"p -> if(p.ok and {_odd('p.host')}, {found}, p)"
+
+
+def _odd(host: str) -> str:
+    """SQL: whether a host and its port may have another form."""
+    return rf"not ({host} rlike r'\A[a-z0-9_-]+([.][a-z0-9_-]+)*(:[0-9]+)?\z' and not {host} rlike r'(\A|[.])(0x[0-9a-f]*|[0-9]+)[.]?(:[0-9]*)?\z')"
+
+
+_CUT_UP, _HOSTED = _lambda(), _hosted()
+
+
+def cut_up(url: Column) -> Column:
+    """parsed, but for the host, which keeps its form."""
+    return F.element_at(F.call_function("transform", F.array(url), F.expr(_CUT_UP)), 1)
 
 
 def parsed(url: Column) -> Column:
-    """all, ok, scheme, host, path, query and mark of an address; host without the scheme's own port, path encoded."""
+    """all, ok, scheme, host, path, query and mark of an address.
+
+    host: in its shortest form, with the port unless it is the scheme's own; path and
+    query are percent-encoded.
+    """
+    return F.element_at(F.call_function("transform", F.array(cut_up(url)), F.expr(_HOSTED)), 1)
 
-    def parts(u: Column) -> Column:
-        given = F.lower(_part(u, 2))
-        host = F.when(u.rlike("(?i)\\Ahttp:"), F.regexp_replace(given, ":(80)?$", "")).otherwise(F.regexp_replace(given, ":(443)?$", ""))
-        return F.struct(u.alias("all"), parses(u).alias("ok"), F.lower(_part(u, 1)).alias("scheme"), host.alias("host"), encode_path(_part(u, 3)).alias("path"), _part(u, 4).alias("query"), _part(u, 5).alias("mark"))
 
-    return let(url, parts)
+def hosted(url: Column) -> Column:
+    """An address with its host in its shortest form; for addresses that are put together already."""
+    again = lambda p: F.when(p["ok"], F.concat(_origin(p), p["path"], p["query"], p["mark"])).otherwise(p["all"])
+    odd = F.expr(f"u -> {_odd(_HOST_OF)}")
+    return F.when(is_http(url) & F.element_at(F.call_function("transform", F.array(url), odd), 1), let(parsed(url), again)).otherwise(url)
 
 
 def _origin(p: Column) -> Column:
@@ -69,6 +124,11 @@ def encode_path(path: Column) -> Column:
     return F.when(path.rlike(_UNSAFE), F.array_join(each, "")).otherwise(path)
 
 
+def encode_query(query: Column) -> Column:
+    """Percent-encodes what can't stand in a query."""
+    return F.element_at(F.call_function("transform", F.array(query), F.expr(f"t -> {_encoded('t', _UNSAFE_QUERY)}")), 1)
+
+
 def _resolved_dots(path: Column) -> Column:
     """Removes . and .. segments of an absolute path; a final one leaves a slash."""
     step = lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(s)))
@@ -87,7 +147,7 @@ def clean_path(path: Column) -> Column:
 
 def resolve(base: Column, ref: Column) -> Column:
     """The address that ref means in a document at base; ref itself where that can't be told."""
-    return resolve_at(parsed(base), ref)
+    return hosted(resolve_at(parsed(base), ref))
 
 
 def _cut(ref: Column) -> Column:
@@ -98,19 +158,19 @@ def _cut(ref: Column) -> Column:
 
 
 def resolve_at(base: Column, ref: Column) -> Column:
-    """resolve, for a base that is parsed already."""
+    """resolve, for a base that is parsed already; the host keeps its form."""
 
     def whole(p: Column) -> Column:
-        out = F.concat(_origin(p), _resolved_dots(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])), F.regexp_replace(F.concat(p["query"], p["mark"]), " ", "%20"))
+        out = F.concat(_origin(p), _resolved_dots(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])), p["query"], F.replace(p["mark"], F.lit(" "), F.lit("%20")))
         return F.when(p["ok"], out).otherwise(p["all"])
 
     def choose(b: Column, r: Column) -> Column:
-        path, tail = r["path"], F.regexp_replace(F.concat(r["query"], r["mark"]), " ", "%20")
+        path, tail = r["path"], F.concat(encode_query(r["query"]), F.replace(r["mark"], F.lit(" "), F.lit("%20")))
         here = F.when(b["path"] == "", F.lit("/")).otherwise(b["path"])
         given = F.when(path.startswith("//"), F.concat(b["scheme"], F.lit(":"), path, r["query"], r["mark"])).otherwise(r["all"])
         rooted = F.when(path.startswith("/"), encode_path(path)).otherwise(F.concat(F.regexp_replace(here, r"[^/]*\z", ""), encode_path(path)))
         return (
-            F.when(r["all"].rlike(r"(?i)\Ahttps?://") | (b["ok"] & path.startswith("//")), let(parsed(given), whole))
+            F.when(r["all"].rlike(r"(?i)\Ahttps?:[/\\]{2}") | (b["ok"] & path.startswith("//")), let(cut_up(given), whole))
             .when(r["all"].rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:") | ~b["ok"], r["all"])
             .when((path == "") & (r["query"] == ""), F.concat(_origin(b), here, b["query"], r["mark"]))
             .when(path == "", F.concat(_origin(b), here, tail))
@@ -131,22 +191,22 @@ def normalize(url: Column) -> Column:
 
 
 def normalize_at(base: Column, ref: Column) -> Column:
-    """normalize of resolve_at, in one step: the key has no dot segments and no mark whatever the address had."""
+    """normalize of resolve_at, in one step, but for the host's form: the key has no dot segments and no mark whatever the address had."""
 
     def choose(b: Column, r: Column) -> Column:
         path, all_ = r["path"], r["all"]
         here = F.when(b["path"] == "", F.lit("/")).otherwise(b["path"])
         folder = F.regexp_replace(here, r"[^/]*\z", "")
         return (
-            F.when(all_.rlike(r"(?i)\Ahttps?://"), all_)
+            F.when(all_.rlike(r"(?i)\Ahttps?:[/\\]{2}"), all_)
             .when(b["ok"] & path.startswith("//"), F.concat(b["scheme"], F.lit(":"), path, r["query"]))
             .when(all_.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:") | ~b["ok"], all_)
             .when((path == "") & (r["query"] == ""), F.concat(_origin(b), here, b["query"]))
-            .when(path == "", F.concat(_origin(b), here, F.replace(r["query"], F.lit(" "), F.lit("%20"))))
-            .otherwise(F.concat(_origin(b), F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)), F.replace(r["query"], F.lit(" "), F.lit("%20"))))
+            .when(path == "", F.concat(_origin(b), here, r["query"]))
+            .otherwise(F.concat(_origin(b), F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)), r["query"]))
         )
 
-    return let(parsed(let(F.struct(base.alias("b"), _cut(ref).alias("r")), lambda x: choose(x["b"], x["r"]))), _key)
+    return let(cut_up(let(F.struct(base.alias("b"), _cut(ref).alias("r")), lambda x: choose(x["b"], x["r"]))), _key)
 
 
 def rebase_loopback(url: Column, start: Column) -> Column:

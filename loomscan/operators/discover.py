@@ -35,23 +35,35 @@ def fetch(frontier: DataFrame, responses: DataFrame) -> DataFrame:
     responses: url, status, content_type, text, and optionally final_url, headers, and
     request, which tells answers to requests with a header or another method apart: null
     or empty for plain ones.  A frontier with a column request meets those of its own.
+    Where responses have a column scan, an answer with a scan is that scan's alone and goes
+    before the ones without.
     """
     r = answers(responses)
     if "request" in frontier.columns:
-        return frontier.join(r, ["url", "request"], "left")
-    return frontier.join(r.where("request = ''").drop("request"), "url", "left")
+        return _met(frontier, r, ["url", "request"], "left")
+    return _met(frontier, r.where("request = ''").drop("request"), ["url"], "left")
 
 
 def answers(responses: DataFrame) -> DataFrame:
-    """responses by the key of their address, with all columns that they may have."""
+    """responses by the key of their address, with all columns that they may have, and only, where they have a scan."""
     have = set(responses.columns)
     return responses.select(
+        *([F.col("scan").alias("only")] if "scan" in have else []),
         url.normalize(F.col("url")).alias("url"), "status", "content_type", "text",
         (F.col("final_url") if "final_url" in have else F.lit(None).cast("string")).alias("final_url"), (content.lower_keys(F.col("headers")) if "headers" in have else F.lit(None).cast("map<string,string>")).alias("headers"),
         (F.coalesce("request", F.lit("")) if "request" in have else F.lit("")).alias("request"),
     )
 
 
+def _met(rows: DataFrame, answered: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows with what is there for their keys: for their own scan, or else for all scans."""
+    if "only" not in answered.columns:
+        return rows.join(answered, keys, how)
+    own = answered.where("only is not null").withColumnRenamed("only", "scan")
+    rest = rows.join(own.select("scan", *keys).distinct(), ["scan", *keys], "left_anti").join(answered.where("only is null").drop("only"), keys, how)
+    return rows.join(own, ["scan", *keys]).unionByName(rest)
+
+
 def route(fetched: DataFrame) -> DataFrame:
     """Successful responses with kind, and role: script, document, map, flight or dropped.
 
@@ -210,8 +222,10 @@ def edge_table(responses: DataFrame, registry: Registry | None = None) -> DataFr
     One pass over all responses without a join, whatever scans reach them; a walk over it
     reads no response again.  Held by the address that was asked for.
     """
-    docs = _parts(answers(responses).withColumn("asked", F.col("url")), "asked", "request")
-    return keep(_found(docs, registry or Registry(), "asked", "request").repartition("asked"))
+    given = answers(responses)
+    keys = ["asked", "request", *(["only"] if "only" in given.columns else [])]
+    docs = _parts(given.withColumn("asked", F.col("url")), *keys)
+    return keep(_found(docs, registry or Registry(), *keys).repartition("asked"))
 
 
 def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None = None, budget: int = PAGE_BUDGET, max_rounds: int | None = None, edges: DataFrame | None = None, by_round: bool = False) -> Result:
@@ -256,7 +270,7 @@ def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None
             parts = []
             if edges is not None:
                 plain = asking if marks is None else asking.join(marks, "scan", "left_anti")
-                parts.append(plain.drop("url").join(edges, ["asked", "request"]).drop("request"))
+                parts.append(_met(plain.drop("url"), edges, ["asked", "request"]).drop("request"))
             if edges is None or marks is not None:
                 docs = _parts(fetch(asking if edges is None else asking.join(marks, "scan", "left_semi"), responses), "scan", "seq", "asked")
                 parts.append(_found(docs if marks is None else docs.join(marks, "scan", "left"), registry, "scan", "seq", "asked"))

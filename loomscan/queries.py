@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomscan import corpora
-from loomscan.functions import content, paths, scanners, url
+from loomscan.functions import content, paths, registered, scanners, url
 from loomscan.operators import discover, sourcemaps
 from loomscan.operators.extract import Doc, Registry, extract, tagged
 from loomscan.plans import report
 from loomscan.scan import ScanResult, scan
-from loomscan.sources import captures, shared, store, tree
+from loomscan.sources import bodies, captures, shared, store, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +38,22 @@ def scalar(name: str, corpus: str, column: Callable[..., Column], sql: str, *inp
         return _rows(spark, sf_dir, corpus).select(_ID.get(corpus, "id"), column(*(F.col(c) for c in inputs)).alias(out))
 
     run.__name__ = name
-    query(f"SELECT {_ID.get(corpus, 'id')}, {sql} AS {out} FROM {_sql(corpus)} t")(run)
+    oracle = f"SELECT {_ID.get(corpus, 'id')}, {sql} AS {out} FROM {_sql(corpus)} t"
+    query(oracle)(run)
+    for known, (f, _, _) in registered.NATIVE.items():
+        if f is column and f"sql_{known}" not in QUERIES:
+            _called(f"sql_{known}", known, corpus, oracle, inputs, out)
+
+
+def _called(name: str, function: str, corpus: str, oracle: str, inputs: tuple[str, ...], out: str) -> None:
+    """The same by a call of the SQL function."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        [call] = registered.register(spark, only={function})
+        return spark.sql(f"SELECT {_ID.get(corpus, 'id')}, {call}({', '.join(inputs)}) AS {out} FROM {{rows}}", rows=_rows(spark, sf_dir, corpus))
+
+    run.__name__ = name
+    query(oracle)(run)
 
 
 _ID = {"pages": "page_id"}
@@ -132,6 +147,10 @@ scalar("jsonp_unwrap", "c_payloads", content.unwrap_jsonp, "CASE WHEN id % 5 = 2
 scalar("valid_map", "c_sourcemap_json", content.is_source_map, "json_valid(text) AND json_array_length(text, '$.sources') > 0", "text")
 scalar("data_uri", "c_paths", lambda p: content.data_uri(F.concat(F.lit("data:text/plain;base64,"), F.base64(p.cast("binary")))).cast("string"), "path", "path")
 scalar("decode_text", "c_escaped_js", content.decode, "replace(replace(replace(replace(text, '%2F', '/'), chr(92) || 'u002F', '/'), chr(92) || '/', '/'), '&quot;', '\"')", "text")
+_called("sql_url_rebase", "url_rebase", "c_urls", ORACLE_SQL["rebase_loopback"], ("url", "'https://start.test:8443/app'"), "result")
+_called("sql_url_join", "url_join", "c_urls", ORACLE_SQL["join_url"], ("'https://b.test/'", "url"), "result")
+_called("sql_path_of_source", "path_of_source", "c_paths", ORACLE_SQL["source_path"], ("path", "''"), "result")
+_called("sql_url_host", "url_host", "pages", "SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS result FROM pages", ("url",), "result")
 
 
 @query(rf"""WITH m AS (SELECT id, url, split_part(url, '??', 1) AS p, string_split(regexp_extract(split_part(url, '??', 2), '^([^?#]*)', 1), ',') AS fs, regexp_extract(split_part(url, '??', 2), '^[^?#]*(.*)$', 1) AS s FROM {_sql('c_urls')} t)
@@ -387,7 +406,7 @@ def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Source maps.
 _M = _sql("c_sourcemap_json")
-scalar("map_parsable", "c_sourcemap_json", content.is_source_map, "true", "text")
+scalar("map_parsable", "c_sourcemap_json", content.is_source_map, "json_valid(text) AND json_array_length(text, '$.sources') > 0", "text")
 
 
 @query(f"SELECT id, json_array_length(text, '$.sources') AS n_sources, CAST(json_extract(text, '$.version') AS DOUBLE) AS version, json_extract_string(text, '$.sourceRoot') AS root, json_extract_string(text, '$.sources[1]') AS second FROM {_M} t")
@@ -586,3 +605,37 @@ def tree_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree.save(found, path)
     text = F.decode("content", "utf-8")
     return tree.stored(spark, path).select("scope", "slot", "path", F.when(F.col("slot") == "html", F.length(text).cast("string")).otherwise(text).alias("content"))
+
+
+@query(_REACH + " SELECT w.url, sha256(r.text) AS digest FROM w JOIN r ON r.url = w.url WHERE r.content_type <> 'text/html'")
+def cached_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk whose responses lack half of the addresses, which are stored under their bodies' digests."""
+    responses = shared.keep(_rows(spark, sf_dir, "c_responses"))
+    half = F.crc32("url") % 2 == 0
+    starts = spark.range(1).select(F.lit("site").alias("scan"), F.lit("https://site.test").alias("start"))
+    cache = bodies.Bodies(spark, f"{shared.shared_folder(spark)}/bodies-{uuid.uuid4().hex}")
+    good = discover.route(discover.answers(responses)).where("role <> 'dropped'").select(F.lit("site").alias("scan"), F.when(F.col("kind") == "html", "html").otherwise("js").alias("slot"), "url", "text")
+    entry = F.col("url") == "https://site.test"
+    cache.put(good.where(half | entry).where("slot = 'js' or url = 'https://site.test'"))
+    cache.compact()
+    stored = cache.answers()
+    walk = discover.discover(starts, bodies.before(stored, starts, responses.where(~(half | entry) | (F.col("content_type") == "text/html") & ~entry)), _SCRIPTS)
+    texts = stored.select("url", "text").unionByName(good.where(~half & (F.col("slot") == "js")).select("url", "text"))
+    return walk.js_entries.select("url").join(texts, "url").select("url", F.sha2("text", 256).alias("digest"))
+
+
+_DIGITS = "'abcdefghijklmnopqrstuvwxyz0123456789'"
+# One character beyond ASCII, after one other: its place and code as digits of base 35, and a last one.
+_HOST_SQL = f"""WITH h AS (SELECT s_suppkey AS id, s_suppkey AS s, CAST(s_suppkey AS VARCHAR) AS k, (252 - 128) * (6 + length(CAST(s_suppkey AS VARCHAR))) + 1 AS d FROM supplier)
+SELECT id, CASE s % 6 WHEN 0 THEN 'https://xn--bcher' || k || '-' || substr({_DIGITS}, CAST(1 + (d - 1) % 35 + 1 AS INT), 1) || CASE WHEN (d - 1) // 35 < 1 THEN substr({_DIGITS}, CAST((d - 1) // 35 + 1 AS INT), 1) ELSE substr({_DIGITS}, CAST(1 + ((d - 1) // 35 - 1) % 35 + 1 AS INT), 1) || substr({_DIGITS}, CAST(((d - 1) // 35 - 1) // 35 + 1 AS INT), 1) END || '.de/x'
+  WHEN 1 THEN 'http://127.' || s // 65536 || '.' || s // 256 % 256 || '.' || s % 256 || '/a' WHEN 2 THEN 'http://192.168.' || s // 256 % 256 || '.' || s % 256 || '/' WHEN 3 THEN 'https://[2001:db8::' || k || ']/' WHEN 4 THEN 'https://ex' || k || '.test/a/b' ELSE 'https://ex' || k || '.test/q?a%20b=%3C' || k || '%3E' END AS key FROM h"""
+
+
+@query(_HOST_SQL)
+def host_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of addresses whose hosts are spelled in other forms, with backslashes, and with queries to encode."""
+    k, s = F.col("s_suppkey").cast("string"), F.col("s_suppkey")
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    forms = [say("https://Bücher", k, ".DE/x"), say("http://0x7f.", k, "/a"), say("http://", (F.lit(3232235520) + s).cast("string"), ":80/"), say("https://[2001:DB8:0:0:0:0:0:", k, "]:443/"), say("https:\\\\EX", k, ".test\\a\\b"), say("https://ex", k, ".test/q?a b=<", k, ">")]
+    address = F.coalesce(*(F.when(s % 6 == i, f) for i, f in enumerate(forms)))
+    return _rows(spark, sf_dir, "supplier").select(s.alias("id"), url.normalize(address).alias("key"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from loomscan.functions import content, url
 from loomscan.operators import sourcemaps
-from loomscan.operators.discover import PAGE_BUDGET, discover
+from loomscan.operators.discover import PAGE_BUDGET, Result, discover
 from loomscan.operators.extract import Registry
+from loomscan.sources.bodies import Bodies, before, with_stored
 from loomscan.sources.shared import keep
 from loomscan.sources.store import Store
 
@@ -31,7 +32,7 @@ class ScanResult:
 
     maps: scan, url (of the script), map_url of every valid map.  sources: scan, js_url,
     map_url, idx, path, content, mode.  failed: scan, start, status of starts without a
-    successful response.  replayed: the scans that came from the store.
+    successful response.  replayed: scan, of those that came from the store.
     """
 
     js: DataFrame
@@ -40,7 +41,7 @@ class ScanResult:
     sources: DataFrame
     prefixes: DataFrame
     failed: DataFrame
-    replayed: list[str]
+    replayed: DataFrame
 
     def summary(self, kept: int = KEPT_SOURCES) -> DataFrame:
         """scan, js_count, map_count, source_count and sources_omitted: those beyond the first `kept` of all scans."""
@@ -49,9 +50,12 @@ class ScanResult:
         return js.join(files, "scan", "left").select("scan", "js_count", "map_count", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("source_count", "sources_omitted")))
 
 
-def scan(starts: DataFrame, responses: DataFrame, registry: Registry | None = None, budget: int = PAGE_BUDGET, store: Store | None = None) -> ScanResult:
+def scan(starts: DataFrame, responses: DataFrame, registry: Registry | None = None, budget: int = PAGE_BUDGET, store: Store | None = None, known: Bodies | None = None) -> ScanResult:
     """Scans starts (scan, start) over captured responses.
 
+    known: bodies of earlier scans, which go before the responses; those of the scripts
+    and pages that were found are put there.
+
     With a store, scans that are in it and whose sources are all there come from it, and
     neither their documents are read nor their maps; scans whose sources were lost have
     these restored again from the maps that are known; all others are discovered, and
@@ -61,21 +65,29 @@ def scan(starts: DataFrame, responses: DataFrame, registry: Registry | None = No
     starts = starts.select(F.col("scan").cast("string").alias("scan"), "start")
     nothing = {name: spark.createDataFrame([], schema) for name, schema in _TABLES.items()}
     held = _stored(store, starts) if store else None
-    known, lost = held.states if held else ([], [])
+    states = held.states if held else spark.createDataFrame([], "scan string, whole boolean")
     parts = {name: [] for name in _TABLES}
-    if held and known + lost:
+    missing = starts
+    if held:
+        # Which scans are there is a table, and what they have comes by semi-joins with it.
+        missing = starts.join(states, "scan", "left_anti")
         for name in _TABLES:
-            wanted = known if name == "sources" else known + lost
-            parts[name].append(held.tables[name].where(F.col("scan").isin(wanted)) if wanted else nothing[name])
-        if lost:
-            again = held.tables["maps"].where(F.col("scan").isin(lost))
+            parts[name].append(held.tables[name].join(states.where("whole") if name == "sources" else states, "scan", "left_semi"))
+        if not states.where("not whole").isEmpty():
+            again = held.tables["maps"].join(states.where("not whole"), "scan", "left_semi")
             _, sources = _restored(again, responses)
             parts["sources"].append(keep(sources))
             _write(store, {"sources": parts["sources"][-1]})
     failed = None
-    missing = starts.where(~F.col("scan").isin(known + lost)) if known + lost else starts
-    if not (known + lost) or not missing.isEmpty():
-        found = discover(missing, responses, registry, budget)
+    if held is None or not missing.isEmpty():
+        answered = responses
+        if known is not None:
+            stored = keep(known.answers().join(missing.select("scan").distinct(), "scan", "left_semi"))
+            answered = before(stored, missing, responses)
+            responses = with_stored(stored, responses)
+        found = discover(missing, answered, registry, budget)
+        if known is not None:
+            known.put(_bodies(found, responses))
         maps, sources = _restored(_references(found.js_entries, found.maps, responses), responses)
         led = found.starts.groupBy("scan").agg(F.min_by("start", "seq").alias("start"))
         js = found.js_entries.join(led, "scan", "left")
@@ -83,14 +95,14 @@ def scan(starts: DataFrame, responses: DataFrame, registry: Registry | None = No
         for name, rows in fresh.items():
             parts[name].append(rows.select(*nothing[name].columns))
         if store:
-            _write(store, {n: fresh[n].select(*nothing[n].columns) for n in fresh})
+            _write(store, {n: fresh[n].select(*nothing[n].columns) for n in fresh}, found.starts)
         failed = found.failed
     out = {name: _union(rows) if rows else nothing[name] for name, rows in parts.items()}
     # Of a script's maps the last one that was told counts.
     last = out["maps"].groupBy("scan", "url").agg(F.max_by("map_url", F.struct("seq", "pos")).alias("map_url"))
     files = out["sources"].groupBy("scan", F.col("js_url").alias("url")).agg(F.count("*").alias("n_sources"))
     js = out["js"].join(last, ["scan", "url"], "left").join(files, ["scan", "url"], "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)).cast("long"))
-    return ScanResult(js, out["html"], out["maps"].select("scan", "url", "map_url"), out["sources"], out["prefixes"], failed if failed is not None else spark.createDataFrame([], "scan string, start string, status int"), known + lost)
+    return ScanResult(js, out["html"], out["maps"].select("scan", "url", "map_url"), out["sources"], out["prefixes"], failed if failed is not None else spark.createDataFrame([], "scan string, start string, status int"), states.select("scan"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -131,33 +143,44 @@ def _prefixes(findings: DataFrame, js: DataFrame) -> DataFrame:
     return told.unionByName(own).distinct()
 
 
+def _bodies(found: Result, responses: DataFrame) -> DataFrame:
+    """scan, slot, url and text of a walk's scripts and of the pages that it began with."""
+    texts = responses.where("status between 200 and 299").select(url.normalize(F.col("url")).alias("url"), "text").where("text is not null")
+    scripts = found.js_entries.select("scan", F.lit("js").alias("slot"), "url")
+    pages = found.starts.select("scan", F.lit("html").alias("slot"), url.normalize(F.col("start")).alias("url"))
+    return scripts.unionByName(pages).join(texts, "url")
+
+
 @dataclass
 class _Stored:
+    """tables: of all scans; states: scan and whole, of the wanted scans that are there."""
+
     tables: dict[str, DataFrame]
-    states: tuple[list[str], list[str]]
+    states: DataFrame
 
 
 def _stored(store: Store, starts: DataFrame) -> _Stored | None:
-    """The store's tables, and which of the wanted scans are whole in them, and which have lost sources.
-
-    A scan's state is two counts; the scans that are asked for, not what they found, come
-    to the driver.
-    """
+    """The store's tables, and which of the wanted scans are whole in them and which have lost sources."""
     tables = {name: store.read(name, schema) for name, schema in _TABLES.items()}
     counts = store.read("counts", "scan string, n_sources long")
-    if counts is None or tables["js"] is None:
+    if counts is None:
         return None
     spark = starts.sparkSession
     tables = {n: (t if t is not None else spark.createDataFrame([], _TABLES[n])).select(*(f.split()[0] for f in _TABLES[n].split(", "))) for n, t in tables.items()}
     have = tables["sources"].groupBy("scan").agg(F.count("*").alias("n_have"))
     wanted = starts.select("scan").distinct().join(counts, "scan").join(have, "scan", "left")
-    rows = wanted.select("scan", (F.coalesce("n_have", F.lit(0)) >= F.col("n_sources")).alias("whole")).collect()
-    return _Stored(tables, (sorted(r.scan for r in rows if r.whole), sorted(r.scan for r in rows if not r.whole)))
+    return _Stored(tables, keep(wanted.select("scan", (F.coalesce("n_have", F.lit(0)) >= F.col("n_sources")).alias("whole"))))
 
 
-def _write(store: Store, tables: dict[str, DataFrame]) -> None:
+def _write(store: Store, tables: dict[str, DataFrame], scanned: DataFrame | None = None) -> None:
+    """Writes a scan's tables; scanned: the scans whose starts were answered, of which those that have no rows of a table lose what it held.
+
+    The row in counts comes last and makes a scan one that is there, scripts or none.
+    """
     for name, rows in tables.items():
         store.write(name, rows, "scan")
-    if "js" in tables:
+        if scanned is not None:
+            store.clear(name, _TABLES[name], scanned.select("scan").distinct().join(rows.select("scan"), "scan", "left_anti"), "scan")
+    if scanned is not None:
         files = tables["sources"].groupBy("scan").agg(F.count("*").alias("n_sources"))
-        store.write("counts", tables["js"].select("scan").distinct().join(files, "scan", "left").select("scan", F.coalesce("n_sources", F.lit(0)).alias("n_sources")), "scan")
+        store.write("counts", scanned.select("scan").distinct().join(files, "scan", "left").select("scan", F.coalesce("n_sources", F.lit(0)).alias("n_sources")), "scan")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomscan.functions import content, paths, url
+from loomscan.sources.shared import remove
 
 
 @dataclass
@@ -28,14 +29,24 @@ class Store:
         if self.writes:
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(scope).parquet(f"{self.path}/{table}")
 
+    def clear(self, table: str, schema: str, scopes: DataFrame, scope: str = "scope") -> None:
+        """Removes the partitions of scopes, one column, where the table has any of them."""
+        if self.writes and self._there(table):
+            held = self.spark.read.schema(schema).parquet(f"{self.path}/{table}").select(F.col(scope).alias("s")).distinct()
+            for r in held.join(scopes.select(F.col(scope).alias("s")).distinct(), "s").toLocalIterator():
+                name = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(r["s"])
+                remove(self.spark, f"{self.path}/{table}/{scope}={name}")
+
+    def _there(self, table: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
     def read(self, table: str, schema: str | None = None) -> DataFrame | None:
         """The table, or None if it isn't there or reads are off; a table that may be empty needs its schema."""
         if not self.reads:
             return None
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(str(place)) if place.getFileSystem(conf).exists(place) else None
+        return reader.parquet(f"{self.path}/{table}") if self._there(table) else None
 
 
 def metadata(js: DataFrame, prepends: DataFrame, publics: DataFrame) -> DataFrame:

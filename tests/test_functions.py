@@ -1,9 +1,12 @@
 """Scalar functions against tables of expected values."""
 
+import ipaddress
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from loomscan.functions import content, paths, scanners, scripts, url
+from loomscan.functions import content, paths, registered, scanners, scripts, url
 
 
 def column(spark, f, values, kind="string"):
@@ -83,3 +86,38 @@ def test_scanners():
     assert scanners.mappings("AAAA,CAAC;AACA;!,A;C") == [(0, 0, 0, 0, 0, -1), (0, 1, 0, 0, 1, -1), (1, 0, 0, 1, 1, -1), (3, 1, -1, -1, -1, -1)]
     assert scanners.rebuilt(scanners.by_source(scanners.mappings("AAAA,IAAI"))[0], ["abcdefgh"]) == "abcdefgh"
     assert scripts.imported_constants('const a="/x/"; b = a + "y/"; c = b + "z.js"; import(c)') == ["/x/y/z.js"]
+
+
+def test_hosts_are_written_as_browsers_do(spark):
+    cases = [
+        ("https://Bücher.DE/x", "https://xn--bcher-kva.de/x"), ("http://0x7f.1/a", "http://127.0.0.1/a"), ("https://ex.test\\a\\b?c\\d", "https://ex.test/a/b?c\\d"), ("https:\\\\ex.test/q", "https://ex.test/q"), ("https:///a.test/x", "https://a.test/x"),
+        ("https://[2001:DB8:0:0:1:0:0:1]/", "https://[2001:db8::1:0:0:1]/"), ("https://[::ffff:1.2.3.4]:8443/x", "https://[::ffff:102:304]:8443/x"), ("https://0300.0250.1/", "https://192.168.0.1/"), ("https://4294967295/", "https://255.255.255.255/"),
+        ("https://ex%41mple.test/", "https://example.test/"), ("https://日本語。jp/", "https://xn--wgv71a119e.jp/"), ("http://a.test:0080/", "http://a.test/"), ("https://a.test/?c d'\"<é>#f", "https://a.test/?c%20d%27%22%3C%C3%A9%3E"), ("https://faß.bücher.example/", "https://xn--fa-hia.xn--bcher-kva.example/"),
+    ]
+    assert column(spark, url.normalize, [c for c, _ in cases]) == [o for _, o in cases]
+    assert column(spark, url.normalize, [o for _, o in cases]) == [o for _, o in cases]
+    wrong = ["https://[1::2::3]/", "https://256.1.1.1/", "https://1.2.3.4.5/", "https://4294967296/", "https://a.09/", "https://x.0x/", "https://a.test:70000/", "https://a b/", "https://[1:2]/", "https://[::12345]/"]
+    assert column(spark, url.normalize, wrong) == wrong and column(spark, url.parses, wrong) == [False] * len(wrong)
+    assert column(spark, url.resolve, [("https://A.test/x?y", "?c d"), ("https://a.test/", "https:\\\\0x7f.1\\b"), ("https://a.test/x/", "\\y")]) == ["https://a.test/x?c%20d", "https://127.0.0.1/b", "https://a.test/y"]
+
+
+def test_punycode_and_groups_against_the_standard_library(spark):
+    r = random.Random(1)
+    labels = [x for x in ("".join(r.choice("abcü日é🙂ßxyz-ñжñ") for _ in range(r.randrange(1, 20))) for _ in range(300)) if not x.isascii()]
+    assert column(spark, lambda u: url.host(F.concat(F.lit("https://"), u)), labels) == ["xn--" + x.encode("punycode").decode() for x in labels]
+    groups = [":".join("%04X" % r.choice([0, 0, 0, 1, r.randrange(65536)]) for _ in range(8)) for _ in range(300)]
+    assert column(spark, lambda u: url.host(F.concat(F.lit("https://["), u, F.lit("]"))), groups) == [f"[{ipaddress.IPv6Address(g)}]" for g in groups]
+
+
+def test_native_functions_in_sql(spark):
+    names = registered.register(spark)
+    assert {f"loom_{n}" for n in registered.NATIVE} <= set(names)
+    given = {"address": "https://A.test:443/x/../y.js?q r#z", "base": "https://a.test/b/", "ref": "c.js", "start": "https://s.test", "path": "a//b/../c?d'\\e.js", "content_type": "text/html", "body": "cb({\"a\": 1})", "source": "webpack:///./src/it's.ts", "root": "", "name": "a:/b?"}
+    for name, (f, parameters, _) in registered.NATIVE.items():
+        df = spark.createDataFrame([tuple(given[p] for p in parameters), tuple(None for _ in parameters)], ", ".join(f"{p} string" for p in parameters))
+        called = spark.sql(f"SELECT loom_{name}({', '.join(parameters)}) AS x FROM {{rows}}", rows=df)
+        assert called.collect() == df.select(f(*(F.col(p) for p in parameters)).alias("x")).collect(), name
+        plan = called._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan, name
+    members = spark.sql("SELECT u, m.pos, m.member FROM VALUES ('https://a.test/??b.js,c.js'), ('https://b.test/x') AS t(u), LATERAL loom_members(t.u) m").collect()
+    assert sorted((r.pos, r.member) for r in members) == [(0, "https://a.test/b.js"), (0, "https://b.test/x"), (1, "https://a.test/c.js")]

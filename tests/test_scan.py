@@ -10,6 +10,7 @@ from loomscan.operators.discover import discover
 from loomscan.operators.extract import Registry
 from loomscan.plans import report
 from loomscan.scan import scan
+from loomscan.sources.bodies import Bodies
 from loomscan.sources.shared import Grown
 from loomscan.sources.store import Store
 
@@ -32,6 +33,10 @@ def starts(spark, *urls):
     return spark.createDataFrame([(u, u) for u in urls], "scan string, start string")
 
 
+def replayed(result):
+    return sorted(r.scan for r in result.replayed.collect())
+
+
 def test_scan_and_replay(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     asked, responses = starts(spark, "https://s.test"), table(spark, SITE)
@@ -42,16 +47,16 @@ def test_scan_and_replay(spark, tmp_path):
     files = {(r.path, r.mode): r.content for r in result.sources.collect()}
     assert files[("src/a.ts", "sourcesContent")] == "A" and files[("src/c.ts", "mappings")].endswith("bbb")
     assert result.summary().first().asDict() == {"scan": "https://s.test", "js_count": 3, "map_count": 2, "source_count": 2, "sources_omitted": 0}
-    assert result.replayed == []
+    assert replayed(result) == []
     again = scan(asked, responses.limit(0), FEW, store=store)
-    assert again.replayed == ["https://s.test"]
+    assert replayed(again) == ["https://s.test"]
     assert sorted(again.js.drop("seq").collect()) == sorted(result.js.drop("seq").select(again.js.drop("seq").columns).collect())
     # One more start: it alone is discovered.
     both = scan(starts(spark, "https://s.test", "https://t.test"), table(spark, [("https://t.test", 200, "text/html", '<script src="/t.js"></script>'), ("https://t.test/t.js", 200, "text/javascript", "t")]), FEW, store=store)
-    assert {r.url for r in both.js.collect()} == set(js) | {"https://t.test/t.js"} and both.replayed == ["https://s.test"]
+    assert {r.url for r in both.js.collect()} == set(js) | {"https://t.test/t.js"} and replayed(both) == ["https://s.test"]
     # What the store may not read is discovered anew; what it may not write is not kept.
     blind = scan(asked, responses, FEW, store=Store(spark, str(tmp_path / "store"), reads=False))
-    assert blind.replayed == [] and blind.js.count() == 3
+    assert replayed(blind) == [] and blind.js.count() == 3
     scan(starts(spark, "https://u.test"), table(spark, [("https://u.test", 200, "text/html", '<script src="/u.js"></script>'), ("https://u.test/u.js", 200, "text/javascript", "u")]), FEW, store=Store(spark, str(tmp_path / "store"), writes=False))
     assert store.read("js").where("scan = 'https://u.test'").isEmpty()
 
@@ -123,3 +128,34 @@ def test_reports_have_all_sections(spark):
     assert "- **sourceMap**: /st/maps" in lines and "| u | P | — | yes |" in lines
     assert list(report.text_summary(1, 0, 0))[1:] == ["--- Summary ---", "JS files: 1", "Source maps: 0 (not found)", "Restored sources: 0 (not restored)"]
     assert report.json_report(js.withColumn("n_sources", F.lit(2))).first().report.startswith('[{"seq":1')
+
+
+def test_scans_without_scripts_are_replayed_and_stale_rows_go(spark, tmp_path):
+    store, asked = Store(spark, str(tmp_path / "s")), starts(spark, "https://s.test", "https://empty.test", "https://gone.test")
+    empty = [("https://empty.test", 200, "text/html", "<p>nothing</p>")]
+    first = scan(asked, table(spark, SITE + empty), FEW, store=store)
+    assert first.js.count() == 3 and {(r.start, r.status) for r in first.failed.collect()} == {("https://gone.test", None)}
+    again = scan(asked, table(spark, []), FEW, store=store)
+    assert replayed(again) == ["https://empty.test", "https://s.test"]  # what didn't answer is asked again
+    assert "InSet" not in again.js._jdf.queryExecution().optimizedPlan().toString() and "https://s.test" not in again.js._jdf.queryExecution().analyzed().toString()
+    # Now the site has none of its maps any more, and then no script.
+    unread = Store(spark, str(tmp_path / "s"), reads=False)
+    scan(starts(spark, "https://s.test"), table(spark, SITE[:1] + SITE[3:4]), FEW, store=unread)
+    later = scan(starts(spark, "https://s.test"), table(spark, []), FEW, store=store)
+    assert later.js.count() == 1 and later.sources.count() == later.maps.count() == 0
+    scan(starts(spark, "https://s.test"), table(spark, [("https://s.test", 200, "text/html", "")]), FEW, store=unread)
+    assert scan(starts(spark, "https://s.test"), table(spark, []), FEW, store=store).js.count() == 0
+
+
+def test_known_bodies_go_before_responses(spark, tmp_path):
+    known = Bodies(spark, str(tmp_path / "b"))
+    first = scan(starts(spark, "https://s.test"), table(spark, SITE), FEW, known=known)
+    held = known.answers()
+    assert {(r.slot, r.url) for r in held.collect()} == {("html", "https://s.test"), ("js", "https://s.test/a.js"), ("js", "https://s.test/b.js"), ("js", "https://s.test/c.js")}
+    # The maps are all that is still answered, and one script that says something else now.
+    later = scan(starts(spark, "https://s.test"), table(spark, [SITE[2], SITE[4], ("https://s.test/a.js", 200, "text/html", "<p>gone</p>")]), FEW, known=known)
+    key = lambda r: (r.url, r.map_url, r.n_sources)
+    assert sorted(map(key, later.js.collect()), key=str) == sorted(map(key, first.js.collect()), key=str)
+    # Another scan of the same addresses has none of it.
+    other = starts(spark, "https://s.test").withColumn("scan", F.lit("other"))
+    assert scan(other, table(spark, [SITE[0]]), FEW, known=known).js.count() == 0

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from loomscan.sources import captures, files, tree
+from loomscan.sources import bodies, captures, files, tree
 
 
 def exchanges(spark, n=400):
@@ -121,3 +121,27 @@ def test_a_driver_that_died_while_publishing_is_finished(spark, tmp_path):
     other.write(iter([batch]))
     other.abort([])
     assert sorted(os.listdir(path)) == ["s0", "s1", "s2"]
+
+
+def stored_rows(spark, rows):
+    return spark.createDataFrame(rows, "scan string, slot string, url string, text string")
+
+
+def test_equal_bodies_are_stored_once(spark, tmp_path):
+    cache = bodies.Bodies(spark, str(tmp_path / "c"))
+    assert cache.answers().count() == 0
+    cache.put(stored_rows(spark, [(f"s{i % 3}", "js", f"https://a.test/{i}#x", "same") for i in range(30)] + [("s0", "html", "https://a.test", "page"), ("s0", "js", "https://a.test/n", None), ("s0", "css", "https://a.test/c", "x")]))
+    assert cache.bodies().count() == 2 and cache.index().count() == 31
+    cache.put(stored_rows(spark, [("s0", "js", "https://a.test/0", "new"), ("s1", "js", "https://a.test/1", "same"), ("s9", "js", "https://a.test/9", "page")]))
+    assert cache.bodies().count() == 3 and cache.index().count() == 32
+    before = {(r.scan, r.slot, r.url): (r.text, r.content_type) for r in cache.answers().collect()}
+    assert before["s0", "js", "https://a.test/0"] == ("new", "text/javascript") and before["s0", "html", "https://a.test"] == ("page", "text/html") and before["s9", "js", "https://a.test/9"][0] == "page"
+    cache.put(stored_rows(spark, [("s9", "js", "https://a.test/9", "last")]))
+    cache.put(stored_rows(spark, []))
+    before["s9", "js", "https://a.test/9"] = ("last", "text/javascript")
+    cache.compact()
+    assert {(r.scan, r.slot, r.url): (r.text, r.content_type) for r in cache.answers().collect()} == before
+    assert cache.bodies().count() == 4 and len(os.listdir(tmp_path / "c")) == 2  # the notes and one part
+    # A put that died has written a part that no note names.
+    os.makedirs(tmp_path / "c" / "part-dead" / "index")
+    assert cache.index().count() == 32
