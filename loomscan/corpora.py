@@ -47,6 +47,8 @@ CORPORA: dict[str, str] = {
     "c_paths": f"""SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN {_say('webpack:///./src/A', ':c_custkey', '.jsx')} WHEN 1 THEN {_say('../../../node_modules/f', ':c_custkey', '.js')} WHEN 2 THEN {_say('file:///home/u/a', ':c_custkey', '.js')} WHEN 3 THEN {_say('~/config', ':c_custkey')} WHEN 4 THEN {_say('a//b/./c/../d', ':c_custkey', '.ts')} WHEN 5 THEN {_say('a?b:c*', ':c_custkey', '.js')} WHEN 6 THEN {_say('/abs/p', ':c_custkey', '.js')} ELSE {_say('https://h.test/dir/x', ':c_custkey', '.js')} END AS path FROM {{customer}}""",
     "c_payloads": f"""SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/json' WHEN 2 THEN 'Text/JavaScript' WHEN 3 THEN '' ELSE 'text/plain' END AS content_type, CASE c_custkey % 5 WHEN 0 THEN {_say('  <!DOCTYPE html><p>', ':c_custkey')} WHEN 1 THEN {_say('{"a":', ':c_custkey', '}')} WHEN 2 THEN {_say('cb', ':c_custkey', '.f({"a":', ':c_custkey', '});')} WHEN 3 THEN {_say('[', ':c_custkey', ']')} ELSE {_say('var x=', ':c_custkey')} END AS text FROM {{customer}}""",
     "c_urls": f"""SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN {_say('http://127.0.0.1:50315/remote/e', ':o_orderkey', '.js?v=1')} WHEN 1 THEN {_say('https://h.test/a/../b//c', ':o_orderkey', '.JS/')} WHEN 2 THEN {_say('https://H.test:443/x', ':o_orderkey', '#top')} WHEN 3 THEN {_say('https://h.test/s/??a', ':o_orderkey', '.js, b.js,?t=1')} WHEN 4 THEN 'https://h.test' WHEN 5 THEN {_say('https://h.test?q=', ':o_orderkey')} WHEN 6 THEN {_say('http://localhost/dev', ':o_orderkey', '.js.map?x')} WHEN 7 THEN {_say('/rel/p', ':o_orderkey', '.html')} ELSE {_say('https://h.test/load?type=m', ':o_orderkey', '.js')} END AS url FROM {{orders}}""",
+    # Mappings with numbers of one and more digits, empty lines and broken segments, and a script of three lines.
+    "c_mappings": """SELECT c_custkey AS id, translate(md5('a' || CAST(c_custkey AS STRING)) || md5('b' || CAST(c_custkey AS STRING)) || md5('c' || CAST(c_custkey AS STRING)), '0123456789', CASE WHEN c_custkey % 3 = 0 THEN 'ACDEgh,;,!' ELSE 'ACDEAC,;,C' END) AS mappings, md5('m' || CAST(c_custkey AS STRING)) || chr(10) || md5('n' || CAST(c_custkey AS STRING)) || chr(10) || CAST(c_custkey AS STRING) AS minified FROM {customer}""",
     # A site of scripts with source maps: named by a comment, beside the script, or within it.
     "c_mapped": f"""
 SELECT 'https://maps.test' AS url, 200 AS status, 'text/html' AS content_type, '<html>' || (SELECT string_agg({_say('<script src="/j/', ':n_nationkey', '.js"></script>')}, '') FROM {{nation}}) || '</html>' AS text

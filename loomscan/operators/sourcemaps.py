@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomscan.functions import content, paths, scanners, url
+from loomscan.functions import content, paths, url
+from loomscan.operators import mappings
 from loomscan.sources.shared import keep
 
 NOT_MAPS = r"(?i)html|image/|text/css|font|text/plain"
@@ -57,11 +58,19 @@ def restore(maps: DataFrame, columns: tuple[str, ...], text: str = "text", minif
     if minified is not None:
         lacking = has_contents(parsed).where(F.exists("sources", lambda s: F.lit(True)) & (F.coalesce(F.length(minified), F.lit(0)) > 0))
         lacking = lacking.where(F.size(F.filter(F.coalesce("contents", F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit("")) != "")) < F.size("sources"))
-        made = lacking.withColumn("_made", scanners.rebuild(F.col("mappings"), F.col(minified), F.size("sources")))
-        again = F.transform("sources", lambda s, i: F.struct(s.alias("source"), F.get("_made", i).alias("made"), F.coalesce(F.get("contents", i), F.lit("")).alias("given"), i.alias("idx")))
-        extra = made.select(*columns, "root", F.explode(again).alias("s")).select(*columns, "root", "s.*").where("given = '' and made <> ''")
+        # Most maps have all contents; only where some haven't are mappings read.
+        lacking = keep(lacking.select(*columns, "root", "sources", "contents", "mappings", F.col(minified).alias("_minified")).withColumn("_map", F.monotonically_increasing_id()))
+        if lacking.isEmpty():
+            return _named(files, columns)
+        made = mappings.rebuilt(lacking, "_map", minified="_minified").select("_map", F.col("src").alias("idx"), F.col("content").alias("made"))
+        again = F.transform("sources", lambda s, i: F.struct(s.alias("source"), F.coalesce(F.get("contents", i), F.lit("")).alias("given"), i.alias("idx")))
+        extra = lacking.select(*columns, "root", "_map", F.explode(again).alias("s")).select(*columns, "root", "_map", "s.*").where("given = ''").join(made.where("made <> ''"), ["_map", "idx"])
         note = F.concat(F.lit("/* Restored from source map mappings; not the complete source.\n   Original path: "), "source", F.lit(" */\n"))
         files = files.unionByName(extra.select(*columns, "root", "source", F.concat(note, "made").alias("content"), "idx", F.lit("mappings").alias("mode")))
+    return _named(files, columns)
+
+
+def _named(files: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     path = paths.source_path(F.col("source"), F.col("root"))
     return files.select(*columns, "idx", F.coalesce(F.nullif(path, F.lit("")), F.concat(F.lit("unnamed_"), "idx", F.lit(".js"))).alias("path"), "content", "mode")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomscan import corpora
 from loomscan.functions import content, paths, registered, scanners, url
-from loomscan.operators import discover, sourcemaps
+from loomscan.operators import discover, mappings, sourcemaps
 from loomscan.operators.extract import Doc, Registry, extract, tagged
 from loomscan.plans import report
 from loomscan.scan import ScanResult, scan
@@ -462,24 +462,49 @@ def inline_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sourcemaps.restore(scripts.select("id", content.utf8(content.data_uri(F.col("uri"))).alias("text")), ("id",)).select("id", "idx", "path", "content")
 
 
-@query()
-def vlq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(1, "A"), (2, "C"), (3, "D"), (4, "gB"), (5, "!")], "id int, segment string").select("id", scanners.decode_vlq(F.col("segment")).alias("value"))
+_ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/'"
+_SEGMENTS = f"""WITH l AS (SELECT id, unnest(string_split(mappings, ';')) AS line, unnest(range(len(string_split(mappings, ';')))) AS gen_line FROM {_sql('c_mappings')} t),
+l2 AS (SELECT id, gen_line, list_filter(string_split(line, ','), lambda x: x <> '') AS segs FROM l),
+s AS (SELECT id, gen_line, unnest(segs) AS seg, unnest(range(len(segs))) AS place FROM l2),
+r AS (SELECT id, gen_line, place, list_reduce(list_transform(string_split(seg, ''), lambda c: {{'d': CAST(instr({_ALPHABET}, c) - 1 AS BIGINT), 'v': CAST(0 AS BIGINT), 's': CAST(0 AS BIGINT), 'o': CAST([] AS BIGINT[]), 'b': false}}),
+  lambda a, c: CASE WHEN a.b OR len(a.o) = 5 THEN a WHEN c.d < 0 THEN {{'d': a.d, 'v': a.v, 's': a.s, 'o': a.o, 'b': true}} WHEN c.d >= 32 THEN {{'d': a.d, 'v': a.v + (c.d % 32) * CAST(power(2, a.s) AS BIGINT), 's': a.s + 5, 'o': a.o, 'b': false}}
+  ELSE {{'d': a.d, 'v': CAST(0 AS BIGINT), 's': CAST(0 AS BIGINT), 'o': list_append(a.o, CASE WHEN (a.v + c.d * CAST(power(2, a.s) AS BIGINT)) % 2 = 0 THEN 1 ELSE -1 END * ((a.v + c.d * CAST(power(2, a.s) AS BIGINT)) // 2)), 'b': false}} END,
+  {{'d': CAST(0 AS BIGINT), 'v': CAST(0 AS BIGINT), 's': CAST(0 AS BIGINT), 'o': CAST([] AS BIGINT[]), 'b': false}}) AS x FROM s),
+v AS (SELECT id, gen_line, place, x.o AS o, NOT x.b AND (len(x.o) = 5 OR x.s = 0) AND len(x.o) NOT IN (0, 2, 3) AS good FROM r)"""
+_MAPPINGS = _SEGMENTS + """,
+u AS (SELECT * FROM v QUALIFY count(*) FILTER (WHERE NOT good) OVER (PARTITION BY id, gen_line ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0),
+g AS (SELECT id, gen_line, place, good, len(o) AS k, sum(coalesce(o[1], 0)) OVER (PARTITION BY id, gen_line ORDER BY place) AS c0, sum(coalesce(o[2], 0)) OVER w AS c1, sum(coalesce(o[3], 0)) OVER w AS c2, sum(coalesce(o[4], 0)) OVER w AS c3, sum(coalesce(o[5], 0)) OVER w AS c4 FROM u WINDOW w AS (PARTITION BY id ORDER BY gen_line, place)),
+q AS (SELECT id, CAST(gen_line AS INT) AS gen_line, place, CAST(c0 AS INT) AS gen_col, CAST(CASE WHEN k >= 4 THEN c1 ELSE -1 END AS INT) AS src, CAST(CASE WHEN k >= 4 THEN c2 ELSE -1 END AS INT) AS src_line, CAST(CASE WHEN k >= 4 THEN c3 ELSE -1 END AS INT) AS src_col, CAST(CASE WHEN k = 5 THEN c4 ELSE -1 END AS INT) AS name FROM g WHERE good)"""
 
 
-@query()
-def parse_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = sourcemaps.parse_maps(_rows(spark, sf_dir, "c_sourcemap_json"))
-    return maps.select("id", F.inline(scanners.parse_mappings(F.col("mappings"))))
+@query(_SEGMENTS + " SELECT id, gen_line, place, o[1] AS value FROM v")
+def vlq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first number of every segment, null where it is broken."""
+    lines = _rows(spark, sf_dir, "c_mappings").select("id", F.posexplode(F.split("mappings", ";")).alias("gen_line", "line"))
+    cut = lines.select("id", F.col("gen_line").cast("long").alias("gen_line"), F.posexplode(F.filter(F.split("line", ","), lambda s: s != "")).alias("place", "segment"))
+    return cut.select("id", "gen_line", F.col("place").cast("long").alias("place"), F.get(mappings.decoded(F.col("segment"))["values"], F.lit(0)).alias("value"))
 
 
-@query()
+@query(_MAPPINGS + " SELECT id, gen_line, gen_col, src, src_line, src_col, name FROM q")
+def parse_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All mappings of all maps, as a table with running sums."""
+    return mappings.segments(_rows(spark, sf_dir, "c_mappings"), "id").drop("place")
+
+
+@query(
+    _MAPPINGS
+    + f""", t AS (SELECT id, unnest(string_split(minified, chr(10))) AS text, unnest(range(len(string_split(minified, chr(10))))) AS line FROM {_sql('c_mappings')} t),
+z AS (SELECT id, src, gen_line AS a, place, greatest(gen_col, 0) AS c, lead(gen_line) OVER w AS a2, lead(greatest(gen_col, 0)) OVER w AS c2, row_number() OVER w = 1 AS first FROM q WHERE gen_line < 3 WINDOW w AS (PARTITION BY id, src ORDER BY gen_line, place)),
+p AS (SELECT z.id, src, a, place, 0 AS kind, line, substr(text, 1, CASE WHEN line = a THEN c ELSE length(text) END) || CASE WHEN line < a THEN chr(10) ELSE '' END AS piece FROM z JOIN t ON t.id = z.id AND first AND line <= a
+UNION ALL SELECT z.id, src, a, place, 1, line, substr(text, CASE WHEN line = a THEN c ELSE 0 END + 1, greatest(0, CASE WHEN line = a2 THEN c2 ELSE length(text) END - CASE WHEN line = a THEN c ELSE 0 END)) || CASE WHEN line < a2 THEN chr(10) ELSE '' END FROM z JOIN t ON t.id = z.id AND line BETWEEN a AND coalesce(a2, a))
+SELECT id, src, string_agg(piece, '' ORDER BY a, place, kind, line) AS content FROM p GROUP BY id, src"""
+)
 def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = _rows(spark, sf_dir, "c_sourcemap_json").withColumn("minified", F.lit("abcdef\nghij"))
-    return sourcemaps.restore(maps.withColumn("text", F.regexp_replace("text", '"sourcesContent":\\[[^\\]]*\\],', "")), ("id",), minified="minified")
+    """What each source's mappings cut out of the script."""
+    return mappings.rebuilt(_rows(spark, sf_dir, "c_mappings"), "id")
 
 
-@query()
+@query(f"SELECT id, substr(text, 2, length(text) - 2) AS body FROM {_sql('c_manifest_json')} t")
 def brace_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _rows(spark, sf_dir, "c_manifest_json").select("id", F.concat(F.lit("window.X = "), "text", F.lit(";")).alias("text"))
     return docs.select("id", scanners.brace_json(F.col("text"), "window.X").alias("body"))
