@@ -82,6 +82,8 @@ class Runtime:
     def __init__(self, text: str):
         self.text, self.tokens = text, tokens(text)
         self.pairs = entries(text)
+        self.hashes: dict[str, str] = {}
+        self.wanting: list[str] = []
         self.public = next((ts[2].value for ts in self._runs(3) if ts[0].kind == "name" and ts[1].text == "=" and ts[2].kind == "str" and ts[2].value and self._is_public(ts[0].text)), "")
 
     @staticmethod
@@ -212,8 +214,9 @@ class Runtime:
         if re.search(r"webpackChunk_\w+\s*\.\s*push\s*\(\s*\[\s*\[\s*\d+\s*\]", self.text, re.A):  # a chunk that tells its own number
             alone = (entries(m) for m in re.findall(r"\{[^{},]*\}", self.text))
             out += [f"{e[0][0]}.{e[0][1]}.js" for e in alone if len(e) == 1 and e[0][0].isdigit() and is_hex(e[0][1], 7, 40)]
-        named = earliest([(k, v) for k, v in self.pairs if re.fullmatch("chunk-[a-z0-9]+", k) and is_hex(v, 5, 10)])
-        return out + ([f"{prefix}{k}.{v}.js" for k, v in named.items()] or [f"{prefix}{x}.js" for x in self.loads() if likely_hash(x)])
+        self.hashes = earliest([(k, v) for k, v in self.pairs if re.fullmatch("chunk-[a-z0-9]+", k) and is_hex(v, 5, 10)])
+        self.wanting = [f"{x} {prefix}" for x in self.loads() if x not in self.hashes]
+        return out + ([f"{prefix}{k}.{v}.js" for k, v in self.hashes.items()] or [f"{prefix}{x}.js" for x in self.loads() if likely_hash(x)])
 
     @property
     def mark(self) -> str | None:
@@ -308,7 +311,7 @@ def entries_near(text: str, names: list[str], words: list[str], lists_first: boo
     return [held[0] for listed, held in kept if not listed]
 
 
-RUNTIME = T.StructType([T.StructField("public", T.StringType()), T.StructField("probes", T.ArrayType(T.StringType())), T.StructField("mark", T.StringType())])
+RUNTIME = T.StructType([T.StructField("public", T.StringType()), T.StructField("probes", T.ArrayType(T.StringType())), T.StructField("mark", T.StringType()), T.StructField("hashes", T.ArrayType(T.StringType())), T.StructField("wanting", T.ArrayType(T.StringType()))])
 
 
 @F.pandas_udf(RUNTIME)
@@ -316,12 +319,19 @@ def _runtime(texts: pd.Series, bases: pd.Series, marks: pd.Series) -> pd.DataFra
     out = []
     for text, base, mark in zip(texts, bases, marks):
         r = None if text is None else Runtime(text)
-        out.append(("", [], None) if r is None else (r.public, r.addresses(base or "", mark), r.mark))
-    return pd.DataFrame(out, columns=["public", "probes", "mark"])
+        if r is None:
+            out.append(("", [], None, [], []))
+        else:
+            probes = r.addresses(base or "", mark)
+            out.append((r.public, probes, r.mark, [f"{k} {v}" for k, v in r.hashes.items()], r.wanting))
+    return pd.DataFrame(out, columns=["public", "probes", "mark", "hashes", "wanting"])
 
 
 def runtime(text: Column, base: Column, mark: Column) -> Column:
-    """A runtime's public path, what it makes worth probing, and its mark; nothing for null."""
+    """A runtime's public path, what it makes worth probing, its mark, and chunks' ids: with a hash, and loaded without one.
+
+    Nothing for null.  hashes: "id hash"; wanting: "id prefix", for another script's hash.
+    """
     return _runtime(text, base, mark)
 
 

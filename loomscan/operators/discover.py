@@ -294,7 +294,9 @@ def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None
             candidates = direct.unionByName(further)
             if "request" in kinds:
                 candidates = candidates.unionByName(found.where("type = 'request'").select(*row, F.col("value").alias("url"), *as_page("", FLIGHT)))
-            if "probe" in kinds:
+            if "load" in kinds and "chunk" in kinds:
+                found = found.unionByName(_hashed(found, findings.table()).select(*found.columns))
+            if "probe" in kinds or "load" in kinds:
                 probes = found.where("type = 'probe'").withColumnRenamed("value", "fragment").select("fragment", *row)
                 probes = keep(claim(probes, none("fragment string") if names.empty else names.table(), ["scan", "fragment"], _ORDER))
                 names.add(probes.select("scan", "fragment"))
@@ -327,6 +329,20 @@ def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None
     return _result(starts, asked, entered, ways, findings, pages, places, responses, none)
 
 
+def _hashed(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Names of chunks that a round's documents load without telling their hash, as probes.
+
+    The hash is another document's, of the same scan and read before; of several that tell
+    one the first counts.  The map grows with the rounds, and only new loads meet it: what
+    is told later holds for later documents.
+    """
+    key = lambda rows: rows.withColumn("chunk", F.split_part("value", F.lit(" "), F.lit(1)))
+    told = key(known.where("type = 'chunk'")).groupBy("scan", "chunk").agg(F.min(F.struct("seq", "inline", "pos", F.split_part("value", F.lit(" "), F.lit(2)).alias("hash"))).alias("m"))
+    loads = key(found.where("type = 'load'")).join(told, ["scan", "chunk"]).where("m.seq < seq or m.seq = seq and m.inline < inline")
+    name = F.concat(F.split_part("value", F.lit(" "), F.lit(2)), "chunk", F.lit("."), "m.hash", F.lit(".js"))
+    return loads.withColumns({"value": name, "type": F.lit("probe")})
+
+
 def _prefixes(findings: Grown) -> DataFrame:
     return findings.table().where("type = 'prepend'").select("scan", F.col("value").alias("prefix")).distinct()
 

@@ -139,7 +139,7 @@ def dynamic_imports(d: Doc) -> Column:
 
 
 def bundler_runtime(d: Doc) -> Column:
-    return gated((d.kind == "js", F.concat(tagged("public", one(d.runtime["public"])), tagged("probe", F.coalesce(d.runtime["probes"], no_texts())), tagged("mark", one(d.runtime["mark"])))))
+    return gated((d.kind == "js", F.concat(tagged("public", one(d.runtime["public"])), tagged("probe", F.coalesce(d.runtime["probes"], no_texts())), tagged("mark", one(d.runtime["mark"])), tagged("chunk", F.coalesce(d.runtime["hashes"], no_texts())), tagged("load", F.coalesce(d.runtime["wanting"], no_texts())))))
 
 
 def runtime_like(text: Column) -> Column:
@@ -544,7 +544,8 @@ def extract(docs: DataFrame, registry: Registry | None = None, keep: tuple[str,
     a runtime elsewhere puts after chunks' names).  type is url or probe (scripts: an
     absolute address, or a fragment that has to be resolved), map (a source map's
     address), html or json (further documents), prepend or public (prefixes), request (to
-    be fetched with a header), or mark (what a runtime puts after chunks' names).  Values are distinct within a document, extractor and
+    be fetched with a header), mark (what a runtime puts after chunks' names), chunk ("id
+    hash" of a chunk whose name is told) or load ("id prefix" of one whose hash isn't).  Values are distinct within a document, extractor and
     type; pos orders them.
     """
     registry = registry or Registry()
@@ -560,7 +561,7 @@ def extract(docs: DataFrame, registry: Registry | None = None, keep: tuple[str,
     marker = "_MODERNJS_ROUTE_MANIFEST"
     routes = scanners.brace_json(F.when((F.col("kind") == "html") & F.col("text").contains(marker), F.col("text")), f"window.{marker}") if "ModernJSPlugin" in names else F.lit(None).cast("string")
     base = base.withColumns({"_origin": url.origin_of(F.col("_base")), "_directory": url.directory_of(F.col("_base")), "_routes": routes})
-    runtime = scripts.runtime(F.when(of("js") & runtime_like(F.col("text")), F.col("text")), F.col("_directory"), F.col("mark")) if names & {"WebpackPlugin", "NextJSPlugin"} else F.lit(None).cast("struct<public:string,probes:array<string>,mark:string>")
+    runtime = scripts.runtime(F.when(of("js") & runtime_like(F.col("text")), F.col("text")), F.col("_directory"), F.col("mark")) if names & {"WebpackPlugin", "NextJSPlugin"} else F.lit(None).cast("struct<public:string,probes:array<string>,mark:string,hashes:array<string>,wanting:array<string>>")
     dynamic = of("js", "html") & F.col("text").rlike(r"\bimport\s*\(\s*[A-Za-z_$]")
     assembled = scripts.constants(F.when(dynamic, F.col("decoded"))) if "UniversalURLPlugin" in names else no_texts()
     base = base.withColumns({

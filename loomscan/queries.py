@@ -664,3 +664,18 @@ def host_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = [say("https://Bücher", k, ".DE/x"), say("http://0x7f.", k, "/a"), say("http://", (F.lit(3232235520) + s).cast("string"), ":80/"), say("https://[2001:DB8:0:0:0:0:0:", k, "]:443/"), say("https:\\\\EX", k, ".test\\a\\b"), say("https://ex", k, ".test/q?a b=<", k, ">")]
     address = F.coalesce(*(F.when(s % 6 == i, f) for i, f in enumerate(forms)))
     return _rows(spark, sf_dir, "supplier").select(s.alias("id"), url.normalize(address).alias("key"))
+
+
+@query("SELECT 'https://c' || CAST(r_regionkey AS VARCHAR) || '.test/static/js/chunk-' || substr(md5(CAST(n_nationkey AS VARCHAR)), 1, 8) || '.' || substr(md5('h' || CAST(n_nationkey AS VARCHAR)), 1, 8) || '.js' AS url FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 2 = 0")
+def chunk_maps_across_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that one script loads by their ids and whose hashes another one tells, a site for each region."""
+    n = _rows(spark, sf_dir, "nation").select(F.concat(F.lit("https://c"), F.col("n_regionkey").cast("string"), F.lit(".test")).alias("site"), F.concat(F.lit("chunk-"), F.substring(F.md5(F.col("n_nationkey").cast("string")), 1, 8)).alias("id"), F.substring(F.md5(F.concat(F.lit("h"), F.col("n_nationkey").cast("string"))), 1, 8).alias("hash"), (F.col("n_nationkey") % 2 == 0).alias("told"))
+    row = lambda rows, path, kind, text: rows.select(F.concat("site", path).alias("url"), F.lit(200).alias("status"), F.lit(kind).alias("content_type"), text.alias("text"))
+    sites = n.groupBy("site").agg(F.array_sort(F.collect_list(F.when(F.col("told"), F.concat(F.lit('"'), "id", F.lit('":"'), "hash", F.lit('"'))))).alias("map"), F.array_sort(F.collect_list(F.concat(F.lit('r.e("'), "id", F.lit('")')))).alias("calls"))
+    page = row(sites, F.lit(""), "text/html", F.lit('<script src="/map.js"></script><script src="/use.js"></script>'))
+    # The map is told where no name is made of it, and what is called has no hash in its own document.
+    told = row(sites, F.lit("/map.js"), "text/javascript", F.concat(F.lit("webpackJsonp;var m={"), F.array_join("map", ","), F.lit("}")))
+    calls = row(sites, F.lit("/use.js"), "text/javascript", F.concat(F.lit('webpackJsonp;p=x+"static/js/";'), F.array_join("calls", ";")))
+    chunks = row(n, F.concat(F.lit("/static/js/"), F.col("id"), F.lit("."), F.col("hash"), F.lit(".js")), "text/javascript", F.lit("c"))
+    found = discover.discover(sites.select(F.col("site").alias("scan"), F.col("site").alias("start")), page.unionByName(told).unionByName(calls).unionByName(chunks), Registry().only("HTMLScriptPlugin", "WebpackPlugin"))
+    return found.js_entries.where("url like '%/static/js/%'").select("url")
