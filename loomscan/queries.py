@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomscan import corpora
 from loomscan.functions import content, paths, registered, scanners, url
-from loomscan.operators import discover, mappings, sourcemaps
+from loomscan.operators import cookies, discover, mappings, sourcemaps
 from loomscan.operators.extract import Doc, Registry, extract, tagged
 from loomscan.plans import report
 from loomscan.scan import ScanResult, scan
@@ -679,3 +679,23 @@ def chunk_maps_across_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = row(n, F.concat(F.lit("/static/js/"), F.col("id"), F.lit("."), F.col("hash"), F.lit(".js")), "text/javascript", F.lit("c"))
     found = discover.discover(sites.select(F.col("site").alias("scan"), F.col("site").alias("start")), page.unionByName(told).unionByName(calls).unionByName(chunks), Registry().only("HTMLScriptPlugin", "WebpackPlugin"))
     return found.js_entries.where("url like '%/static/js/%'").select("url")
+
+
+# Of each host and shop of a user's: every fourth event sets a cookie, all others ask.
+_EVENTS = """WITH e AS (SELECT event_id AS id, event_id * 60000 AS t, 'u' || CAST(user_id % 20 AS VARCHAR) || '.s' || CAST(user_id % 3 AS VARCHAR) || '.test' AS host, 's' || CAST(user_id % 3 AS VARCHAR) || '.test' AS shop FROM events),
+s AS (SELECT id, t, host, CASE WHEN id % 8 = 0 THEN shop ELSE host END AS domain, CASE WHEN id % 12 = 0 THEN '/a' ELSE '/' END AS path, 'c' || CAST(id % 5 AS VARCHAR) AS name, CAST(id AS VARCHAR) AS value, CASE WHEN id % 20 = 0 THEN t + 36000000 END AS expires FROM e WHERE id % 4 = 0),
+r AS (SELECT id, t, host, CASE WHEN id % 2 = 1 THEN '/a/b' ELSE '/ab' END AS path FROM e WHERE id % 4 <> 0),
+m AS (SELECT r.id, r.t, s.* EXCLUDE (id, t), s.t AS set_t FROM r JOIN s ON s.t < r.t AND (r.host = s.domain OR ends_with(r.host, '.' || s.domain)) AND (s.path = '/' OR r.path = s.path OR starts_with(r.path, s.path || '/')) QUALIFY row_number() OVER (PARTITION BY r.id, s.domain, s.path, s.name, s.host ORDER BY s.t DESC) = 1)"""
+
+
+@query(_EVENTS + " SELECT r.id, coalesce(string_agg(m.name || '=' || m.value, '; ' ORDER BY length(m.path) DESC, m.set_t), '') AS cookie FROM r LEFT JOIN m ON m.id = r.id AND (m.expires IS NULL OR m.expires > m.t) GROUP BY r.id")
+def cookie_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cookies that every request carries, by what was set last before it."""
+    k, text = F.col("event_id"), lambda c: c.cast("string")
+    shop = F.concat(F.lit("s"), text(F.col("user_id") % 3), F.lit(".test"))
+    e = _rows(spark, sf_dir, "events").select(k.alias("id"), (k * 60000).alias("at"), F.concat(F.lit("https://u"), text(F.col("user_id") % 20), F.lit("."), shop).alias("site"), shop.alias("shop"))
+    i = F.col("id")
+    header = F.concat(F.lit("c"), text(i % 5), F.lit("="), text(i), F.when(i % 8 == 0, F.concat(F.lit("; Domain=."), "shop")).otherwise(""), F.when(i % 12 == 0, "; path=/a").otherwise("; Secure"), F.when(i % 20 == 0, "; Max-Age=36000; Expires=Thu, 01 Jan 1970 00:00:00 GMT").otherwise(""))
+    sets = e.where("id % 4 = 0").select(F.concat("site", F.lit("/x")).alias("url"), "at", F.array(header).alias("set_cookie"))
+    asks = e.where("id % 4 <> 0").select("id", F.concat("site", F.when(i % 2 == 1, "/a/b?q").otherwise("/ab")).alias("url"), "at")
+    return cookies.headers(asks, sets)
