@@ -174,7 +174,7 @@ def audit_sources(docs: DataFrame, least: int = 10, ranks: int = 10, chunk: int
     given = docs.select(_text("lang"), _text("source"), _text("text"))
     parts = given.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
     sums = keep(parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    kept = sums.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term", "n")
+    kept = keep(sums.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term", "n"))
     arrays = keep(kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_arrays(chunk), "lang string, first string, terms array<string>, totals array<long>"))
     firsts: dict[str, list[bytes]] = defaultdict(list)
     for r in arrays.select("lang", "first").collect():
