@@ -372,9 +372,9 @@ def map_reference(base: Column, ref: Column) -> Column:
     """The absolute address of a source map reference."""
     return (
         F.when(ref.startswith("data:") | url.is_http(ref), ref)
-        .when(ref.startswith("//"), F.when(url.parses(base), F.concat(url.scheme(base), F.lit(":"), ref)).otherwise(F.concat(F.lit("https:"), ref)))
-        .when(ref.startswith("/"), F.concat(url.origin(base), ref))
-        .otherwise(url.normalize(url.resolve(base, ref)))
+        .when(ref.startswith("//"), F.when(url.cut_up(base)["ok"], F.concat(url.scheme(base), F.lit(":"), ref)).otherwise(F.concat(F.lit("https:"), ref)))
+        .when(ref.startswith("/"), F.concat(url.origin_of(url.cut_up(base)), ref))
+        .otherwise(url.normalize_at(url.cut_up(base), ref))
     )
 
 
@@ -596,4 +596,4 @@ def extract(docs: DataFrame, registry: Registry | None = None, keep: tuple[str,
     return rows.select(
         *keep, "url", of_registry([F.lit(n) for n, _ in listed]).alias("plugin"), of_registry([F.lit(order.get(n, len(order) + k)) for k, (n, _) in enumerate(listed)]).alias("plugin_idx"),
         F.split_part("_key", F.lit(" "), F.lit(2)).alias("type"), F.regexp_replace("_key", r"\A\d+ [a-z]+ ", "").alias("value"), "pos",
-    ).withColumn("value", F.when(F.col("type").isin("url", "html", "json", "request", "prepend"), url.hosted(F.col("value"))).otherwise(F.col("value")))
+    ).withColumn("value", F.when(F.col("type").isin("url", "map", "html", "json", "request", "prepend"), url.hosted(F.col("value"))).otherwise(F.col("value")))
