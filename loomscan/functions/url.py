@@ -190,6 +190,11 @@ def normalize(url: Column) -> Column:
     return let(parsed(url), _key)
 
 
+def key_of(url: Column) -> Column:
+    """normalize, for an address whose host has its form already: far less for the analyser to go through."""
+    return let(cut_up(url), _key)
+
+
 def normalize_at(base: Column, ref: Column) -> Column:
     """normalize of resolve_at, in one step, but for the host's form: the key has no dot segments and no mark whatever the address had."""
 

@@ -247,7 +247,7 @@ def discover(starts: DataFrame, responses: DataFrame, registry: Registry | None
     if edges is None and not by_round:
         edges = edge_table(responses, registry)
     ahead = {r.type for r in edges.select("type").distinct().collect()} if edges is not None else None  # of a closed set
-    to_key = url.normalize(url.moved_from_loopback(F.col("url"), F.col("_origin")))
+    to_key = url.key_of(url.moved_from_loopback(F.col("url"), F.col("_origin")))  # extraction has given hosts their form
     members = url.combo_members(F.col("value"))
     spark, scan_type = starts.sparkSession, starts.schema["scan"].dataType.simpleString()
     none = lambda schema: spark.createDataFrame([], f"scan {scan_type}, {schema}")

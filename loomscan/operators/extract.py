@@ -596,4 +596,4 @@ def extract(docs: DataFrame, registry: Registry | None = None, keep: tuple[str,
     return rows.select(
         *keep, "url", of_registry([F.lit(n) for n, _ in listed]).alias("plugin"), of_registry([F.lit(order.get(n, len(order) + k)) for k, (n, _) in enumerate(listed)]).alias("plugin_idx"),
         F.split_part("_key", F.lit(" "), F.lit(2)).alias("type"), F.regexp_replace("_key", r"\A\d+ [a-z]+ ", "").alias("value"), "pos",
-    ).withColumn("value", F.when(F.col("type").isin("url", "map", "html", "json", "request", "prepend"), url.hosted(F.col("value"))).otherwise(F.col("value")))
+    ).withColumn("value", F.when(F.col("type").isin("url", "map", "html", "json", "request", "prepend", "public"), url.hosted(F.col("value"))).otherwise(F.col("value")))
