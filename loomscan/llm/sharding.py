@@ -10,8 +10,6 @@ and divides the copies of a text only where they outweigh the tolerance.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,15 +35,6 @@ def dimensions(text: Column) -> dict[str, Column]:
     }
 
 
-@dataclass
-class Split:
-    """Points of a node below `edge` go left: in order of the dimension, the text's hash and the row's hash."""
-
-    node: int
-    dim: str
-    edge: tuple[int, ...]
-
-
 def _part(level: int, source: str) -> Column:
     """Twelve bits of a 64-bit hash, the most significant ones first."""
     return F.shiftrightunsigned(F.col(source), 52 - 12 * level).bitwiseAND(F.lit(STEPS - 1)).cast("int")
@@ -55,8 +44,21 @@ def _part(level: int, source: str) -> Column:
 TIES = [*((k, "text_hash") for k in range(3)), *((k, "row_hash") for k in range(3))]
 
 
-def _median(points: DataFrame, splits: dict[int, str], goal: dict[int, tuple[float, float]], slack: float) -> list[Split]:
-    """For each node the edge at which the bytes to its left come nearest to goal.
+def _table(values: dict[int, object], kind: str) -> Column:
+    """A constant map from nodes; its code has one size however many nodes there are."""
+    pairs = [x for k, v in sorted(values.items()) for x in (F.lit(k), F.array(*(F.lit(e) for e in v)) if isinstance(v, list) else F.lit(v))]
+    return F.create_map(*pairs).cast(f"map<int,{kind}>")
+
+
+def _placed(splits: dict[int, str], levels: int) -> Column:
+    """A point's place within its node: the node's dimension, then the first levels - 1 of TIES."""
+    dims = sorted(set(splits.values()))
+    which = F.try_element_at(_table({n: dims.index(d) + 1 for n, d in splits.items()}, "int"), F.col("node"))
+    return F.array(F.try_element_at(F.array(*(F.col(d) for d in dims)), which), *(_part(*t) for t in TIES[: levels - 1]))
+
+
+def _median(points: DataFrame, splits: dict[int, str], goal: dict[int, tuple[float, float]], slack: float) -> dict[int, list[int]]:
+    """For each node the edge at which the bytes to its left come nearest to goal: points whose place is below it go left.
 
     splits: the dimension of each node; goal: node -> (bytes wanted on the left, bytes).
     Each round looks at one step of one level, for all nodes at once: at most
@@ -68,14 +70,11 @@ def _median(points: DataFrame, splits: dict[int, str], goal: dict[int, tuple[flo
     for level in range(1 + len(TIES)):
         if not live:
             break
-        where, value = F.lit(False), F.lit(None).cast("int")
-        for n in sorted(live):
-            mine = F.col("node") == n
-            for depth, step in enumerate(edges[n]):
-                mine = mine & ((F.col(splits[n]) if depth == 0 else _part(*TIES[depth - 1])) == step)
-            where = where | mine
-            value = F.when(F.col("node") == n, F.col(splits[n]) if level == 0 else _part(*TIES[level - 1])).otherwise(value)
-        rows = points.where(where).groupBy("node", value.alias("step")).agg(F.sum("size").alias("size")).collect()
+        # Points that are still undecided: their place begins with their node's edge so far.
+        at = points.withColumn("place", _placed({n: splits[n] for n in live}, level + 1)).where(F.col("node").isin(sorted(live)))
+        if level:
+            at = at.where(F.slice("place", 1, level) == F.try_element_at(_table({n: edges[n] for n in live}, "array<int>"), F.col("node")))
+        rows = at.groupBy("node", F.get("place", F.lit(level)).alias("step")).agg(F.sum("size").alias("size")).collect()
         for n in sorted(live):
             steps = sorted((r.step, r.size) for r in rows if r.node == n)
             want, at = goal[n][0], None
@@ -94,15 +93,7 @@ def _median(points: DataFrame, splits: dict[int, str], goal: dict[int, tuple[flo
                 live.discard(n)
             else:
                 edges[n].append(step)
-    return [Split(n, splits[n], tuple(edges[n])) for n in sorted(splits)]
-
-
-def _goes_left(split: Split) -> Column:
-    values = [F.col(split.dim), *(_part(*t) for t in TIES)][: len(split.edge)]
-    out = F.lit(False)
-    for v, e in reversed(list(zip(values, split.edge))):
-        out = (v < e) | ((v == e) & out)
-    return out
+    return edges
 
 
 def kd_shards(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: int = 16, tolerance: float = 0.01) -> DataFrame:
@@ -135,22 +126,24 @@ def kd_shards(docs: DataFrame, text: str = "text", key: str = "doc_id", shards:
             dim[r.node] = max(sorted(spread), key=spread.get)
             first, n = wide[r.node]
             goal[r.node] = (w * (n // 2) / n, w)
-        splits = {s.node: s for s in _median(of, dim, goal, slack)}
-        node = F.col("node")
+        edges = _median(of, dim, goal, slack)
+        children = {}
         for n, (first, count) in wide.items():
             a, b = number + 1, number + 2
             number += 2
             nodes |= {a: (first, count // 2), b: (first + count // 2, count - count // 2)}
             del nodes[n]
-            if n in splits:
-                node = F.when(F.col("node") == n, F.when(_goes_left(splits[n]), a).otherwise(b)).otherwise(node)
-        placed = placed.withColumn("node", node)
+            children[n] = [a, b]
+        if edges:
+            # A place is compared with as much of the edge as there is; places are ordered as arrays are.
+            edge = F.try_element_at(_table(edges, "array<int>"), F.col("node"))
+            place = _placed(dim, max(map(len, edges.values())))
+            left = F.slice(place, F.lit(1), F.greatest(F.size(edge), F.lit(1))) < edge
+            child = F.try_element_at(_table({n: children[n] for n in edges}, "array<int>"), F.col("node"))
+            placed = placed.withColumn("node", F.coalesce(F.get(child, F.when(left, 0).otherwise(1)), F.col("node")))
         if any(s[1] > 1 for s in nodes.values()):
             placed = keep(placed)  # a few numbers a row; the next level's plan starts from here
-    shard = F.lit(None).cast("int")
-    for n, (first, _) in nodes.items():
-        shard = F.when(F.col("node") == n, first).otherwise(shard)
-    placed = placed.withColumn("shard", shard.cast("int"))
+    placed = placed.withColumn("shard", F.try_element_at(_table({n: first for n, (first, _) in nodes.items()}, "int"), F.col("node")))
     return numbered(placed).select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 

@@ -1,6 +1,7 @@
 """Packing, vectors, sharding, and the operators that learn."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -137,6 +138,36 @@ def test_shards_of_messy_tables(spark):
     assert sharding.kd_shards(documents(spark, [])).count() == 0
 
 
+def test_a_split_is_the_weighted_median(spark):
+    # Brute force: points in the order of their place; the edge is where the bytes before come nearest to the goal.
+    rng = np.random.default_rng(5)
+    rows = [(n, int(d), int(e), int(s), int(h), int(r)) for n in (3, 8) for d, e, s, h, r in zip(rng.integers(0, 12, 300), rng.integers(0, 4096, 300), rng.integers(1, 500, 300), rng.integers(-(2**63), 2**63 - 1, 300), rng.integers(-(2**63), 2**63 - 1, 300))]
+    points = spark.createDataFrame(rows, "node int, length long, line_length long, size long, text_hash long, row_hash long")
+    total = {n: float(sum(r[3] for r in rows if r[0] == n)) for n in (3, 8)}
+    edges = sharding._median(points, {3: "length", 8: "line_length"}, {n: (t / 2, t) for n, t in total.items()}, 0.0)
+    for n in (3, 8):
+        mine = [r for r in rows if r[0] == n]
+        bits = lambda h, k: ((h & (2**64 - 1)) >> (52 - 12 * k)) & 4095
+        place = lambda r: [r[1] if n == 3 else r[2], *(bits(r[4], k) for k in range(3)), *(bits(r[5], k) for k in range(3))]  # noqa: B023, E731
+        off = abs(sum(r[3] for r in mine if place(r) < edges[n]) - total[n] / 2)
+        sums = np.cumsum([0, *(r[3] for r in sorted(mine, key=place))])
+        assert off == min(abs(sums - total[n] / 2))
+
+
+def test_shards_compile_whole(spark):
+    # The code of a stage doesn't grow with the nodes of a level, so no stage gives up compiling.
+    points = sharding.keep(spark.range(10).select(F.col("id").cast("int").alias("node"), *(F.col("id").alias(c) for c in ("length", "line_length", "text_hash", "row_hash", "size"))))
+
+    def longest(nodes: int) -> int:
+        splits = {n: ("length", "line_length")[n % 2] for n in range(nodes)}
+        at = points.withColumn("place", sharding._placed(splits, 7)).where(F.slice("place", 1, 6) == F.try_element_at(sharding._table({n: [n] * 6 for n in splits}, "array<int>"), F.col("node")))
+        plan = at.groupBy("node").agg(F.sum("size"))._jdf.queryExecution().executedPlan()
+        code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
+        return max(map(int, re.findall(r"maxMethodCodeSize:\s*(\d+)", code)))
+
+    assert longest(200) == longest(2) < 8000
+
+
 def test_equal_texts_stay_together(spark):
     texts = [prose(i % 500, 40) for i in range(2000)]
     rows = sharding.kd_shards(documents(spark, texts), shards=4, tolerance=0.02).collect()

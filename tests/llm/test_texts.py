@@ -210,6 +210,28 @@ def test_decontamination(spark, block):
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
 
 
+def test_blocks_of_a_benchmark_are_branches(spark):
+    # A worker holds one block: no pass over the documents feeds another one.
+    benchmark = spark.createDataFrame([(i, prose(500 + i, 20)) for i in range(30)], "item_id long, text string")
+    out = decontam.decontaminate(documents(spark, [(1, prose(501, 20) + " " + prose(7, 30) + " " + prose(502, 20))]), benchmark, block_bytes=1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    passes = [i for i, line in enumerate(plan) if "MapInArrow" in line]
+    assert len(passes) == 30
+    for i in passes:
+        below = next((k for k in range(i + 1, len(plan)) if depth[k] <= depth[i]), len(plan))
+        assert not any("MapInArrow" in line for line in plan[i + 1 : below])
+    (row,) = out.collect()
+    assert [(s["start"], s["end"]) for s in row["spans"]] == [(0, 20), (50, 70)] and list(row["items"]) == ["1", "2"]
+
+
+def test_windows_over_several_blocks_make_one_run(spark):
+    words_ = prose(77, 40).split()
+    items = [(i, " ".join(words_[a : a + 14])) for i, a in enumerate((0, 5, 14, 26))]
+    got = decontam.decontaminate(documents(spark, [(1, " ".join(words_)), (1, " ".join(words_)), (None, None)]), spark.createDataFrame(items, "item_id long, text string"), keep=("text", "doc_id"), block_bytes=1).collect()
+    assert sorted((r.doc_id or 0, r.n_words, [(s["start"], s["end"]) for s in r["spans"]]) for r in got) == [(0, 0, []), (1, 40, [(0, 40)]), (1, 40, [(0, 40)])]
+
+
 def test_decontamination_of_windows_that_share_their_end(spark):
     # Many windows end in the same words, so one bucket holds them all; only one of them occurs.
     end = "the very same last words here now".split()
