@@ -50,6 +50,24 @@ def is_hex(text: str, least: int = 1, most: int = 1 << 30) -> bool:
     return least <= len(text) <= most and _HEX.fullmatch(text) is not None
 
 
+def is_chunk(name: str) -> bool:
+    """Whether a name is chunk- and lower-case letters and digits."""
+    rest = name.removeprefix("chunk-")
+    return rest != name and rest.isascii() and rest.isalnum() and rest == rest.lower()
+
+
+def is_stamped(text: str) -> bool:
+    """Whether a text is a hash and a time: hash.time."""
+    hash_, _, time = text.partition(".")
+    return is_hex(hash_, 6, 20) and 10 <= len(time) <= 16 and time.isascii() and time.isdigit()
+
+
+def query_of(address: str) -> str:
+    """The query of a script's address, if it is made of words."""
+    path, _, query = address.partition("?")
+    return f"?{query}" if path.endswith(".js") and query and re.fullmatch(r"[\w=]+", query, re.A) else ""
+
+
 def earliest(pairs: list[tuple[str, str]]) -> dict[str, str]:
     """Each key with its first value."""
     out: dict[str, str] = {}
@@ -201,37 +219,57 @@ class Runtime:
     def loads(self) -> list[str]:
         """Names chunk-.. that a method is called with."""
         calls = (ts for ts in self._runs(4) if ts[0].kind == "name" and "." in ts[0].text and ts[1].text == "(" and ts[2].kind == "str" and ts[3].text == ")")
-        return list(dict.fromkeys(ts[2].value for ts in calls if re.fullmatch("chunk-[a-z0-9]+", ts[2].value)))
+        return list(dict.fromkeys(ts[2].value for ts in calls if is_chunk(ts[2].value)))
+
+    def _taken_apart(self) -> list[Token]:
+        """All tokens, with those of maps that something is looked up in."""
+        return [u for t in self.tokens for u in (tokens(t.text) if t.kind == "map" else [t])]
+
+    def _lists_itself(self) -> bool:
+        """Whether the script puts a chunk that tells one number on a bundler's list."""
+        for ts in self._runs(6):
+            owner, _, method = ts[0].text.rpartition(".")
+            listed = owner.rpartition(".")[2]
+            if method == "push" and listed.startswith("webpackChunk_") and ts[4].kind == "num" and [t.text for t in (*ts[1:4], ts[5])] == ["(", "[", "[", "]"]:
+                return True
+        return False
+
+    def _single(self) -> list[tuple[str, str]]:
+        """The entries of maps that have one, under a number."""
+        ts = self._taken_apart()
+        fives = zip(*(ts[i:] for i in range(5)))
+        return [(k.value if k.kind == "str" else k.text, v.value) for a, k, b, v, z in fives if (a.text, b.text, z.text) == ("{", ":", "}") and k.kind in ("num", "str") and v.kind == "str"]
+
+    def _flagged(self) -> list[str]:
+        """Chunks that a map has a 1 for."""
+        ts = self._taken_apart()
+        return [k.value for k, b, v in zip(ts, ts[1:], ts[2:]) if k.kind == "str" and b.text == ":" and v.text == "1"]
 
     def _without_sums(self) -> list[str]:
         """Maps from ids to hashes whose sum isn't told."""
         fallback = next((ts[4].value for ts in self._runs(5) if ts[0].text == "||" and ts[1].text in ('""', "''") and ts[2].text == ")" and ts[3].text == "+" and ts[4].kind == "str" and ts[4].value.endswith("/")), "")
         prefix = fallback or self._added(lambda v: v.strip("/") == "static/js" and v.endswith("js/")) or self._added(lambda v: re.fullmatch(r"[\w-]+/[\w-]+/", v, re.A) is not None)
         words = {k: v for k, v in self.pairs if k.isdigit() and not is_hex(v)}
-        folder, query = self._added(lambda v: re.fullmatch(r"\w+/", v, re.A) is not None), re.search(r"""\.js(\?[\w=]+)["']""", self.text, re.A)
+        folder, query = self._added(lambda v: re.fullmatch(r"\w+/", v, re.A) is not None), next((q for t in self.tokens if t.kind == "str" and (q := query_of(t.value))), "")
         out = [f"{prefix}{k}.{v}.js" for k, v in self.pairs if k.startswith("chunk-") and is_hex(k[6:]) and is_hex(v)]
-        out += [f"{folder}{words.get(k, k)}.chunk.{v}.js{query[1] if query else ''}" for k, v in self.pairs if k.isdigit() and is_hex(v, 20, 24)]
-        if re.search(r"webpackChunk_\w+\s*\.\s*push\s*\(\s*\[\s*\[\s*\d+\s*\]", self.text, re.A):  # a chunk that tells its own number
-            alone = (entries(m) for m in re.findall(r"\{[^{},]*\}", self.text))
-            out += [f"{e[0][0]}.{e[0][1]}.js" for e in alone if len(e) == 1 and e[0][0].isdigit() and is_hex(e[0][1], 7, 40)]
-        self.hashes = earliest([(k, v) for k, v in self.pairs if re.fullmatch("chunk-[a-z0-9]+", k) and is_hex(v, 5, 10)])
+        out += [f"{folder}{words.get(k, k)}.chunk.{v}.js{query}" for k, v in self.pairs if k.isdigit() and is_hex(v, 20, 24)]
+        if self._lists_itself():
+            out += [f"{k}.{v}.js" for k, v in self._single() if k.isdigit() and is_hex(v, 7, 40)]
+        self.hashes = earliest([(k, v) for k, v in self.pairs if is_chunk(k) and is_hex(v, 5, 10)])
         self.wanting = [f"{x} {prefix}" for x in self.loads() if x not in self.hashes]
         return out + ([f"{prefix}{k}.{v}.js" for k, v in self.hashes.items()] or [f"{prefix}{x}.js" for x in self.loads() if likely_hash(x)])
 
     @property
     def mark(self) -> str | None:
         """hash.timestamp that the runtime puts after every name."""
-        m = re.search(r"""\+\s*["']\.([0-9a-f]{6,20}\.[0-9]{10,16})\.js["']""", self.text)
-        return m[1] if m else None
+        return self._added(lambda v: v.startswith(".") and v.endswith(".js") and is_stamped(v[1:-3]))[1:-3] or None
 
     def marked(self, mark: str | None, base: str) -> list[str]:
         """Absolute addresses of the chunks that are named here, under a mark."""
         if mark is None:
             return []
-        numbered = re.compile(r"[0-9a-f]{6,20}\.[0-9]{10,16}")
         chunk = lambda k: k.startswith("chunk-") and is_hex(k[6:], 6)
-        flags = [m for m in re.findall(r"""["'](chunk-[0-9a-f]+)["']\s*:\s*1(?!\d)""", self.text) if chunk(m)]
-        ids = [k for k, v in self.pairs if chunk(k) and numbered.fullmatch(v)] + flags + self.loads()
+        ids = [k for k, v in self.pairs if chunk(k) and is_stamped(v)] + [k for k in self._flagged() if chunk(k)] + self.loads()
         return [f"{base}{x}.{mark}.js" for x in dict.fromkeys(ids)]
 
     def addresses(self, base: str, mark: str | None = None) -> list[str]:

@@ -172,18 +172,46 @@ def lists_by_key(text: Column) -> Column:
     return F.filter(let(F.split(text, r'"\s*:\s*\[', -1), pair), lambda x: x["key"].isNotNull())
 
 
+def _bare(value: Column) -> Column:
+    """A value without the backslash that escaped its closing mark."""
+    return F.rtrim(value, F.lit("\\"))
+
+
+def _imports(flight: Column) -> Column:
+    """The lists of a flight payload's import rows: I[number,[list]..."""
+    rows = F.filter(F.slice(F.split(flight, r"I\[", -1), 2, 1 << 30), lambda p: p.contains("]") & F.substring_index(p, ",[", 1).rlike(r"\A\d+\z"))
+    return F.transform(rows, lambda p: F.substring_index(F.split_part(p, F.lit(",["), F.lit(2)), "]", 1))
+
+
+def _under(path: Column, *folders: str) -> Column:
+    """Whether a path goes on with one of the folders after static/, or after static/immutable/."""
+    out = F.lit(False)
+    for f in folders:
+        out = out | path.startswith(f"static/{f}") | path.startswith(f"static/immutable/{f}")
+    return out
+
+
+def _asset(value: Column) -> Column:
+    """The path of a script or style sheet from its build folder on, with the folder's parent if that is told; else null."""
+    at = F.locate("static/", value)
+    lead, rest = F.left(value, at - 1), F.substr(value, F.greatest(at, F.lit(1)))
+    parent = F.when(lead.endswith("/_next/"), "/_next/").when(lead.endswith("_next/"), "_next/").when(lead.endswith("/"), "/").otherwise("")
+    return F.when((at > 0) & _under(rest, "chunks/", "css/") & (rest.endswith(".js") | rest.endswith(".css")), F.concat(parent, rest))
+
+
 def next_js(d: Doc) -> Column:
     origin, t = d.origin, d.text
-    asset = lambda v: v.rlike(r"static/(immutable/)?(chunks|css)/") & (v.endswith(".js") | v.endswith(".css"))
-    pieces = F.flatten(F.transform(sections(t, r"I\[\d+,\[", "]"), lambda c: F.split(c, r"[\"',\s\\]", -1)))
-    chunks = F.filter(F.transform(pieces, lambda v: F.regexp_extract(v, r"(?:/?_next/|/)?static/.+\z", 0)), asset)
+    chunks = F.filter(F.transform(F.flatten(F.transform(_imports(t), lambda c: quoted(F.replace(c, F.lit('\\"'), F.lit('"'))))), _asset), lambda v: v.isNotNull())
     requests = tagged("request", let(_routes(t), lambda rs: let(_base_path(d, rs), lambda b: F.transform(rs, lambda r: F.concat(origin, b, F.lit("/"), r)))))
 
     given, flight = json_text(d.decoded, "buildId"), json_text(d.decoded, "b")
     build = F.when(given != "", given).otherwise(flight)
     files = F.array(*(F.lit(n) for n in ("_buildManifest.js", "_ssgManifest.js", "_appManifest.js")))
     manifests = let(build, lambda b: F.when(b != "", F.transform(files, lambda n: F.concat(F.lit("/_next/static/"), b, F.lit("/"), n))).otherwise(no_texts()))
-    prefixes = F.filter(F.transform(F.split(t, r"[\"' ]", -1), lambda p: F.regexp_extract(p, r"(https?://.+)/_next", 1)), lambda p: (p != "") & ~p.contains("{{"))
+    words = F.flatten(F.transform(values(d.strings, lambda s: s["value"].contains("/_next")), lambda v: F.split(v, " ", -1)))
+    addresses = F.filter(F.transform(F.filter(words, lambda w: w.contains("/_next")), lambda w: F.substr(w, F.greatest(F.locate("http", w), F.lit(1)))), url.is_http)
+    # Up to the last /_next of an address.
+    prefixes = F.filter(F.transform(addresses, lambda w: F.left(w, F.length(w) - F.length(F.substring_index(w, "/_next", -1)) - F.lit(len("/_next")))), lambda p: ~p.contains("{{") & (F.substring_index(p, "://", -1) != ""))
     links = F.filter(F.transform(F.filter(d.tags, lambda g: named(g, "a", exact=True)), lambda g: attribute(g, "href", quoted=True)), lambda h: (h != "") & ~h.rlike(r"\A(#|javascript:|mailto:|tel:)"))
     clean = F.transform(links, lambda h: F.regexp_replace(url.resolve_at(d.base, h), r"(?s)[?#].*\z", ""))
     clean = F.filter(clean, lambda u: (F.regexp_extract(u, r"\A([^:]+://[^/?#]*)", 1) == origin) & ~ends_in(F.lower(u), NO_ROUTE) & ~u.contains("/_next/static"))
@@ -198,7 +226,9 @@ def next_js(d: Doc) -> Column:
     pair = lambda m: F.struct(F.trim(F.substring_index(m, ":", 1)).alias("k"), F.split_part(m, F.lit('"'), F.lit(2)).alias("v"))
     layouts = F.array(*(F.lit(p) for p in ("static/chunks/", "static/", "chunks/", "")))
     guesses = F.flatten(F.transform(F.transform(single, pair), lambda e: F.transform(layouts, lambda p: F.concat(p, e["k"], F.lit("."), e["v"], F.when(p == "", F.lit(".function.chunk.js")).otherwise(F.lit(".js"))))))
-    within = F.transform(F.flatten(F.transform(values(d.strings, lambda s: s["value"].rlike(r"static/(immutable/)?chunks/.")), lambda v: F.split(v, r"[\\\s<>()\],]", -1))), lambda p: F.regexp_extract(p, r"(?:\A|[^A-Za-z0-9_])(static/(?:immutable/)?chunks/.+\.js)", 1))
+    listed_in = F.flatten(F.transform(values(d.strings, lambda s: s["value"].contains("static/")), lambda v: F.split(_bare(v), ",", -1)))
+    own = F.transform(F.filter(listed_in, lambda v: v.endswith(".js") & ~F.regexp_like(F.substring_index(v, "static/", 1), F.lit(r"\w\z"))), lambda v: F.substr(v, F.greatest(F.locate("static/", v), F.lit(1))))
+    within = F.filter(own, lambda v: _under(v, "chunks/") & ~v.rlike(r"[\s<>()\]]"))
     ids = F.transform(values(d.strings, lambda s: follows(s, r"__webpack_require__\.e\s*\(")), lambda c: F.concat(F.lit("__webpack_require_e__"), c))
     pages = F.when(t.contains("__BUILD_MANIFEST"), F.filter(lists_by_key(t), lambda p: p["key"].rlike("\\A/.")))
     page_keys = F.coalesce(F.transform(pages, lambda p: p["key"]), no_texts())
@@ -227,9 +257,10 @@ def ends_in(x: Column, endings: list[str]) -> Column:
 
 
 def nuxt(d: Doc) -> Column:
-    pieces = F.filter(F.split(d.text, r"[\"'\\\s<>()\],]", -1), lambda p: p.contains("/_nuxt/"))
-    found = tagged("url", F.transform(pieces, lambda p: F.regexp_extract(p, r"(?:https?://.*)?/_nuxt/.+\.js", 0)))
-    return gated(((d.kind == "html") & has(d.text, "__NUXT__", "__NUXT_DATA__", "/_nuxt/"), found), ((d.kind == "js") & has(d.text, "buildAssetsDir", '"buildId"', "process.env.NUXT"), found))
+    held = F.transform(values(d.strings, lambda s: s["value"].contains("/_nuxt/")), lambda v: F.substring_index(_bare(v), "?", 1))
+    attributes = F.flatten(F.transform(d.tags, lambda g: F.array(attribute(g, "src"), attribute(g, "href"))))
+    built = lambda vs: tagged("url", F.transform(F.filter(vs, lambda v: v.endswith(".js") & v.contains("/_nuxt/") & ~v.rlike(r"[\s<>()\],]")), lambda v: F.when(url.is_http(v), v).otherwise(F.substr(v, F.locate("/_nuxt/", v)))))
+    return gated(((d.kind == "html") & has(d.text, "__NUXT__", "__NUXT_DATA__", "/_nuxt/"), built(F.concat(held, attributes))), ((d.kind == "js") & has(d.text, "buildAssetsDir", '"buildId"', "process.env.NUXT"), built(held)))
 
 
 def vite(d: Doc) -> Column:
