@@ -651,9 +651,12 @@ def cached_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DIGITS = "'abcdefghijklmnopqrstuvwxyz0123456789'"
 # One character beyond ASCII, after one other: its place and code as digits of base 35, and a last one.
-_HOST_SQL = f"""WITH h AS (SELECT s_suppkey AS id, s_suppkey AS s, CAST(s_suppkey AS VARCHAR) AS k, (252 - 128) * (6 + length(CAST(s_suppkey AS VARCHAR))) + 1 AS d FROM supplier)
+# Numbers beyond 32 bits and groups of more than four digits are no hosts: such an address is its own key.
+_HOST_SQL = f"""WITH h AS (SELECT s_suppkey AS id, s_suppkey AS s, 3232235520 + s_suppkey AS n, CAST(s_suppkey AS VARCHAR) AS k, (252 - 128) * (6 + length(CAST(s_suppkey AS VARCHAR))) + 1 AS d FROM supplier)
 SELECT id, CASE s % 6 WHEN 0 THEN 'https://xn--bcher' || k || '-' || substr({_DIGITS}, CAST(1 + (d - 1) % 35 + 1 AS INT), 1) || CASE WHEN (d - 1) // 35 < 1 THEN substr({_DIGITS}, CAST((d - 1) // 35 + 1 AS INT), 1) ELSE substr({_DIGITS}, CAST(1 + ((d - 1) // 35 - 1) % 35 + 1 AS INT), 1) || substr({_DIGITS}, CAST(((d - 1) // 35 - 1) // 35 + 1 AS INT), 1) END || '.de/x'
-  WHEN 1 THEN 'http://127.' || s // 65536 || '.' || s // 256 % 256 || '.' || s % 256 || '/a' WHEN 2 THEN 'http://192.168.' || s // 256 % 256 || '.' || s % 256 || '/' WHEN 3 THEN 'https://[2001:db8::' || k || ']/' WHEN 4 THEN 'https://ex' || k || '.test/a/b' ELSE 'https://ex' || k || '.test/q?a%20b=%3C' || k || '%3E' END AS key FROM h"""
+  WHEN 1 THEN CASE WHEN s < 16777216 THEN 'http://127.' || s // 65536 || '.' || s // 256 % 256 || '.' || s % 256 || '/a' ELSE 'http://0x7f.' || k || '/a' END
+  WHEN 2 THEN CASE WHEN n < 4294967296 THEN 'http://' || n // 16777216 || '.' || n // 65536 % 256 || '.' || n // 256 % 256 || '.' || n % 256 || '/' ELSE 'http://' || n || ':80/' END
+  WHEN 3 THEN CASE WHEN length(k) <= 4 THEN 'https://[2001:db8::' || k || ']/' ELSE 'https://[2001:DB8:0:0:0:0:0:' || k || ']:443/' END WHEN 4 THEN 'https://ex' || k || '.test/a/b' ELSE 'https://ex' || k || '.test/q?a%20b=%3C' || k || '%3E' END AS key FROM h"""
 
 
 @query(_HOST_SQL)
