@@ -477,7 +477,13 @@ g AS (SELECT id, gen_line, place, good, len(o) AS k, sum(coalesce(o[1], 0)) OVER
 q AS (SELECT id, CAST(gen_line AS INT) AS gen_line, place, CAST(c0 AS INT) AS gen_col, CAST(CASE WHEN k >= 4 THEN c1 ELSE -1 END AS INT) AS src, CAST(CASE WHEN k >= 4 THEN c2 ELSE -1 END AS INT) AS src_line, CAST(CASE WHEN k >= 4 THEN c3 ELSE -1 END AS INT) AS src_col, CAST(CASE WHEN k = 5 THEN c4 ELSE -1 END AS INT) AS name FROM g WHERE good)"""
 
 
-@query(_SEGMENTS + " SELECT id, gen_line, place, o[1] AS value FROM v")
+# Numbers of 32 bits, of which a digit from the 36th bit on is none, as mappings.decoded reads them.
+_GROWN = "a.v + CASE WHEN a.s <= 30 THEN (c.d % 32) * CAST(power(2, least(a.s, 30)) AS BIGINT) ELSE 0 END"
+_WIDE = f"(({_GROWN} + 2147483648) % 4294967296 - 2147483648)"
+_NUMBERS = _SEGMENTS.replace("a.v + (c.d % 32) * CAST(power(2, a.s) AS BIGINT)", _GROWN).replace("CASE WHEN (a.v + c.d * CAST(power(2, a.s) AS BIGINT)) % 2 = 0 THEN 1 ELSE -1 END * ((a.v + c.d * CAST(power(2, a.s) AS BIGINT)) // 2)", f"CASE WHEN {_WIDE} % 2 = 0 THEN {_WIDE} // 2 ELSE -(({_WIDE} - 1) // 2) END")
+
+
+@query(_NUMBERS + " SELECT id, gen_line, place, o[1] AS value FROM v")
 def vlq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first number of every segment, null where it is broken."""
     lines = _rows(spark, sf_dir, "c_mappings").select("id", F.posexplode(F.split("mappings", ";")).alias("gen_line", "line"))

@@ -20,3 +20,8 @@ def test_hosts_of_large_keys(spark, tmp_path):
     edges = (1, 9999, 65536, 16777216, 1062731776, 10**10)
     got, expected = against_sql(spark, tmp_path, "host_forms", "supplier", {"s_suppkey": sorted({max(0, e + i) for e in edges for i in range(-7, 8)})})
     assert got == expected
+
+
+def test_numbers_of_more_than_32_bits(spark, tmp_path):
+    got, expected = against_sql(spark, tmp_path, "vlq_decode", "customer", {"c_custkey": [0, 1, 2, 44694]})  # the last has a number of 33 bits
+    assert got == expected and (44694, 0, 2, -16793616) in got
