@@ -64,10 +64,24 @@ UNION ALL SELECT {_say('https://site.test/s/', ':s_suppkey', '.js')}, 200, CASE
 }
 
 
+#: Tables whose rows, a few bytes each in their files, become long texts.
+_DEALT = {"supplier": "s_suppkey", "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A corpus over the tables below sf_dir."""
-    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in ("region", "nation", "supplier", "customer", "part", "orders")}
-    return spark.sql(_fill(name, tables))
+    """A corpus over the tables below sf_dir.
+
+    Files are split by bytes, of which these tables have too few for all cores, so their
+    keys are dealt out before texts are made of them.
+    """
+    return spark.sql(_fill(name, {t: _dealt(spark, t, f"parquet.`{sf_dir}/{t}.parquet`") for t in ("region", "nation", "supplier", "customer", "part", "orders")}))
+
+
+def _dealt(spark: SparkSession, table: str, place: str) -> str:
+    if table not in _DEALT:
+        return place
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return f"(SELECT /*+ REPARTITION({parts}, {_DEALT[table]}) */ * FROM {place})"
 
 
 def _fill(name: str, tables: dict[str, str]) -> str:

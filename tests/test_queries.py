@@ -1,8 +1,9 @@
-"""Queries against their SQL on keys that the small tables don't have."""
+"""Queries against their SQL on keys that the small tables don't have, and how their work is dealt."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from loomscan import queries
+from loomscan import corpora, queries
 
 
 def against_sql(spark, folder, name, table, keys):
@@ -25,3 +26,9 @@ def test_hosts_of_large_keys(spark, tmp_path):
 def test_numbers_of_more_than_32_bits(spark, tmp_path):
     got, expected = against_sql(spark, tmp_path, "vlq_decode", "customer", {"c_custkey": [0, 1, 2, 44694]})  # the last has a number of 33 bits
     assert got == expected and (44694, 0, 2, -16793616) in got
+
+
+def test_rows_of_small_files_are_dealt_out(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    dealt = corpora.load(spark, str(tmp_path), "c_import_js").groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in dealt) < 250
