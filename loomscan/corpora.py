@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomscan.sources import shared
+
 _S = "CAST({} AS STRING)"
 _K = {k: _S.format(k) for k in ("s_suppkey", "p_partkey", "n_nationkey", "r_regionkey", "c_custkey", "o_orderkey")}
 
@@ -80,8 +82,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _dealt(spark: SparkSession, table: str, place: str) -> str:
     if table not in _DEALT:
         return place
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return f"(SELECT /*+ REPARTITION({parts}, {_DEALT[table]}) */ * FROM {place})"
+    return f"(SELECT /*+ REPARTITION({shared.parts(spark)}, {_DEALT[table]}) */ * FROM {place})"
 
 
 def _fill(name: str, tables: dict[str, str]) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomscan.functions import url
-from loomscan.sources.shared import keep
+from loomscan.sources.shared import keep, parts
 
 #: Stretches into which the whole time is cut, by rows.
 STRETCHES = 64
@@ -39,7 +39,8 @@ def parsed(responses: DataFrame) -> DataFrame:
     left out, and so are cookies that have run out when they are set (they replace none).
     Max-Age goes before Expires; expires is null for cookies of the session.
     """
-    rows = responses.select("at", url.parsed(F.col("url")).alias("u"), F.posexplode("set_cookie").alias("seq", "h")).where("u.ok")
+    # A condition on u would be asked before rows are dealt out, and parse every address again.
+    rows = responses.select("at", "set_cookie", url.parsed(F.col("url")).alias("u")).select("at", "u", F.posexplode(F.when(F.col("u.ok"), F.col("set_cookie"))).alias("seq", "h"))
     cut = rows.select("at", "seq", F.regexp_replace("u.host", ":[0-9]+$", "").alias("host"), F.split("h", ";").alias("s")).select("at", "seq", "host", F.trim(F.get("s", F.lit(0))).alias("first"), F.slice("s", F.lit(2), F.size("s")).alias("attributes"))
     last = lambda name: F.try_element_at(F.filter(_named(F.col("attributes"), name), lambda v: v != ""), F.lit(-1))
     age = F.try_element_at(F.filter(F.transform(_named(F.col("attributes"), "max-age"), lambda v: F.regexp_extract(v, r"^[+-]?\d{1,12}", 0)), lambda v: v != ""), F.lit(-1)).cast("long")
@@ -69,25 +70,29 @@ def headers(requests: DataFrame, responses: DataFrame, key: str = "id") -> DataF
     set before its own time and hasn't run out by then.  Addresses that aren't any carry
     nothing; null times are no times.  Keys should be distinct.
     """
-    sets = keep(parsed(responses.where("at is not null")))
-    cookies = sets.select(*_COOKIE).distinct()
-    asked = requests.where("at is not null").select(key, "at", url.parsed(F.col("url")).alias("u")).where("u.ok")
+    n = parts(requests.sparkSession)
+    told = keep(parsed(responses.where("at is not null").repartition(n)))
+    cookies = keep(told.select(*_COOKIE).distinct().withColumn("cookie", F.monotonically_increasing_id()))
+    sets = told.join(cookies, _COOKIE)
+    cuts = told.agg(F.percentile_approx("at", [i / STRETCHES for i in range(1, STRETCHES)])).first()[0] or []  # STRETCHES numbers at most
+    stretch = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col("at"))) if cuts else F.lit(0)
+    # A request is as many rows as there are cookies for it, so requests are dealt out first, and these rows are numbers.
+    asked = requests.where("at is not null").select(key, "at", "url").repartition(n, key).select(key, "at", stretch.alias("stretch"), url.parsed(F.col("url")).alias("u"))
     domains, paths = _reach(F.regexp_replace("u.host", ":[0-9]+$", ""), F.when(F.col("u.path") == "", F.lit("/")).otherwise(F.col("u.path")))
-    wanted = asked.select(key, "at", F.explode(domains).alias("domain"), paths.alias("p")).select(key, "at", "domain", F.explode("p").alias("path")).join(cookies, ["domain", "path"])
+    cells = F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.struct(d.alias("domain"), p.alias("path")))))
+    wanted = asked.select(key, "at", "stretch", F.explode(F.when(F.col("u.ok"), cells)).alias("cell")).select(key, "at", "stretch", "cell.*").join(cookies, ["domain", "path"])
 
-    cuts = sets.agg(F.percentile_approx("at", [i / STRETCHES for i in range(1, STRETCHES)])).first()[0] or []  # STRETCHES numbers at most
-    stretch = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col("at"))) if cuts else F.lit(0)
-    held = F.struct("at", "seq", "value", "expires")
-    given = sets.select(*_COOKIE, "at", F.lit(1).alias("kind"), F.lit(None).cast(requests.schema[key].dataType).alias(key), held.alias("set"), stretch.alias("stretch"))
-    events = given.unionByName(wanted.select(*_COOKIE, "at", F.lit(0).alias("kind"), key, F.lit(None).cast(given.schema["set"].dataType).alias("set"), stretch.alias("stretch")))
+    held = F.struct("at", "seq", "value", "expires", *_COOKIE)
+    given = sets.select("cookie", "at", F.lit(1).alias("kind"), F.lit(None).cast(requests.schema[key].dataType).alias(key), held.alias("set"), stretch.alias("stretch"))
+    events = given.unionByName(wanted.select("cookie", "at", F.lit(0).alias("kind"), key, F.lit(None).cast(given.schema["set"].dataType).alias("set"), "stretch"))
     # A request comes before what is set at its own time.
-    own = F.last("set", ignorenulls=True).over(W.partitionBy(*_COOKIE, "stretch").orderBy("at", "kind", F.col("set.seq")))
-    ends = given.groupBy(*_COOKIE, "stretch").agg(F.max("set").alias("end"))
-    carried = ends.select(*_COOKIE, F.col("stretch").alias("from"), F.lead("stretch").over(W.partitionBy(*_COOKIE).orderBy("stretch")).alias("to"), "end")
+    own = F.last("set", ignorenulls=True).over(W.partitionBy("cookie", "stretch").orderBy("at", "kind", F.col("set.seq")))
+    ends = given.groupBy("cookie", "stretch").agg(F.max("set").alias("end"))
+    carried = ends.select("cookie", F.col("stretch").alias("from"), F.lead("stretch").over(W.partitionBy("cookie").orderBy("stretch")).alias("to"), "end")
     # What a stretch ended with holds in those up to and with the next one that has any.
-    spans = carried.select(*_COOKIE, "end", F.explode(F.sequence(F.col("from") + 1, F.greatest(F.col("from") + 1, F.coalesce("to", F.lit(STRETCHES))))).alias("stretch"))
-    met = events.withColumn("own", own).where("kind = 0").join(spans, [*_COOKIE, "stretch"], "left").withColumn("c", F.coalesce("own", "end"))
+    spans = carried.select("cookie", "end", F.explode(F.sequence(F.col("from") + 1, F.greatest(F.col("from") + 1, F.coalesce("to", F.lit(STRETCHES))))).alias("stretch"))
+    met = events.withColumn("own", own).where("kind = 0").join(spans, ["cookie", "stretch"], "left").select(key, "at", F.coalesce("own", "end").alias("c"))
     live = met.where("c is not null and (c.expires is null or c.expires > at)")
-    line = F.struct((-F.length("path")).alias("n"), F.col("c.at").alias("a"), F.col("c.seq").alias("s"), "domain", "host", F.concat("name", F.lit("="), "c.value").alias("t"))
-    told = live.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "; ").alias("cookie"))
-    return requests.select(key).join(told, key, "left").select(key, F.coalesce("cookie", F.lit("")).alias("cookie"))
+    line = F.struct((-F.length("c.path")).alias("n"), F.col("c.at").alias("a"), F.col("c.seq").alias("s"), "c.domain", "c.host", F.concat("c.name", F.lit("="), "c.value").alias("t"))
+    lines = live.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "; ").alias("cookie"))
+    return requests.select(key).join(lines, key, "left").select(key, F.coalesce("cookie", F.lit("")).alias("cookie"))

@@ -13,6 +13,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def parts(spark: SparkSession) -> int:
+    """Into how many parts rows are dealt whose work tells nothing of their bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where there is none, one below the warehouse, or on a single machine a temporary one."""
     context = spark.sparkContext

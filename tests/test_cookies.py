@@ -57,3 +57,10 @@ def test_dates_and_empty_tables(spark):
     asks = spark.createDataFrame([(1, "https://a.test/", 4000), (2, "https://a.test/", 6000)], "id int, url string, at long")
     assert {x.id: x.cookie for x in cookies.headers(asks, rows).collect()} == {1: "a=1; b=2; c=3", 2: "b=2; c=3"}
     assert {x.cookie for x in cookies.headers(asks, rows.limit(0)).collect()} == {""} and cookies.headers(asks.limit(0), rows).count() == 0
+
+
+def test_addresses_are_parsed_after_requests_are_dealt_out(spark):
+    asks = spark.createDataFrame([(1, "https://a.test/", 4000)], "id int, url string, at long")
+    sets = spark.createDataFrame([("https://a.test/", 0, ["a=1"])], "url string, at long, set_cookie array<string>")
+    above, _, below = cookies.headers(asks, sets)._jdf.queryExecution().optimizedPlan().toString().partition("RepartitionByExpression [id")
+    assert "RLIKE" in above and "RLIKE" not in below.split("LogicalRDD")[0] and below
