@@ -25,7 +25,13 @@ _STEP = hosts.let(
     + hosts.let(_GROWN, "v", "if(d >= 32, named_struct('v', v, 's', a.s + 5, 'out', a.out, 'bad', false), named_struct('v', 0L, 's', 0, 'out', concat(a.out, array(" + hosts.let(_WRAPPED, "w", _SIGNED) + ")), 'bad', false))")
     + "))",
 )
-_FOLD = f"x -> aggregate(split(x, ''), named_struct('v', 0L, 's', 0, 'out', cast(array() as array<bigint>), 'bad', false), (a, c) -> {_STEP}, a -> named_struct('values', a.out, 'good', not a.bad and (size(a.out) = 5 or a.s = 0) and size(a.out) not in (0, 2, 3)))"
+_FOLD = f"aggregate(split(x, ''), named_struct('v', 0L, 's', 0, 'out', cast(array() as array<bigint>), 'bad', false), (a, c) -> {_STEP}, a -> named_struct('values', a.out, 'good', not a.bad and (size(a.out) = 5 or a.s = 0) and size(a.out) not in (0, 2, 3)))"
+# Where every number is one digit, numbers are looked up.
+_LOOK_UP = f"if(instr('{_DIGITS}', c) % 2 = 1, (instr('{_DIGITS}', c) - 1) div 2, -((instr('{_DIGITS}', c) - 2) div 2))"
+_READ = f"x -> if(x rlike r'\\A[A-Za-f]+\\z', named_struct('values', transform(split(substr(x, 1, 5), ''), c -> {_LOOK_UP}), 'good', length(x) not in (2, 3)), {_FOLD})"
+# One, four or five numbers, and what follows five.
+_NUMBER = "[g-z0-9+/]*[A-Za-f]"
+_GOOD = f"(?s)\\A({_NUMBER}|({_NUMBER}){{4}}|({_NUMBER}){{5}}.*)\\z"
 
 
 def decoded(segment: Column) -> Column:
@@ -34,7 +40,7 @@ def decoded(segment: Column) -> Column:
     Numbers before the place where a segment breaks off are among values; segments of two
     or three numbers are broken ones.
     """
-    return F.element_at(F.call_function("transform", F.array(segment), F.expr(_FOLD)), 1)
+    return F.element_at(F.call_function("transform", F.array(segment), F.expr(_READ)), 1)
 
 
 def segments(maps: DataFrame, key: str, mappings: str = "mappings") -> DataFrame:
@@ -50,7 +56,7 @@ def segments(maps: DataFrame, key: str, mappings: str = "mappings") -> DataFrame
     value = lambda i: F.coalesce(F.get("d.values", F.lit(i)), F.lit(0))
     told = told.select(key, "gen_line", "place", "_block", F.size("d.values").alias("_n"), F.col("d.good").alias("_good"), *(value(i).alias(f"_{i}") for i in range(5)))
     # Of each line what comes up to its first broken segment.
-    ends = told.where("not _good").groupBy(key, "gen_line").agg(F.min("place").alias("_end"))
+    ends = cut.where(~F.col("_segment").rlike(_GOOD)).groupBy(key, "gen_line").agg(F.min("place").alias("_end"))
     told = told.join(ends, [key, "gen_line"], "left").where("_end is null or place <= _end").drop("_end")
     sums = told.groupBy(key, "gen_line", "_block").agg(*(F.sum(f"_{i}").alias(f"_s{i}") for i in range(5)))
     earlier = W.partitionBy(key).orderBy("gen_line", "_block").rowsBetween(W.unboundedPreceding, -1)

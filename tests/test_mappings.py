@@ -51,3 +51,11 @@ def test_rebuilt_sources_are_those_of_a_reader(spark):
 def test_mappings_have_no_python_in_their_plan(spark):
     plan = mappings.rebuilt(table(spark, ["AAAA"], ["x"]), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_segments_are_told_from_broken_ones_without_reading_them(spark):
+    given = [s for m in texts(5, 300) if m for s in m.replace(";", ",").split(",") if s] + ["A\nAA", "AAAAA\n", "A\n", "AAAA\n", "fghA", "ABCDEF", "gggggggA"]
+    rows = table(spark, given).select(F.col("mappings").rlike(mappings._GOOD).alias("good"), mappings.decoded(F.col("mappings"))["good"].alias("read"))
+    assert rows.where("good <> read").count() == 0
+    plan = mappings.segments(table(spark, given), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 2  # once for the sums, once for the mappings
