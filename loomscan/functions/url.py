@@ -45,6 +45,11 @@ _WHOLE = r"r'(?i)\A(https?://[^/?#\s\\@:\[\]]+(:[0-9]{0,5})?|https?://\[[0-9a-fA
 _SLASHED = r"if(u rlike r'(?i)\Ahttps?:[^?#]*\\', concat(regexp_replace(translate(regexp_extract(u, r'(?s)\A([^?#]*)', 1), chr(92), '/'), r'\A([A-Za-z]+:)/{3,}', '$1//'), regexp_extract(u, r'(?s)\A[^?#]*(.*)\z', 1)), if(u rlike r'(?i)\Ahttps?:///', regexp_replace(u, r'\A([A-Za-z]+:)/+', '$1//'), u))"
 
 
+#: An address in which nothing has to be lower-cased, encoded or left out: no port, no query, no mark.
+_PLAIN = r"r'\Ahttps?://[a-z0-9_.-]+(/[!$-;=@-\[\]_a-z|~]*)?\z'"
+_PLAIN_PARTS = "named_struct('all', u, 'ok', true, 'scheme', substring_index(u, ':', 1), 'host', substring_index(substring_index(u, '/', 3), '/', -1), 'path', substr(u, length(substring_index(u, '/', 3)) + 1), 'query', '', 'mark', '')"
+
+
 def _part_of(i: int) -> str:
     return f"regexp_extract(w, {_SPLIT}, {i})"
 
@@ -55,7 +60,8 @@ def _lambda() -> str:
     own = rf"{port} = '' or w rlike r'(?i)\A(https://[^/?#]*:0*443|http://[^/?#]*:0*80)([/?#]|\z)'"
     host = rf"concat(regexp_replace(lower({_part_of(2)}), r':[0-9]{{0,5}}\z', ''), if({own}, '', concat(':', cast(cast({port} as int) as string))))"
     fields = {"all": "u", "ok": rf"coalesce(w rlike {_WHOLE} and cast(coalesce(nullif({port}, ''), '0') as int) < 65536, false)", "scheme": f"lower({_part_of(1)})", "host": host, "path": _encoded(_part_of(3), _UNSAFE_SQL), "query": _encoded(_part_of(4), _UNSAFE_QUERY), "mark": _part_of(5)}
-    return "u -> " + hosts.let(_SLASHED, "w", "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")")
+    each = hosts.let(_SLASHED, "w", "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")")
+    return f"u -> if(u rlike {_PLAIN}, {_PLAIN_PARTS}, {each})"
 
 
 def _hosted() -> str:
@@ -71,6 +77,8 @@ def _odd(host: str) -> str:
     return rf"not ({host} rlike r'\A[a-z0-9_-]+([.][a-z0-9_-]+)*(:[0-9]+)?\z' and not {host} rlike r'(\A|[.])(0x[0-9a-f]*|[0-9]+)[.]?(:[0-9]*)?\z')"
 
 
+#: An address whose host is of small letters and digits and ends in no number.
+_NOT_ODD = r"r'\Ahttps?://([a-z0-9_-]+[.])*[a-z_-][a-z0-9_-]*(:[0-9]+)?([/?#]|\z)'"
 _CUT_UP, _HOSTED = _lambda(), _hosted()
 
 
@@ -91,7 +99,7 @@ def parsed(url: Column) -> Column:
 def hosted(url: Column) -> Column:
     """An address with its host in its shortest form; for addresses that are put together already."""
     again = lambda p: F.when(p["ok"], F.concat(_origin(p), p["path"], p["query"], p["mark"])).otherwise(p["all"])
-    odd = F.expr(f"u -> {_odd(_HOST_OF)}")
+    odd = F.expr(f"u -> not u rlike {_NOT_ODD} and {_odd(_HOST_OF)}")
     return F.when(is_http(url) & F.element_at(F.call_function("transform", F.array(url), odd), 1), let(parsed(url), again)).otherwise(url)
 
 
@@ -154,7 +162,14 @@ def _cut(ref: Column) -> Column:
     """A reference without blanks around it, cut into path, query and mark."""
     clean = F.regexp_replace(F.regexp_replace(ref, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
     part = lambda r, i: F.regexp_extract(r, r"(?s)\A([^?#]*)(\?[^#]*)?(#.*)?\z", i)
-    return let(clean, lambda r: F.struct(r.alias("all"), F.replace(part(r, 1), F.lit("\\"), F.lit("/")).alias("path"), part(r, 2).alias("query"), part(r, 3).alias("mark")))
+    cut = let(clean, lambda r: F.struct(r.alias("all"), F.replace(part(r, 1), F.lit("\\"), F.lit("/")).alias("path"), part(r, 2).alias("query"), part(r, 3).alias("mark")))
+    whole = F.struct(ref.alias("all"), ref.alias("path"), F.lit("").alias("query"), F.lit("").alias("mark"))
+    return F.when(~ref.rlike(r"[\x00-\x20\\?#]"), whole).otherwise(cut)
+
+
+def _folder(path: Column) -> Column:
+    """A path up to its last slash."""
+    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)))
 
 
 def resolve_at(base: Column, ref: Column) -> Column:
@@ -168,7 +183,7 @@ def resolve_at(base: Column, ref: Column) -> Column:
         path, tail = r["path"], F.concat(encode_query(r["query"]), F.replace(r["mark"], F.lit(" "), F.lit("%20")))
         here = F.when(b["path"] == "", F.lit("/")).otherwise(b["path"])
         given = F.when(path.startswith("//"), F.concat(b["scheme"], F.lit(":"), path, r["query"], r["mark"])).otherwise(r["all"])
-        rooted = F.when(path.startswith("/"), encode_path(path)).otherwise(F.concat(F.regexp_replace(here, r"[^/]*\z", ""), encode_path(path)))
+        rooted = F.when(path.startswith("/"), encode_path(path)).otherwise(F.concat(_folder(here), encode_path(path)))
         return (
             F.when(r["all"].rlike(r"(?i)\Ahttps?:[/\\]{2}") | (b["ok"] & path.startswith("//")), let(cut_up(given), whole))
             .when(r["all"].rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:") | ~b["ok"], r["all"])
@@ -201,7 +216,7 @@ def normalize_at(base: Column, ref: Column) -> Column:
     def choose(b: Column, r: Column) -> Column:
         path, all_ = r["path"], r["all"]
         here = F.when(b["path"] == "", F.lit("/")).otherwise(b["path"])
-        folder = F.regexp_replace(here, r"[^/]*\z", "")
+        folder = _folder(here)
         return (
             F.when(all_.rlike(r"(?i)\Ahttps?:[/\\]{2}"), all_)
             .when(b["ok"] & path.startswith("//"), F.concat(b["scheme"], F.lit(":"), path, r["query"]))
@@ -238,7 +253,7 @@ def directory(url: Column) -> Column:
 
 def directory_of(p: Column) -> Column:
     """directory, of an address that is parsed already."""
-    return F.when(p["ok"], F.concat(_origin(p), F.when(p["path"] == "", F.lit("/")).otherwise(F.regexp_replace(p["path"], r"[^/]*\z", "")))).otherwise(F.lit(""))
+    return F.when(p["ok"], F.concat(_origin(p), F.when(p["path"] == "", F.lit("/")).otherwise(_folder(p["path"])))).otherwise(F.lit(""))
 
 
 def join(base: Column, path: Column) -> Column:

@@ -92,12 +92,8 @@ def internal(path: Column) -> Column:
 
 
 def looks_like_script(address: Column) -> Column:
-    low = F.lower(address)
-    at = F.instr(low, ".js")
-    early = F.lit(False)
-    for e in NO_SCRIPT:
-        early = early | ((F.instr(low, e) > 0) & (F.instr(low, e) < at))
-    return (at > 0) & ~early & ~low.endswith(".map") & ~low.rlike(r"\A(data|blob|about):")
+    early = "|".join(e.replace(".", r"\.") for e in NO_SCRIPT)  # one that begins before .js ends before it, too
+    return let(F.lower(address), lambda low: low.contains(".js") & ~F.substring_index(low, ".js", 1).rlike(early) & ~low.endswith(".map") & ~low.rlike(r"\A(data|blob|about):"))
 
 
 def looks_like_entry(value: Column) -> Column:
@@ -369,16 +365,20 @@ def component_metadata(d: Doc) -> Column:
 
 def static_imports(d: Doc) -> Column:
     js = F.filter(d.strings, lambda s: s["value"].endswith(".js") & s["mark"].isin('"', "'") & ~s["value"].rlike(r"\A(data|blob):|\)"))
-    clause = values(js, lambda s: s["before"].rlike(r"\bimport\b[^;()]*\bfrom\s*\z|\bimport\s*\{[^}]*\}\s*from\s*\z"))
-    alone = values(js, lambda s: follows(s, "import"))
-    return gated(((d.kind == "js") & d.text.contains("import"), tagged("url", F.concat(clause, alone))))
+    clause = lambda js: values(js, lambda s: s["before"].rlike(r"\bimport\b[^;()]*\bfrom\s*\z|\bimport\s*\{[^}]*\}\s*from\s*\z"))
+    alone = lambda js: values(js, lambda s: follows(s, "import"))
+    return gated(((d.kind == "js") & d.text.contains("import"), tagged("url", let(js, lambda js: F.concat(clause(js), alone(js))))))
 
 
 def script_create(d: Doc) -> Column:
-    after = lambda pattern: values(d.strings, lambda s: s["value"].endswith(".js") & follows(s, pattern))
-    short = values(d.strings, lambda s: (s["value"].endswith(".js") | s["value"].contains(".js?")) & follows(s, r"\bo\s*\("))
-    found = F.concat(after(r"script\.setAttribute\s*\(\s*[\"']src[\"']\s*,"), after(r"script\.src\s*="), after(r"\bnew\s+URL\s*\("), short)
-    return gated(((d.kind == "js") & has(d.text, "createElement", ".src", "setAttribute"), tagged("url", found)))
+    js = F.filter(d.strings, lambda s: s["value"].endswith(".js") | s["value"].contains(".js?"))
+
+    def found(js: Column) -> Column:
+        after = lambda pattern: values(js, lambda s: s["value"].endswith(".js") & follows(s, pattern))
+        short = values(js, lambda s: follows(s, r"\bo\s*\("))
+        return F.concat(after(r"script\.setAttribute\s*\(\s*[\"']src[\"']\s*,"), after(r"script\.src\s*="), after(r"\bnew\s+URL\s*\("), short)
+
+    return gated(((d.kind == "js") & has(d.text, "createElement", ".src", "setAttribute"), tagged("url", let(js, found))))
 
 
 def modern_js(d: Doc) -> Column:
@@ -484,7 +484,8 @@ def universal(d: Doc) -> Column:
     """Scripts that are named in any way, and if there are none, any quoted text that could be one."""
 
     def accepted(found: Column) -> Column:
-        full = F.transform(F.transform(found, lambda v: F.trim(v)), lambda x: trimmed_end(F.when(x.startswith("//"), F.concat(d.base["scheme"], F.lit(":"), x)).otherwise(x)))
+        # A value that several forms name is looked at once.
+        full = F.transform(F.transform(F.array_distinct(found), lambda v: F.trim(v)), lambda x: trimmed_end(F.when(x.startswith("//"), F.concat(d.base["scheme"], F.lit(":"), x)).otherwise(x)))
         return F.filter(full, lambda v: looks_like_script(v) & ~internal(v) & (d.base["ok"] | url.is_http(v)))
 
     gate = d.kind.isin("js", "html") & has(d.text, ".js", "document.write", "import(", "require(", "<script")
@@ -493,11 +494,10 @@ def universal(d: Doc) -> Column:
         ending = lambda pattern: values(found, lambda s: s["value"].endswith(".js") & follows(s, pattern))
         sources = F.transform(F.filter(d.decoded_tags, lambda t: named(t, "script", exact=True)), lambda t: attribute(t, "src", quoted=True))
         loaders = F.transform(values(found, lambda s: s["value"].rlike(r"!/.+\.js\z")), lambda v: F.substring_index(v, "!", -1))
-        registered = F.flatten(F.transform(sections(d.decoded, r"System\.register\s*\(\s*\[", "]"), quoted))
+        registered = F.when(d.decoded.contains("System.register"), F.flatten(F.transform(sections(d.decoded, r"System\.register\s*\(\s*\[", "]"), quoted))).otherwise(no_texts())
         hosts = values(found, lambda s: s["value"].rlike(r"\A//[A-Za-z0-9.-]+/."))
         handed = values(found, lambda s: s["value"].rlike(r"\A/.") & follows(s, r"\w\s*\("))
-        plain = lambda v: F.forall(F.split(F.regexp_replace(v, r"\A\.{0,2}/", ""), "/", -1), lambda p: p.rlike(r"\A[\w-]+(\.js)?\z")) & v.contains("/")
-        paths = values(found, lambda s: s["value"].endswith(".js") & plain(s["value"]))
+        paths = values(found, lambda s: s["value"].endswith(".js") & s["value"].contains("/") & s["value"].rlike(r"\A(?:\.{0,2}/)?[\w-]++(?:\.js)?+(?:/[\w-]++(?:\.js)?+)*+\z"))
         return F.concat(F.filter(sources, lambda v: v.contains(".js")), ending(r"\bimport\s*\("), ending(r"\brequire\s*\("), ending(r"\bsrc\s*="), hosts, loaders, F.filter(registered, lambda v: v.contains(".js")), handed, paths, d.constants)
 
     def found(js: Column) -> Column:
@@ -597,8 +597,10 @@ def extract(docs: DataFrame, registry: Registry | None = None, keep: tuple[str,
     assembled = scripts.constants(F.when(dynamic, F.col("decoded"))) if "UniversalURLPlugin" in names else no_texts()
     base = base.withColumns({
         "_tags": F.when(of("html"), tags(F.col("text"))), "_strings": F.when(of("html", "js"), strings(F.col("text"))), "_decoded_tags": F.when(of("html", "js") & F.contains(F.col("decoded"), F.lit("<script")), tags(F.col("decoded"))).otherwise(no_texts()),
-        "_decoded_strings": F.when(of("html", "js"), strings(F.col("decoded"))), "_runtime": runtime, "_constants": assembled,
+        "_runtime": runtime, "_constants": assembled,
     })
+    # Most texts hold no escapes, and their strings are those of the text as captured.
+    base = base.withColumn("_decoded_strings", F.when(F.col("decoded") == F.col("text"), F.col("_strings")).when(of("html", "js"), strings(F.col("decoded"))))
     d = Doc(*(F.col(c) for c in ("url", "kind", "text", "decoded", "headers", "_base", "_origin", "_directory", "_tags", "_strings", "_decoded_tags", "_decoded_strings", "_runtime", "_constants", "_routes")))
 
     def stamped(found: Column, idx: int) -> Column:

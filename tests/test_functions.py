@@ -121,3 +121,14 @@ def test_native_functions_in_sql(spark):
         assert "Python" not in plan and "Arrow" not in plan, name
     members = spark.sql("SELECT u, m.pos, m.member FROM VALUES ('https://a.test/??b.js,c.js'), ('https://b.test/x') AS t(u), LATERAL loom_members(t.u) m").collect()
     assert sorted((r.pos, r.member) for r in members) == [(0, "https://a.test/b.js"), (0, "https://b.test/x"), (1, "https://a.test/c.js")]
+
+
+def test_plain_addresses_have_the_parts_of_others(spark):
+    # In capitals the scheme takes the long way; the parts are the same.
+    rests = ["h.test", "h.test/", "h.test/a//b/./c.js", "1.2.3.4/x", "h-1_2.test/@:~|[]!$;=,", "h.test/a%20b"]
+    rows = spark.createDataFrame([(i, s + r) for i, r in enumerate(rests) for s in ("https://", "HTTPS://")], "i int, u string")
+    found: dict = {}
+    for r in rows.select("i", url.cut_up(F.col("u")).alias("p")).select("i", "p.ok", "p.scheme", "p.host", "p.path", "p.query", "p.mark").collect():
+        found.setdefault(r.i, set()).add(tuple(r)[1:])
+    assert all(len(v) == 1 for v in found.values()) and found[2] == {(True, "https", "h.test", "/a//b/./c.js", "", "")}
+    assert url._CUT_UP.startswith(f"u -> if(u rlike {url._PLAIN}, {url._PLAIN_PARTS}, ")
