@@ -442,6 +442,31 @@ def test_character_models_against_brute_force():
         assert abs(model.mean_log(u) - sum(logs) / len(logs)) < 1e-9
 
 
+def test_url_models_learn_from_all_decided_urls(spark):
+    some = [f"https://s{i}.com/{i % 7}" for i in range(30_000)] + [f"https://t{i}.net/es/{i % 5}" for i in range(500)]
+    df = spark.createDataFrame([(u,) for u in some], "url string")
+    model = urls.train(df)
+    learnt = [r.url for r in df.where("pmod(xxhash64(url), 5) <> 4").collect()]
+    whole = urls.Markov()
+    for u in learnt:
+        if ".com" in u:
+            whole.add(u)
+    nothing = urls._place(np.array([1], np.uint64))[0]
+    assert model.accepted.total[nothing] == whole.after[""].total() and model.accepted.kinds[nothing] == len(whole.after[""])
+    assert len(learnt) > 20_000 and np.mean(np.abs(model.accepted.mean_logs(some[:200]) - [whole.mean_log(u) for u in some[:200]])) < 0.05
+
+
+def test_url_models_in_tables_are_near_character_models(spark):
+    good, bad = [f"https://a{i}.com/é/{i}" for i in range(40)], [f"https://b{i}.net/fr/{i}" for i in range(40)]
+    df = spark.createDataFrame([(u,) for u in good + bad], "url string")
+    model, plain = urls.train(df), {True: urls.Markov(), False: urls.Markov()}
+    for r in df.where("pmod(xxhash64(url), 5) <> 4").collect():
+        plain[r.url in good].add(r.url)
+    for u in [*good[:5], *bad[:5], "", "ftp://q", "😀" * 9]:
+        assert abs(model.ratio(u) - plain[True].mean_log(u) + plain[False].mean_log(u)) < 0.01  # contexts may meet in a place
+    assert model.threshold == 0.0
+
+
 def test_threshold_divides_both_kinds():
     assert urls.calibrated([1.0, 2.0, 3.0], [-3.0, -2.0, -1.0]) == 0.0
     t = urls.calibrated([0.5, 0.6, 0.7, 0.1], [0.2, 0.3, -1.0, 0.0])
