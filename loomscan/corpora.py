@@ -74,15 +74,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A corpus over the tables below sf_dir.
 
     Files are split by bytes, of which these tables have too few for all cores, so their
-    keys are dealt out before texts are made of them.
+    keys are dealt out before texts are made of them: four parts a core, and one for every
+    megabyte of the file.  A setting for shuffles tells nothing of them, and a task has to
+    unpack its extractors.
     """
-    return spark.sql(_fill(name, {t: _dealt(spark, t, f"parquet.`{sf_dir}/{t}.parquet`") for t in ("region", "nation", "supplier", "customer", "part", "orders")}))
+    used = [t for t in ("region", "nation", "supplier", "customer", "part", "orders") if "{" + t + "}" in CORPORA[name]]
+    return spark.sql(_fill(name, {t: _dealt(spark, t, f"{sf_dir}/{t}.parquet") for t in used}))
 
 
 def _dealt(spark: SparkSession, table: str, place: str) -> str:
     if table not in _DEALT:
-        return place
-    return f"(SELECT /*+ REPARTITION({shared.parts(spark)}, {_DEALT[table]}) */ * FROM {place})"
+        return f"parquet.`{place}`"
+    parts = max(4 * spark.sparkContext.defaultParallelism, shared.size(spark, place) >> 20)
+    return f"(SELECT /*+ REPARTITION({parts}, {_DEALT[table]}) */ * FROM parquet.`{place}`)"
 
 
 def _fill(name: str, tables: dict[str, str]) -> str:

@@ -28,6 +28,16 @@ def test_numbers_of_more_than_32_bits(spark, tmp_path):
     assert got == expected and (44694, 0, 2, -16793616) in got
 
 
+def test_dealing_is_by_cores_whatever_shuffles_are_set_to(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    set_to = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "500")
+    try:
+        assert corpora.load(spark, str(tmp_path), "c_import_js").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", set_to)
+
+
 def test_rows_of_small_files_are_dealt_out(spark, tmp_path):
     spark.range(1000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     dealt = corpora.load(spark, str(tmp_path), "c_import_js").groupBy(F.spark_partition_id()).count().collect()
