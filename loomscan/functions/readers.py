@@ -44,9 +44,9 @@ def strings(script: Column) -> Column:
     """
 
     def each(s: Column) -> Column:
-        last = lambda x: F.substring(x, -REACH, REACH)  # noqa: E731  right computes its argument twice
-        tail = lambda i: F.coalesce(last(F.get(s, i)), F.lit(""))
-        row = lambda x, i: F.struct(F.left(x, F.lit(1)).alias("mark"), F.substr(x, F.lit(2)).alias("value"), F.get(s, i - 1).alias("before"), last(F.concat(tail(i - 3), tail(i - 2), tail(i - 1))).alias("context"), F.left(F.get(s, i + 1), F.lit(24)).alias("after"))
+        # Cut once, after the three are joined; what isn't there is left out.  right computes its argument twice.
+        context = lambda i: F.substring(F.concat_ws("", F.get(s, i - 3), F.get(s, i - 2), F.get(s, i - 1)), -REACH, REACH)
+        row = lambda x, i: F.struct(F.left(x, F.lit(1)).alias("mark"), F.substr(x, F.lit(2)).alias("value"), F.get(s, i - 1).alias("before"), context(i).alias("context"), F.left(F.get(s, i + 1), F.lit(24)).alias("after"))
         return F.filter(F.transform(s, row), lambda x: x["after"].isNotNull() & x["before"].isNotNull() & (x["value"] != ""))
 
     # A text that begins with a mark has nothing before it; the blank makes that something.

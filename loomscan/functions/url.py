@@ -172,8 +172,30 @@ def _folder(path: Column) -> Column:
     return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)))
 
 
+#: A segment that can be neither . nor .. and in which nothing has to be encoded; one that isn't a scheme, either.
+_SEGMENT, _FIRST = r"[!$--0-;=@-\[\]_a-z|~][!$-.0-;=@-\[\]_a-z|~]*+", r"[!$--0-9;=@-\[\]_a-z|~][!$-.0-9;=@-\[\]_a-z|~]*+"
+_PLAIN_BASE = rf"\Ahttps?://[a-z0-9_.-]+/(?:{_SEGMENT}/)*+(?:{_SEGMENT})?+\z"
+
+
+def _at(base: Column, ref: Column, end: str, other: Column) -> Column:
+    """A reference of plain segments put to a plain base, where nothing has to be worked out; else other.  end: what may follow them."""
+    rooted, below = rf"\A(?:/{_SEGMENT})++{end}\z", rf"\A(?:\./)?+{_FIRST}(?:/{_SEGMENT})*+{end}\z"
+    plain = base["ok"] & base["all"].rlike(_PLAIN_BASE)
+    return (
+        F.when(ref.rlike(rf"\Ahttps?://[a-z0-9_.-]+(?:/{_SEGMENT})++{end}\z"), ref)
+        .when(ref.rlike(rooted) & plain, F.concat(_origin(base), ref))
+        .when(ref.rlike(below) & plain, F.concat(_origin(base), _folder(base["path"]), F.when(ref.startswith("./"), F.substr(ref, F.lit(3))).otherwise(ref)))
+        .otherwise(other)
+    )
+
+
 def resolve_at(base: Column, ref: Column) -> Column:
     """resolve, for a base that is parsed already; the host keeps its form."""
+    return _at(base, ref, "/?+", resolve_any(base, ref))
+
+
+def resolve_any(base: Column, ref: Column) -> Column:
+    """resolve_at, whatever base and reference are made of."""
 
     def whole(p: Column) -> Column:
         out = F.concat(_origin(p), _resolved_dots(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])), p["query"], F.replace(p["mark"], F.lit(" "), F.lit("%20")))
@@ -212,6 +234,11 @@ def key_of(url: Column) -> Column:
 
 def normalize_at(base: Column, ref: Column) -> Column:
     """normalize of resolve_at, in one step, but for the host's form: the key has no dot segments and no mark whatever the address had."""
+    return _at(base, ref, "", normalize_any(base, ref))
+
+
+def normalize_any(base: Column, ref: Column) -> Column:
+    """normalize_at, whatever base and reference are made of."""
 
     def choose(b: Column, r: Column) -> Column:
         path, all_ = r["path"], r["all"]

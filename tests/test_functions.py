@@ -2,11 +2,12 @@
 
 import ipaddress
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomscan.functions import content, paths, registered, scanners, scripts, url
+from loomscan.functions import content, paths, readers, registered, scanners, scripts, url
 
 
 def column(spark, f, values, kind="string"):
@@ -132,3 +133,26 @@ def test_plain_addresses_have_the_parts_of_others(spark):
         found.setdefault(r.i, set()).add(tuple(r)[1:])
     assert all(len(v) == 1 for v in found.values()) and found[2] == {(True, "https", "h.test", "/a//b/./c.js", "", "")}
     assert url._CUT_UP.startswith(f"u -> if(u rlike {url._PLAIN}, {url._PLAIN_PARTS}, ")
+
+
+def test_plain_references_resolve_as_others(spark):
+    bases = ["https://h.test/a/p1/index.html", "https://h.test/a/", "https://h.test", "http://h.test:81/a/b.js", "https://h.test/a/../b/c", "https://h.test/a//b", "https://0x7f.1/a/b", "https://1.2.3.999/a", "https://H.test/a/b", "https://h.test/a?b/c", "https://h.test/a b/c", "about:blank", "x.js"]
+    refs = ["/x.js", "x.js", "./x.js", "./x/y.js", "././x", "../x.js", "/a/", "a/", "./", "/", "", ".", "..", "/..", "/a/../b", "/a//b", "//k.test/x", "/.x/y", "x/.y", "a/..", "data:x", "a:b", "/a:b", "x?y", "/x#y", "/a b", " /a", "/a\\b", "/ü", "/a|b", "/a\n", "https://k.test/x.js", "https://k.test/x/", "https://k.test", "https://K.test/x", "https://k.test/a/../b", "https://k.test:443/x", "http://0x7f.1/x", "%41/~!$&'()*+,;=@[]_b", None]
+    rows = spark.createDataFrame([(b, r) for b in bases for r in refs], "b string, r string").select("b", "r", url.parsed(F.col("b")).alias("p"))
+    at = lambda f: f(F.col("p"), F.col("r"))
+    for r in rows.select("b", "r", *(at(f).alias(f.__name__) for f in (url.resolve_at, url.resolve_any, url.normalize_at, url.normalize_any))).collect():
+        assert (r.resolve_at, r.normalize_at) == (r.resolve_any, r.normalize_any), r
+    # Two references are plain anywhere and seven at each of three bases, and are answered without the other way.
+    plain = rows.select(url._at(F.col("p"), F.col("r"), "", F.lit(None).cast("string")).alias("u")).where("u is not null").count()
+    assert plain == 13 * 2 + 3 * 7
+
+
+def test_contexts_join_short_strings(spark):
+    text = "'a'" + "x" * 60 + '"b"' + "é" * 20 + "c`d`e''f'\"" + "y" * 30 + "'g'"
+    pieces = re.split(r"(?=[\"'`])", " " + text)
+    expected = [(p[1:], "".join(pieces[max(0, i - 3) : i])[-readers.REACH :]) for i, p in enumerate(pieces) if 0 < i < len(pieces) - 1 and len(p) > 1]
+    found = spark.createDataFrame([(text,)], "t string").select(F.explode(readers.strings(F.col("t"))).alias("s")).select("s.value", "s.context")
+    assert [tuple(r) for r in found.collect()] == expected
+    # A context is cut once, not once for each of the strings in it.
+    plan = found.select("context")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"-{readers.REACH}, {readers.REACH}") == 1
