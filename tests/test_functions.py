@@ -156,3 +156,18 @@ def test_contexts_join_short_strings(spark):
     # A context is cut once, not once for each of the strings in it.
     plan = found.select("context")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(f"-{readers.REACH}, {readers.REACH}") == 1
+
+
+def test_constants_are_read_without_token_objects(spark, monkeypatch):
+    monkeypatch.setattr(scripts, "Token", None)
+    cases = {
+        'const a="/x/"; b = a + "y"; c = b + "z.js"; import(c)': ["/x/yz.js"],
+        'a="x";import(a)': [],
+        'let a="1";let a="2";import(a);import(a)': ["2", "2"],
+        'const a="";import(a)': [],
+        "import(": [],
+        '="x"': [],
+        '="x";const a': [],
+        f'const a="{"z" * 201}";import(a)': [],
+    }
+    assert {t: scripts.imported_constants(t) for t in cases} == cases
