@@ -1,24 +1,34 @@
 """Cookies as a table of events: what a request carries is what was set last before it.
 
 A cookie is told apart by name, domain, path and the host that set it.  Domains of a
-request are the suffixes of its host, paths the prefixes of its own that end at a slash,
-so both are joined by equality.  What was set last comes from one order of sets and
-requests within each cookie and stretch of time; what earlier stretches ended with is
-carried over, so a cookie with a third of all rows is many groups.
+request are the suffixes of its host, paths the prefixes of its own that end at a slash.
+A request may carry hundreds of cookies, so none is sent to it: sets and requests meet by
+stretches of time, and a task goes through those of a stretch in their order, with what is
+held by then.  What earlier stretches ended with is carried over.  Beyond MOST cookies
+hosts are dealt into groups, and a set goes to those that have requests for it, so a task
+holds a group's cookies, and a group or site with most of all rows is many stretches.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomscan.functions import url
-from loomscan.sources.shared import keep, parts
+from loomscan.sources.shared import parts
 
-#: Stretches into which the whole time is cut, by rows.
-STRETCHES = 64
+#: Cookies that a group of hosts has, about; rows that a stretch has at least; characters of headers sent on at once; cookies that are held merged.
+MOST, ROWS, BYTES, HELD = 50_000, 10_000, 8 << 20, 1 << 20
 _COOKIE = ["domain", "path", "name", "host"]
+_CUT = pa.schema([("dealt", pa.int32()), ("first", pa.int32()), ("final", pa.int32()), ("cuts", pa.list_(pa.int64()))])
 
 
 def _named(pairs: Column, name: str) -> Column:
@@ -53,14 +63,123 @@ def parsed(responses: DataFrame) -> DataFrame:
     return told.where("expires is null or expires > at")
 
 
-def _reach(host: Column, path: Column) -> tuple[Column, Column]:
-    """The domains that a host is in, and the cookie paths that a path is in."""
+def _domains(host: Column) -> Column:
+    """The domains that a host is in."""
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(path, "/")
-    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    paths = F.array_distinct(F.concat(F.transform(F.slice(upto, 1, F.size(upto) - 1), lambda p: F.concat(p, F.lit("/"))), upto))
-    return domains, F.filter(paths, lambda p: p != "")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+@lru_cache(1 << 12)
+def _reach(host: str, path: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """The cookie paths that an address is in, the longest first, and for each its cells: the domains that it is in, and the path."""
+    labels, segments = host.split("."), path.split("/")
+    domains = [".".join(labels[i:]) for i in range(len(labels))]
+    upto = ["/".join(segments[:i]) for i in range(1, len(segments) + 1)]
+    paths = {p for p in [*(p + "/" for p in upto[:-1]), *upto] if p}
+    return [(p, [(d, p) for d in domains]) for p in sorted(paths, key=len, reverse=True)]
+
+
+class _Cell:
+    """The cookies of a domain and path, in the order that they were set in, and what has changed lately."""
+
+    def __init__(self):
+        self.texts, self.since, self.log, self.before = {}, {}, [], 0  # before: changes that were taken out of the log
+
+    def change(self, n: int, cookie: tuple, text: str | None) -> None:
+        self.texts.pop(cookie, None)
+        self.since.pop(cookie, None)
+        if text is not None:
+            self.texts[cookie], self.since[cookie] = text, n
+        self.log.append((n, cookie, text))
+        if len(self.log) > 1000 + 2 * len(self.texts):
+            self.before += len(self.log)
+            self.log = []
+
+
+class _Jar:
+    """What is held as time goes on.
+
+    Cookies of a path that several domains of a host have are merged once, and again only
+    where they have changed.
+    """
+
+    def __init__(self):
+        self._cells, self._ends, self._changes, self._merged, self._size, self._room = {}, [], 0, {}, 0, 1000
+
+    def _change(self, cell: tuple[str, str], cookie: tuple, text: str | None) -> None:
+        self._changes += 1
+        self._cells.setdefault(cell, _Cell()).change(self._changes, cookie, text)
+
+    def _holds(self, cell: tuple[str, str], cookie: tuple, n: int) -> bool:
+        return self._cells[cell].since.get(cookie) == n
+
+    def set(self, domain: str, path: str, host: str, text: str, expires: int | None) -> None:
+        cell, cookie = (domain, path), (domain, host, text.partition("=")[0])
+        self._change(cell, cookie, text)
+        if expires is not None:
+            heapq.heappush(self._ends, (expires, self._changes, cell, cookie))
+            if len(self._ends) > self._room:  # most of them were replaced
+                self._ends = [(e, n, cell, c) for e, n, cell, c in self._ends if self._holds(cell, c, n)]
+                heapq.heapify(self._ends)
+                self._room = 1000 + 2 * len(self._ends)
+
+    def header(self, host: str, path: str, at: int) -> str:
+        while self._ends and self._ends[0][0] <= at:
+            _, n, cell, cookie = heapq.heappop(self._ends)
+            if self._holds(cell, cookie, n):
+                self._change(cell, cookie, None)
+        lines = []
+        for of, cells in _reach(host, path):
+            found = [c for c in map(self._cells.get, cells) if c]
+            if found:
+                lines.extend((found[0].texts if len(found) == 1 else self._together(host, of, found)).values())
+        return "; ".join(lines)
+
+    def _together(self, host: str, path: str, cells: list[_Cell]) -> dict[tuple, str]:
+        """Texts of several cells' cookies, in the order that they were set in."""
+        texts, seen = self._merged.get((host, path), ({}, []))
+        if len(seen) < len(cells) or any(n < c.before for n, c in zip(seen, cells)):
+            texts = {k: t for _, k, t in sorted((n, k, c.texts[k]) for c in cells for k, n in c.since.items())}
+            self._size += len(texts)
+            if self._size > HELD:
+                self._merged, self._size = {}, len(texts)
+        else:
+            for _, cookie, text in sorted(x for n, c in zip(seen, cells) for x in c.log[n - c.before :]):
+                texts.pop(cookie, None)
+                if text is not None:
+                    texts[cookie] = text
+        self._merged[host, path] = texts, [c.before + len(c.log) for c in cells]
+        return texts
+
+
+def _go_through(key: str):
+    """Headers of requests, from rows in the order of part, time, and requests before sets."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, jar = None, _Jar()
+        for batch in batches:
+            asker = batch.column("asker").filter(pc.equal(batch.column("kind"), 0))
+            headers, size, sent = [], 0, 0
+            for p, at, kind, domain, path, host, text, expires in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "kind", "domain", "path", "host", "text", "expires"))):
+                if p != part:
+                    part, jar = p, _Jar()
+                if kind:
+                    jar.set(domain, path, host, text, expires)
+                    continue
+                headers.append("" if domain is None else jar.header(domain, path, at))
+                size += len(headers[-1])
+                if size > BYTES:
+                    yield pa.RecordBatch.from_arrays([asker.slice(sent, len(headers)), pa.array(headers, pa.string())], [key, "cookie"])
+                    sent, headers, size = sent + len(headers), [], 0
+            yield pa.RecordBatch.from_arrays([asker.slice(sent, len(headers)), pa.array(headers, pa.string())], [key, "cookie"])
+
+    return each
+
+
+def _number(responses: DataFrame) -> int:
+    """About how many cookies are set, without parsing addresses: by host, name and attributes but for times."""
+    host, rest = F.regexp_extract("url", r"\A[^/?#]*//([^/?#]*)", 1), F.regexp_replace("h", r"(?i)\A([^;=]*)=[^;]*|;\s*(?:max-age|expires)[^;]*", "$1")
+    return responses.select("url", F.explode("set_cookie").alias("h")).agg(F.approx_count_distinct(F.xxhash64(host, rest))).first()[0]
 
 
 def headers(requests: DataFrame, responses: DataFrame, key: str = "id") -> DataFrame:
@@ -68,31 +187,64 @@ def headers(requests: DataFrame, responses: DataFrame, key: str = "id") -> DataF
 
     requests: key, url, at; responses: url, at, set_cookie.  A request carries what was
     set before its own time and hasn't run out by then.  Addresses that aren't any carry
-    nothing; null times are no times.  Keys should be distinct.
+    nothing; null times are no times.  Responses are read several times.
     """
-    n = parts(requests.sparkSession)
-    told = keep(parsed(responses.where("at is not null").repartition(n)))
-    cookies = keep(told.select(*_COOKIE).distinct().withColumn("cookie", F.monotonically_increasing_id()))
-    sets = told.join(cookies, _COOKIE)
-    cuts = told.agg(F.percentile_approx("at", [i / STRETCHES for i in range(1, STRETCHES)])).first()[0] or []  # STRETCHES numbers at most
-    stretch = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col("at"))) if cuts else F.lit(0)
-    # A request is as many rows as there are cookies for it, so requests are dealt out first, and these rows are numbers.
-    asked = requests.where("at is not null").select(key, "at", "url").repartition(n, key).select(key, "at", stretch.alias("stretch"), url.parsed(F.col("url")).alias("u"))
-    domains, paths = _reach(F.regexp_replace("u.host", ":[0-9]+$", ""), F.when(F.col("u.path") == "", F.lit("/")).otherwise(F.col("u.path")))
-    cells = F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.struct(d.alias("domain"), p.alias("path")))))
-    wanted = asked.select(key, "at", "stretch", F.explode(F.when(F.col("u.ok"), cells)).alias("cell")).select(key, "at", "stretch", "cell.*").join(cookies, ["domain", "path"])
-
-    held = F.struct("at", "seq", "value", "expires", *_COOKIE)
-    given = sets.select("cookie", "at", F.lit(1).alias("kind"), F.lit(None).cast(requests.schema[key].dataType).alias(key), held.alias("set"), stretch.alias("stretch"))
-    events = given.unionByName(wanted.select("cookie", "at", F.lit(0).alias("kind"), key, F.lit(None).cast(given.schema["set"].dataType).alias("set"), "stretch"))
-    # A request comes before what is set at its own time.
-    own = F.last("set", ignorenulls=True).over(W.partitionBy("cookie", "stretch").orderBy("at", "kind", F.col("set.seq")))
-    ends = given.groupBy("cookie", "stretch").agg(F.max("set").alias("end"))
-    carried = ends.select("cookie", F.col("stretch").alias("from"), F.lead("stretch").over(W.partitionBy("cookie").orderBy("stretch")).alias("to"), "end")
+    spark = requests.sparkSession
+    n = parts(spark)
+    responses = responses.where("at is not null")
+    cookies = _number(responses)
+    groups = 1 + cookies // MOST
+    # Dealt by ranges, so that a task has few stretches, and sends few rows of what these ended with.
+    told = parsed(responses.repartitionByRange(n, "at", "url")).withColumn("text", F.concat("name", F.lit("="), "value"))
+    asked = requests.select(key, "at", "url").repartitionByRange(n, key).select(F.col(key).alias("asker"), F.col("at").cast("long").alias("at"), url.parsed(F.col("url")).alias("u"))
+    usable = F.col("u.ok") & F.col("at").isNotNull()
+    asked = asked.select("asker", "at", F.when(usable, F.regexp_replace("u.host", ":[0-9]+$", "")).alias("domain"), F.when(F.col("u.path") == "", F.lit("/")).otherwise(F.col("u.path")).alias("path"))
+    if groups == 1:
+        asked, sets = asked.withColumn("dealt", F.lit(0)), told.withColumn("dealt", F.lit(0))
+        times = requests.select(F.lit(0).alias("dealt"), "at").unionByName(responses.select(F.lit(0).alias("dealt"), "at"))
+    else:
+        asked, sets = _dealt(asked, told, groups)
+        times = asked.select("dealt", "at").unionByName(sets.select("dealt", "at"))
+    # Numbers: at most n for each group.
+    spread = times.where("at is not null").groupBy("dealt").agg(F.count("at"), F.percentile_approx("at", [i / n for i in range(1, n)], 1000)).collect()
+    stretches, total = [], 0
+    for group, rows, at in spread:
+        many = max(1, min(n, rows // max(ROWS, 4 * cookies // groups)))  # what is carried over is a quarter of the rows at most
+        cuts = sorted({int(at[i * n // many - 1]) for i in range(1, many)})
+        stretches.append({"dealt": group, "first": total, "final": total + len(cuts), "cuts": cuts})
+        total += len(cuts) + 1
+    total = max(1, total)
+    cut = F.broadcast(spark.createDataFrame(pa.Table.from_pylist(stretches, _CUT)))
+    place = lambda rows: rows.join(cut, "dealt", "left").withColumn("part", F.col("first") + F.size(F.filter("cuts", lambda c: c < F.col("at"))))
+
+    sets = place(sets)
+    last = F.max(F.struct("at", "seq", "text", "expires")).alias("set")
+    ends = sets.where("part < final").groupBy("dealt", "final", "part", *_COOKIE).agg(last)
     # What a stretch ended with holds in those up to and with the next one that has any.
-    spans = carried.select("cookie", "end", F.explode(F.sequence(F.col("from") + 1, F.greatest(F.col("from") + 1, F.coalesce("to", F.lit(STRETCHES))))).alias("stretch"))
-    met = events.withColumn("own", own).where("kind = 0").join(spans, ["cookie", "stretch"], "left").select(key, "at", F.coalesce("own", "end").alias("c"))
-    live = met.where("c is not null and (c.expires is null or c.expires > at)")
-    line = F.struct((-F.length("c.path")).alias("n"), F.col("c.at").alias("a"), F.col("c.seq").alias("s"), "c.domain", "c.host", F.concat("c.name", F.lit("="), "c.value").alias("t"))
-    lines = live.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "; ").alias("cookie"))
-    return requests.select(key).join(lines, key, "left").select(key, F.coalesce("cookie", F.lit("")).alias("cookie"))
+    to = F.coalesce(F.lead("part").over(W.partitionBy("dealt", *_COOKIE).orderBy("part")), "final")
+    carried = ends.select("set.*", *_COOKIE, "part", to.alias("to")).withColumn("part", F.explode(F.sequence(F.col("part") + 1, F.col("to"))))
+    columns = ["part", "at", "seq", "domain", "path", "host", "text", "expires"]
+    given = sets.select(*columns).unionByName(carried.select(*columns)).withColumn("kind", F.lit(1))
+    # Requests without a time wait for nothing and are dealt out.
+    part = F.when(F.col("at").isNull() | F.col("part").isNull(), F.pmod(F.xxhash64("asker"), F.lit(total)).cast("int")).otherwise(F.col("part"))
+    rows = place(asked).select(part.alias("part"), "at", F.lit(0).alias("kind"), "domain", "path", "asker").unionByName(given, allowMissingColumns=True)
+    # A request comes before what is set at its own time.
+    dealt = rows.repartitionById(min(total, 4 * n), "part").sortWithinPartitions("part", "at", "kind", "seq", "domain", "host", "text", "expires")
+    return dealt.mapInArrow(_go_through(key), T.StructType([T.StructField(key, requests.schema[key].dataType), T.StructField("cookie", T.StringType())]))
+
+
+def _dealt(asked: DataFrame, told: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
+    """Requests and sets with the group (dealt) that they meet in; a set is in each that has requests for its domain.
+
+    Hosts go by site, their last two labels; those of a site with more than MOST cookies by
+    themselves, and a host with as many by the first segment of paths.
+    """
+    site, segment = (lambda host: F.substring_index(host, ".", -2)), F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit("")).alias("segment")
+    names = told.select(F.explode(F.array_distinct(F.array(site(F.col("domain")), "domain"))).alias("of"), F.xxhash64(*_COOKIE).alias("h"))
+    large = [r["of"] for r in names.groupBy("of").agg(F.approx_count_distinct("h").alias("n")).where(F.col("n") > MOST).collect()]  # two for MOST cookies at most
+    host = F.col("domain")
+    by = F.when(~site(host).isin(large), site(host)).when(~host.isin(large), host).otherwise(F.concat(host, F.lit("/"), segment))
+    asked = asked.withColumn("dealt", F.pmod(F.xxhash64(by), F.lit(groups)).cast("int"))
+    cells = F.flatten(F.transform(_domains(host), lambda d: F.transform(F.array_distinct(F.array(F.lit(""), "segment")), lambda s: F.struct(d.alias("domain"), s.alias("segment")))))
+    reach = asked.where("domain is not null").select("domain", segment, "dealt").distinct().select(F.explode(cells).alias("cell"), "dealt").select("cell.*", "dealt").distinct()
+    return asked, told.withColumn("segment", segment).join(reach, ["domain", "segment"])
