@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomscan.functions import url
-from loomscan.sources.shared import parts
+from loomscan.sources.shared import keep, parts
 
 #: Cookies that a group of hosts has, about; rows that a stretch has at least; characters of headers sent on at once; cookies that are held merged.
 MOST, ROWS, BYTES, HELD = 50_000, 10_000, 8 << 20, 1 << 20
@@ -166,7 +166,7 @@ def _go_through(key: str):
                 if kind:
                     jar.set(domain, path, host, text, expires)
                     continue
-                headers.append("" if domain is None else jar.header(domain, path, at))
+                headers.append(jar.header(domain, path, at) if domain else "")
                 size += len(headers[-1])
                 if size > BYTES:
                     yield pa.RecordBatch.from_arrays([asker.slice(sent, len(headers)), pa.array(headers, pa.string())], [key, "cookie"])
@@ -197,8 +197,9 @@ def headers(requests: DataFrame, responses: DataFrame, key: str = "id") -> DataF
     # Dealt by ranges, so that a task has few stretches, and sends few rows of what these ended with.
     told = parsed(responses.repartitionByRange(n, "at", "url")).withColumn("text", F.concat("name", F.lit("="), "value"))
     asked = requests.select(key, "at", "url").repartitionByRange(n, key).select(F.col(key).alias("asker"), F.col("at").cast("long").alias("at"), url.parsed(F.col("url")).alias("u"))
+    # No column that is made of addresses is null, or that would be asked before rows are dealt out, and parse every address there.
     usable = F.col("u.ok") & F.col("at").isNotNull()
-    asked = asked.select("asker", "at", F.when(usable, F.regexp_replace("u.host", ":[0-9]+$", "")).alias("domain"), F.when(F.col("u.path") == "", F.lit("/")).otherwise(F.col("u.path")).alias("path"))
+    asked = asked.select("asker", "at", F.coalesce(F.when(usable, F.regexp_replace("u.host", ":[0-9]+$", "")), F.lit("")).alias("domain"), F.when(F.col("u.path") == "", F.lit("/")).otherwise(F.col("u.path")).alias("path"))
     if groups == 1:
         asked, sets = asked.withColumn("dealt", F.lit(0)), told.withColumn("dealt", F.lit(0))
         times = requests.select(F.lit(0).alias("dealt"), "at").unionByName(responses.select(F.lit(0).alias("dealt"), "at"))
@@ -240,11 +241,12 @@ def _dealt(asked: DataFrame, told: DataFrame, groups: int) -> tuple[DataFrame, D
     themselves, and a host with as many by the first segment of paths.
     """
     site, segment = (lambda host: F.substring_index(host, ".", -2)), F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit("")).alias("segment")
+    told = keep(told)
     names = told.select(F.explode(F.array_distinct(F.array(site(F.col("domain")), "domain"))).alias("of"), F.xxhash64(*_COOKIE).alias("h"))
     large = [r["of"] for r in names.groupBy("of").agg(F.approx_count_distinct("h").alias("n")).where(F.col("n") > MOST).collect()]  # two for MOST cookies at most
     host = F.col("domain")
     by = F.when(~site(host).isin(large), site(host)).when(~host.isin(large), host).otherwise(F.concat(host, F.lit("/"), segment))
-    asked = asked.withColumn("dealt", F.pmod(F.xxhash64(by), F.lit(groups)).cast("int"))
+    asked = asked.withColumn("dealt", F.coalesce(F.pmod(F.xxhash64(by), F.lit(groups)).cast("int"), F.lit(0)))
     cells = F.flatten(F.transform(_domains(host), lambda d: F.transform(F.array_distinct(F.array(F.lit(""), "segment")), lambda s: F.struct(d.alias("domain"), s.alias("segment")))))
-    reach = asked.where("domain is not null").select("domain", segment, "dealt").distinct().select(F.explode(cells).alias("cell"), "dealt").select("cell.*", "dealt").distinct()
+    reach = keep(asked.select("domain", segment, "dealt").distinct().select(F.explode(cells).alias("cell"), "dealt").select("cell.*", "dealt").distinct())
     return asked, told.withColumn("segment", segment).join(reach, ["domain", "segment"])

@@ -129,3 +129,13 @@ def test_sets_of_one_time(spark):
     sets = spark.createDataFrame([("https://b.a.test/", 1, ["x=1; Domain=a.test", "y=1"]), ("https://a.test/", 1, ["x=2", "w=0"]), ("https://b.a.test/", 1, ["x=3; Domain=a.test", "y=0"])], "url string, at long, set_cookie array<string>")
     asks = spark.createDataFrame([(i, "https://b.a.test/", i) for i in range(4)], "id int, url string, at long")
     assert {x.id: x.cookie for x in cookies.headers(asks, sets).collect()} == {0: "", 1: "", 2: "x=2; x=3; w=0; y=1", 3: "x=2; x=3; w=0; y=1"}
+
+
+def test_addresses_are_parsed_after_requests_are_dealt_out_by_groups(spark, monkeypatch):
+    monkeypatch.setattr(cookies, "MOST", 1)
+    asks = spark.createDataFrame([(1, "https://a.test/", 4000), (2, "https://b.test/", 4000)], "id int, url string, at long")
+    sets = spark.createDataFrame([("https://a.test/", 0, ["a=1", "b=1"]), ("https://b.test/", 0, ["a=2"])], "url string, at long, set_cookie array<string>")
+    out = cookies.headers(asks, sets)
+    _, *below = out._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression [id")
+    assert below and not any("RLIKE" in b.split("LogicalRDD")[0] for b in below)
+    assert {x.id: x.cookie for x in out.collect()} == {1: "a=1; b=1", 2: "a=2"}
